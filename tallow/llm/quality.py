@@ -10,6 +10,7 @@ null host is never rejected. Repeated rows count and are judged one by one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,49 +30,54 @@ class HostRules:
     broadcast_hosts: int = 100_000
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once however often body names it, and however Spark moves the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _third(w: Column, i: Column) -> list[Column]:
     return [F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)]
 
 
-def _with_repeats(df: DataFrame, w: str, out: str) -> DataFrame:
-    """Adds the number of words in three-word windows that occur twice or more.
+def n_repeat_words(w: Column) -> Column:
+    """The number of words of the array w in three-word windows that occur twice or more.
 
     Hashes only rule out texts without repeats; windows are compared by their
     words, sorted together with their places, each next to its equals.
     """
-    tri, rep, hit = fresh(df, "tri", "rep", "hit")
-    c = F.col
     starts = F.sequence(F.lit(0), F.size(w) - 3)
-    df = df.withColumn(tri, F.when(F.size(w) >= 3, F.transform(starts, lambda i: F.xxhash64(*_third(c(w), i)))))
-    window = lambda i: F.struct(*[x.alias(f"w{k}") for k, x in enumerate(_third(c(w), i))], i.alias("at"))
-    df = df.withColumn(rep, F.when(F.size(F.array_distinct(tri)) < F.size(tri), F.sort_array(F.transform(starts, window))))
+    window = lambda i: F.struct(*[x.alias(f"w{k}") for k, x in enumerate(_third(w, i))], i.alias("at"))
     same = lambda a, b: F.coalesce((a["w0"] == b["w0"]) & (a["w1"] == b["w1"]) & (a["w2"] == b["w2"]), F.lit(False))
-    at = lambda k: F.get(c(rep), k)
-    marked = F.transform(F.sequence(F.lit(0), F.size(rep) - 1), lambda k: F.when(same(at(k), at(k - 1)) | same(at(k), at(k + 1)), at(k)["at"]))
-    df = df.withColumn(hit, F.when(c(rep).isNotNull(), F.array_compact(marked)))
-    covered = F.size(F.array_distinct(F.concat(c(hit), F.transform(hit, lambda p: p + 1), F.transform(hit, lambda p: p + 2))))
-    return df.withColumn(out, F.when(c(hit).isNull(), 0).otherwise(covered).cast("long")).drop(tri, rep, hit)
+
+    def covered(r: Column) -> Column:
+        place = lambda k: _let(F.get(r, k), lambda x: F.when(same(x, F.get(r, k - 1)) | same(x, F.get(r, k + 1)), x["at"]))
+        hits = F.array_compact(F.transform(F.sequence(F.lit(0), F.size(r) - 1), place))
+        return _let(hits, lambda h: F.size(F.array_distinct(F.concat(h, F.transform(h, lambda p: p + 1), F.transform(h, lambda p: p + 2)))))
+
+    repeats = lambda t: F.when(F.size(F.array_distinct(t)) < F.size(t), _let(F.sort_array(F.transform(starts, window)), covered)).otherwise(0)
+    return F.when(F.size(w) < 4, 0).otherwise(_let(F.transform(starts, lambda i: F.xxhash64(*_third(w, i))), repeats)).cast("long")
+
+
+def _fails(n_words: Column, repeated: Column, rules: HostRules) -> Column:
+    return (n_words < rules.min_words) | (100 * repeated > rules.max_repeat_percent * n_words)
 
 
-def base_failed(n_words: Column, n_repeat_words: Column, rules: HostRules) -> Column:
-    return (n_words < rules.min_words) | (100 * n_repeat_words > rules.max_repeat_percent * n_words)
+def base_failed(text: Column, rules: HostRules = HostRules()) -> Column:
+    return _let(words(text), lambda w: _fails(F.size(w), n_repeat_words(w), rules))
 
 
 def text_features(docs: DataFrame, rules: HostRules = HostRules(), key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """(key, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of each row."""
-    c, t = F.col, F.coalesce(F.col("t"), F.lit(""))
-    df = docs.select(c(key).alias("key"), c(host).alias("host"), c(text).alias("t")).withColumn("w", words(c("t")))
-    df = df.withColumn("lines", F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = _with_repeats(df, "w", "n_repeat_words")
-    return df.select(
-        "key", "host",
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
+    t = F.coalesce(F.col(text), F.lit(""))
+    by_words = _let(words(t), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), n_repeat_words(w).alias("n_repeat_words")))
+    lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    df = docs.select(
+        F.col(key).alias("key"), F.col(host).alias("host"), by_words.alias("x"),
         F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words",
-        base_failed(F.size("w"), c("n_repeat_words"), rules).alias("base_failed"),
+        _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
+    df = df.select("key", "host", "x.n_words", "x.word_chars", "n_symbols", "n_dup_lines", "x.n_repeat_words")
+    return df.withColumn("base_failed", _fails(F.col("n_words"), F.col("n_repeat_words"), rules))
 
 
 def host_verdicts(judged: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
@@ -103,13 +109,11 @@ def with_verdicts(features: DataFrame, rules: HostRules = HostRules()) -> DataFr
 
 def keep_good(docs: DataFrame, rules: HostRules = HostRules(), text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that pass their own and their host's verdict, with docs' columns. Texts are not shuffled."""
-    w, n_rep, bad = fresh(docs, "w", "n_rep", "bad")
-    judged = docs.withColumn(w, words(F.col(text)))
-    judged = _with_repeats(judged, w, n_rep).withColumn(bad, base_failed(F.size(w), F.col(n_rep), rules))
-    hosts = host_verdicts(judged.select(F.col(host).alias("host"), F.col(bad).alias("base_failed")), rules)
-    gone = hosts.where("host_rejected").select(F.col("host").alias(w))
-    kept = judged.where(~F.col(bad)).drop(w, n_rep, bad)
-    return kept.join(broadcast_if_small(gone, rules.broadcast_hosts), F.col(host) == F.col(w), "left_anti").select(*[F.col(f"`{x}`") for x in docs.columns])
+    (gone,) = fresh(docs, "gone")
+    bad = base_failed(F.col(f"`{text}`"), rules)
+    hosts = host_verdicts(docs.select(F.col(f"`{host}`").alias("host"), bad.alias("base_failed")), rules)
+    hosts = hosts.where("host_rejected").select(F.col("host").alias(gone))
+    return docs.where(~bad).join(broadcast_if_small(hosts, rules.broadcast_hosts), F.col(f"`{host}`") == F.col(gone), "left_anti")
 
 
 def op4_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
