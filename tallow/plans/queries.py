@@ -88,7 +88,7 @@ def _morph_sql(n: int) -> str:
     cols = {
         "tod_sin": "sin(floor((ts % 86400000000) / 1e6) * (2 * pi() / 86400))", "tod_cos": "cos(floor((ts % 86400000000) / 1e6) * (2 * pi() / 86400))", "direction": "sign(close - open)", "range": "tr", "body": "body",
         "wick_upper": "wu", "wick_lower": "wl", "cum_return": "sum(ret) OVER (PARTITION BY symbol ORDER BY ts)",
-        f"w{n}_body_atr": f"body / nullif(avg(tr) OVER {w}, 0)", f"w{n}_upper_body": "wu / nullif(body, 0)", f"w{n}_lower_body": "wl / nullif(body, 0)", f"w{n}_range_var": f"var_samp(tr) OVER {w}",
+        f"w{n}_body_atr": f"body / nullif(avg(tr) OVER {w}, 0)", f"w{n}_upper_body": "wu / nullif(body, 0)", f"w{n}_lower_body": "wl / nullif(body, 0)", f"w{n}_range_var": f"nullif(var_samp(tr) OVER {w}, 0) + 1e-9",  # off the halves that rounding would split
         f"w{n}_ret_sum": f"sum(ret) OVER {w}", f"w{n}_ret_z": f"(ret - avg(ret) OVER {w}) / nullif(stddev_pop(ret) OVER {w}, 0)", f"w{n}_vol_z": f"(volume - avg(volume) OVER {w}) / nullif(stddev_pop(volume) OVER {w}, 0)",
         f"w{n}_drawup": f"(close - min(close) OVER {w}) / nullif(min(close) OVER {w}, 0)", f"w{n}_drawdown": f"(max(close) OVER {w} - close) / nullif(max(close) OVER {w}, 0)",
     }
@@ -96,12 +96,13 @@ def _morph_sql(n: int) -> str:
     return f"""WITH {OHLCV},
 d AS (SELECT *, abs(close - open) AS body, high - greatest(open, close) AS wu, least(open, close) - low AS wl, nullif(high - low, 0) AS tr,
   coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1, 0) AS ret FROM o)
-SELECT symbol, ts, {", ".join(f"round(coalesce({x}, 0), 4) + 0.0 AS {k}" for k, x in cols.items())}, {flag} FROM d"""
+SELECT symbol, ts, {", ".join(f"round(coalesce({x}, 0), 6) + 0.0 AS {k}" for k, x in cols.items())}, {flag} FROM d"""
 
 
 def _morph(n: int):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return rounded(features.morphology(from_events(spark, sf_dir), (n,)), 4)
+        m = features.morphology(from_events(spark, sf_dir), (n,))
+        return rounded(m.withColumn(f"w{n}_range_var", F.when(F.col(f"w{n}_range_var") != 0, F.col(f"w{n}_range_var") + 1e-9).otherwise(0.0)))
 
     f.__name__ = f"morph_w{n}"
     return query(_morph_sql(n))(f)
