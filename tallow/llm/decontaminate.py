@@ -8,7 +8,7 @@ whole item, if shorter) that holds the hit agrees in min_percent of its tokens.
 
 Tokens are runs of letters and digits of the lower-cased text. Defined results:
 texts without tokens match nothing; items shorter than the longest mask are
-looked for as whole token sequences; repeated items or documents are found
+looked for as whole token sequences, if they have rules.shortest tokens; repeated items or documents are found
 each; documents without an id are found too and carry a null id; items without
 an id are not looked for.
 """
@@ -29,6 +29,8 @@ class SeedRules:
     masks: tuple[tuple[int, ...], ...] = ((0, 1, 2, 3, 4), (0, 1, 3, 6, 7), (0, 2, 3, 5, 8), (0, 1, 4, 5, 9))
     min_tokens: int = 13
     min_percent: int = 80
+    #: Items of fewer tokens are too common to be looked for.
+    shortest: int = 5
     #: Up to so many seeds of the test set are broadcast with their items; beyond, hashes are joined by a shuffle.
     broadcast_seeds: int = 500_000
 
@@ -54,7 +56,7 @@ def _placed(df: DataFrame) -> DataFrame:
 def overlaps(docs: DataFrame, items: DataFrame, rules: SeedRules = SeedRules(), key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, hits, matched, item_tokens) of each document and each item that overlaps it."""
     span = max(m[-1] for m in rules.masks) + 1
-    bench = written(items.select(F.col(item_key).alias("item"), tokens(F.col(item_text)).alias("t")).where(F.size("t") > 0))
+    bench = written(items.select(F.col(item_key).alias("item"), tokens(F.col(item_text)).alias("t")).where(F.col("item").isNotNull() & (F.size("t") >= rules.shortest)))
     d = docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("d"))
     seeds = _seeds(bench.withColumn("len", F.size("t")), "t", rules.masks, ["item", "t", "len"]).select("item", "len", F.col("at").alias("j"), "seed")
     small = seeds.count() <= rules.broadcast_seeds
