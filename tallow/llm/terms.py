@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Most terms that are broadcast.
 HEAD = 1 << 18
-_FLUSH = 400_000
+_FLUSH = 200_000
 
 
 def term_counter(split: Callable[[bytes], list]):

@@ -11,6 +11,7 @@ repeated rows are counted one by one; a null id stays null.
 from __future__ import annotations
 
 import json
+import os
 from collections import Counter
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -33,9 +34,7 @@ def pre_tokens(model: str) -> Callable[[bytes], list]:
     def start() -> None:
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
 
-        state["split"] = Tokenizer.from_str(model).pre_tokenizer.pre_tokenize_str
         state["find"] = regex.compile(public_tokenizers.PATTERN).findall
         special = [t["content"] for t in json.loads(model)["added_tokens"]]
         state["special"] = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
@@ -44,6 +43,10 @@ def pre_tokens(model: str) -> Callable[[bytes], list]:
     def pieces(text: str) -> list:
         if not state["odd"].search(text):
             return state["find"](text)
+        if "split" not in state:  # few tasks need it, and it takes much memory
+            from tokenizers import Tokenizer
+
+            state["split"] = Tokenizer.from_str(model).pre_tokenizer.pre_tokenize_str
         return [text[a:b] for _, (a, b) in state["split"](text)]
 
     def run(text: bytes) -> list:
@@ -62,6 +65,7 @@ def pre_tokens(model: str) -> Callable[[bytes], list]:
 
 def _pieces(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads of their own take memory
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(model)
