@@ -8,7 +8,10 @@ candidates, and links are confirmed on the full shingle sets.
 Documents with equal sets form one class and only its smallest id is compared.
 In a bucket every document is first compared with a pivot; only documents of
 buckets that still hold several components are compared further, and never two
-of one component, so large groups of copies cost a star and not all pairs.
+of one component, so large groups of copies cost a star and not all pairs. Of
+those that are left, only pairs whose parity sketches allow the similarity are
+met: bins that hold an odd number of one set's shingles and an even number of
+the other's are never more than the shingles in which the sets differ.
 
 Defined results: a null or empty text has no shingles and is linked with
 nothing; a text of fewer words than the shingle length has its whole sequence
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -41,6 +46,8 @@ class NearRules:
     seed: int = 7
     #: Rounds in which a bucket's documents are compared with a pivot before what is left is compared pair by pair.
     pivots: int = 3
+    #: Bins of the parity sketch, in words of 64.
+    sketch: int = 8
 
 
 _CHUNK = 200_000
@@ -80,7 +87,7 @@ def _shingles(texts: list, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray
 def _signer(rules: NearRules):
     half = (rules.bands * rules.rows + 1) // 2
     draws = np.random.default_rng(rules.seed).integers(0, 2**63, (2, half), dtype=np.uint64)
-    mul, add = draws[0] * np.uint64(2) + np.uint64(1), draws[1]
+    mul, plus = draws[0] * np.uint64(2) + np.uint64(1), draws[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = _mix(np.arange(1, rules.rows + 1, dtype=np.uint64))
@@ -90,14 +97,17 @@ def _signer(rules: NearRules):
                 begins = np.concatenate(([0], ends[:-1]))
                 some = np.flatnonzero(ends > begins)
                 sizes, keys = np.zeros(len(ends), np.int64), np.zeros((len(ends), 2), np.uint64)
+                odd = np.zeros((len(ends), rules.sketch), np.int64)
                 bands = np.zeros((len(some), rules.bands), np.uint64)
                 for d in some:
                     s = np.unique(h[begins[d] : ends[d]])
                     sizes[d], keys[d] = len(s), (s.sum(dtype=np.uint64), _mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
+                    bins = (_mix(s + np.uint64(0x9E3779B97F4A7C15)) % np.uint64(64 * rules.sketch)).astype(np.int64)
+                    odd[d] = np.packbits(np.bincount(bins, minlength=64 * rules.sketch) & 1).view(np.int64)
                 if len(some):
                     sig = np.empty((len(some), 2 * half), np.uint64)
                     for p in range(half):
-                        v = h * mul[p] + add[p]
+                        v = h * mul[p] + plus[p]
                         sig[:, 2 * p], sig[:, 2 * p + 1] = np.minimum.reduceat(v, begins[some]), np.maximum.reduceat(v, begins[some])
                     parts = sig[:, : rules.bands * rules.rows].reshape(len(some), rules.bands, rules.rows)
                     bands = _mix((_mix(parts) * weights).sum(axis=2, dtype=np.uint64) + np.arange(rules.bands, dtype=np.uint64))
@@ -110,8 +120,9 @@ def _signer(rules: NearRules):
                         pa.array(keys[:, 0].view(np.int64)),
                         pa.array(keys[:, 1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * rules.sketch), pa.array(odd.reshape(-1))),
                     ],
-                    names=["id", "n", "k1", "k2", "bands"],
+                    names=["id", "n", "k1", "k2", "bands", "sketch"],
                 )
 
     return run
@@ -173,13 +184,13 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, rules: NearRules = NearRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n, rep, comp) of every distinct id: set size, smallest id with the same set, smallest id of its group."""
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    signed = texts.mapInArrow(_signer(rules), "id long, n long, k1 long, k2 long, bands array<long>")
+    signed = texts.mapInArrow(_signer(rules), "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
     signed = written(signed)
     if signed.count() > signed.select("id").distinct().count():
-        signed = written(signed.groupBy("id").agg(F.max_by(F.struct("n", "k1", "k2", "bands"), F.struct("n", "k1", "k2")).alias("x")).select("id", "x.*"))
+        signed = written(signed.groupBy("id").agg(F.max_by(F.struct("n", "k1", "k2", "bands", "sketch"), F.struct("n", "k1", "k2")).alias("x")).select("id", "x.*"))
     signed = signed.where("id is not null")
-    classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.min_by("bands", "id").alias("bands"))
-    classes = written(classes)
+    classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"))
+    classes = written(classes.select("k1", "k2", "n", "rep", "m", "x.*"))
     several = classes.where("m > 1").select("k1", "k2", "n", "rep")
     member = written(signed.select("id", "n", "k1", "k2").join(several, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
 
@@ -198,8 +209,11 @@ def near_groups(docs: DataFrame, rules: NearRules = NearRules(), key: str = "doc
             pivot = at.groupBy("band", "h").agg(F.min_by(F.struct(F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), order).alias("x")).select("band", "h", "x.*")
             met = at.join(pivot, ["band", "h"]).where("comp <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), "n", F.col("pn"))
         else:
-            other = at.select("band", "h", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-            met = at.join(other, ["band", "h"]).where("id < p and comp <> pc").select(F.col("id").alias("a"), F.col("p").alias("b"), "n", "pn")
+            at = at.join(classes.select(F.col("rep").alias("id"), "sketch"), "id")
+            other = at.select("band", "h", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("sketch").alias("ps"))
+            apart = reduce(add, [F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("ps")[k])) for k in range(rules.sketch)])
+            fits = (100 + rules.percent) * apart <= (100 - rules.percent) * (F.col("n") + F.col("pn"))
+            met = at.join(other, ["band", "h"]).where(F.expr("id < p and comp <> pc") & fits).select(F.col("id").alias("a"), F.col("p").alias("b"), "n", "pn")
         met = met.where(100 * F.least("n", "pn") >= rules.percent * F.greatest("n", "pn")).select("a", "b").distinct()
         met = written(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
         if met.isEmpty():
