@@ -47,6 +47,21 @@ def test_near_groups(odd, none):
     assert minmax.near_groups(none).isEmpty() and minmax.drop_near(none).isEmpty()
 
 
+def test_pairs_that_pivots_leave_over(spark):
+    rng = np.random.default_rng(1)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join(f"x{rng.integers(999)}" if rng.random() < 0.05 else w for w in base) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [set(zip(split(t), split(t)[1:])) for t in texts]
+    comp = list(range(40))
+    for a in range(40):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    assert 1 < len(set(comp)) < 40
+    assert {r["id"]: r["comp"] for r in rows(minmax.near_groups(docs, minmax.NearRules(pivots=0)))} == dict(enumerate(comp))
+
+
 def test_a_chain_is_one_component(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "a long, b long")
     assert {r.id: r.comp for r in minmax.components(links).collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}
