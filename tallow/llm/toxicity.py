@@ -1,28 +1,33 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings. Those that labelled toxic texts hold
-significantly more often than others are the vocabulary; their document
-frequencies are counted over all texts. A bounded sample of labelled examples is
-kept in an inverted index whose postings lie in blocks of examples, each with
-the largest weight that a term has in it. A query visits blocks in the order of
-what they could reach and stops when no block can beat its k nearest, so the
-nearest are exact. They vote with their cosines as weights; a monotone map
-fitted on the examples, each without itself, turns votes into probabilities.
-
-Defined results: texts without a vocabulary term, null and empty ones too, get
-the rate of labelled examples of that kind; without labels every score is 0;
-repeated rows are scored alike; several labels of one id count as toxic if one
-of them is; ties go to the smaller id.
+Terms are words and word beginnings. Every term of a bounded sample of labelled
+examples is a dimension; document frequencies are counted over all texts. Terms
+that no example holds can meet none and have no dimension, nor a share in a
+text's length. The cosine of a text with every example is summed in single
+precision, frequent terms by a matrix product, the others by postings. Examples
+lie in blocks; the blocks' largest sums bound what can be among the k nearest,
+and all that can, by a margin over the rounding, is summed again in double
+precision, so the nearest are exact. They vote with their cosines as weights; a
+monotone map fitted on the examples, each without itself, turns votes into
+probabilities.
+
+Defined results: texts without a term of the examples, null and empty ones too,
+get the rate of labelled examples of that kind, drawn to the rate of all; without
+labels every score is 0; repeated rows are scored alike; several labels of one id
+count as toxic if one of them is; ties go to the smaller id.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,10 +41,6 @@ _BLANK = bytes(32 if x < 48 or 57 < x < 65 or 90 < x < 97 or 122 < x < 128 else
 class VoteRules:
     #: About so many labelled examples are learned from at most: the bound on the index.
     examples: int = 12_000
-    #: Most vocabulary terms, and the least significance (chi-square) and number of toxic examples of each.
-    vocabulary: int = 4096
-    chi_square: float = 30.0
-    least: int = 5
     #: Bytes of the word beginnings that are terms.
     prefixes: tuple[int, ...] = (4, 5, 6)
     neighbours: int = 25
@@ -58,74 +59,123 @@ def terms(text: bytes, prefixes: tuple[int, ...]) -> Counter:
     return out
 
 
-def _labelled_terms(prefixes):
-    """For mapInArrow over (text, toxic): (term, toxic, clean): numbers of examples that hold the term."""
+def _example_terms(prefixes):
+    """For mapInArrow over (text): the distinct terms of a task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: tuple[Counter, Counter] = Counter(), Counter()
+        found: set = set()
         for batch in batches:
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                found[y].update(terms(text.as_py() or b"", prefixes).keys())
-        names = list(found[0] | found[1])
-        yield pa.record_batch([pa.array(names, pa.binary()), pa.array([found[1][t] for t in names], pa.int64()), pa.array([found[0][t] for t in names], pa.int64())], names=["term", "toxic", "clean"])
+            for text in batch.column(0):
+                found.update(terms(text.as_py() or b"", prefixes))
+        yield pa.record_batch([pa.array(list(found), pa.binary())], names=["term"])
 
     return run
 
 
+def _reader(vocabulary, prefixes):
+    """A function from a text to its sorted vocabulary terms and their frequencies."""
+    known = {t: k for k, t in enumerate(vocabulary.value.to_pylist())}
+    kept: dict[bytes, list[int]] = {}
+
+    def of(w: bytes) -> list[int]:
+        names = [w, *(b"^" + w[:k] for k in prefixes if len(w) > k)]
+        return [known[t] for t in names if t in known]
+
+    def read(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        if len(kept) > 100_000:
+            kept.clear()
+        ids: list[int] = []
+        times: list[int] = []
+        for w, n in Counter((text or b"").lower().translate(_BLANK).split()).items():
+            t = kept.get(w)
+            if t is None:
+                t = kept[w] = of(w)
+            ids += t
+            times += [n] * len(t)
+        own, place = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return own, np.bincount(place, times, len(own)).astype(np.int64)
+
+    return read
+
+
+def _frequencies(vocabulary, prefixes):
+    """For mapInArrow over (text): (t, n), numbers of a task's texts that hold term t; all its texts under t = -1."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, total = _reader(vocabulary, prefixes), 0
+        df = np.zeros(len(vocabulary.value), np.int64)
+        for batch in batches:
+            for text in batch.column(0):
+                df[read(text.as_py())[0]] += 1
+            total += batch.num_rows
+        some = np.flatnonzero(df)
+        yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["t", "n"])
+
+    return run
+
+
+def _packed(ids: np.ndarray, tf: np.ndarray) -> bytes:
+    return zlib.compress(np.concatenate((np.diff(ids, prepend=0), tf)).astype("<i4").tobytes(), 1) if len(ids) else b""
+
+
+def _unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(vector), "<i4")
+    return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
+
+
 def _vectors(vocabulary, prefixes):
-    """(id, held_out, ids, tf) of each text: its vocabulary terms and their frequencies."""
+    """For mapInArrow over (row, id, y, text): (row, id, y, vector) of each example, the vector packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = vocabulary.value
-        starts: dict[int, set] = {k: {t[1:] for t in known if t[:1] == b"^" and len(t) == k + 1} for k in prefixes}
+        read = _reader(vocabulary, prefixes)
         for batch in batches:
-            ids, tf, ends = [], [], [0]
-            for text in batch.column(2):
-                found: Counter = Counter()
-                for w, n in Counter((text.as_py() or b"").lower().translate(_BLANK).split()).items():
-                    if w in known:
-                        found[known[w]] += n
-                    for k in prefixes:
-                        if len(w) > k and w[:k] in starts[k]:
-                            found[known[b"^" + w[:k]]] += n
-                own = sorted(found)
-                ids += own
-                tf += [found[t] for t in own]
-                ends.append(len(ids))
-            at = pa.array(ends, pa.int32())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.ListArray.from_arrays(at, pa.array(ids, pa.int32())), pa.ListArray.from_arrays(at, pa.array(tf, pa.int32()))], names=["id", "held_out", "ids", "tf"])
+            yield pa.record_batch([*batch.columns[:3], pa.array([_packed(*read(x.as_py())) for x in batch.column(3)], pa.binary())], names=["row", "id", "y", "vector"])
 
     return run
 
 
+#: Terms in more than 1 / _FREQUENT of the examples are multiplied as a matrix.
+_FREQUENT = 12
+_QUERIES = 32
+
+
 @dataclass
 class BlockMaxIndex:
-    """Examples' unit vectors by term; block b holds examples b * block to (b + 1) * block."""
+    """Examples' unit vectors, by example and by term; block b holds examples b * block to (b + 1) * block."""
 
     idf: np.ndarray
     block: int
     names: np.ndarray
     toxic: np.ndarray
-    starts: np.ndarray = field(default=None)  # of postings, by term and block
+    begins: np.ndarray = field(default=None)  # of examples' terms
+    term: np.ndarray = field(default=None)
+    value: np.ndarray = field(default=None)
+    frequent: np.ndarray = field(default=None)  # row of a term in head, or -1
+    head: np.ndarray = field(default=None)  # frequent terms x examples
+    starts: np.ndarray = field(default=None)  # of the other terms' postings
     example: np.ndarray = field(default=None)
     weight: np.ndarray = field(default=None)
-    most: np.ndarray = field(default=None)  # terms x blocks
 
     @classmethod
     def build(cls, vectors: list[tuple], idf: np.ndarray, block: int) -> BlockMaxIndex:
         """vectors: (id, toxic, ids, tf), sorted by id, none empty."""
         out = cls(idf, block, np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors], float))
-        blocks = max(1, -(-len(vectors) // block))
-        term = np.concatenate([v[2] for v in vectors]) if vectors else np.empty(0, int)
-        example = np.repeat(np.arange(len(vectors)), [len(v[2]) for v in vectors])
-        weight = np.concatenate([out.unit(v[2], v[3]) for v in vectors]) if vectors else np.empty(0)
-        order = np.lexsort((example, term))
-        term, out.example, out.weight = term[order], example[order], weight[order]
-        cell = term * blocks + out.example // block
-        out.starts = np.searchsorted(cell, np.arange(len(idf) * blocks + 1))
-        out.most = np.zeros(len(idf) * blocks)
-        np.maximum.at(out.most, cell, out.weight)
-        out.most = out.most.reshape(len(idf), blocks)
+        n = len(vectors)
+        out.begins = np.cumsum([0, *(len(v[2]) for v in vectors)])
+        out.term = np.concatenate([v[2] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
+        out.value = np.concatenate([out.unit(v[2], v[3]) for v in vectors]) if vectors else np.empty(0)
+        held = np.bincount(out.term, minlength=len(idf))
+        often = np.flatnonzero(held * _FREQUENT > n)
+        out.frequent = np.full(len(idf), -1, np.int32)
+        out.frequent[often] = np.arange(len(often))
+        example, row = np.repeat(np.arange(n, dtype=np.int32), np.diff(out.begins)), out.frequent[out.term]
+        out.head = np.zeros((len(often), n), np.float32)
+        out.head[row[row >= 0], example[row >= 0]] = out.value[row >= 0]
+        held[often] = 0
+        out.starts = np.concatenate(([0], np.cumsum(held)))
+        rest = np.flatnonzero(row < 0)
+        rest = rest[np.argsort(out.term[rest], kind="stable")]
+        out.example, out.weight = example[rest], out.value[rest].astype(np.float32)
         return out
 
     def unit(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
@@ -134,24 +184,46 @@ class BlockMaxIndex:
 
     def nearest(self, ids: np.ndarray, tf: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of largest cosine (fewer if others share no term), ties by place: (examples, cosines)."""
-        ids = np.asarray(ids)
-        q, blocks = self.unit(ids, np.asarray(tf)), self.most.shape[1]
-        bound = q @ self.most[ids]
-        best, score = np.empty(0, int), np.empty(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and bound[b] < score[-1] - 1e-12:
-                break
-            s = np.zeros(self.block)
-            for t, w in zip(ids, q, strict=True):
-                a, z = self.starts[t * blocks + b], self.starts[t * blocks + b + 1]
-                s[self.example[a:z] - b * self.block] += w * self.weight[a:z]
-            some = np.flatnonzero(s > 0)
-            if 0 <= without - b * self.block < self.block:
-                some = some[some != without - b * self.block]
-            best, score = np.concatenate((best, some + b * self.block)), np.concatenate((score, np.minimum(s[some], 1.0)))
-            order = np.lexsort((best, -np.round(score, 12)))[:k]
-            best, score = best[order], score[order]
-        return best, score
+        return next(self.all_nearest([(np.asarray(ids), np.asarray(tf), without)], k))
+
+    def all_nearest(self, queries: list[tuple], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """nearest() of each of queries: (ids, tf, without)."""
+        n = len(self.names)
+        spread = np.zeros(len(self.idf))
+        for begin in range(0, len(queries), _QUERIES):
+            some = queries[begin : begin + _QUERIES]
+            units = [self.unit(ids, tf) for ids, tf, _ in some]
+            q = np.zeros((len(some), len(self.head)), np.float32)
+            for j, (ids, _, _) in enumerate(some):
+                row = self.frequent[ids]
+                q[j, row[row >= 0]] = units[j][row >= 0]
+            sums = q @ self.head
+            for j, (ids, _, without) in enumerate(some):
+                rest = self.frequent[ids] < 0
+                a, length = self.starts[ids[rest]], self.starts[ids[rest] + 1] - self.starts[ids[rest]]
+                at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(length.sum())
+                s = sums[j] + np.bincount(self.example[at], np.repeat(units[j][rest], length) * self.weight[at], n)
+                if without >= 0:
+                    s[without] = 0.0
+                spread[ids] = units[j]
+                yield self._best(s, spread, k)
+                spread[ids] = 0.0
+
+    def _best(self, s: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k largest of examples' cosines, which s holds but for rounding (0: not to be taken)."""
+        least, margin = 0.0, 3 * (len(self.head) + 4) * 2.0**-24  # twice what single precision can be wrong by, and half as much more
+        blocks = np.maximum.reduceat(s, np.arange(0, len(s), self.block))
+        if len(blocks) >= k:
+            least = np.partition(blocks, -k)[-k] - margin
+        near = np.flatnonzero((s >= least) & (s > 0))
+        if len(near) > k:
+            near = near[s[near] >= np.partition(s[near], -k)[-k] - margin]
+        a, length = self.begins[near], self.begins[near + 1] - self.begins[near]
+        ends = np.cumsum(length)
+        at = np.repeat(a - ends + length, length) + np.arange(length.sum())
+        score = np.minimum(np.add.reduceat(spread[self.term[at]] * self.value[at], ends - length), 1.0) if len(near) else np.empty(0)
+        order = np.lexsort((near, -np.round(score, 12)))[:k]
+        return near[order], score[order]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         return float((self.toxic[near] * cosine).sum() / cosine.sum()) if len(near) else -1.0
@@ -170,30 +242,43 @@ def monotone(votes: np.ndarray, labels: np.ndarray, bins: int = 20) -> tuple[np.
     return np.array([g[0] for g in out]), np.array([g[1] / g[2] for g in out])
 
 
-def _scorer(model, k: int, threshold: float):
+_BUILT: dict[str, BlockMaxIndex] = {}
+
+
+def _index(taught) -> BlockMaxIndex:
+    """The index of the broadcast examples, built once in each Python worker; the driver holds only packed vectors."""
+    token, names, toxic, vectors, idf, block = taught.value
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = BlockMaxIndex.build([(i, y, *_unpacked(v)) for i, y, v in zip(names, toxic, vectors, strict=True)], idf, block)
+    return _BUILT[token]
+
+
+def _voter(taught, place, k: int):
+    """For mapInArrow over (row, vector) of examples: (row, vote), each without itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index(taught)
+        for batch in batches:
+            queries = [(*_unpacked(v), place.get(row, -1)) for row, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array([index.vote(*found) for found in index.all_nearest(queries, k)], pa.float64())], names=["row", "vote"])
+
+    return run
+
+
+def _scorer(taught, vocabulary, at, rate, none, prefixes, k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, at, rate, none = model.value
-        seen: dict = {}
+        index, read = _index(taught), _reader(vocabulary, prefixes)
         for batch in batches:
-            score, near, cosines = [], [], []
-            for ids, tf in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if not ids or not len(index.names):
-                    score.append(none)
-                    near.append([])
-                    cosines.append([])
-                    continue
-                key = (tuple(ids), tuple(tf))
-                if key not in seen:
-                    if len(seen) > 20_000:
-                        seen.clear()
-                    e, c = index.nearest(np.array(ids), np.array(tf), k)
-                    p = float(np.interp(index.vote(e, c), at, rate)) if len(e) else none
-                    seen[key] = p, [int(x) for x in index.names[e[:3]]], [float(x) for x in c[:3]]
-                p, n, c = seen[key]
-                score.append(p)
-                near.append(n)
-                cosines.append(c)
-            p = np.array(score, float)
+            queries = [(*read(text.as_py()), -1) for text in batch.column(2)]
+            found = index.all_nearest([q for q in queries if len(q[0])], k) if len(index.names) else iter(())
+            p, near, cosines = np.full(len(queries), none), [], []
+            for j, q in enumerate(queries):
+                e, c = next(found) if len(q[0]) and len(index.names) else (np.empty(0, int), np.empty(0))
+                if len(e):
+                    p[j] = np.interp(index.vote(e, c), at, rate)
+                near.append([int(x) for x in index.names[e[:3]]])
+                cosines.append([float(x) for x in c[:3]])
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["id", "held_out", "score", "predicted", "nearest", "cosines"])
 
     return run
@@ -208,36 +293,37 @@ def toxicity(docs: DataFrame, labels: DataFrame, rules: VoteRules = VoteRules(),
     share = int(min(1.0, rules.examples / max(n, 1)) * (1 << 30))
     sample = F.broadcast(written(known.where(F.pmod(F.xxhash64(F.lit(rules.seed), "id"), F.lit(1 << 30)) < share)))  # about rules.examples rows
     texts = docs.select(F.col(key).cast("long").alias("id"), in_fold(F.col(key), folds, held).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    taught = texts.join(sample, "id").select(F.coalesce("text", F.lit(b"")).alias("text"), (F.col("y") > 0).cast("int").alias("y"), F.xxhash64("text").alias("h"))
-    taught = taught.dropDuplicates(["h"]).select("text", "y")  # else a large group of copies makes its words significant
-    found = taught.mapInArrow(_labelled_terms(rules.prefixes), "term binary, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    found = written(found.where(F.col("a") >= rules.least))
-    size = taught.groupBy("y").count().collect()
-    pos, neg = (sum(r["count"] for r in size if r["y"] == y) for y in (1, 0))
-    c, d = pos - F.col("a"), neg - F.col("b")
-    chi = (pos + neg) * (F.col("a") * d - F.col("b") * c).cast("double") ** 2 / ((F.col("a") + F.col("b")).cast("double") * (c + d) * pos * neg)
-    chosen = found.withColumn("chi", F.when((F.col("a") + F.col("b") < pos + neg) & F.lit(pos * neg > 0), chi)) if pos * neg else found.withColumn("chi", F.lit(None).cast("double"))
-    chosen = chosen.where((F.col("chi") >= rules.chi_square) & (F.col("a") * neg > F.col("b") * pos)).orderBy(F.desc("chi"), "term").limit(rules.vocabulary).toArrow()
-    names = chosen["term"].to_pylist()
-    vocabulary = spark.sparkContext.broadcast({bytes(t): k for k, t in enumerate(names)})
-
-    rows = written(texts.mapInArrow(_vectors(vocabulary, rules.prefixes), "id long, held_out boolean, ids array<int>, tf array<int>"))
-    df, total = np.zeros(len(names)), rows.count()
-    for r in rows.select(F.explode("ids").alias("t")).groupBy("t").count().collect():  # a row for each vocabulary term
-        df[r["t"]] = r["count"]
-    idf = np.log((1 + total) / (1 + df)) + 1
-
-    examples = rows.where(~F.col("held_out")).join(sample, "id").select("id", (F.col("y") > 0).cast("int").alias("y"), "ids", "tf")
-    empty = {r["y"]: r["count"] for r in examples.where(F.size("ids") == 0).groupBy("y").count().collect()}
-    none = (empty.get(1, 0) + 0.5) / (sum(empty.values()) + 1) if n else 0.0
-    got = examples.where(F.size("ids") > 0).toArrow().sort_by("id")  # about rules.examples rows at most
-    vectors = [(i, y, np.array(a), np.array(b)) for i, y, a, b in zip(*(got[x].to_pylist() for x in ("id", "y", "ids", "tf")), strict=True)]
-    index = BlockMaxIndex.build(vectors, idf, rules.block)
-    votes = np.array([index.vote(*index.nearest(v[2], v[3], rules.neighbours, k)) for k, v in enumerate(vectors)])
-    voted = votes >= 0
-    at, rate = monotone(votes[voted], index.toxic[voted]) if voted.any() else (np.array([0.0]), np.array([none]))
-    model = spark.sparkContext.broadcast((index, at, rate, none))
-    return rows.mapInArrow(_scorer(model, rules.neighbours, rules.threshold), "id long, held_out boolean, score double, predicted int, nearest array<long>, cosines array<double>")
+    taught = texts.join(sample, "id").select(F.monotonically_increasing_id().alias("row"), "id", (F.col("y") > 0).cast("int").alias("y"), "text")
+    taught = written(taught.repartition(24))  # about rules.examples rows
+    names = taught.select("text").mapInArrow(_example_terms(rules.prefixes), "term binary").distinct().toArrow()["term"].combine_chunks()  # the sample's terms
+    names = names.take(pc.sort_indices(names))
+    vocabulary = spark.sparkContext.broadcast(names)
+
+    df = np.zeros(len(names) + 1)  # the last for t = -1
+    counts = texts.select("text").mapInArrow(_frequencies(vocabulary, rules.prefixes), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the sample
+    df[counts["t"].to_numpy()] = counts["n"].to_numpy()
+    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+
+    examples = written(taught.mapInArrow(_vectors(vocabulary, rules.prefixes), "row long, id long, y int, vector binary"))
+    got = examples.toArrow().sort_by([("id", "ascending"), ("row", "ascending")])  # about rules.examples rows
+    row, y, vectors = got["row"].to_pylist(), got["y"].to_numpy(), got["vector"].to_pylist()
+    bare = np.array([not v for v in vectors], bool)
+    kept, twins = [], Counter()
+    for j, v in enumerate(vectors):
+        if v and twins[v] <= rules.neighbours:  # of equal vectors no more can be among the nearest
+            kept.append(j)
+            twins[v] += 1
+    none = float((y[bare].sum() + (y.sum() + 0.5) / (len(y) + 1)) / (bare.sum() + 1)) if n else 0.0
+    index = spark.sparkContext.broadcast((uuid.uuid4().hex, got["id"].to_numpy()[kept], y[kept], [vectors[j] for j in kept], idf, rules.block))
+    votes = np.full(len(y), -1.0)
+    if kept:
+        place = {row[j]: k for k, j in enumerate(kept)}
+        voted = examples.where(F.length("vector") > 0).select("row", "vector").repartition(24).mapInArrow(_voter(index, place, rules.neighbours), "row long, vote double").toArrow()
+        where = {r: j for j, r in enumerate(row)}
+        votes[[where[r] for r in voted["row"].to_pylist()]] = voted["vote"].to_numpy()
+    able = votes >= 0
+    at, rate = monotone(votes[able], y[able]) if able.any() else (np.array([0.0]), np.array([none]))
+    return texts.mapInArrow(_scorer(index, vocabulary, at, rate, none, rules.prefixes, rules.neighbours, rules.threshold), "id long, held_out boolean, score double, predicted int, nearest array<long>, cosines array<double>")
 
 
 def op2_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:

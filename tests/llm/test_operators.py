@@ -196,6 +196,26 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in rows(toxicity.toxicity(docs, labels.limit(0)))} == {0.0}
 
 
+def test_cosines_are_of_whole_texts(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 12) % 400) + (" scum" if k % 5 == 0 else "") for k in range(200)] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r for r in rows(toxicity.toxicity(docs, spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(150)], "doc_id long, toxic int")))}
+    tf = [toxicity.terms((t or "").encode(), (4, 5, 6)) for t in texts]
+    df = Counter(t for c in tf for t in c)
+    examples = [k for k in range(150) if not got[k]["held_out"]]
+    known = {t for k in examples for t in tf[k]}
+    units = []
+    for c in tf:
+        v = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in c.items() if t in known}
+        z = math.sqrt(sum(x * x for x in v.values()))
+        units.append({t: x / z for t, x in v.items()})
+    for k, u in enumerate(units):
+        cos = {e: min(1.0, sum(x * units[e].get(t, 0.0) for t, x in u.items())) for e in examples}
+        want = sorted((e for e in examples if cos[e] > 0), key=lambda e: (-round(cos[e], 12), e))[:3]
+        assert got[k]["nearest"] == want and got[k]["cosines"] == pytest.approx([cos[e] for e in want])
+
+
 def test_url_rules(spark):
     urls = ["http://A.example.com/en/7x?q", "https://example.com/en/8", "http://x.example.net/de/8", "http://net/de/", "http://org/es", "x://y.org/es/#a", "no host", None, "http://example.comx/en/", "://com/en/", "http://.com/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
