@@ -61,13 +61,15 @@ def overlaps(docs: DataFrame, items: DataFrame, rules: SeedRules = SeedRules(),
     seeds = _seeds(bench.withColumn("len", F.size("t")), "t", rules.masks, ["item", "t", "len"]).select("item", "len", F.col("at").alias("j"), "seed")
     small = seeds.count() <= rules.broadcast_seeds
     hint = F.broadcast if small else lambda x: x
-    at = [F.col("id"), F.col("item"), (F.col("at") - F.col("j")).alias("shift"), F.col("j"), F.col("len")]
+    at = [F.col("item"), (F.col("at") - F.col("j")).alias("shift"), F.col("j"), F.col("len")]
+    found = [F.count("*").alias("hits"), F.min("j").alias("lo"), F.max("j").alias("hi")]  # a hit for each mask and position
     if small:  # texts stay where they are; only what lies beside an item goes on
-        met = _placed(_seeds(d, "d", rules.masks, ["id", "d"]).join(F.broadcast(seeds), "seed").select(*at, "d"))
-    else:
-        met = _seeds(d, "d", rules.masks, ["id", "d"]).select("id", "at", "seed").join(seeds, "seed").select(*at).distinct()
-        met = _placed(met.join(d, "id"))
-    met = met.groupBy("id", "item", "shift", "beside").agg(F.count("*").alias("hits"), F.min("j").alias("lo"), F.max("j").alias("hi"))
+        met = _placed(_seeds(d, "d", rules.masks, ["id", "d"]).join(F.broadcast(seeds), "seed").select("id", *at, "d"))
+        met = met.groupBy("id", "item", "shift", "beside").agg(*found)
+    else:  # rows have keys of their own: ids may be null or repeated
+        d = written(d.withColumn("row", F.monotonically_increasing_id()))
+        met = _seeds(d, "d", rules.masks, ["row", "d"]).select("row", "at", "seed").join(seeds, "seed").select("row", *at).groupBy("row", "item", "shift", "len").agg(*found)
+        met = _placed(met.join(d, "row")).select("id", "item", "shift", "beside", "hits", "lo", "hi")
     met = met.join(hint(bench), "item").withColumn("n", F.least(F.lit(rules.min_tokens), F.size("t")))
     same = F.transform("t", lambda x, k: F.when(F.get(F.col("beside"), k + F.least(F.col("shift"), F.lit(0))) == x, 1).otherwise(0))
     met = met.withColumn("same", same).withColumn("m", F.aggregate("same", F.lit(0), lambda x, y: x + y))

@@ -82,6 +82,17 @@ def test_decontamination(spark, odd, none):
     assert decontaminate.overlaps(none, items).isEmpty() and decontaminate.overlaps(docs, items.limit(0)).isEmpty()
 
 
+def test_decontamination_is_alike_by_broadcast_and_shuffle(spark):
+    passage = [f"p{k}" for k in range(20)]
+    texts = [(1, "before " + " ".join(passage)), (1, "quite other words that are long enough to have many seeds"), (2, " ".join(passage[:15])), (2, " ".join(passage[:15])), (None, " ".join(passage[3:])), (None, "nothing"), (3, " ".join(passage + passage))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    items = spark.createDataFrame([(7, " ".join(passage)), (8, " ".join(passage[2:19])), (9, "p3 p4 p5 p6 p7")], "item_id long, text string")
+    got = [sorted(map(tuple, decontaminate.overlaps(docs, items, decontaminate.SeedRules(broadcast_seeds=b)).collect()), key=str) for b in (500_000, 0)]
+    assert got[0] == got[1] and {(r[0], r[1]) for r in got[1]} == {(i, t) for i in (1, 2, 3, None) for t in (7, 8, 9)}
+    span = 10  # the longest mask; a whole passage has a hit of each of the four masks at each place
+    assert [r[2] for r in got[1] if r[:2] == (1, 7)] == [4 * (20 - span + 1)] and [r[2] for r in got[1] if r[:2] == (2, 7)] == [2 * 4 * (15 - span + 1)]
+
+
 def test_mixing(odd, none):
     got = rows(mixing.mixed(odd))
     assert len(got) == odd.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
