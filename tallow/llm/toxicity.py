@@ -1,20 +1,24 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings. Every term of a bounded sample of labelled
-examples is a dimension; document frequencies are counted over all texts. Terms
-that no example holds can meet none and have no dimension, nor a share in a
-text's length. The cosine of a text with every example is summed in single
-precision, frequent terms by a matrix product, the others by postings. Examples
-lie in blocks; the blocks' largest sums bound what can be among the k nearest,
-and all that can, by a margin over the rounding, is summed again in double
-precision, so the nearest are exact. They vote with their cosines as weights; a
-monotone map fitted on the examples, each without itself, turns votes into
-probabilities.
+Terms are words and word beginnings. Document frequencies are counted over all
+texts. Every term of a bounded sample of labelled examples is a dimension, but
+for those that one text alone holds and those that more than a share of all
+texts hold; labels play no part in that. A term weighs log(texts / holders) times
+1 + log(frequency); the cosine is of a whole text with a whole example.
+
+Examples are laid out so that like ones lie in one block. The index keeps, for
+each term and block, the term's postings and their largest weight. The blocks'
+bounds for a text are sums of these; the best blocks are summed exactly, then
+all others whose bound reaches the k-th best sum, so the nearest are exact. They
+vote with their cosines as weights; a monotone map fitted on the examples, each
+without itself, turns votes into probabilities.
 
 Defined results: texts without a term of the examples, null and empty ones too,
 get the rate of labelled examples of that kind, drawn to the rate of all; without
 labels every score is 0; repeated rows are scored alike; several labels of one id
-count as toxic if one of them is; ties go to the smaller id.
+count as toxic if one of them is; ties go to the smaller id; empty tables give no
+rows; other columns play no part. A text is held whole in one task, with its
+distinct words.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +44,12 @@ _BLANK = bytes(32 if x < 48 or 57 < x < 65 or 90 < x < 97 or 122 < x < 128 else
 @dataclass(frozen=True)
 class VoteRules:
     #: About so many labelled examples are learned from at most: the bound on the index.
-    examples: int = 12_000
+    examples: int = 4_000
     #: Bytes of the word beginnings that are terms.
-    prefixes: tuple[int, ...] = (4, 5, 6)
-    neighbours: int = 25
+    prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
+    #: Terms of more than this share of all texts have no dimension.
+    most: float = 0.08
+    neighbours: int = 100
     block: int = 128
     threshold: float = 0.3
     seed: int = 3
@@ -134,96 +140,98 @@ def _vectors(vocabulary, prefixes):
     return run
 
 
-#: Terms in more than 1 / _FREQUENT of the examples are multiplied as a matrix.
-_FREQUENT = 12
-_QUERIES = 32
+def _unit(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    w = (1 + np.log(tf)) * idf[ids]
+    return w / np.sqrt((w * w).sum())
+
+
+def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its length, one after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _layout(example: np.ndarray, term: np.ndarray, n: int, terms: int, most: int = 64) -> np.ndarray:
+    """An order of n examples in which those that share frequent terms are near: by the leading direction of the most frequent terms."""
+    often = np.argsort(-np.bincount(term, minlength=terms), kind="stable")[:most]
+    column = np.full(terms, -1)
+    column[often] = np.arange(len(often))
+    held = column[term] >= 0
+    x = np.zeros((n, max(len(often), 1)))
+    x[example[held], column[term[held]]] = 1.0
+    x -= x.mean(axis=0)
+    return np.argsort(x @ np.linalg.eigh(x.T @ x)[1][:, -1], kind="stable")
 
 
 @dataclass
 class BlockMaxIndex:
-    """Examples' unit vectors, by example and by term; block b holds examples b * block to (b + 1) * block."""
+    """Examples' unit vectors by term, in blocks: entry e is one term in one block, with its postings and their largest weight."""
 
     idf: np.ndarray
     block: int
     names: np.ndarray
     toxic: np.ndarray
-    begins: np.ndarray = field(default=None)  # of examples' terms
-    term: np.ndarray = field(default=None)
-    value: np.ndarray = field(default=None)
-    frequent: np.ndarray = field(default=None)  # row of a term in head, or -1
-    head: np.ndarray = field(default=None)  # frequent terms x examples
-    starts: np.ndarray = field(default=None)  # of the other terms' postings
-    example: np.ndarray = field(default=None)
-    weight: np.ndarray = field(default=None)
+    place: np.ndarray  # the given place of the example at a place of the layout
+    first: np.ndarray  # entries of a term: first[t] to first[t + 1]
+    entry_block: np.ndarray
+    entry_max: np.ndarray
+    postings: np.ndarray  # postings of an entry: postings[e] to postings[e + 1]
+    example: np.ndarray
+    weight: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[tuple], idf: np.ndarray, block: int) -> BlockMaxIndex:
         """vectors: (id, toxic, ids, tf), sorted by id, none empty."""
-        out = cls(idf, block, np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors], float))
-        n = len(vectors)
-        out.begins = np.cumsum([0, *(len(v[2]) for v in vectors)])
-        out.term = np.concatenate([v[2] for v in vectors]).astype(np.int32) if vectors else np.empty(0, np.int32)
-        out.value = np.concatenate([out.unit(v[2], v[3]) for v in vectors]) if vectors else np.empty(0)
-        held = np.bincount(out.term, minlength=len(idf))
-        often = np.flatnonzero(held * _FREQUENT > n)
-        out.frequent = np.full(len(idf), -1, np.int32)
-        out.frequent[often] = np.arange(len(often))
-        example, row = np.repeat(np.arange(n, dtype=np.int32), np.diff(out.begins)), out.frequent[out.term]
-        out.head = np.zeros((len(often), n), np.float32)
-        out.head[row[row >= 0], example[row >= 0]] = out.value[row >= 0]
-        held[often] = 0
-        out.starts = np.concatenate(([0], np.cumsum(held)))
-        rest = np.flatnonzero(row < 0)
-        rest = rest[np.argsort(out.term[rest], kind="stable")]
-        out.example, out.weight = example[rest], out.value[rest].astype(np.float32)
-        return out
-
-    def unit(self, ids: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[ids]
-        return w / np.sqrt((w * w).sum())
+        n, none = len(vectors), np.empty(0, np.int64)
+        term = np.concatenate([v[2] for v in vectors]).astype(np.int64) if n else none
+        value = np.concatenate([_unit(v[2], v[3], idf) for v in vectors]) if n else np.empty(0)
+        given = np.repeat(np.arange(n), [len(v[2]) for v in vectors]) if n else none
+        place = _layout(given, term, n, len(idf)) if n else none
+        at = np.empty(n, np.int64)
+        at[place] = np.arange(n)
+        example = at[given]
+        order = np.lexsort((example, term))
+        term, example, value = term[order], example[order].astype(np.int32), value[order]
+        key = term * (n // block + 1) + example // block
+        starts = np.flatnonzero(np.diff(key, prepend=-1))
+        first = np.searchsorted(term[starts], np.arange(len(idf) + 1))
+        largest = np.maximum.reduceat(value, starts) if n else np.empty(0)
+        names, toxic = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors], float)
+        return cls(idf, block, names, toxic, place, first, example[starts] // block, largest, np.append(starts, len(term)), example, value)
 
     def nearest(self, ids: np.ndarray, tf: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (fewer if others share no term), ties by place: (examples, cosines)."""
-        return next(self.all_nearest([(np.asarray(ids), np.asarray(tf), without)], k))
-
-    def all_nearest(self, queries: list[tuple], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """nearest() of each of queries: (ids, tf, without)."""
+        """The k examples of largest cosine (fewer if others share no term), ties by given place: (given places, cosines). without: a given place to leave out."""
         n = len(self.names)
-        spread = np.zeros(len(self.idf))
-        for begin in range(0, len(queries), _QUERIES):
-            some = queries[begin : begin + _QUERIES]
-            units = [self.unit(ids, tf) for ids, tf, _ in some]
-            q = np.zeros((len(some), len(self.head)), np.float32)
-            for j, (ids, _, _) in enumerate(some):
-                row = self.frequent[ids]
-                q[j, row[row >= 0]] = units[j][row >= 0]
-            sums = q @ self.head
-            for j, (ids, _, without) in enumerate(some):
-                rest = self.frequent[ids] < 0
-                a, length = self.starts[ids[rest]], self.starts[ids[rest] + 1] - self.starts[ids[rest]]
-                at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(length.sum())
-                s = sums[j] + np.bincount(self.example[at], np.repeat(units[j][rest], length) * self.weight[at], n)
-                if without >= 0:
-                    s[without] = 0.0
-                spread[ids] = units[j]
-                yield self._best(s, spread, k)
-                spread[ids] = 0.0
-
-    def _best(self, s: np.ndarray, spread: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k largest of examples' cosines, which s holds but for rounding (0: not to be taken)."""
-        least, margin = 0.0, 3 * (len(self.head) + 4) * 2.0**-24  # twice what single precision can be wrong by, and half as much more
-        blocks = np.maximum.reduceat(s, np.arange(0, len(s), self.block))
-        if len(blocks) >= k:
-            least = np.partition(blocks, -k)[-k] - margin
-        near = np.flatnonzero((s >= least) & (s > 0))
-        if len(near) > k:
-            near = near[s[near] >= np.partition(s[near], -k)[-k] - margin]
-        a, length = self.begins[near], self.begins[near + 1] - self.begins[near]
-        ends = np.cumsum(length)
-        at = np.repeat(a - ends + length, length) + np.arange(length.sum())
-        score = np.minimum(np.add.reduceat(spread[self.term[at]] * self.value[at], ends - length), 1.0) if len(near) else np.empty(0)
-        order = np.lexsort((near, -np.round(score, 12)))[:k]
-        return near[order], score[order]
+        unit = _unit(ids, tf, self.idf)
+        lengths = self.first[ids + 1] - self.first[ids]
+        entries, q = _ranges(self.first[ids], lengths), np.repeat(unit, lengths)
+        blocks = self.entry_block[entries]
+        bound = np.bincount(blocks, q * self.entry_max[entries], n // self.block + 1)
+        sums, done = np.zeros(n), np.zeros(len(bound), bool)
+
+        def add(some: np.ndarray) -> None:
+            nonlocal sums
+            here = some[blocks]
+            e = entries[here]
+            sizes = self.postings[e + 1] - self.postings[e]
+            p = _ranges(self.postings[e], sizes)
+            sums += np.bincount(self.example[p], np.repeat(q[here], sizes) * self.weight[p], n)
+
+        done[np.argsort(-bound, kind="stable")[: -(-2 * k // self.block)]] = True
+        add(done)
+        if without >= 0:
+            sums[self.place == without] = 0.0
+        least = np.partition(sums, n - k)[n - k] - 1e-9 if n > k else 0.0
+        rest = ~done & (bound >= least) & (bound > 0)
+        if rest.any():
+            add(rest)
+            if without >= 0:
+                sums[self.place == without] = 0.0
+            least = np.partition(sums, n - k)[n - k] - 1e-9 if n > k else 0.0
+        near = np.flatnonzero((sums > 0) & (sums >= least))
+        score, given = np.minimum(sums[near], 1.0), self.place[near]
+        order = np.lexsort((given, -np.round(score, 12)))[:k]
+        return given[order], score[order]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         return float((self.toxic[near] * cosine).sum() / cosine.sum()) if len(near) else -1.0
@@ -260,8 +268,8 @@ def _voter(taught, place, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(taught)
         for batch in batches:
-            queries = [(*_unpacked(v), place.get(row, -1)) for row, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array([index.vote(*found) for found in index.all_nearest(queries, k)], pa.float64())], names=["row", "vote"])
+            votes = [index.vote(*index.nearest(*_unpacked(v), k, place.get(row, -1))) for row, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.record_batch([batch.column(0), pa.array(votes, pa.float64())], names=["row", "vote"])
 
     return run
 
@@ -270,11 +278,10 @@ def _scorer(taught, vocabulary, at, rate, none, prefixes, k: int, threshold: flo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, read = _index(taught), _reader(vocabulary, prefixes)
         for batch in batches:
-            queries = [(*read(text.as_py()), -1) for text in batch.column(2)]
-            found = index.all_nearest([q for q in queries if len(q[0])], k) if len(index.names) else iter(())
-            p, near, cosines = np.full(len(queries), none), [], []
-            for j, q in enumerate(queries):
-                e, c = next(found) if len(q[0]) and len(index.names) else (np.empty(0, int), np.empty(0))
+            p, near, cosines = np.full(batch.num_rows, none), [], []
+            for j, text in enumerate(batch.column(2)):
+                ids, tf = read(text.as_py())
+                e, c = index.nearest(ids, tf, k) if len(ids) and len(index.names) else (np.empty(0, int), np.empty(0))
                 if len(e):
                     p[j] = np.interp(index.vote(e, c), at, rate)
                 near.append([int(x) for x in index.names[e[:3]]])
@@ -302,7 +309,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rules: VoteRules = VoteRules(),
     df = np.zeros(len(names) + 1)  # the last for t = -1
     counts = texts.select("text").mapInArrow(_frequencies(vocabulary, rules.prefixes), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the sample
     df[counts["t"].to_numpy()] = counts["n"].to_numpy()
-    idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
+    kept = (df[:-1] >= 2) & (df[:-1] <= rules.most * df[-1]) & (df[:-1] < df[-1])
+    vocabulary.unpersist()
+    vocabulary = spark.sparkContext.broadcast(names.filter(pa.array(kept)))
+    idf = np.log(df[-1] / df[:-1][kept])
 
     examples = written(taught.mapInArrow(_vectors(vocabulary, rules.prefixes), "row long, id long, y int, vector binary"))
     got = examples.toArrow().sort_by([("id", "ascending"), ("row", "ascending")])  # about rules.examples rows

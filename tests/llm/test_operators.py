@@ -187,44 +187,59 @@ def test_nearest_examples_are_exact():
     for k in range(300):
         ids = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         vectors.append((k, int(k % 3 == 0), ids, rng.integers(1, 4, len(ids))))
-    index = toxicity.BlockMaxIndex.build(vectors, rng.uniform(1, 5, 40), 16)
+    idf = rng.uniform(1, 5, 40)
+    index = toxicity.BlockMaxIndex.build(vectors, idf, 16)
     dense = np.zeros((300, 40))
     for k, v in enumerate(vectors):
-        dense[k, v[2]] = index.unit(v[2], v[3])
+        w = (1 + np.log(v[3])) * idf[v[2]]
+        dense[k, v[2]] = w / np.sqrt((w * w).sum())
     for k, v in enumerate(vectors[:60]):
-        cos = dense @ dense[k]
-        want = sorted((x for x in range(300) if cos[x] > 0), key=lambda x: (-round(min(cos[x], 1.0), 12), x))[:25]
-        near, score = index.nearest(v[2], v[3], 25)
-        assert list(near) == want and np.allclose(score, np.minimum(cos[want], 1.0))
+        for without in (-1, k):
+            cos = dense @ dense[k]
+            want = sorted((x for x in range(300) if cos[x] > 0 and x != without), key=lambda x: (-round(min(cos[x], 1.0), 12), x))[:25]
+            near, score = index.nearest(v[2], v[3], 25, without)
+            assert list(near) == want and np.allclose(score, np.minimum(cos[want], 1.0))
 
 
 def test_toxicity(spark, none):
     docs = spark.createDataFrame([(k, f"word{k % 13} and word{k % 7} " + ("scum here" if k % 4 == 0 else "fine here")) for k in range(400)] + [(900, None), (901, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    got = {r["id"]: r for r in rows(toxicity.toxicity(docs, labels))}
+    every = toxicity.VoteRules(most=1.0)  # a word of this small table is in many of its texts
+    got = {r["id"]: r for r in rows(toxicity.toxicity(docs, labels, every))}
     assert len(got) == 402 and all(got[k]["predicted"] == int(k % 4 == 0) for k in range(400)) and got[900]["predicted"] == got[901]["predicted"] == 0
-    assert toxicity.toxicity(none, labels).isEmpty()
+    assert toxicity.toxicity(none, labels, every).isEmpty()
     assert {r["score"] for r in rows(toxicity.toxicity(docs, labels.limit(0)))} == {0.0}
 
 
-def test_cosines_are_of_whole_texts(spark):
+@pytest.mark.parametrize("most", [1.0, 0.1])
+def test_toxicity_is_that_of_brute_force(spark, most):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 12) % 400) + (" scum" if k % 5 == 0 else "") for k in range(200)] + ["", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["id"]: r for r in rows(toxicity.toxicity(docs, spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(150)], "doc_id long, toxic int")))}
-    tf = [toxicity.terms((t or "").encode(), (4, 5, 6)) for t in texts]
+    rules = toxicity.VoteRules(most=most, neighbours=10, block=8)
+    got = {r["id"]: r for r in rows(toxicity.toxicity(docs, spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(150)], "doc_id long, toxic int"), rules))}
+    tf = [toxicity.terms((t or "").encode(), rules.prefixes) for t in texts]
     df = Counter(t for c in tf for t in c)
     examples = [k for k in range(150) if not got[k]["held_out"]]
-    known = {t for k in examples for t in tf[k]}
+    known = {t for k in examples for t in tf[k] if 2 <= df[t] <= most * len(texts) and df[t] < len(texts)}
     units = []
     for c in tf:
-        v = {t: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in c.items() if t in known}
+        v = {t: (1 + math.log(n)) * math.log(len(texts) / df[t]) for t, n in c.items() if t in known}
         z = math.sqrt(sum(x * x for x in v.values()))
         units.append({t: x / z for t, x in v.items()})
-    for k, u in enumerate(units):
-        cos = {e: min(1.0, sum(x * units[e].get(t, 0.0) for t, x in u.items())) for e in examples}
-        want = sorted((e for e in examples if cos[e] > 0), key=lambda e: (-round(cos[e], 12), e))[:3]
-        assert got[k]["nearest"] == want and got[k]["cosines"] == pytest.approx([cos[e] for e in want])
+
+    def near(k, without=None):
+        cos = {e: min(1.0, sum(x * units[e].get(t, 0.0) for t, x in units[k].items())) for e in examples if e != without}
+        best = sorted((e for e in cos if cos[e] > 0), key=lambda e: (-round(cos[e], 12), e))[:10]
+        return best, cos, sum(cos[e] * (e % 5 == 0) for e in best) / max(sum(cos[e] for e in best), 1e-300)
+
+    alone = [(near(e, e)[2], e % 5 == 0) for e in examples if near(e, e)[0]]
+    at, rate = toxicity.monotone(np.array([v for v, _ in alone]), np.array([float(y) for _, y in alone]))
+    for k in range(len(texts)):
+        best, cos, vote = near(k)
+        assert got[k]["nearest"] == best[:3] and got[k]["cosines"] == pytest.approx([cos[e] for e in best[:3]])
+        if best:
+            assert got[k]["score"] == pytest.approx(float(np.interp(vote, at, rate)), abs=1e-6)
 
 
 def test_url_rules(spark):
