@@ -80,15 +80,26 @@ def _example_terms(prefixes):
 
 def _reader(vocabulary, prefixes):
     """A function from a text to its sorted vocabulary terms and their frequencies."""
-    known = {t: k for k, t in enumerate(vocabulary.value.to_pylist())}
+    word: dict[bytes, int] = {}
+    begin: dict[int, dict[bytes, int]] = {k: {} for k in sorted(prefixes)}
+    for k, t in enumerate(vocabulary.value.to_pylist()):
+        if t[:1] == b"^":
+            begin[len(t) - 1][t[1:]] = k
+        else:
+            word[t] = k
+    lookups = [(k, known.get) for k, known in begin.items()]
     kept: dict[bytes, list[int]] = {}
 
     def of(w: bytes) -> list[int]:
-        names = [w, *(b"^" + w[:k] for k in prefixes if len(w) > k)]
-        return [known[t] for t in names if t in known]
+        found = [word.get(w)]
+        for k, get in lookups:
+            if len(w) <= k:
+                break
+            found.append(get(w[:k]))
+        return [x for x in found if x is not None]
 
     def read(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        if len(kept) > 100_000:
+        if len(kept) > 200_000:
             kept.clear()
         ids: list[int] = []
         times: list[int] = []
@@ -96,10 +107,11 @@ def _reader(vocabulary, prefixes):
             t = kept.get(w)
             if t is None:
                 t = kept[w] = of(w)
-            ids += t
-            times += [n] * len(t)
-        own, place = np.unique(np.array(ids, np.int64), return_inverse=True)
-        return own, np.bincount(place, times, len(own)).astype(np.int64)
+            if t:
+                ids += t
+                times += [n] * len(t)
+        own, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        return own, np.bincount(at, times, len(own)).astype(np.int64)
 
     return read
 
