@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,22 +23,38 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local folder only where that is unset."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where it is unset, local masters get a local folder; on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set, and executors of {master} share no local folder")
         path = tempfile.mkdtemp(prefix="tallow-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+#: Tables that this process has written and not yet removed.
+_KEPT: list[str] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder: lineage is cut, any executor can reread it, and its size is known."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tallow-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes the tables that written() has made so far. Only for when no frame that reads them is needed any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _KEPT:
+        path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that df does not have, for working columns beside whatever the caller's table carries."""
     taken = {c.lower() for c in df.columns}

@@ -15,12 +15,16 @@ the other's are never more than the shingles in which the sets differ.
 
 Defined results: a null or empty text has no shingles and is linked with
 nothing; a text of fewer words than the shingle length has its whole sequence
-as one shingle; repeated rows with one id are one document (its largest set);
-rows without an id get no link.
+as one shingle; every row is a document of its own, with or without an id, and
+rows that repeat an id are linked by their texts alone; a group without an id
+has a null one. Ids may be of any type that has an order. Empty tables give no
+rows; other columns may have any name. A text is held whole in one task, with the
+hashes of its shingles.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -31,7 +35,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import fresh, table, written
 
@@ -48,6 +51,8 @@ class NearRules:
     pivots: int = 3
     #: Bins of the parity sketch, in words of 64.
     sketch: int = 8
+    #: Rows of a block, of those that pivots leave over in a bucket.
+    block: int = 512
 
 
 _CHUNK = 200_000
@@ -115,14 +120,14 @@ def _signer(rules: NearRules):
                 offsets[1:][some] = rules.bands
                 yield pa.record_batch(
                     [
-                        pa.array(ids[first : first + len(ends)], pa.int64(), from_pandas=True),
+                        pa.array(ids[first : first + len(ends)], pa.int64()),
                         pa.array(sizes),
                         pa.array(keys[:, 0].view(np.int64)),
                         pa.array(keys[:, 1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.cumsum(offsets, dtype=np.int32)), pa.array(bands.reshape(-1).view(np.int64))),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(ends) + 1, dtype=np.int32) * rules.sketch), pa.array(odd.reshape(-1))),
                     ],
-                    names=["id", "n", "k1", "k2", "bands", "sketch"],
+                    names=["row", "n", "k1", "k2", "bands", "sketch"],
                 )
 
     return run
@@ -135,7 +140,7 @@ def _sets(rules: NearRules):
             for first, h, ends in _shingles(batch.column(1).to_pylist(), rules.shingle):
                 begins = np.concatenate(([0], ends[:-1]))
                 sets = [np.unique(h[a:b]).tobytes() for a, b in zip(begins, ends, strict=True)]
-                yield pa.record_batch([pa.array(ids[first : first + len(ends)], pa.int64()), pa.array(sets, pa.binary())], names=["id", "set"])
+                yield pa.record_batch([pa.array(ids[first : first + len(ends)], pa.int64()), pa.array(sets, pa.binary())], names=["row", "set"])
 
     return run
 
@@ -154,12 +159,11 @@ def _confirmer(percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. texts: (id, text)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = texts.join(wanted, "id", "left_semi").mapInArrow(_sets(rules), "id long, set binary")
-    sets = written(sets.groupBy("id").agg(F.max_by("set", F.length("set")).alias("set")))
-    near = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    near = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
+    """The pairs (a, b) of rows whose full sets reach the threshold. texts: (row, text)."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    sets = written(texts.join(wanted, "row", "left_semi").mapInArrow(_sets(rules), "row long, set binary"))
+    near = pairs.join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
+    near = near.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a")
     return near.select("a", "b", "x", "y").mapInArrow(_confirmer(rules.percent), "a long, b long")
 
 
@@ -181,73 +185,89 @@ def components(links: DataFrame) -> DataFrame:
             return comp
 
 
-def near_groups(docs: DataFrame, rules: NearRules = NearRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, rep, comp) of every distinct id: set size, smallest id with the same set, smallest id of its group."""
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-    signed = texts.mapInArrow(_signer(rules), "id long, n long, k1 long, k2 long, bands array<long>, sketch array<long>")
-    signed = written(signed)
-    if signed.count() > signed.select("id").distinct().count():
-        signed = written(signed.groupBy("id").agg(F.max_by(F.struct("n", "k1", "k2", "bands", "sketch"), F.struct("n", "k1", "k2")).alias("x")).select("id", "x.*"))
-    signed = signed.where("id is not null")
-    classes = signed.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m"), F.min_by(F.struct("bands", "sketch"), "id").alias("x"))
-    classes = written(classes.select("k1", "k2", "n", "rep", "m", "x.*"))
-    several = classes.where("m > 1").select("k1", "k2", "n", "rep")
-    member = written(signed.select("id", "n", "k1", "k2").join(several, ["k1", "k2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
-
-    buckets = classes.select(F.col("rep").alias("id"), "n", F.posexplode("bands").alias("band", "h"))
+def _left_over(at: DataFrame, rules: NearRules) -> DataFrame:
+    """The pairs (a, b, n, pn) of one bucket and two components that sizes and parity sketches allow.
+
+    at: (id, n, band, h, comp, sketch). A bucket is parted by size, each size
+    meeting itself and the next smaller one, and into blocks of about
+    rules.block rows; every pair of blocks is a join key of its own, so no
+    bucket is one task's work, however large.
+    """
+    size = F.floor(F.ln(F.col("n").cast("double")) / math.log(100 / rules.percent) + 1e-9)  # sizes in the ratio differ by 1 at most
+    at = at.withColumn("size", size).withColumn("with", F.explode(F.array(F.col("size"), F.col("size") + 1)))
+    parts = at.groupBy("band", "h", "with").agg(F.count("*").alias("m")).where("m > 1").select("band", "h", "with", F.ceil(F.col("m") / rules.block).alias("g"))
+    at = at.join(parts, ["band", "h", "with"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")))
+    at = at.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1))).withColumns({"p": F.least("block", "j"), "q": F.greatest("block", "j")}).drop("j", "g")
+    keys = ["band", "h", "with", "p", "q"]
+    other = at.select(*keys, *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "comp", "sketch", "size", "block")])
+    apart = reduce(add, [F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("o_sketch")[k])) for k in range(rules.sketch)])
+    fits = (100 + rules.percent) * apart <= (100 - rules.percent) * (F.col("n") + F.col("o_n"))
+    here = F.expr("id < o_id and comp <> o_comp and `with` = greatest(size, o_size) and p = least(block, o_block) and q = greatest(block, o_block)")
+    return at.join(other, keys).where(here & fits).select(F.col("id").alias("a"), F.col("o_id").alias("b"), "n", F.col("o_n").alias("pn"))
+
+
+def _grouped(texts: DataFrame, rules: NearRules) -> DataFrame:
+    """(row, id, n, comp, lead) of each row of texts (row, id, text; a written table): set size, smallest id of its group, the row that stands for the group."""
+    signed = written(texts.select("row", "text").mapInArrow(_signer(rules), "row long, n long, k1 long, k2 long, bands array<long>, sketch array<long>"))
+    sized = signed.select("row", "n", "k1", "k2").join(texts.select("row", "id"), "row")
+    lead = lambda row, low: F.min_by(row, F.struct(F.col(low).isNull(), F.col(low), F.col(row)))
+    several = sized.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("row").alias("rep"), F.min("id").alias("low"), lead("row", "id").alias("lead"), F.count("*").alias("m")).where("m > 1").drop("m")
+    member = sized.join(written(several), ["k1", "k2", "n"], "left")
+    member = written(member.select("row", "id", "n", F.coalesce("rep", "row").alias("rep"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("low")).alias("low"), F.coalesce("lead", "row").alias("lead")))
+    classes = member.where("n > 0 and row = rep").select("row", "low", "lead")
+    signed = signed.join(classes.select("row"), "row", "left_semi").select(F.col("row").alias("id"), "n", "bands", "sketch")
+
+    buckets = signed.select("id", "n", F.posexplode("bands").alias("band", "h"))
     crowded = buckets.groupBy("band", "h").count().where("count > 1").select("band", "h")
     buckets = written(buckets.join(crowded, ["band", "h"]))
     nodes = buckets.select("id").distinct().select("id", F.col("id").alias("comp"))
-    links = tried = None
+    comps = links = tried = None
     for turn in range(rules.pivots + 1):
-        at = buckets.join(written(nodes) if turn else nodes, "id") if turn else buckets.withColumn("comp", F.col("id"))
+        at = buckets.join(written(nodes), "id") if turn else buckets.withColumn("comp", F.col("id"))
         if turn:
             mixed = at.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("band", "h")
             at = written(at.join(mixed, ["band", "h"]))
+            if at.isEmpty():
+                break
         if turn < rules.pivots:
             order = F.struct(F.xxhash64(F.lit(turn), "id") if turn else F.col("id"), "id")
             pivot = at.groupBy("band", "h").agg(F.min_by(F.struct(F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc")), order).alias("x")).select("band", "h", "x.*")
             met = at.join(pivot, ["band", "h"]).where("comp <> pc").select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"), "n", F.col("pn"))
         else:
-            at = at.join(classes.select(F.col("rep").alias("id"), "sketch"), "id")
-            other = at.select("band", "h", F.col("id").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("sketch").alias("ps"))
-            apart = reduce(add, [F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("ps")[k])) for k in range(rules.sketch)])
-            fits = (100 + rules.percent) * apart <= (100 - rules.percent) * (F.col("n") + F.col("pn"))
-            met = at.join(other, ["band", "h"]).where(F.expr("id < p and comp <> pc") & fits).select(F.col("id").alias("a"), F.col("p").alias("b"), "n", "pn")
+            met = _left_over(at.join(signed.select("id", "sketch"), "id"), rules)
         met = met.where(100 * F.least("n", "pn") >= rules.percent * F.greatest("n", "pn")).select("a", "b").distinct()
         met = written(met if tried is None else met.join(tried, ["a", "b"], "left_anti"))
         if met.isEmpty():
-            if turn and turn < rules.pivots:
-                continue
-            break
+            continue
         tried = met if tried is None else tried.union(met)
-        found = written(_confirmed(met, texts, rules))
+        found = written(_confirmed(met, texts.select("row", "text"), rules))
         links = found if links is None else links.union(found)
         if not links.isEmpty():
             comps = components(links)
             nodes = buckets.select("id").distinct().join(comps, "id", "left").select("id", F.coalesce("comp", "id").alias("comp"))
-    if links is None or links.isEmpty():
-        return member.select("id", "n", "rep", F.col("rep").alias("comp"))
-    comps = comps.select(F.col("id").alias("rep"), "comp")
-    return member.join(comps, "rep", "left").select("id", "n", "rep", F.coalesce("comp", "rep").alias("comp"))
+    if comps is None:
+        return member.select("row", "id", "n", F.col("low").alias("comp"), "lead")
+    own = comps.withColumnRenamed("id", "row").join(classes, "row")
+    groups = own.groupBy("comp").agg(F.min("low").alias("least"), lead("lead", "low").alias("first"))
+    own = written(own.select(F.col("row").alias("rep"), "comp").join(groups, "comp").select("rep", "least", "first"))
+    linked = F.col("first").isNotNull()
+    return member.join(own, "rep", "left").select("row", "id", "n", F.when(linked, F.col("least")).otherwise(F.col("low")).alias("comp"), F.coalesce("first", "lead").alias("lead"))
 
 
-def drop_near(docs: DataFrame, rules: NearRules = NearRules(shingle=5), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that are not the smallest id of their group; of repeated rows one stays. Rows without an id stay."""
-    gone = near_groups(docs, rules, key, text).where("id <> comp")
-    (k,) = fresh(docs, "gone")
-    out = docs.join(gone.select(F.col("id").alias(k)), F.col(f"`{key}`").cast("long") == F.col(k), "left_anti")
-    ids = docs.select(F.col(key).alias("id")).where("id is not null")
-    if ids.groupBy("id").count().where("count > 1").isEmpty():
-        return out
-    size, place = fresh(docs, "size", "place")
-    from pyspark.sql import Window
+def near_groups(docs: DataFrame, rules: NearRules = NearRules(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, n, comp) of every row of docs: set size, smallest id of its group."""
+    texts = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")))
+    return _grouped(texts, rules).select("id", "n", "comp")
+
 
-    w = Window.partitionBy(key).orderBy(F.desc(size), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    ranked = out.withColumn(size, F.length(text)).withColumn(place, F.when(F.col(key).isNull(), 1).otherwise(F.row_number().over(w)))
-    return ranked.where(F.col(place) == 1).drop(size, place)
+def drop_near(docs: DataFrame, rules: NearRules = NearRules(shingle=5), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs' columns of one row of each group: that of the smallest id, or any of it if the id repeats."""
+    (row,) = fresh(docs, "row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = _grouped(rows.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")), rules)
+    return rows.join(groups.where("row <> lead").select(F.col("row").alias(row)), row, "left_anti").drop(row)
 
 
 def op10_minmax_near(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(table(spark, sf_dir, "documents"))
-    return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), (F.col("id") == F.col("comp")).alias("kept"))
+    return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.col("id").eqNullSafe(F.col("comp")).alias("kept"))

@@ -5,7 +5,9 @@ failure rate is shrunk towards all hosts' with an empirical beta prior, and
 hosts whose shrunk rate is too high are rejected with all their documents.
 
 Defined results: a null or blank text has no words and fails the base rules. A
-null host is never rejected. Repeated rows count and are judged one by one.
+null host has no rate and is never rejected. Repeated rows count and are judged
+one by one. Empty tables give no rows; other columns play no part and may have
+any name. A text is held whole with its words and their three-word windows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ class HostRules:
     #: Most words, in percent, that may stand in repeated three-word windows.
     max_repeat_percent: int = 50
     #: A host is rejected at a shrunk failure rate above this.
-    max_rate: float = 0.9
+    max_rate: float = 0.5
     #: Up to so many rejected hosts are broadcast; more are joined by a shuffle.
     broadcast_hosts: int = 100_000
 
@@ -80,13 +82,12 @@ def text_features(docs: DataFrame, rules: HostRules = HostRules(), key: str = "d
     return df.withColumn("base_failed", _fails(F.col("n_words"), F.col("n_repeat_words"), rules))
 
 
-def host_verdicts(judged: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """(host, host_docs, host_failed, host_rate, host_rejected) from rows (host, base_failed).
+def shrunk(hosts: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
+    """hosts (host, host_docs, host_failed; a written table) with host_rate and host_rejected.
 
     The beta prior's mean is the failure rate of all rows, its weight follows
     from how much more the hosts' rates differ than chance explains.
     """
-    hosts = written(judged.where("host is not null").groupBy("host").agg(F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failed")))
     s = hosts.agg(F.sum("host_docs").alias("n"), F.sum("host_failed").alias("f"), F.sum(F.col("host_failed") ** 2 / F.col("host_docs")).alias("f2"), F.count("*").alias("h")).first()
     if not s["n"]:
         a = b = 1.0
@@ -99,29 +100,40 @@ def host_verdicts(judged: DataFrame, rules: HostRules = HostRules()) -> DataFram
     return hosts.withColumn("host_rate", rate).withColumn("host_rejected", rate > rules.max_rate)
 
 
+def host_verdicts(judged: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
+    """(host, host_docs, host_failed, host_rate, host_rejected) from rows (host, base_failed)."""
+    hosts = judged.where("host is not null").groupBy("host").agg(F.count("*").alias("host_docs"), F.count_if("base_failed").alias("host_failed"))
+    return shrunk(written(hosts), rules)
+
+
 def with_verdicts(features: DataFrame, rules: HostRules = HostRules()) -> DataFrame:
-    """features with host_rejected and kept. Only rejected hosts are joined, so no host's rows gather in one task."""
-    bad = host_verdicts(features, rules).where("host_rejected").select("host", "host_rejected")
-    out = features.join(broadcast_if_small(bad, rules.broadcast_hosts), "host", "left")
+    """features with host_rate (null without a host), host_rejected and kept. Hosts are broadcast; beyond the bound they are joined by a shuffle."""
+    hosts = host_verdicts(features, rules).select("host", "host_rate", "host_rejected")
+    out = features.join(broadcast_if_small(hosts, rules.broadcast_hosts), "host", "left")
     out = out.withColumn("host_rejected", F.coalesce("host_rejected", F.lit(False)))
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
 
 
 def keep_good(docs: DataFrame, rules: HostRules = HostRules(), text: str = "text", host: str = "source") -> DataFrame:
-    """The rows of docs that pass their own and their host's verdict, with docs' columns. Texts are not shuffled."""
-    (gone,) = fresh(docs, "gone")
-    bad = base_failed(F.col(f"`{text}`"), rules)
-    hosts = host_verdicts(docs.select(F.col(f"`{host}`").alias("host"), bad.alias("base_failed")), rules)
-    hosts = hosts.where("host_rejected").select(F.col("host").alias(gone))
-    return docs.where(~bad).join(broadcast_if_small(hosts, rules.broadcast_hosts), F.col(f"`{host}`") == F.col(gone), "left_anti")
+    """The rows of docs that pass their own and their host's verdict, with docs' columns.
+
+    Texts are judged once and not shuffled: rows that pass are written, and a
+    host's failures are its rows less those.
+    """
+    of, total, good = fresh(docs, "of", "total", "good")
+    passed = written(docs.where(~base_failed(F.col(f"`{text}`"), rules)))
+    counts = lambda df, name: df.where(F.col(f"`{host}`").isNotNull()).groupBy(F.col(f"`{host}`").alias(of)).agg(F.count("*").alias(name))
+    hosts = counts(docs, total).join(counts(passed, good), of, "left")
+    hosts = shrunk(written(hosts.select(F.col(of).alias("host"), F.col(total).alias("host_docs"), (F.col(total) - F.coalesce(good, F.lit(0))).alias("host_failed"))), rules)
+    bad = hosts.where("host_rejected").select(F.col("host").alias(of))
+    return passed.join(broadcast_if_small(bad, rules.broadcast_hosts), F.col(f"`{host}`") == F.col(of), "left_anti")
 
 
 def op4_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = written(text_features(table(spark, sf_dir, "documents")))
-    return with_verdicts(features).withColumnRenamed("key", "doc_id").drop("host")
+    return with_verdicts(features).withColumnRenamed("key", "doc_id").withColumn("host_rate", F.round("host_rate", 9)).drop("host")
 
 
-#: Hosts are rejected only above a shrunk rate of 0.9.
 OP4_SQL = r"""
 WITH w AS (
   SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -144,8 +156,8 @@ j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 h AS (SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS x FROM j WHERE source IS NOT NULL GROUP BY source),
 s AS (SELECT sum(n) AS n, sum(x) AS x, sum(x * x / n::DOUBLE) AS x2, count(*) AS h, least(greatest(sum(x) / sum(n), 1e-6), 1 - 1e-6) AS m FROM h),
 p AS (SELECT m, least(greatest(m * (1 - m) / greatest(x2 / n - (x / n) ** 2 - m * (1 - m) * h / n, 1e-9) - 1, 1), 1e6) AS k FROM s),
-r AS (SELECT source, (x + m * k) / (n + k) > 0.9 AS bad FROM h, p)
+r AS (SELECT source, (x + m * k) / (n + k) AS rate FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  coalesce(bad, false) AS host_rejected, NOT base_failed AND NOT coalesce(bad, false) AS kept
+  round(rate, 9) AS host_rate, coalesce(rate > 0.5, false) AS host_rejected, NOT base_failed AND NOT coalesce(rate > 0.5, false) AS kept
 FROM j LEFT JOIN r USING (source)
 """

@@ -1,6 +1,7 @@
 import math
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -30,36 +31,61 @@ def test_quality(odd, none):
     assert quality.keep_good(none).isEmpty() and quality.with_verdicts(quality.text_features(none)).isEmpty()
 
 
-def test_a_bad_host_goes(spark):
-    f = spark.createDataFrame([(k, "bad" if k < 40 else f"h{k % 4}", k < 40) for k in range(200)], "key long, host string, base_failed boolean")
-    got = {r.host for r in quality.with_verdicts(f).where("host_rejected").collect()}
-    assert got == {"bad"}
+def test_a_bad_host_goes(spark, tmp_path):
+    """The query's SQL sees hosts that go and hosts that stay; rows of a bad host go with it."""
+    good = " ".join(f"word{k}" for k in range(60))
+    docs = [(k, "short text" if k % 10 else good, "en", "bad") for k in range(100)] + [(100 + k, good if k % 5 else "x", "en", f"h{k % 4}") for k in range(200)] + [(999, good, None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(quality.op4_quality_hosts(spark, str(tmp_path)))
+    assert {r["doc_id"] for r in got if r["host_rejected"]} == set(range(100)) and sum(r["kept"] for r in got) == 161
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(quality.OP4_SQL)
+    assert sorted(tuple(r[c] for c in want.columns) for r in got) == sorted(want.fetchall())
+    kept = quality.keep_good(df)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r["doc_id"] for r in got if r["kept"])
 
 
-def test_near_groups(odd, none):
-    got = {r["id"]: (r["n"], r["comp"]) for r in rows(minmax.near_groups(odd))}
-    sets = {r.doc_id: set(zip(split(r.text), split(r.text)[1:])) if len(split(r.text)) > 1 else {tuple(split(r.text))} - {()} for r in odd.collect() if r.doc_id is not None}
-    comp = {d: min(e for e in sets if e == d or sets[d] and 100 * len(sets[d] & sets[e]) >= 80 * len(sets[d] | sets[e])) for d in sets}
-    assert got == {d: (len(sets[d]), comp[d]) for d in sets}
-    kept = minmax.drop_near(odd)
-    assert kept.columns == odd.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(d) for d in [None, *(d for d in sets if comp[d] == d)])
+def shingles(text, n):
+    w = split(text)
+    return set(zip(*(w[k:] for k in range(n)))) if len(w) >= n else {tuple(w)} - {()}
+
+
+def near_components(docs, n):
+    """For each (id, text) the numbers of all rows that it reaches by links."""
+    sets, comp = [shingles(t, n) for _, t in docs], list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a):
+            if sets[a] and comp[a] != comp[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                comp = [comp[a] if c == comp[b] else c for c in comp]
+    return [[k for k in range(len(docs)) if comp[k] == c] for c in comp]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_groups(odd, none, kind):
+    more = odd.sparkSession.createDataFrame([(10, "quite another text under a used id", "en", "a", 1, 7), (None, None, "en", "a", 1, 7), (None, "lost words here", "en", "a", 1, 7)], odd.schema)
+    docs = odd.union(more).withColumn("doc_id", F.col("doc_id").cast(kind))
+    plain = [(r.doc_id, r.text) for r in docs.collect()]
+    comp = [min((plain[k][0] for k in c if plain[k][0] is not None), default=None) for c in near_components(plain, 2)]
+    got = Counter((r["id"], r["n"], r["comp"]) for r in rows(minmax.near_groups(docs)))
+    assert got == Counter((i, len(shingles(t, 2)), c) for (i, t), c in zip(plain, comp))
+    kept = minmax.drop_near(docs)
+    assert kept.columns == docs.columns
+    groups = {tuple(c): min((plain[k][0] is None, plain[k][0]) for k in c) for c in near_components(plain, 5)}
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(i for _, i in groups.values())
     assert minmax.near_groups(none).isEmpty() and minmax.drop_near(none).isEmpty()
 
 
-def test_pairs_that_pivots_leave_over(spark):
+@pytest.mark.parametrize("rules", [minmax.NearRules(pivots=0), minmax.NearRules(pivots=0, block=4), minmax.NearRules(pivots=1, block=4), minmax.NearRules()])
+def test_pairs_that_pivots_leave_over(spark, rules):
     rng = np.random.default_rng(1)
     base = [f"w{k}" for k in range(60)]
-    texts = [" ".join(f"x{rng.integers(999)}" if rng.random() < 0.05 else w for w in base) for _ in range(40)]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    sets = [set(zip(split(t), split(t)[1:])) for t in texts]
-    comp = list(range(40))
-    for a in range(40):
-        for b in range(a):
-            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                comp = [min(comp[a], comp[b]) if c in (comp[a], comp[b]) else c for c in comp]
+    texts = [" ".join(f"x{rng.integers(999)}" if rng.random() < 0.05 else w for w in base[: 60 - k % 9]) for k in range(40)]
+    docs = list(enumerate(texts))
+    comp = [min(c) for c in near_components(docs, 2)]
     assert 1 < len(set(comp)) < 40
-    assert {r["id"]: r["comp"] for r in rows(minmax.near_groups(docs, minmax.NearRules(pivots=0)))} == dict(enumerate(comp))
+    assert {r["id"]: r["comp"] for r in rows(minmax.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), rules))} == dict(enumerate(comp))
 
 
 def test_a_chain_is_one_component(spark):
