@@ -119,18 +119,59 @@ def test_decontamination_is_alike_by_broadcast_and_shuffle(spark):
     assert [r[2] for r in got[1] if r[:2] == (1, 7)] == [4 * (20 - span + 1)] and [r[2] for r in got[1] if r[:2] == (2, 7)] == [2 * 4 * (15 - span + 1)]
 
 
-def test_mixing(odd, none):
-    got = rows(mixing.mixed(odd))
-    assert len(got) == odd.count() and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
-    by = defaultdict(lambda: [0, 0.0])
+def mix_targets(sizes, weights=(3, 1, 2)):
+    names = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight, target = {x: weights[k % 3] for k, x in enumerate(names)}, {}
+    left = 1.5 * sum(sizes.values())
+    while len(target) < len(names):
+        level = left / sum(weight[x] for x in names if x not in target)
+        full = [x for x in names if x not in target and 2 * sizes[x] <= weight[x] * level]
+        target |= {x: 2.0 * sizes[x] for x in full} if full else {x: weight[x] * level for x in names if x not in target}
+        left = 1.5 * sum(sizes.values()) - sum(target[x] for x in target)
+    return target
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_mixing(odd, none, block):
+    rules = mixing.MixRules(block=block, shards=3)
+    docs = odd.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1)))
+    got = rows(mixing.mixed(docs, rules))
+    place = {(r.doc_id, r.text): r.h for r in docs.select("doc_id", "text", mixing._place("doc_id", "text", rules.seed).alias("h")).collect()}
+    plain = sorted(((r.source, place[r.doc_id, r.text], r.doc_id, len(split(r.text))) for r in docs.collect()), key=str)
+    sizes = Counter()
+    for s, _, _, n in plain:
+        sizes[s] += n
+    target = mix_targets(sizes)
+    quota = Counter()
+    for _ in range(round(sum(target.values()) / block)):
+        quota[max(target, key=lambda s: (target[s] / (2 * quota[s] + 1), -sorted(target, key=lambda x: (x is None, x or "")).index(s)))] += 1
+    want = Counter()
+    for s in sizes:
+        run = -(-sizes[s] // block)
+        q = min(quota[s], 2 * run)
+        passes, extra, offset = (q // run, q % run, 0) if run else (0, 0, 0)
+        for _, h, i, n in sorted(x for x in plain if x[0] == s):
+            want[i, n, sizes[s], round(target[s], 6), passes * n + max(0, min(offset + n, extra * block) - offset), q] += 1
+            offset += n
+    assert Counter((r["id"], r["size"], r["source_size"], round(r["target"], 6), r["taken"], r["quota"]) for r in got) == want
+    shards = defaultdict(Counter)
     for r in got:
-        by[r["source_size"], r["target"]][0] += r["taken"]
-    assert all(abs(taken - target) <= 3 for (_, target), (taken, _) in by.items())
-    total = sum(len(split(r.text)) for r in odd.collect())
-    assert sum(t for _, t in by) <= 1.5 * total + 1e-6
+        assert sum(p["words"] for p in r["parts"]) == r["taken"] <= 2 * r["size"]
+        for p in r["parts"]:
+            shards[r["source_size"], r["quota"]][p["shard"], p["block"], p["copy"]] += p["words"]
+    for (_, q), taken in shards.items():  # of full blocks, each shard has as many as any other, but for one
+        per = Counter(k[0] for k in taken)
+        assert len(taken) == q and max(per.values()) - min(per[x] for x in range(3)) <= 1
     assert mixing.mixed(none).isEmpty() and mixing.take_mix(none).isEmpty()
-    assert mixing.take_mix(odd).columns == odd.columns
-    assert rows(mixing.mixed(odd).orderBy("id", "size", "taken")) == rows(mixing.mixed(odd.repartition(3)).orderBy("id", "size", "taken"))
+    assert rows(mixing.mixed(docs).orderBy("id", "size", "taken")) == rows(mixing.mixed(docs.repartition(3)).orderBy("id", "size", "taken"))
+
+
+def test_the_mix_takes_rows_as_often_as_their_words(odd):
+    docs = odd.where("doc_id is not null and doc_id <> 12")
+    taken = {r["id"]: r["taken"] / r["size"] if r["size"] else 0 for r in rows(mixing.mixed(docs))}
+    got = mixing.take_mix(docs)
+    assert got.columns == docs.columns
+    assert Counter(r.doc_id for r in got.collect()) == Counter({i: math.floor(x + 0.5) for i, x in taken.items() if x >= 0.5})
 
 
 def test_apportionment_is_by_highest_quotients(spark):
