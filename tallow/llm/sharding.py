@@ -5,28 +5,34 @@ cut along its widest metadata dimension into nodes of k/2 shards each (rounded
 down and up) so that their bytes are in that proportion; the cut is a
 distributed weighted quantile, found by histograms of ever finer key ranges.
 Rows that tie on the dimension lie in the order of their text's checksum and
-then of their id, so equal texts stay together unless a cut needs them apart.
+then of their id, and equal texts share their coordinates, so they stay together
+unless a cut within its slack needs them apart.
 
 Defined results: a null text has 0 bytes, a null source, language or id counts
 as an empty string; repeated rows lie side by side and have slots of their own;
-an empty table has no rows; extra columns play no part.
+rows alike in id and text cannot be parted; an empty table has no rows; extra
+columns play no part. Texts are only hashed and measured, row by row.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import fresh, table, written
 
 
 @dataclass(frozen=True)
 class TreeRules:
     shards: int = 24
-    #: A cut may be off by so much of a shard's bytes, to leave equal keys together.
+    #: Bytes of a shard, at most but for ties: if set, it decides how many shards there are.
+    target_bytes: int | None = None
+    #: A cut may be off by so much of a shard's bytes.
     slack: float = 0.002
+    #: The same for a cut between two texts that leaves equal texts together.
+    whole: float = 0.02
     #: Histogram bins are 2**bits of a node's remaining key range.
     bits: int = 10
 
@@ -47,12 +53,66 @@ def _unit(name: str) -> Column:
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) / float(2**32)
 
 
-def points(docs: DataFrame, key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """(id, size, crc, tie, dims): the dimensions are the logarithm of the size and the named columns, each from 0 to 1."""
-    size = text_bytes(F.col(text))
-    dims = [F.log2(size) / 40, *[_unit(c) for c in metadata]]
-    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit(""))), 64 - _ID)
-    return docs.select(F.col(key).alias("id"), size.alias("size"), text_crc(F.col(text)).alias("crc"), tie.alias("tie"), F.array(*[F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0)) for x in dims]).alias("dims"))
+def points(docs: DataFrame, key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang"), keep: bool = False) -> DataFrame:
+    """(id, size, crc, tie, m), and doc, a struct of docs' columns, if keep. m holds the named columns' values, for equal texts those that come first among them.
+
+    Only texts whose rows differ in metadata are joined: broadcast up to 100,000
+    of them; beyond that those with many rows are broadcast, the others shuffled.
+    """
+    known = F.col(f"`{text}`")
+    twin = F.struct(text_crc(known).alias("crc"), F.xxhash64(F.coalesce(known, F.lit(""))).alias("hash"))
+    values = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in metadata]
+    tie = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(f"`{key}`").cast("string"), F.lit(""))), 64 - _ID)
+    doc = ["doc"] if keep else []
+    rows = docs.select(*[F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(d) for d in doc], F.col(f"`{key}`").alias("id"), text_bytes(known).alias("size"), twin.alias("twin"), tie.alias("tie"), F.array(*values).alias("m"))
+    mixed = rows.groupBy("twin").agg(F.min("m").alias("least"), F.max("m").alias("most"), F.count("*").alias("k")).where("least <> most").select("twin", "least", "k")
+    mixed = written(mixed)
+    if mixed.count() <= 100_000:
+        rows = rows.join(F.broadcast(mixed.drop("k")), "twin", "left")
+    else:
+        hot = F.col("k") * 1000 > mixed.agg(F.sum("k")).first()[0]  # under 1000 texts
+        rows = rows.join(F.broadcast(mixed.where(hot).select("twin", F.col("least").alias("hot"))), "twin", "left").join(mixed.where(~hot).drop("k"), "twin", "left").withColumn("least", F.coalesce("hot", "least"))
+    return rows.select(*doc, "id", "size", F.col("twin.crc").alias("crc"), "tie", F.coalesce("least", "m").alias("m"))
+
+
+def _dims(n: int) -> list[Column]:
+    """The dimensions of points, each from 0 to 1: the logarithm of the size, and n metadata columns."""
+    return [F.least(F.greatest(F.log2("size") / 40, F.lit(0.0)), F.lit(1.0)), *[F.crc32(F.get("m", F.lit(d)).cast("binary")) / float(2**32) for d in range(n)]]
+
+
+def _key(dim: Column) -> Column:
+    """A point's place along a dimension; equal texts lie together, and their rows in the order of their ids' hashes."""
+    return F.shiftleft((dim * ((1 << _DIM) - 1)).cast("long"), _TEXT + _ID) + F.shiftleft(F.shiftright("crc", 32 - _TEXT), _ID) + F.col("tie")
+
+
+@dataclass(frozen=True)
+class Node:
+    """A leaf, or a cut of a dimension at a key: points below it go low, the others high. A node is named by its first shard."""
+
+    shard: int
+    shards: int
+    dim: int | None = None
+    cut: int = 0
+    low: Node | None = None
+    high: Node | None = None
+
+    def leaves(self) -> list[Node]:
+        return [self] if self.dim is None else self.low.leaves() + self.high.leaves()
+
+    def grown(self, cuts: dict[int, tuple[int, int]]) -> Node:
+        """The tree with the leaves of cuts {shard: (dim, key)} cut in two halves of their shards."""
+        if self.dim is not None:
+            return replace(self, low=self.low.grown(cuts), high=self.high.grown(cuts))
+        if self.shard not in cuts:
+            return self
+        half = self.shards // 2
+        return Node(self.shard, self.shards, *cuts[self.shard], Node(self.shard, half), Node(self.shard + half, self.shards - half))
+
+    def of(self, keys: list[Column]) -> Column:
+        """The shard of a point with these keys, one for each dimension; every node is named once."""
+        if self.dim is None:
+            return F.lit(self.shard)
+        return F.when(keys[self.dim] < self.cut, self.low.of(keys)).otherwise(self.high.of(keys))
 
 
 def _chosen(by_node: dict[int, object], default: Column) -> Column:
@@ -63,12 +123,13 @@ def _chosen(by_node: dict[int, object], default: Column) -> Column:
     return default if out is None else out.otherwise(default)
 
 
-def _cuts(rows: DataFrame, aims: dict[int, float], slack: float, bits: int) -> dict[int, int]:
-    """For each node of rows (node, key, size) the key below which as near as may be aims[node] bytes lie."""
+def _cuts(rows: DataFrame, aims: dict[int, float], slack: float, whole: float, bits: int) -> dict[int, int]:
+    """For each node of rows (node, key, size) the key below which as near as may be aims[node] bytes lie, within slack, or within whole between two texts."""
     low, width = dict.fromkeys(aims, 0), _DIM + _TEXT + _ID
     left, cuts = dict(aims), {}
     while aims.keys() - cuts.keys():
-        width -= min(bits, width)
+        width = max(width - bits, _ID if width > _ID else 0)
+        slack = whole if width == _ID else slack
         todo = [n for n in aims if n not in cuts]
         bins = rows.where(F.col("node").isin(todo)).withColumn("bin", F.shiftright(F.col("key"), width) - _chosen({n: low[n] >> width for n in todo}, F.lit(0)))
         bins = bins.where(f"bin >= 0 and bin < {1 << bits}").groupBy("node", "bin").agg(F.sum("size").alias("z")).orderBy("node", "bin").collect()  # shards x bins at most
@@ -76,14 +137,16 @@ def _cuts(rows: DataFrame, aims: dict[int, float], slack: float, bits: int) -> d
             own, upto = [r for r in bins if r["node"] == n], 0
             for r in own:
                 if upto + r["z"] > left[n] or r is own[-1]:
-                    over = upto + r["z"] - left[n]
+                    over, under = upto + r["z"] - left[n], left[n] - upto
                     start = low[n] + (r["bin"] << width)
-                    if over <= slack or width == 0 and over <= left[n] - upto:
+                    if over <= slack and over <= under or width == 0 and over <= under:
                         cuts[n] = start + (1 << width)
-                    elif left[n] - upto <= slack or width == 0:
+                    elif under <= slack or width == 0:
                         cuts[n] = start
+                    elif over <= slack:
+                        cuts[n] = start + (1 << width)
                     else:
-                        low[n], left[n] = start, left[n] - upto
+                        low[n], left[n] = start, under
                     break
                 upto += r["z"]
             else:
@@ -91,27 +154,28 @@ def _cuts(rows: DataFrame, aims: dict[int, float], slack: float, bits: int) -> d
     return cuts
 
 
-def tree_shards(pts: DataFrame, rules: TreeRules = TreeRules()) -> DataFrame:
-    """pts (a written table: id, size, crc, tie, dims) with shard."""
-    rows, open_nodes = pts.withColumn("node", F.lit(0)), {0: rules.shards}
-    n_dims, first = len(pts.select("dims").head()["dims"]) if not pts.isEmpty() else 0, {0: 0}
+def tree(pts: DataFrame, rules: TreeRules = TreeRules()) -> Node:
+    """The k-d tree of pts (a written table: size, crc, tie, m). Points stay where they are: a level is a few histograms over them."""
     total = pts.agg(F.sum("size")).first()[0] or 0
-    slack = rules.slack * total / rules.shards
-    while n_dims and any(k > 1 for k in open_nodes.values()):
-        todo = {n: k for n, k in open_nodes.items() if k > 1}
-        at = rows.where(F.col("node").isin(list(todo)))
-        wide = at.groupBy("node").agg(F.sum("size").alias("z"), *[f(F.col("dims")[d]).alias(f"{f.__name__}{d}") for d in range(n_dims) for f in (F.min, F.max)]).collect()
-        widest = {r["node"]: max(range(n_dims), key=lambda d: (r[f"max{d}"] - r[f"min{d}"], -d)) for r in wide}
-        dim = F.get("dims", _chosen(widest, F.lit(0)))
-        key = F.shiftleft((dim * ((1 << _DIM) - 1)).cast("long"), _TEXT + _ID) + F.shiftleft(F.shiftright("crc", 32 - _TEXT), _ID) + F.col("tie")
-        cuts = _cuts(at.select("node", key.alias("key"), "size"), {r["node"]: r["z"] * (todo[r["node"]] // 2) / todo[r["node"]] for r in wide}, slack, rules.bits)
-        cuts |= {n: 0 for n in todo if n not in cuts}
-        # A node is named by its first shard; the upper part starts after the lower part's shards.
-        upper = key >= _chosen(cuts, F.lit(0).cast("long"))
-        rows = rows.withColumn("node", F.when(F.col("node").isin(list(todo)) & upper, F.col("node") + _chosen({n: k // 2 for n, k in todo.items()}, F.lit(0))).otherwise(F.col("node")))
-        rows = written(rows)
-        open_nodes = {m: j for n, k in open_nodes.items() for m, j in (((n, k // 2), (n + k // 2, k - k // 2)) if k > 1 else ((n, k),))}
-    return rows.withColumnRenamed("node", "shard")
+    root = Node(0, rules.shards if rules.target_bytes is None else max(1, -(-total // rules.target_bytes)))
+    if not total:
+        return root
+    dims = _dims(len(pts.select("m").head()["m"]))
+    keys = [_key(d) for d in dims]
+    slack, whole = rules.slack * total / root.shards, rules.whole * total / root.shards
+    while todo := {leaf.shard: leaf.shards for leaf in root.leaves() if leaf.shards > 1}:
+        at = pts.withColumn("node", root.of(keys)).where(F.col("node").isin(list(todo)))
+        wide = at.groupBy("node").agg(F.sum("size").alias("z"), *[f(x).alias(f"{f.__name__}{d}") for d, x in enumerate(dims) for f in (F.min, F.max)]).collect()
+        widest = {r["node"]: max(range(len(dims)), key=lambda d: (r[f"max{d}"] - r[f"min{d}"], -d)) for r in wide}
+        key = F.get(F.array(*keys), _chosen(widest, F.lit(0)))
+        cuts = _cuts(at.select("node", key.alias("key"), "size"), {r["node"]: r["z"] * (todo[r["node"]] // 2) / todo[r["node"]] for r in wide}, slack, whole, rules.bits)
+        root = root.grown({n: (widest.get(n, 0), cuts.get(n, 0)) for n in todo})
+    return root
+
+
+def _placed(pts: DataFrame, root: Node) -> DataFrame:
+    width = len(first["m"]) if (first := pts.select("m").head()) else 0
+    return pts.withColumn("shard", root.of([_key(d) for d in _dims(width)]).cast("int"))
 
 
 def with_slots(rows: DataFrame) -> DataFrame:
@@ -128,8 +192,17 @@ def with_slots(rows: DataFrame) -> DataFrame:
 
 def sharded(docs: DataFrame, rules: TreeRules = TreeRules(), key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row of docs."""
-    out = with_slots(tree_shards(written(points(docs, key, text, metadata)), rules))
-    return out.select("id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    pts = written(points(docs, key, text, metadata))
+    out = with_slots(_placed(pts, tree(pts, rules)))
+    return out.select("id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def with_shards(docs: DataFrame, rules: TreeRules = TreeRules(), key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+    """docs' columns and shard (under another name if docs has one). The tree is applied as an expression; texts are not shuffled."""
+    root = tree(written(points(docs, key, text, metadata)), rules)
+    name = "shard" if "shard" not in map(str.lower, docs.columns) else fresh(docs, "shard")[0]
+    shard = root.of([_key(d) for d in _dims(len(metadata))]).cast("int")
+    return points(docs, key, text, metadata, keep=True).select("doc.*", shard.alias(name))
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
