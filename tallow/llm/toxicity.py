@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,13 +45,13 @@ _BLANK = bytes(32 if x < 48 or 57 < x < 65 or 90 < x < 97 or 122 < x < 128 else
 @dataclass(frozen=True)
 class VoteRules:
     #: About so many labelled examples are learned from at most: the bound on the index.
-    examples: int = 4_000
+    examples: int = 3_000
     #: Bytes of the word beginnings that are terms.
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
     #: Terms of more than this share of all texts have no dimension.
-    most: float = 0.08
+    most: float = 0.06
     neighbours: int = 100
-    block: int = 128
+    block: int = 512
     threshold: float = 0.3
     seed: int = 3
 
@@ -88,29 +89,29 @@ def _reader(vocabulary, prefixes):
         else:
             word[t] = k
     lookups = [(k, known.get) for k, known in begin.items()]
-    kept: dict[bytes, list[int]] = {}
 
-    def of(w: bytes) -> list[int]:
-        found = [word.get(w)]
-        for k, get in lookups:
-            if len(w) <= k:
-                break
-            found.append(get(w[:k]))
-        return [x for x in found if x is not None]
+    class Kept(dict):
+        """The terms of a word, looked up once."""
+
+        def __missing__(self, w: bytes) -> tuple[int, ...]:
+            found = [word.get(w)]
+            for k, get in lookups:
+                if len(w) <= k:
+                    break
+                found.append(get(w[:k]))
+            self[w] = out = tuple(x for x in found if x is not None)
+            return out
+
+    kept = Kept()
 
     def read(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         if len(kept) > 200_000:
             kept.clear()
-        ids: list[int] = []
-        times: list[int] = []
-        for w, n in Counter((text or b"").lower().translate(_BLANK).split()).items():
-            t = kept.get(w)
-            if t is None:
-                t = kept[w] = of(w)
-            if t:
-                ids += t
-                times += [n] * len(t)
-        own, at = np.unique(np.array(ids, np.int64), return_inverse=True)
+        words = Counter((text or b"").lower().translate(_BLANK).split())
+        terms = list(map(kept.__getitem__, words))
+        ids = np.fromiter(chain.from_iterable(terms), np.int64)
+        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, terms), np.int64, len(terms)))
+        own, at = np.unique(ids, return_inverse=True)
         return own, np.bincount(at, times, len(own)).astype(np.int64)
 
     return read
