@@ -1,4 +1,7 @@
+import itertools
 import math
+import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -94,21 +97,66 @@ def test_a_chain_is_one_component(spark):
     assert {r.id: r.comp for r in minmax.components(links).collect()} == {k: 0 for k in range(41)} | {100: 100, 101: 100}
 
 
+def brute_overlaps(docs, items):
+    """(id, item) where the whole item or, of longer ones, 13 tokens in a row agree in 80 % with the document at one placing."""
+    tokens = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    out = set()
+    for i, item in items:
+        t = tokens(item)
+        n = min(13, len(t))
+        for d, text in docs:
+            w = tokens(text)
+            for shift in range(-len(t), len(w)):
+                same = [0 <= k + shift < len(w) and w[k + shift] == t[k] for k in range(len(t))]
+                if n and i is not None and any(100 * sum(same[s : s + n]) >= 80 * n for s in range(len(t) - n + 1)):
+                    out.add((d, i))
+    return out
+
+
 def test_decontamination(spark, odd, none):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron".split()
     changed = [w if k % 7 else "other" for k, w in enumerate(passage)]
-    docs = spark.createDataFrame([(1, "before " + " ".join(passage).upper() + "! after"), (2, " ".join(["so"] * 20 + changed)), (3, " ".join(passage[:6]) + " and nothing else that is alike in any way at all here"), (4, None), (None, " ".join(passage))], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "before " + " ".join(passage).upper() + "! after"), (2, " ".join(["so"] * 20 + changed)), (3, " ".join(passage[:6]) + " and nothing else that is alike in any way at all here"), (4, None), (None, " ".join(passage)), (None, "clean"), (4, " ".join(passage))], "doc_id long, text string")
     items = spark.createDataFrame([(7, " ".join(passage)), (8, "a tiny item it is"), (9, ""), (None, "x")], "item_id long, text string")
-    assert sorted((r["id"], r["item"]) for r in rows(decontaminate.overlaps(docs.where("doc_id is not null"), items))) == [(1, 7), (2, 7)]
-    big = decontaminate.SeedRules(broadcast_seeds=0)
-    assert sorted((r["id"], r["item"]) for r in rows(decontaminate.overlaps(docs.where("doc_id is not null"), items, big))) == [(1, 7), (2, 7)]
-    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == [3, 4]
-    short = spark.createDataFrame([(1, "here a tiny item it is"), (2, "a tiny item is")], "doc_id long, text string")
-    assert [r["id"] for r in rows(decontaminate.overlaps(short, items))] == [1]
+    assert sorted((str(r["id"]), r["item"]) for r in rows(decontaminate.overlaps(docs, items))) == [("1", 7), ("2", 7), ("4", 7), ("None", 7)]
+    kept = decontaminate.drop_contaminated(docs, items)
+    assert Counter(map(tuple, kept.collect())) == Counter([(3, docs.collect()[2].text), (4, None), (None, "clean")])
+    dotted = docs.withColumnRenamed("text", "a.text").withColumn("hit", F.lit(1)).withColumn("item", F.lit(1))
+    assert decontaminate.drop_contaminated(dotted, items, text="a.text").columns == dotted.columns
     assert decontaminate.drop_contaminated(odd, items).count() == odd.count()
     assert decontaminate.overlaps(none, items).isEmpty() and decontaminate.overlaps(docs, items.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_overlaps_are_those_of_brute_force(spark, broadcast):
+    """Items of 1 to 30 tokens, with substitutions up to and beyond what is allowed, ids null and repeated, by broadcast and by shuffle."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(4000)}"
+    items = [(k, " ".join(word() for _ in range(n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20, 30])] + [(None, "w1 w2")]
+    docs = []
+    for i, item in items[:-1]:
+        for changes in range(5):
+            t = item.split()
+            for p in rng.sample(range(len(t)), min(changes, len(t))):
+                t[p] = "zz"
+            docs.append((rng.choice([None, i, 7]), " ".join([word() for _ in range(rng.randrange(9))] + t + [word() for _ in range(rng.randrange(9))])))
+    docs = [(k if d is not None else None, t) for k, (d, t) in enumerate(docs)] + [(3, docs[0][1]), (None, None), (5, "")]
+    rules = decontaminate.SeedRules(broadcast_seeds=broadcast)
+    got = {(r["id"], r["item"]) for r in rows(decontaminate.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rules))}
+    want = brute_overlaps(docs, items)
+    assert got <= want and len(got) >= 0.99 * len(want) > 30
+    short = {i for i, t in items if len(t.split()) <= 13}
+    assert {p for p in got if p[1] in short} == {p for p in want if p[1] in short}
+
+
+@pytest.mark.parametrize("length", range(1, 14))
+def test_masks_hit_every_allowed_pattern(length):
+    masks = decontaminate.SeedRules().masks if length == 13 else decontaminate.short_masks(length, 80)
+    placed = [{x + at for x in m} for m in masks for at in range(length - m[-1])]
+    for lost in itertools.combinations(range(length), length - -(-80 * length // 100)):
+        assert any(not m & set(lost) for m in placed)
+
+
 def test_decontamination_is_alike_by_broadcast_and_shuffle(spark):
     passage = [f"p{k}" for k in range(20)]
     texts = [(1, "before " + " ".join(passage)), (1, "quite other words that are long enough to have many seeds"), (2, " ".join(passage[:15])), (2, " ".join(passage[:15])), (None, " ".join(passage[3:])), (None, "nothing"), (3, " ".join(passage + passage))]
@@ -116,8 +164,8 @@ def test_decontamination_is_alike_by_broadcast_and_shuffle(spark):
     items = spark.createDataFrame([(7, " ".join(passage)), (8, " ".join(passage[2:19])), (9, "p3 p4 p5 p6 p7")], "item_id long, text string")
     got = [sorted(map(tuple, decontaminate.overlaps(docs, items, decontaminate.SeedRules(broadcast_seeds=b)).collect()), key=str) for b in (500_000, 0)]
     assert got[0] == got[1] and {(r[0], r[1]) for r in got[1]} == {(i, t) for i in (1, 2, 3, None) for t in (7, 8, 9)}
-    span = 10  # the longest mask; a whole passage has a hit of each of the four masks at each place
-    assert [r[2] for r in got[1] if r[:2] == (1, 7)] == [4 * (20 - span + 1)] and [r[2] for r in got[1] if r[:2] == (2, 7)] == [2 * 4 * (15 - span + 1)]
+    spans = (5, 8, 9, 10)  # a whole passage has a hit of each mask at each place where it fits
+    assert [r[2] for r in got[1] if r[:2] == (1, 7)] == [sum(20 - x + 1 for x in spans)] and [r[2] for r in got[1] if r[:2] == (2, 7)] == [2 * sum(15 - x + 1 for x in spans)]
 
 
 def mix_targets(sizes, weights=(3, 1, 2)):
