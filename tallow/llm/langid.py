@@ -9,7 +9,8 @@ is read whole. Texts under the rejection threshold are marked, not renamed.
 
 Defined results: a null text or one without a letter is 'und' with score 0;
 without labelled texts every text is 'und'; repeated rows are judged alike; a
-null label teaches nothing.
+null label teaches nothing; empty tables give no rows; other columns play no
+part. A long text is read in pieces.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .common import in_fold, table
 class LangRules:
     #: At most about so many labelled texts are learned from, a bound on the driver's memory.
     sample: int = 3000
+    #: Longer texts, in bytes, teach nothing: the other part of that bound.
+    longest: int = 1 << 16
     #: Rows of the embedding table (a power of two), and its width.
     buckets: int = 1 << 15
     width: int = 12
@@ -118,7 +121,7 @@ def fit(texts: list[bytes], labels: list[str], rules: LangRules) -> LangModel:
             back = w @ p
             w -= rate * np.outer(h, p)
             bias -= rate * p
-            e[g] -= rate * len(g) * np.outer(share, back) / 4
+            e[g] -= rate * len(g) / 4 * np.outer(share, back)  # a mean over many n-grams gives each a small gradient: the rows' rate grows with their number
     out = LangModel(langs, (e @ w).astype(np.float32), bias, 1.0, rules.grams)
     held = np.flatnonzero(~kept) if (~kept).any() else order
     best = np.inf
@@ -133,7 +136,7 @@ def fit(texts: list[bytes], labels: list[str], rules: LangRules) -> LangModel:
 
 def train(docs: DataFrame, rules: LangRules = LangRules(), key: str = "doc_id", text: str = "text", lang: str = "lang") -> LangModel | None:
     """A model of a seeded sample of the rows that have a label and a letter."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    rows = docs.where(F.col(lang).isNotNull() & (F.octet_length(text) <= rules.longest) & F.col(text).rlike(r"\p{L}"))
     n = docs.where(F.col(lang).isNotNull()).count()
     if not n:
         return None

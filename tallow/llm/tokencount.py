@@ -5,7 +5,9 @@ document's count is the sum, over its pre-tokens, of frequency times pieces.
 Special tokens in a text count one each and part it, as the library does.
 
 Defined results: a null text counts as empty, with 0 bytes and 0 tokens;
-repeated rows are counted one by one; a null id stays null.
+repeated rows are counted one by one; a null id stays null; empty tables give no
+rows; other columns play no part and may have any name; tokenizer files of
+another kind are refused. A text is held whole in one task with its pre-tokens.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ _PLAIN = 0x250
 def pre_tokens(model: str) -> Callable[[bytes], list]:
     """A function from a text to its pre-tokens (UTF-8) and its special tokens, of the tokenizer whose JSON is model."""
     state: dict = {}
+    made = json.loads(model)
+    split = made["pre_tokenizer"] or {}
+    if made["normalizer"] or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("only byte-level tokenizers without a normalizer and with the usual pre-token pattern are counted by pre-token")
 
     def start() -> None:
         import public_tokenizers
@@ -111,7 +117,7 @@ def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: st
     """(id, n_bytes, n_tokens) of each row of docs, by the tokenizer file at model_path."""
     spark, model = docs.sparkSession, Path(model_path).read_text()
     split = pre_tokens(model)
-    texts = docs.select(F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
+    texts = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text"))
     id_type = texts.schema["id"].dataType.simpleString()
     counts = texts.select("text").mapInArrow(term_counter(split), "term binary, c long").groupBy("term").agg(F.sum("c").alias("c"))
     counted = written(counts.mapInArrow(_pieces(model), "term binary, c long, n long"))

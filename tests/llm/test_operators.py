@@ -418,3 +418,18 @@ def test_cascade_is_exact(spark):
     listed = universe.where("key % 7 = 0")
     cascade = urlfilter.Cascade.build(listed, universe)
     assert universe.where(cascade.holds(F.col("key")) != (F.col("key") % 7 == 0)).isEmpty()
+
+
+@pytest.mark.parametrize("bits", [64, 1024])
+def test_a_split_cascade_is_exact(spark, bits):
+    universe = spark.range(3000).select(F.col("id").cast("string").alias("key"))
+    cascade = urlfilter.Cascade.build(universe.where("key % 7 = 0"), universe, bits=bits)
+    assert len(cascade.filters[0].parts) > 1 and all(f.bits <= bits for f in cascade.filters)
+    assert universe.where(cascade.holds(F.col("key")) != (F.col("key") % 7 == 0)).isEmpty()
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json")) as f, pytest.raises(ValueError):
+        tokencount.pre_tokens(f.read())
