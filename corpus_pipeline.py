@@ -1,4 +1,11 @@
-"""The corpus pipeline: five stages over documents, each written as Parquet and reread by the next."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and reread by the next.
+
+Quality rules drop documents, near-duplicate grouping keeps one of each group,
+decontamination drops those that overlap the benchmark, mixing repeats and drops
+documents towards the sources' targets, sharding adds the column shard. All but
+the last return the columns of documents. Nulls, repeated rows, empty tables and
+other columns are treated as the operators' docstrings state.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +18,7 @@ from tallow.llm.decontaminate import drop_contaminated
 from tallow.llm.minmax import drop_near
 from tallow.llm.mixing import take_mix
 from tallow.llm.quality import keep_good
-from tallow.llm.sharding import sharded
+from tallow.llm.sharding import with_shards
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,12 +38,12 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharded(docs).withColumnRenamed("id", "doc_id")
+    return with_shards(docs)
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]
 
-#: Min-max hashing, apportionment and the k-d tree have no SQL form; the tests compare them with brute force.
+#: Min-max hashing, apportionment and the k-d tree have no SQL form; tests/llm/test_pipeline.py holds run() against plain Python.
 ORACLE_SQL = None
 
 
