@@ -45,7 +45,7 @@ _BLANK = bytes(32 if x < 48 or 57 < x < 65 or 90 < x < 97 or 122 < x < 128 else
 @dataclass(frozen=True)
 class VoteRules:
     #: About so many labelled examples are learned from at most: the bound on the index.
-    examples: int = 3_000
+    examples: int = 2_500
     #: Bytes of the word beginnings that are terms.
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
     #: Terms of more than this share of all texts have no dimension.
@@ -80,7 +80,7 @@ def _example_terms(prefixes):
 
 
 def _reader(vocabulary, prefixes):
-    """A function from a text to its sorted vocabulary terms and their frequencies."""
+    """Two functions of a text: its sorted vocabulary terms and their frequencies; its terms alone."""
     word: dict[bytes, int] = {}
     begin: dict[int, dict[bytes, int]] = {k: {} for k in sorted(prefixes)}
     for k, t in enumerate(vocabulary.value.to_pylist()):
@@ -104,6 +104,12 @@ def _reader(vocabulary, prefixes):
 
     kept = Kept()
 
+    def held(text: bytes | None) -> np.ndarray:
+        """The terms of a text in no order, some of them repeated."""
+        if len(kept) > 200_000:
+            kept.clear()
+        return np.fromiter(chain.from_iterable(map(kept.__getitem__, set((text or b"").lower().translate(_BLANK).split()))), np.int64)
+
     def read(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
         if len(kept) > 200_000:
             kept.clear()
@@ -114,18 +120,18 @@ def _reader(vocabulary, prefixes):
         own, at = np.unique(ids, return_inverse=True)
         return own, np.bincount(at, times, len(own)).astype(np.int64)
 
-    return read
+    return read, held
 
 
 def _frequencies(vocabulary, prefixes):
     """For mapInArrow over (text): (t, n), numbers of a task's texts that hold term t; all its texts under t = -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, total = _reader(vocabulary, prefixes), 0
+        (_, held), total = _reader(vocabulary, prefixes), 0
         df = np.zeros(len(vocabulary.value), np.int64)
         for batch in batches:
             for text in batch.column(0):
-                df[read(text.as_py())[0]] += 1
+                df[held(text.as_py())] += 1  # once, however often a term is repeated
             total += batch.num_rows
         some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["t", "n"])
@@ -146,7 +152,7 @@ def _vectors(vocabulary, prefixes):
     """For mapInArrow over (row, id, y, text): (row, id, y, vector) of each example, the vector packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _reader(vocabulary, prefixes)
+        read, _ = _reader(vocabulary, prefixes)
         for batch in batches:
             yield pa.record_batch([*batch.columns[:3], pa.array([_packed(*read(x.as_py())) for x in batch.column(3)], pa.binary())], names=["row", "id", "y", "vector"])
 
@@ -289,7 +295,7 @@ def _voter(taught, place, k: int):
 
 def _scorer(taught, vocabulary, at, rate, none, prefixes, k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, read = _index(taught), _reader(vocabulary, prefixes)
+        index, (read, _) = _index(taught), _reader(vocabulary, prefixes)
         for batch in batches:
             p, near, cosines = np.full(batch.num_rows, none), [], []
             for j, text in enumerate(batch.column(2)):
