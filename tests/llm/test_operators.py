@@ -307,18 +307,81 @@ def test_token_counts(spark, odd, none):
     assert tokencount.token_counts(none, path).isEmpty()
 
 
-def test_lm_scores(odd, none):
-    got = rows(classlm.lm_scores(odd))
-    train = [split(r["text"]) for r in rows(odd.join(odd.sparkSession.createDataFrame([(x["id"],) for x in got if not x["held_out"] and x["id"] is not None], "doc_id long").distinct(), "doc_id", "left_semi"))]
-    if any(not x["held_out"] for x in got if x["id"] is None):
-        train.append(split("lost words here"))
+@pytest.mark.parametrize("head", [None, 30, 12])
+def test_lm_scores(spark, odd, none, head):
+    """Counts, classes and scores of plain Python, with words that have numbers and words that have none."""
+    rng = np.random.default_rng(9)
+    more = [(100 + k, " ".join(f"{'ab'[p % 2]}{int(x)}" for p, x in enumerate(rng.zipf(1.5, 40) % 25)), "en", "a", 1, 7) for k in range(60)]
+    docs = odd.union(spark.createDataFrame(more, odd.schema))
+    rules = classlm.ClassRules(seeded=8, classes=4, least=3)
+    got = rows(classlm.lm_scores(docs, rules, head=head))
+    plain = [(r.doc_id, split(r.text)) for r in docs.collect()]
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
+    train = [w for i, w in plain if not held(i)]
     c = Counter(w for d in train for w in d)
     n, v = sum(c.values()) + len(train), len(c) + 1
-    texts = {r.doc_id: split(r.text) for r in odd.collect()}
-    for r in got:
-        w = texts[r["id"]]
-        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w) + math.log10((len(train) + 0.1) / (n + 0.1 * (v + 1)))
-        assert r["train_tokens"] == n and r["n_tokens"] == len(w) + 1 and r["base_score"] == pytest.approx(base) and r["score"] <= 0
+
+    order = sorted(c, key=lambda w: (-c[w], w))
+    levels, floor, upto = defaultdict(list), 1 << 62, 0
+    for w in order:
+        levels[math.floor(math.log2(c[w]) * 16)].append(c[w])
+    for x in sorted(levels, reverse=True):
+        upto += len(levels[x])
+        if upto > (head or 1 << 18):
+            break
+        floor = min(levels[x])
+    words = [w for w in order if c[w] >= floor]
+    seeded = {w: k for k, w in enumerate(words[:8])}
+    m = len(seeded)
+    big = np.zeros((m + 2, m + 2))
+    for d in train:
+        line = [m + 1, *(seeded.get(w, m) for w in d), m + 1]
+        for a, b in zip(line, line[1:]):
+            big[a, b] += 1
+    at = classlm.exchange(big, 4, rules.passes)
+    k = int(at[-1]) + 1
+    cls = {w: int(at[j]) for w, j in seeded.items()}
+
+    def matrix():
+        g = np.zeros((k, k))
+        beside = defaultdict(lambda: np.zeros((2, k)))
+        for d in train:
+            line = [k - 1, *(cls.get(w, k - 2) for w in d), k - 1]
+            for p, (a, b) in enumerate(zip(line, line[1:])):
+                g[a, b] += 1
+                if p:
+                    beside[d[p - 1]][:, :] += [np.eye(k)[line[p - 1]], np.eye(k)[b]]
+        return g, beside
+
+    def moved(some):
+        g, beside = matrix()
+        out = {}
+        for w in some:
+            old = cls.get(w, k - 2)
+            gain = classlm.gains(g, *beside[w], old)
+            new = int(np.argmax(gain[: k - 2]))
+            out[w] = new if old == k - 2 or gain[new] > gain[old] + 1e-9 else old
+        cls.update(out)
+
+    for _ in range(rules.sweeps):
+        moved([w for w in words[8:] if c[w] >= 3])
+    moved([w for w in order if 3 <= c[w] < floor])
+    g, _ = matrix()
+    alone = (g.sum(axis=0) + 0.1) / (g.sum() + 0.1 * k)
+    step = np.log10(0.95 * (g + 0.1 * alone) / (g.sum(axis=1, keepdims=True) + 0.1) + 0.05 * alone)
+    sizes, kinds = Counter(), Counter()
+    for w in c:
+        sizes[cls.get(w, k - 2)] += c[w]
+        kinds[cls.get(w, k - 2)] += 1
+    rare = sizes[k - 2] + 0.1 * (kinds[k - 2] + 1)
+    want = []
+    for i, d in plain:
+        base = sum(math.log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in d) + math.log10((len(train) + 0.1) / (n + 0.1 * (v + 1)))
+        line = [k - 1, *(cls.get(w, k - 2) for w in d), k - 1]
+        score = sum(step[a, b] for a, b in zip(line, line[1:])) + sum(math.log10((c[w] + 0.1) / rare if cls.get(w, k - 2) == k - 2 else c[w] / sizes[cls[w]]) for w in d)
+        want.append((str(i), held(i), len(d) + 1, sum(c[x] > 0 for x in d) + 1, n, round(base, 6), round(score, 6), round(10 ** (-score / (len(d) + 1)), 4)))
+    assert len(set(cls.values())) > 2
+    assert sorted((str(r["id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6), round(r["perplexity"], 4)) for r in got) == sorted(want)
     assert classlm.lm_scores(none).isEmpty()
 
 
