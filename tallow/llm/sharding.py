@@ -80,8 +80,17 @@ def _dims(n: int) -> list[Column]:
     return [F.least(F.greatest(F.log2("size") / 40, F.lit(0.0)), F.lit(1.0)), *[F.crc32(F.get("m", F.lit(d)).cast("binary")) / float(2**32) for d in range(n)]]
 
 
+def _keys(n: int) -> list[Column]:
+    """A point's places along its dimensions; equal texts lie together, and their rows in the order of their ids' hashes."""
+    return [_key(d) for d in _dims(n)]
+
+
+def keyed(pts: DataFrame, n: int) -> DataFrame:
+    """pts with dims and keys, arrays of what the dimensions give: written, they keep the tree's many plans small."""
+    return pts.withColumn("dims", F.array(*_dims(n))).withColumn("keys", F.array(*_keys(n))).drop("m")
+
+
 def _key(dim: Column) -> Column:
-    """A point's place along a dimension; equal texts lie together, and their rows in the order of their ids' hashes."""
     return F.shiftleft((dim * ((1 << _DIM) - 1)).cast("long"), _TEXT + _ID) + F.shiftleft(F.shiftright("crc", 32 - _TEXT), _ID) + F.col("tie")
 
 
@@ -155,29 +164,24 @@ def _cuts(rows: DataFrame, aims: dict[int, float], slack: float, whole: float, b
 
 
 def tree(pts: DataFrame, rules: TreeRules = TreeRules()) -> Node:
-    """The k-d tree of pts (a written table: size, crc, tie, m). Points stay where they are: a level is a few histograms over them."""
+    """The k-d tree of pts (a written table: size, dims, keys). Points stay where they are: a level is a few histograms over them."""
     total = pts.agg(F.sum("size")).first()[0] or 0
     root = Node(0, rules.shards if rules.target_bytes is None else max(1, -(-total // rules.target_bytes)))
     if not total:
         return root
-    dims = _dims(len(pts.select("m").head()["m"]))
-    keys = [_key(d) for d in dims]
+    dims = [F.get("dims", F.lit(d)) for d in range(len(pts.select("dims").head()["dims"]))]
+    keys = [F.get("keys", F.lit(d)) for d in range(len(dims))]
     slack, whole = rules.slack * total / root.shards, rules.whole * total / root.shards
     while todo := {leaf.shard: leaf.shards for leaf in root.leaves() if leaf.shards > 1}:
         at = pts.withColumn("node", root.of(keys)).where(F.col("node").isin(list(todo)))
         wide = at.groupBy("node").agg(F.sum("size").alias("z"), *[f(x).alias(f"{f.__name__}{d}") for d, x in enumerate(dims) for f in (F.min, F.max)]).collect()
         widest = {r["node"]: max(range(len(dims)), key=lambda d: (r[f"max{d}"] - r[f"min{d}"], -d)) for r in wide}
-        key = F.get(F.array(*keys), _chosen(widest, F.lit(0)))
+        key = F.get("keys", _chosen(widest, F.lit(0)))
         cuts = _cuts(at.select("node", key.alias("key"), "size"), {r["node"]: r["z"] * (todo[r["node"]] // 2) / todo[r["node"]] for r in wide}, slack, whole, rules.bits)
         root = root.grown({n: (widest.get(n, 0), cuts.get(n, 0)) for n in todo})
     return root
 
 
-def _placed(pts: DataFrame, root: Node) -> DataFrame:
-    width = len(first["m"]) if (first := pts.select("m").head()) else 0
-    return pts.withColumn("shard", root.of([_key(d) for d in _dims(width)]).cast("int"))
-
-
 def with_slots(rows: DataFrame) -> DataFrame:
     """rows (id, crc, tie, shard) with slot, gapless in each shard: slices are numbered, then the rows of each slice."""
     n = rows.count()
@@ -192,16 +196,16 @@ def with_slots(rows: DataFrame) -> DataFrame:
 
 def sharded(docs: DataFrame, rules: TreeRules = TreeRules(), key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row of docs."""
-    pts = written(points(docs, key, text, metadata))
-    out = with_slots(_placed(pts, tree(pts, rules)))
+    pts = written(keyed(points(docs, key, text, metadata), len(metadata)))
+    out = with_slots(pts.withColumn("shard", tree(pts, rules).of([F.get("keys", F.lit(d)) for d in range(1 + len(metadata))]).cast("int")))
     return out.select("id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def with_shards(docs: DataFrame, rules: TreeRules = TreeRules(), key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """docs' columns and shard (under another name if docs has one). The tree is applied as an expression; texts are not shuffled."""
-    root = tree(written(points(docs, key, text, metadata)), rules)
+    root = tree(written(keyed(points(docs, key, text, metadata), len(metadata))), rules)
     name = "shard" if "shard" not in map(str.lower, docs.columns) else fresh(docs, "shard")[0]
-    shard = root.of([_key(d) for d in _dims(len(metadata))]).cast("int")
+    shard = root.of(_keys(len(metadata))).cast("int")
     return points(docs, key, text, metadata, keep=True).select("doc.*", shard.alias(name))
 
 
