@@ -45,7 +45,7 @@ def _sequence(masks: list[str], window: int | None = None, tolerance: int = 0):
         found = F.array_position(F.slice(rows, at, size), True)
         missed = missed + F.when(found == 0, 1).otherwise(0)
         at = (at + found).cast("int")
-    return missed <= tolerance
+    return missed <= max(tolerance, 0)
 
 
 def evaluate(df: DataFrame, pattern: Pattern | dict | str, out: str, context: dict[str, str] | None = None) -> DataFrame:

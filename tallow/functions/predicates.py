@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -32,12 +33,17 @@ def names() -> list[str]:
 
 
 def with_fields(df: DataFrame) -> DataFrame:
-    """Adds body, upper_wick, lower_wick, true_range (null where 0) and clv unless there."""
+    """Adds body, upper_wick, lower_wick, true_range and clv (null where the range is 0) unless there."""
     if "body" in df.columns:
         return df
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
-    span = F.nullif(h - lo, F.lit(0.0))
-    return df.withColumns({"body": F.abs(c - o), "upper_wick": h - F.greatest(o, c), "lower_wick": F.least(o, c) - lo, "true_range": span, "clv": F.coalesce(ratio((c - lo) - (h - c), span), F.lit(0.0))})
+    return df.withColumns({"body": F.abs(c - o), "upper_wick": h - F.greatest(o, c), "lower_wick": F.least(o, c) - lo, "true_range": h - lo, "clv": ratio(c - lo, h - lo)})
+
+
+def per_atr(df: DataFrame, column: str, out: str, window: int = 14) -> DataFrame:
+    """df with column over the rolling mean range, 0 where that is 0."""
+    df = with_fields(df)
+    return df.withColumn(out, F.coalesce(ratio(C(column), F.avg("true_range").over(last_rows(window))), F.lit(0.0)))
 
 
 def evaluate(df: DataFrame, name: str, out: str, **params) -> DataFrame:
@@ -96,21 +102,22 @@ def _round_level(df: DataFrame, out: str, tick=None, percent=None, step=None, ba
     for x in (tick, percent, step):
         if x is not None and x <= 0:
             raise ValueError("a grid must be positive")
-    whole, close = Window.partitionBy("symbol"), C("close")
-    first = F.lit(float(base)) if base else F.first("close").over(by_time().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    geometric = lambda p: first * F.pow(F.lit(1.0 + p), F.rint(F.ln(F.nullif(F.greatest(ratio(close, first), F.lit(0.0)), F.lit(0.0))) / F.log(F.lit(1.0 + p))))
+    close, tiny = C("close"), F.lit(1e-12)
+    first = F.lit(float(base)) if base else F.greatest(F.first("close").over(by_time().rowsBetween(Window.unboundedPreceding, 0)), tiny)
+    geometric = lambda p: first * F.exp(F.rint(F.ln(F.greatest(F.greatest(close, tiny) / first, tiny)) / math.log(1.0 + p)) * math.log(1.0 + p))
     linear = lambda s: F.rint(close / s) * s
     if tick is not None or percent is None and step is not None:
         level = linear(F.lit(float(tick if tick is not None else step)))
     elif percent is not None:
         level = geometric(percent)
     else:
-        df = df.withColumn("__gap", F.nullif(close - F.lag("close").over(Window.partitionBy("symbol").orderBy("close")), F.lit(0.0)))
-        least = F.coalesce(F.min("__gap").over(whole), F.lit(1e-4))
-        level = F.when(F.percentile("close", 0.5).over(whole) > 1, geometric(0.01)).otherwise(linear(least))
+        gap = F.nullif(close - F.lag("close").over(Window.partitionBy("symbol").orderBy("close")), F.lit(0.0))
+        grids = df.select("symbol", "close", gap.alias("gap")).groupBy("symbol").agg(F.percentile("close", 0.5).alias("__median"), F.coalesce(F.min("gap"), F.lit(1e-4)).alias("__gap"))
+        df = df.join(grids, "symbol", "left")  # a row for each symbol
+        level = F.when(F.col("__median") > 1, geometric(0.01)).otherwise(linear(F.col("__gap")))
     atr = full(C("true_range"), F.avg("true_range").over(last_rows(atr_window)), atr_window)
     df = df.withColumn(out, F.coalesce(ratio(F.abs(close - level), atr) <= tolerance, F.lit(False)))
-    return df.drop("__gap")
+    return df.drop("__gap", "__median")
 
 
 register("LONG_LOWER_WICK", _simple(lambda threshold=1.5, kind="lower": F.coalesce(ratio(_wick(kind), C("true_range")), F.lit(0.0)) >= threshold))
@@ -124,7 +131,7 @@ register("INSIDE_BAR", _simple(lambda: (C("high") < _before("high")) & (C("low")
 register("OUTSIDE_BAR", _simple(lambda: (C("high") > _before("high")) & (C("low") < _before("low"))))
 register("BULLISH_ENGULF", _simple(lambda: _engulf(True)))
 register("BEARISH_ENGULF", _simple(lambda: _engulf(False)))
-register("WICK_DOMINANCE", _simple(lambda ratio_=1.5, kind="upper": F.coalesce(ratio(_wick(kind), C("body")), F.lit(0.0)) >= ratio_))
+register("WICK_DOMINANCE", _simple(lambda kind="upper", **p: F.coalesce(ratio(_wick(kind), C("body")), F.lit(0.0)) >= p.get("ratio", 1.5)))
 register("EVR_ANOMALY", _simple(_volume_anomaly))
 register("PIVOT_HIGH", _simple(lambda left=2, right=2: _pivot("high", 1, left, right)))
 register("PIVOT_LOW", _simple(lambda left=2, right=2: _pivot("low", -1, left, right)))

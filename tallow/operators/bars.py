@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.columns import by_time, last_rows, require_columns
 
 MINUTE_US = 60_000_000
-BAR_SCHEMA = "symbol string, bar_id long, ts long, open double, high double, low double, close double, volume double"
 
 
 def time_bars(candles: DataFrame, target_seconds: int = 14_400) -> DataFrame:
@@ -43,21 +44,23 @@ def _measured(candles: DataFrame, method: str, target_seconds: int, window: int)
     return df.withColumn("threshold", F.greatest(median * max(target_seconds // 60, 1), F.lit(1e-6))).drop("size", "tick")
 
 
-def _folded(keep_partial: bool, least: float, absolute: bool):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts", kind="stable")
-        x, limit = rows["x"].to_numpy(), rows["threshold"].to_numpy()
-        ids, bar, total = np.empty(len(rows), np.int64), 0, 0.0
-        for k in range(len(rows)):
-            ids[k] = bar
-            total += x[k]
-            if (abs(total) if absolute else total) >= limit[k] > 0:
-                bar, total = bar + 1, 0.0
-        if len(rows) and ids[-1] == bar:  # the last bar is not full
-            done = (abs(total) if absolute else total) / limit[-1] if limit[-1] > 0 else 0.0
-            if not keep_partial and done < min(max(least, 0.0), 1.0):
-                rows, ids = rows[ids != bar], ids[ids != bar]
-        return pd.DataFrame({"symbol": rows["symbol"], "timestamp": rows["ts"], "bar_id": ids})
+def _folded(absolute: bool):
+    """For mapInPandas over rows sorted by symbol and time: the running sum and bar of each row. Only the last row's state is carried from batch to batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, bar, total = None, 0, 0.0
+        for rows in batches:
+            x, limit, own = rows["x"].to_numpy(), rows["threshold"].to_numpy(), rows["symbol"].to_numpy()
+            ids, sums = np.empty(len(rows), np.int64), np.empty(len(rows))
+            for k in range(len(rows)):
+                if own[k] != symbol:
+                    symbol, bar, total = own[k], 0, 0.0
+                ids[k] = bar
+                total += x[k]
+                sums[k] = size = abs(total) if absolute else total
+                if size >= limit[k] > 0:
+                    bar, total = bar + 1, 0.0
+            yield pd.DataFrame({"symbol": own, "timestamp": rows["ts"], "bar_id": ids, "total": sums, "threshold": limit})
 
     return run
 
@@ -65,13 +68,19 @@ def _folded(keep_partial: bool, least: float, absolute: bool):
 def event_mapping(candles: DataFrame, method: str = "dollar", target_seconds: int = 14_400, window: int = 60, keep_partial: bool = False, least: float = 0.5) -> DataFrame:
     """(symbol, timestamp, bar_id) of dollar or imbalance bars: a running sum that starts anew when it reaches the threshold.
 
-    The fold is sequential in time, so each symbol is one task's work; sums,
-    medians and the bars themselves stay native.
+    The fold is sequential in time: a symbol's rows are sorted in one task and
+    stream through it in batches. Sums, medians and the bars stay native.
     """
     if method not in ("dollar", "imbalance"):
         raise ValueError(f"unsupported method {method}")
     rows = _measured(candles, method, target_seconds, window).select("symbol", "ts", "x", "threshold")
-    return rows.groupBy("symbol").applyInPandas(_folded(keep_partial, least, method == "imbalance"), "symbol string, timestamp long, bar_id long")
+    folded = rows.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInPandas(_folded(method == "imbalance"), "symbol string, timestamp long, bar_id long, total double, threshold double")
+    if not keep_partial:  # the last bar goes if it is not full and has not come far enough
+        last = F.max_by(F.struct("bar_id", "total", "threshold"), "timestamp").over(Window.partitionBy("symbol"))
+        done = F.coalesce(F.try_divide("last.total", "last.threshold"), F.lit(0.0))
+        short = (F.col("bar_id") == F.col("last.bar_id")) & (done < min(max(least, 0.0), 1.0))
+        folded = folded.withColumn("last", last).where(~short)
+    return folded.select("symbol", "timestamp", "bar_id")
 
 
 def event_bars(candles: DataFrame, method: str = "dollar", **options) -> DataFrame:
@@ -90,10 +99,10 @@ def chosen_bars(candles: DataFrame, target_seconds: int = 14_400, tolerance: flo
     for method, bars in kinds.items():
         bars = bars.select(*columns, F.lit(method).alias("method"))
         every = bars if every is None else every.unionByName(bars)
-    gaps = every.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("symbol", "method").orderBy("ts")))
-    score = gaps.groupBy("symbol", "method").agg(F.abs(F.percentile("gap", 0.5) / 1e6 - target_seconds).alias("off"))
-    off = F.coalesce("off", F.lit(float("inf")))
-    event = (F.col("method") != "time") & (off <= tolerance * target_seconds)
-    place = F.row_number().over(Window.partitionBy("symbol").orderBy(F.when(event, 0).otherwise(1), off, F.when(event, F.col("method")), F.array_position(F.lit(["time", "dollar", "imbalance"]), F.col("method"))))
-    best = score.withColumn("place", place).where("place = 1").select("symbol", "method")
-    return every.join(best, ["symbol", "method"])
+    # Every bar is made once: medians, scores and the choice are windows over the same rows.
+    rows = every.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy("symbol", "method").orderBy("ts")))
+    rows = rows.withColumn("off", F.coalesce(F.abs(F.percentile("gap", 0.5).over(Window.partitionBy("symbol", "method")) / 1e6 - target_seconds), F.lit(float("inf"))))
+    event = (F.col("method") != "time") & (F.col("off") <= tolerance * target_seconds)
+    order = F.struct(F.when(event, 0).otherwise(1).alias("a"), F.col("off"), F.when(event, F.col("method")).alias("b"), F.array_position(F.lit(["time", "dollar", "imbalance"]), F.col("method")).alias("c"), F.col("method"))
+    rows = rows.withColumn("best", F.min(order).over(Window.partitionBy("symbol"))["method"])
+    return rows.where("method = best").select("symbol", "method", *columns[1:])

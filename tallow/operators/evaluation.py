@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, ratio
+from ..functions.columns import DAY_US, by_time, ratio
 
 YEAR_S = 31_557_600.0
 
@@ -33,7 +33,8 @@ def executed(orders: DataFrame, fees: Fees = Fees(), queue_bps: float = 1.0, imp
         if name not in orders.columns:
             orders = orders.withColumn(name, default)
     largest = orders.groupBy(key).agg(F.max(F.abs("quantity")).alias("largest"))
-    df = orders.join(largest, key)
+    small = largest.limit(100_001).count() <= 100_000
+    df = orders.join(F.broadcast(largest) if small else largest, key)  # orders stay where they are unless keys are very many
     sign = F.when(F.col("side") == "buy", 1.0).when(F.col("side") == "sell", -1.0)
     size = F.coalesce(ratio(F.abs("quantity"), F.col("largest")), F.lit(0.0))
     df = df.withColumn("fill_price", F.col("price") * (1 + sign * (queue_bps / 10_000) + sign * size * (impact_bps / 10_000)))
@@ -89,19 +90,29 @@ def overfit_share(sharpes: DataFrame, threshold: float = 0.0) -> DataFrame:
     return sharpes.groupBy("symbol").agg(F.avg((F.col("sharpe") <= threshold).cast("double")).alias("pbo"))
 
 
+def changes(series: DataFrame, value: str, step: int = DAY_US) -> DataFrame:
+    """series (ts, value) with before, the value of the row before in time. Each span of step is a task's work; spans hand on their last value."""
+    rows = series.withColumn("span", F.floor(F.col("ts") / step))
+    last = rows.groupBy("span").agg(F.max_by(value, "ts").alias("last"))
+    last = last.select("span", F.lag("last").over(Window.orderBy("span")).alias("handed"))  # a row for each span of time
+    inside = F.lag(value).over(Window.partitionBy("span").orderBy("ts"))
+    return rows.withColumn("inside", inside).join(F.broadcast(last), "span").withColumn("before", F.coalesce("inside", "handed")).drop("span", "inside", "handed")
+
+
 def ensemble(signals: DataFrame, cap: float = 0.5, fees: Fees = Fees()) -> DataFrame:
-    """(ts, ensemble_score, turnover, fee_adjusted_score) of signals (panel, ts, score): inverse-deviation weights; times that a panel lacks count as 0."""
+    """(ts, ensemble_score, turnover, fee_adjusted_score, weight_sum) of signals (panel, ts, score): inverse-deviation weights; times that a panel lacks count as 0."""
     weights = signals.groupBy("panel").agg(F.coalesce(F.try_divide(F.lit(1.0), F.stddev_pop("score")), F.lit(0.0)).alias("w"))
     s = weights.agg(F.sum("w").alias("total"), F.count("*").alias("k")).first()  # panels are few
     if not s["k"]:
         raise ValueError("no signal panels")
     both = signals.join(F.broadcast(weights), "panel").groupBy("ts").agg(F.sum(F.col("w") * F.col("score")).alias("x"), F.count("score").alias("k"))
     df = both.select("ts", F.when(F.col("k") == s["k"], F.col("x") / (s["total"] or 1.0)).otherwise(0.0).alias("ensemble_score"))
-    w = Window.orderBy("ts")  # one combined series: a row for each time
-    df = df.withColumn("turnover", F.least(F.coalesce(F.abs(F.col("ensemble_score") - F.lag("ensemble_score").over(w)), F.lit(0.0)), F.lit(cap)))
-    mean = F.avg("turnover").over(Window.partitionBy(F.lit(1)))
-    cost = fees.cost(F.lit(False), mean) / 10_000
-    return df.withColumn("fee_adjusted_score", F.col("ensemble_score") - F.signum("ensemble_score") * cost)
+    df = changes(df, "ensemble_score")
+    df = df.withColumn("turnover", F.least(F.coalesce(F.abs(F.col("ensemble_score") - F.col("before")), F.lit(0.0)), F.lit(cap))).drop("before")
+    mean = df.agg(F.avg("turnover")).first()[0] or 0.0
+    cost = fees.cost(F.lit(False), F.lit(mean)) / 10_000
+    adjusted = F.col("ensemble_score") - F.signum("ensemble_score") * cost
+    return df.select("ts", "ensemble_score", "turnover", adjusted.alias("fee_adjusted_score"), F.lit(1.0 if s["total"] else 0.0).alias("weight_sum"))
 
 
 def meta_label(signals: DataFrame, threshold: float = 0.5) -> DataFrame:

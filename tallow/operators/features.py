@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import DAY_US, by_time, last_rows, ratio, require_columns
+from ..functions.columns import DAY_US, by_time, full, last_rows, ratio, require_columns
 
 
 def morphology(candles: DataFrame, windows: tuple[int, ...] = (60, 120, 240, 360)) -> DataFrame:
@@ -53,6 +53,36 @@ def rollup(features: DataFrame, mapping: DataFrame) -> DataFrame:
     return rows.groupBy("symbol", "bar_id").agg(*[make[f](x).alias(f"{x}_{f}") for x in columns for f in reducers(x)])
 
 
+def motif_vectors(features: DataFrame, window: int, columns: list[str] | None = None) -> DataFrame:
+    """(symbol, ts, {column}_{mean, std, min, max, last} ..) over full windows of so many rows; rows that lack a value are left out."""
+    columns = columns or [c for c in features.columns if c not in ("symbol", "ts")]
+    n, w = max(window, 1), last_rows(max(window, 1))
+    value = {c: F.col(f"`{c}`").try_cast("double") for c in columns}
+    out = {f"{c}_{k}": full(value[c], f(value[c]).over(w), n) for c in columns for k, f in (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))}
+    return features.select("symbol", "ts", *[x.alias(k) for k, x in out.items()], *[value[c].alias(f"{c}_last") for c in columns]).dropna()
+
+
+def motif_clusters(features: DataFrame, window: int, clusters: int, columns: list[str] | None = None, seeds: int = 10, path: str | None = None) -> DataFrame:
+    """(symbol, ts, motif_id): k-means over motif_vectors, the best of several seeds by its cost. With path the vectors are written there once."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = motif_vectors(features, window, columns)
+    if path:
+        rows.write.mode("overwrite").parquet(path)
+        rows = rows.sparkSession.read.parquet(path)
+    if rows.isEmpty():
+        raise ValueError("no full window of observations")
+    points = VectorAssembler(inputCols=[c for c in rows.columns if c not in ("symbol", "ts")], outputCol="__v").transform(rows)
+    fits = [KMeans(k=clusters, seed=s, featuresCol="__v", predictionCol="motif_id").fit(points) for s in range(42, 42 + seeds)]
+    return min(fits, key=lambda m: m.summary.trainingCost).transform(points).select("symbol", "ts", "motif_id")
+
+
+def one_hot(motifs: DataFrame, universe: list[int]) -> DataFrame:
+    """(symbol, ts, motif_{id} ..), 1 where a row is of the motif, else 0."""
+    return motifs.select("symbol", "ts", *[(F.col("motif_id") == k).cast("int").alias(f"motif_{k}") for k in universe])
+
+
 def states(df: DataFrame, column: str = "ret", low: float = -0.001, high: float = 0.001) -> DataFrame:
     """df with state: U above high, D below low, else F."""
     return df.withColumn("state", F.when(F.col(column) > high, "U").when(F.col(column) < low, "D").otherwise("F"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,9 +15,23 @@ HOUR_US = 3_600_000_000
 
 
 def _ewm(span: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        return rows.assign(vol=rows["ret"].ewm(span=span, adjust=False).std(bias=False))[["symbol", "ts", "vol"]]
+    """For mapInPandas over rows sorted by symbol and time: the exponentially weighted deviation so far, corrected for bias. Three sums are carried from row to row."""
+    a = 2 / (span + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        symbol, mean, cov, squares = None, 0.0, 0.0, 1.0
+        for rows in batches:
+            own, x = rows["symbol"].to_numpy(), rows["ret"].to_numpy()
+            vol = np.full(len(rows), np.nan)
+            for k in range(len(rows)):
+                if own[k] != symbol:
+                    symbol, mean, cov, squares = own[k], x[k], 0.0, 1.0
+                    continue
+                old, mean = mean, (1 - a) * mean + a * x[k]
+                cov = (1 - a) * (cov + (old - mean) ** 2) + a * (x[k] - mean) ** 2
+                squares = squares * (1 - a) ** 2 + a * a
+                vol[k] = np.sqrt(cov / (1 - squares))
+            yield rows.assign(vol=vol)
 
     return run
 
@@ -22,10 +39,11 @@ def _ewm(span: int):
 def volatility(bars: DataFrame, lookback: int = 48) -> DataFrame:
     """bars with sigma: exponentially weighted deviation of returns; where that is null or not positive, the rolling mean of their sizes."""
     df = bars.withColumn("ret", F.coalesce(ratio(F.col("close"), F.lag("close").over(by_time())) - 1, F.lit(0.0)))
-    vol = df.select("symbol", "ts", "ret").groupBy("symbol").applyInPandas(_ewm(lookback), "symbol string, ts long, vol double")
     df = df.withColumn("mean_size", F.avg(F.abs("ret")).over(last_rows(lookback)))
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", vol double"
+    df = df.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInPandas(_ewm(lookback), schema)
     known = (F.col("vol") > 0) & ~F.isnan("vol")
-    return df.join(vol, ["symbol", "ts"]).withColumn("sigma", F.when(known, F.col("vol")).otherwise(F.col("mean_size"))).drop("vol", "mean_size", "ret")
+    return df.withColumn("sigma", F.when(known, F.col("vol")).otherwise(F.col("mean_size"))).drop("vol", "mean_size", "ret")
 
 
 def triple_barrier(bars: DataFrame, sigma: str = "sigma", up: float = 2.0, down: float = 2.0, min_hours: float = 2.0, max_hours: float = 12.0) -> DataFrame:
@@ -33,13 +51,19 @@ def triple_barrier(bars: DataFrame, sigma: str = "sigma", up: float = 2.0, down:
 
     Bars within the horizon, and the first at or after its end, are held against
     both barriers on their closes; the upper one comes first, then the lower,
-    then time. Bars before min_hours do not count, unless one is the last.
+    then time. Bars before min_hours do not count, unless one is the last. The
+    bar at the horizon's end is found by one sort of bars and ends together; a
+    row's work is the number of bars in its horizon.
     """
     least, most, c = int(min_hours * HOUR_US), int(max_hours * HOUR_US), F.col
     w, point = by_time(), F.struct("ts", "close", "bar_id")
     df = bars.withColumn("later", F.collect_list(point).over(w.rangeBetween(1, most)))
     df = df.withColumn("end", F.max(point).over(Window.partitionBy("symbol")))
-    df = df.withColumn("next", F.coalesce(F.first(point).over(w.rangeBetween(most, Window.unboundedFollowing)), c("end")))
+    ends = df.select("*", (c("ts") + most).alias("at"), F.lit(0).alias("is_bar"), F.lit(None).cast(df.select(point.alias("p")).schema["p"].dataType).alias("point"))
+    points = df.select("symbol", c("ts").alias("at"), F.lit(1).alias("is_bar"), point.alias("point"))
+    after = Window.partitionBy("symbol").orderBy(F.desc("at"), F.desc("is_bar")).rowsBetween(Window.unboundedPreceding, 0)
+    df = ends.unionByName(points, allowMissingColumns=True).withColumn("next", F.last("point", ignorenulls=True).over(after)).where("is_bar = 0").drop("at", "is_bar", "point")
+    df = df.withColumn("next", F.coalesce("next", "end"))
     width = F.greatest(c(sigma), F.lit(1e-6))
     df = df.withColumns({"up_bar": c("close") * (1 + up * width), "dn_bar": c("close") * (1 - down * width), "expiry": F.least(c("ts") + most, c("end.ts"))})
     counts = lambda f: ((f["ts"] - c("ts") >= least) | (f["bar_id"] == c("end.bar_id"))) & ((f["close"] >= c("up_bar")) | (f["close"] <= c("dn_bar")))
@@ -60,6 +84,14 @@ def distribution(labels: DataFrame) -> DataFrame:
     return labels.groupBy("y").agg(F.count("*").alias("n")).select("y", (F.col("n") / total).alias("share"))
 
 
+def diagnostics(labels: DataFrame) -> DataFrame:
+    """(symbol, rows, the shares of y = 1, 0, -1 and of hits up, down, time, avg_holding_hours)."""
+    share = lambda condition: F.avg(condition.cast("double"))
+    classes = [share(F.col("y") == v).alias(f"class_{k}") for k, v in (("up", 1), ("flat", 0), ("down", -1))]
+    hits = [share(F.col("hit") == h).alias(f"hit_{h}") for h in ("up", "down", "time")]
+    return labels.groupBy("symbol").agg(F.count("*").alias("rows"), *classes, *hits, F.avg("holding_hours").alias("avg_holding_hours"))
+
+
 def require_balance(labels: DataFrame, least: float = 0.05) -> None:
     small = [r["y"] for r in distribution(labels).collect() if r["share"] < least]
     if small:

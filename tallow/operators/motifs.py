@@ -8,31 +8,81 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import predicates
 
-def mine(rows: DataFrame, items: list[str], label: str = "y", min_support: float = 0.01, min_lift: float = 1.1, max_size: int = 3) -> DataFrame:
-    """(name, items, direction, support, lift, purity) of the sets of boolean columns items that hold in min_support of the rows.
+
+def mine(rows: DataFrame, items: list[str], label: str = "y", min_support: float = 0.01, min_lift: float = 1.1, max_size: int = 3, by: str | None = None) -> DataFrame:
+    """(by.., name, items, direction, support, lift, purity) of the sets of boolean columns items that hold in min_support of the rows, of each key of column by if given.
 
     Level after level: a larger set is counted only if all its parts are
-    frequent. A level is one pass with a sum for each candidate, batched so that
-    a plan stays small; no row is copied for each combination.
+    frequent for some key. A level is one pass with a sum for each candidate,
+    batched so that a plan stays small; no row is copied for each combination.
+    The counts that come to the driver are a row for each key and batch.
+    """
+    key = F.col(f"`{by}`") if by else F.lit("")
+    bits = rows.select(key.alias("key"), F.col(label).alias("y"), *[F.coalesce(F.col(x).cast("boolean"), F.lit(False)).alias(x) for x in items])
+    total = {r["key"]: r for r in bits.groupBy("key").agg(F.count("*").alias("n"), F.avg((F.col("y") == 1).cast("double")).alias("up"), F.avg((F.col("y") == -1).cast("double")).alias("down")).collect()}
+    found, frequent = [], dict.fromkeys(total)
+    for size in range(1, max_size + 1 if total else 1):
+        able = lambda s: [k for k, f in frequent.items() if f is None or all(p in f for p in combinations(s, size - 1))]
+        sets = {s: keys for s in combinations(sorted(items), size) if (keys := set(able(s)))}
+        new = {k: set() for k in total}
+        for b in range(0, len(sets), 200):
+            part = list(sets)[b : b + 200]
+            held = [reduce(lambda a, b: a & b, [F.col(x) for x in s]) for s in part]
+            for row in bits.groupBy("key").agg(*[F.count_if(h & c).alias(f"c{j}_{k}") for j, h in enumerate(held) for k, c in enumerate((F.lit(True), F.col("y") == 1, F.col("y") == -1))]).collect():
+                base = total[row["key"]]
+                for j, s in enumerate(part):
+                    hits, up, down = row[1 + 3 * j : 4 + 3 * j]
+                    if row["key"] not in sets[s] or not hits or hits / base["n"] < min_support:
+                        continue
+                    new[row["key"]].add(s)
+                    for direction, good, share in ((1, up, base["up"] or 1e-6), (-1, down, base["down"] or 1e-6)):
+                        if good and good / hits / share >= min_lift:
+                            found.append((row["key"], "_".join(s) + ("__LONG" if direction > 0 else "__SHORT"), list(s), direction, hits / base["n"], good / hits / share, good / hits))
+        frequent = new
+    out = rows.sparkSession.createDataFrame(found, "key string, name string, items array<string>, direction int, support double, lift double, purity double")
+    return out.withColumnRenamed("key", by) if by else out.drop("key")
+
+
+#: Predicates that motifs are made of unless others are named, fixed values.
+DEFAULT_SPECS: list[tuple[str, dict]] = [
+    ("LONG_LOWER_WICK", {"kind": "lower", "threshold": 0.3}),
+    ("WICK_DOMINANCE", {"kind": "upper", "ratio": 1.5}),
+    ("RANGE_COMPRESSION", {"window": 5, "quantile": 0.2}),
+    ("VOLUME_SPIKE", {"window": 20, "quantile": 0.8}),
+    ("BREAK_ABOVE_RANGE", {"lookback": 10, "eps": 0.0}),
+    ("BREAK_BELOW_RANGE", {"lookback": 10, "eps": 0.0}),
+    ("INSIDE_BAR", {}),
+    ("OUTSIDE_BAR", {}),
+    ("BULLISH_ENGULF", {}),
+    ("BEARISH_ENGULF", {}),
+    ("EVR_ANOMALY", {"window": 20, "threshold": 1.0}),
+    ("ROUND_LEVEL_PROXIMITY", {"step": 0.01, "tolerance": 0.25}),
+    ("PIVOT_HIGH", {"left": 2, "right": 2}),
+    ("PIVOT_LOW", {"left": 2, "right": 2}),
+]
+
+
+def parsed_specs(document: dict | list | None) -> list[tuple[str, dict]]:
+    """(name, params) of a configuration: the list under default, or the list itself; an entry is a name or {name, params}."""
+    entries = document.get("default", document) if isinstance(document, dict) else document
+    if entries is None:
+        return DEFAULT_SPECS
+    return [(e, {}) if isinstance(e, str) else (e["name"], dict(e.get("params") or {})) for e in entries]
+
+
+def mine_bars(bars: DataFrame, labels: DataFrame, specs: list[tuple[str, dict]] | None = None, by: str | None = "symbol", on: str = "ts", masks_path: str | None = None, **options) -> DataFrame:
+    """Motifs of the predicates' verdicts on bars, with labels (symbol, on, y) joined and 0 where a bar has none.
+
+    The verdicts are windows; with masks_path they are written there once, so
+    that a level of the mining reads booleans.
     """
-    base = rows.agg(F.count("*").alias("n"), F.avg((F.col(label) == 1).cast("double")).alias("up"), F.avg((F.col(label) == -1).cast("double")).alias("down")).first()
-    n, shares = base["n"], {1: base["up"] or 1e-6, -1: base["down"] or 1e-6}
-    found, frequent = [], None
-    for size in range(1, max_size + 1 if n else 1):
-        sets = [s for s in combinations(sorted(items), size) if frequent is None or all(p in frequent for p in combinations(s, size - 1))]
-        frequent = set()
-        for k in range(0, len(sets), 200):
-            part = sets[k : k + 200]
-            held = [reduce(lambda a, b: a & b, [F.col(x).cast("boolean") for x in s]) for s in part]
-            row = rows.agg(*[F.count_if(h & c) for h in held for c in (F.lit(True), F.col(label) == 1, F.col(label) == -1)]).first()
-            for j, s in enumerate(part):
-                hits, up, down = row[3 * j : 3 * j + 3]
-                if not hits or hits / n < min_support:
-                    continue
-                frequent.add(s)
-                for direction, good in ((1, up), (-1, down)):
-                    purity = good / hits
-                    if purity > 0 and purity / shares[direction] >= min_lift:
-                        found.append(("_".join(s) + ("__LONG" if direction > 0 else "__SHORT"), list(s), direction, hits / n, purity / shares[direction], purity))
-    return rows.sparkSession.createDataFrame(found, "name string, items array<string>, direction int, support double, lift double, purity double")
+    specs = DEFAULT_SPECS if specs is None else specs
+    names = [f"{name}__{k}" for k, (name, _) in enumerate(specs)]
+    rows = predicates.evaluate_all(bars, specs).select("symbol", on, *names)
+    rows = rows.join(labels.select("symbol", on, F.col("y").alias("__y")), ["symbol", on], "left").withColumn("__y", F.coalesce("__y", F.lit(0)))
+    if masks_path:
+        rows.write.mode("overwrite").parquet(masks_path)
+        rows = rows.sparkSession.read.parquet(masks_path)
+    return mine(rows, names, "__y", by=by, **options)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+import re
+from statistics import NormalDist
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import patterns, predicates
+from ..functions import patterns, predicates, rules
 from ..functions.columns import by_time, ratio
-from ..operators import bars, evaluation, features, labels, motifs
+from ..operators import bars, evaluation, features, fees, labels, motifs, nulls, prototypes, strategy
 from ..sources.candles import from_events
+from . import research
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -54,11 +59,11 @@ def minute_bar_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.time_mapping(candles, bars.time_bars(candles))
 
 
-def _event_sql(size: str, trigger: str, add: str) -> str:
+def _event_sql(size: str, trigger: str, add: str, minutes: int = 240) -> str:
     return f"""WITH RECURSIVE {OHLCV},
 k AS (SELECT *, CASE WHEN close > p THEN 1.0 WHEN close < p THEN -1.0 END AS d FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY ts) AS p FROM o)),
 m AS (SELECT *, coalesce(last_value(d IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts), 1.0) AS tick, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM k),
-x AS (SELECT symbol, ts, n, {add} AS x, greatest(quantile_cont({size}, 0.5) OVER (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING) * 240, 1e-6) AS lim FROM m),
+x AS (SELECT symbol, ts, n, {add} AS x, greatest(quantile_cont({size}, 0.5) OVER (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING) * {minutes}, 1e-6) AS lim FROM m),
 f AS (
   SELECT symbol, n, ts, lim, x AS total, 0 AS bar_id FROM x WHERE n = 1
   UNION ALL
@@ -73,12 +78,29 @@ def dollar_bar_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.event_mapping(from_events(spark, sf_dir), "dollar")
 
 
-@query(_event_sql("abs(volume)", "abs(f.total)", "tick * volume"))
+@query(_event_sql("abs(volume)", "abs(f.total)", "tick * volume", 4))
 def imbalance_bar_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bars.event_mapping(from_events(spark, sf_dir), "imbalance", target_seconds=14_400)
-
-
-@query()
+    return bars.event_mapping(from_events(spark, sf_dir), "imbalance", target_seconds=240)
+
+
+def _event_bars_sql(method: str, size: str, trigger: str, add: str, minutes: int) -> str:
+    body = _event_sql(size, trigger, add, minutes).split("k AS (SELECT *, CASE", 1)[1]
+    parts, last = ("k AS (SELECT *, CASE" + body).rsplit("\nSELECT symbol, ts AS timestamp", 1)
+    for name in ("k", "m", "x", "f", "z"):
+        parts = re.sub(rf"\b{name}\b(?= AS \()", f"{name}_{method}", parts)
+        parts = re.sub(rf"(FROM|JOIN) {name}\b", rf"\1 {name}_{method} AS {name}", parts)
+    mapped = f"{method}_map AS (SELECT symbol, ts, CAST(bar_id AS BIGINT) AS bar_id FROM f_{method} AS f ANTI JOIN z_{method} AS z USING (symbol, bar_id))"
+    return f"{parts},\n{mapped},\n{method}_bars AS (SELECT '{method}' AS method, symbol, bar_id, max(ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume FROM {method}_map JOIN o USING (symbol, ts) GROUP BY symbol, bar_id)"
+
+
+@query(f"""WITH RECURSIVE {BARS.replace("row_number() OVER (PARTITION BY symbol ORDER BY edge) - 1 AS bar_id", "CAST(row_number() OVER (PARTITION BY symbol ORDER BY edge) - 1 AS BIGINT) AS bar_id")},
+{_event_bars_sql("dollar", "abs(close * volume)", "f.total", "abs(close * volume)", 240)},
+{_event_bars_sql("imbalance", "abs(volume)", "abs(f.total)", "tick * volume", 240)},
+w AS (SELECT 'time' AS method, * FROM b UNION ALL BY NAME SELECT * FROM dollar_bars UNION ALL BY NAME SELECT * FROM imbalance_bars),
+g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY symbol, method ORDER BY ts) AS gap FROM w),
+c AS (SELECT symbol, method, coalesce(abs(quantile_cont(gap, 0.5) / 1e6 - 14400), 'inf'::DOUBLE) AS off FROM g GROUP BY ALL),
+y AS (SELECT symbol, method FROM c QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY CASE WHEN method <> 'time' AND off <= 0.25 * 14400 THEN 0 ELSE 1 END, off, list_position(['time', 'dollar', 'imbalance'], method)) = 1)
+SELECT symbol, method, bar_id, ts, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, round(volume, 6) + 0.0 AS volume FROM w JOIN y USING (symbol, method)""")
 def bar_method_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.chosen_bars(from_events(spark, sf_dir)))
 
@@ -88,7 +110,7 @@ def _morph_sql(n: int) -> str:
     cols = {
         "tod_sin": "sin(floor((ts % 86400000000) / 1e6) * (2 * pi() / 86400))", "tod_cos": "cos(floor((ts % 86400000000) / 1e6) * (2 * pi() / 86400))", "direction": "sign(close - open)", "range": "tr", "body": "body",
         "wick_upper": "wu", "wick_lower": "wl", "cum_return": "sum(ret) OVER (PARTITION BY symbol ORDER BY ts)",
-        f"w{n}_body_atr": f"body / nullif(avg(tr) OVER {w}, 0)", f"w{n}_upper_body": "wu / nullif(body, 0)", f"w{n}_lower_body": "wl / nullif(body, 0)", f"w{n}_range_var": f"nullif(var_samp(tr) OVER {w}, 0) + 1e-9",  # off the halves that rounding would split
+        f"w{n}_body_atr": f"body / nullif(avg(tr) OVER {w}, 0)", f"w{n}_upper_body": "wu / nullif(body, 0)", f"w{n}_lower_body": "wl / nullif(body, 0)", f"w{n}_range_var": f"var_samp(tr) OVER {w}",
         f"w{n}_ret_sum": f"sum(ret) OVER {w}", f"w{n}_ret_z": f"(ret - avg(ret) OVER {w}) / nullif(stddev_pop(ret) OVER {w}, 0)", f"w{n}_vol_z": f"(volume - avg(volume) OVER {w}) / nullif(stddev_pop(volume) OVER {w}, 0)",
         f"w{n}_drawup": f"(close - min(close) OVER {w}) / nullif(min(close) OVER {w}, 0)", f"w{n}_drawdown": f"(max(close) OVER {w} - close) / nullif(max(close) OVER {w}, 0)",
     }
@@ -96,13 +118,12 @@ def _morph_sql(n: int) -> str:
     return f"""WITH {OHLCV},
 d AS (SELECT *, abs(close - open) AS body, high - greatest(open, close) AS wu, least(open, close) - low AS wl, nullif(high - low, 0) AS tr,
   coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1, 0) AS ret FROM o)
-SELECT symbol, ts, {", ".join(f"round(coalesce({x}, 0), 6) + 0.0 AS {k}" for k, x in cols.items())}, {flag} FROM d"""
+SELECT symbol, ts, {", ".join(f"round(coalesce({x}, 0), 7) + 0.0 AS {k}" for k, x in cols.items())}, {flag} FROM d"""
 
 
 def _morph(n: int):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        m = features.morphology(from_events(spark, sf_dir), (n,))
-        return rounded(m.withColumn(f"w{n}_range_var", F.when(F.col(f"w{n}_range_var") != 0, F.col(f"w{n}_range_var") + 1e-9).otherwise(0.0)))
+        return rounded(features.morphology(from_events(spark, sf_dir), (n,)), 7)
 
     f.__name__ = f"morph_w{n}"
     return query(_morph_sql(n))(f)
@@ -129,8 +150,21 @@ def _full(value: str, x: str, n: int, frame: str | None = None) -> str:
 
 _BEFORE = "BETWEEN 10 PRECEDING AND 1 PRECEDING"
 _PREV = {x: f"lag({x}) {_LAG}" for x in ("open", "high", "low", "close")}
+
+
+def _near(level: str, tolerance: float = 0.02) -> str:
+    return f"abs(close - {level}) / nullif({_full('avg(tr)', 'tr', 20)}, 0) <= {tolerance}"
+
+
+_FIRST = f"greatest(first_value(close) {_LAG}, 1e-12)"
+
+
+def _steps(p: float) -> str:
+    return f"{_FIRST} * exp(round_even(ln(greatest(greatest(close, 1e-12) / {_FIRST}, 1e-12)) / {math.log(1 + p)!r}, 0) * {math.log(1 + p)!r})"
+
+
 PREDICATES = {
-    "LONG_LOWER_WICK": ({"threshold": 0.4}, "coalesce(lw / tr, 0) >= 0.4"),
+    "LONG_LOWER_WICK": ({"threshold": 0.4}, "coalesce(lw / nullif(tr, 0), 0) >= 0.4"),
     "RANGE_COMPRESSION": ({}, f"tr <= {_full('quantile_cont(tr, 0.2)', 'tr', 5)}"),
     "VOLUME_SPIKE": ({}, f"volume >= {_full('quantile_cont(volume, 0.8)', 'volume', 20)}"),
     "CLOSE_ABOVE_PRIOR_LOW": ({}, f"close > {_PREV['low']}"),
@@ -142,24 +176,28 @@ PREDICATES = {
     "BULLISH_ENGULF": ({}, f"{_PREV['close']} < {_PREV['open']} AND close > open AND greatest(open, close) >= greatest({_PREV['open']}, {_PREV['close']}) AND least(open, close) <= least({_PREV['open']}, {_PREV['close']})"),
     "BEARISH_ENGULF": ({}, f"{_PREV['close']} > {_PREV['open']} AND close < open AND greatest(open, close) >= greatest({_PREV['open']}, {_PREV['close']}) AND least(open, close) <= least({_PREV['open']}, {_PREV['close']})"),
     "WICK_DOMINANCE": ({}, "coalesce(uw / nullif(body, 0), 0) >= 1.5"),
-    "EVR_ANOMALY": ({}, f"coalesce(({_full('(volume - avg(volume)', 'volume', 20).replace('(volume - avg(volume)', 'volume - avg(volume)')}) / nullif(stddev_pop(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), 0) / nullif(tr / ({_full('avg(tr)', 'tr', 20)}), 0), 0) >= 1"),
+    "EVR_ANOMALY": ({}, f"coalesce(({_full('(volume - avg(volume)', 'volume', 20).replace('(volume - avg(volume)', 'volume - avg(volume)')}) / nullif(stddev_pop(volume) OVER (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), 0) / nullif(tr / nullif({_full('avg(tr)', 'tr', 20)}, 0), 0), 0) >= 1"),
     "PIVOT_HIGH": ({}, f"high > {_PREV['high']} AND high > lag(high, 2) {_LAG} AND high >= lead(high) {_LAG} AND high >= lead(high, 2) {_LAG}"),
     "PIVOT_LOW": ({}, f"low < {_PREV['low']} AND low < lag(low, 2) {_LAG} AND low <= lead(low) {_LAG} AND low <= lead(low, 2) {_LAG}"),
-    "ROUND_LEVEL_PROXIMITY": ({"tick": 5.0}, f"abs(close - round_even(close / 5, 0) * 5) / nullif({_full('avg(tr)', 'tr', 20)}, 0) <= 0.2"),
+    "ROUND_LEVEL_PROXIMITY": ({"tick": 5.0, "tolerance": 0.02}, _near("round_even(close / 5, 0) * 5")),
 }
-FIELDS = f"{OHLCV},\nf AS (SELECT *, abs(close - open) AS body, high - greatest(open, close) AS uw, least(open, close) - low AS lw, nullif(high - low, 0) AS tr FROM o)"
+FIELDS = f"{OHLCV},\nf AS (SELECT *, abs(close - open) AS body, high - greatest(open, close) AS uw, least(open, close) - low AS lw, high - low AS tr FROM o)"
 
 
-def _predicate(name: str, params: dict, sql: str):
+def _predicate(name: str, params: dict, sql: str, suffix: str = ""):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         return predicates.evaluate(from_events(spark, sf_dir), name, "hit", **params).select("symbol", "ts", "hit")
 
-    f.__name__ = f"pred_{name.lower()}"
+    f.__name__ = f"pred_{name.lower()}{suffix}"
     return query(f"WITH {FIELDS} SELECT symbol, ts, coalesce({sql}, false) AS hit FROM f")(f)
 
 
 for _name, (_params, _sql) in PREDICATES.items():
     _predicate(_name, _params, _sql)
+_predicate("ROUND_LEVEL_PROXIMITY", {"percent": 0.03, "tolerance": 0.02}, _near(_steps(0.03)), "_percent")
+_predicate("ROUND_LEVEL_PROXIMITY", {"step": 7.5, "tolerance": 0.02}, _near("round_even(close / 7.5, 0) * 7.5"), "_step")
+_predicate("ROUND_LEVEL_PROXIMITY", {"tolerance": 0.005}, _near(f"CASE WHEN quantile_cont(close, 0.5) OVER (PARTITION BY symbol) > 1 THEN {_steps(0.01)} END", 0.005), "_auto")  # every symbol's median is above 1
+_predicate("WICK_DOMINANCE", {"ratio": 0.5, "kind": "lower"}, "coalesce(lw / nullif(body, 0), 0) >= 0.5", "_lower")
 
 _INSIDE, _HIGHER, _ABOVE = (PREDICATES[x][1] for x in ("INSIDE_BAR", "HIGHER_LOW", "CLOSE_ABOVE_PRIOR_LOW"))
 _MASKS = f"{FIELDS}, m AS (SELECT symbol, ts, coalesce({_INSIDE}, false) AS a, coalesce({_HIGHER}, false) AS b, coalesce({_ABOVE}, false) AS c FROM f)"
@@ -173,6 +211,12 @@ PATTERNS = {
         {"name": "SEQUENCE", "params": {"window": 5}, "children": ["INSIDE_BAR", "HIGHER_LOW"]},
         f"""WITH {_MASKS}, l AS (SELECT symbol, ts, list(a) OVER v AS a, list(b) OVER v AS b FROM m WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING))
 SELECT symbol, ts, coalesce(list_position(a, true) > 0 AND list_contains(list_slice(b, CAST(list_position(a, true) + 1 AS BIGINT), 5), true), false) AS hit FROM l""",
+    ),
+    "dsl_sequence_tolerance": (
+        {"name": "SEQUENCE", "params": {"window": 5, "tolerance": 1}, "children": ["INSIDE_BAR", "HIGHER_LOW", "INSIDE_BAR"]},
+        f"""WITH {_MASKS}, l AS (SELECT symbol, ts, list(a) OVER v AS a, list(b) OVER v AS b FROM m WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING)),
+x AS (SELECT *, coalesce(list_position(a, true), 0) AS p FROM l), y AS (SELECT *, coalesce(list_position(b[p + 1:], true), 0) AS q FROM x), z AS (SELECT *, coalesce(list_position(a[p + q + 1:], true), 0) AS r FROM y)
+SELECT symbol, ts, CAST(p = 0 AS INT) + CAST(q = 0 AS INT) + CAST(r = 0 AS INT) <= 1 AS hit FROM z""",
     ),
     "seed_trend_pullback": (patterns.SEEDS["trend_pullback"], f"WITH {FIELDS} SELECT symbol, ts, coalesce({_HIGHER}, false) AND coalesce({PREDICATES['RANGE_COMPRESSION'][1]}, false) AS hit FROM f"),
     "seed_stop_run_reclaim": (patterns.SEEDS["stop_run_reclaim"], f"WITH {FIELDS} SELECT symbol, ts, coalesce({PREDICATES['LONG_LOWER_WICK'][1]}, false) AND coalesce({PREDICATES['VOLUME_SPIKE'][1]}, false) AND coalesce({_ABOVE}, false) AS hit FROM f"),
@@ -213,11 +257,6 @@ def triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("symbol", "bar_id", "ts", "t1", "y", "hit", "holding_hours", "exit_bar_id"), 4)
 
 
-@query()
-def triple_barrier_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(labels.triple_barrier(labels.volatility(bars.time_bars(from_events(spark, sf_dir)))))
-
-
 def _returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = from_events(spark, sf_dir)
     return o.select("symbol", "ts", F.coalesce(ratio(F.col("close"), F.lag("close").over(by_time())) - 1, F.lit(0.0)).alias("ret"))
@@ -251,10 +290,27 @@ def event_kfold_train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.event_training(_returns(spark, sf_dir).withColumn("t1", F.col("ts") + 21_600_000_000))
 
 
-@query(f"""WITH {_RET}, k AS (SELECT *, ntile(6) OVER (PARTITION BY symbol ORDER BY ts) AS fold FROM r), g AS (SELECT symbol, fold, avg(ret) AS m FROM k GROUP BY ALL)
+#: A position against the last move, held to the next bar: its folds win and lose.
+_FADE = f"{_RET}, s AS (SELECT symbol, ts, ret, coalesce(-sign(lag(ret) OVER (PARTITION BY symbol ORDER BY ts)) * (CASE WHEN ts // 3600000000 % 5 < 2 THEN -1 ELSE 1 END), 0) * least(ret, 1.0) AS gain FROM r)"
+
+
+def _fade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.floor(F.col("ts") / 3_600_000_000) % 5 < 2, -1).otherwise(1)
+    r = _returns(spark, sf_dir)
+    return r.withColumn("gain", F.coalesce(-F.signum(F.lag("ret").over(by_time())) * side, F.lit(0.0)) * F.least("ret", F.lit(1.0)))
+
+
+@query(f"""WITH {_FADE}, k AS (SELECT *, ntile(12) OVER (PARTITION BY symbol ORDER BY ts) AS fold FROM s), g AS (SELECT symbol, fold, avg(gain) AS m FROM k GROUP BY ALL)
 SELECT symbol, round(avg(CASE WHEN m <= 0 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS pbo FROM g GROUP BY symbol""")
 def pbo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(evaluation.overfit_share(evaluation.fold_sharpe(evaluation.folds(_returns(spark, sf_dir)))))
+    return rounded(evaluation.overfit_share(evaluation.fold_sharpe(evaluation.folds(_fade(spark, sf_dir), 12), "gain")))
+
+
+@query(f"""WITH {_RET}, k AS (SELECT *, ntile(5) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS b FROM r), c AS (SELECT row_number() OVER (ORDER BY x.i, y.i) - 1 AS fold, x.i AS p, y.i AS q FROM range(5) x(i), range(5) y(i) WHERE x.i < y.i),
+t AS (SELECT c.fold, k.* FROM k JOIN c ON k.b = c.p OR k.b = c.q), g AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY symbol, fold ORDER BY ts)) / 1e6 AS gap FROM t)
+SELECT symbol, CAST(fold AS INT) AS fold, round(avg(ret) / stddev_pop(ret) * sqrt(31557600 / greatest(quantile_cont(gap, 0.5), 1)), 4) + 0.0 AS sharpe, round(avg(abs(ret)), 4) + 0.0 AS abs_return_mean, round(sum(ret), 4) + 0.0 AS pnl FROM g GROUP BY symbol, fold""")
+def cpcv_two_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(evaluation.fold_sharpe(evaluation.folds(_returns(spark, sf_dir), 5, 2)), 4)
 
 
 _ITEMS = ["INSIDE_BAR", "HIGHER_LOW", "CLOSE_ABOVE_PRIOR_LOW"]
@@ -278,12 +334,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
     rows = li.join(o.select("o_orderkey", "o_orderdate"), li.l_orderkey == o.o_orderkey)
     return rows.select(
-        "l_orderkey", "l_linenumber", F.col("l_shipdate").isNull().cast("string").alias("symbol"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"), (F.col("l_linestatus") == "O").alias("maker"), F.col("l_discount").alias("participation"),
+        "l_orderkey", "l_linenumber", (F.col("l_suppkey") % 50).cast("string").alias("symbol"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), (F.col("l_quantity") * (1 + F.col("l_suppkey") % 50)).alias("quantity"), (F.col("l_linestatus") == "O").alias("maker"), F.col("l_discount").alias("participation"),
     )
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS s, l_extendedprice / l_quantity AS price, l_quantity AS q, l_linestatus = 'O' AS maker, l_discount AS part, max(abs(l_quantity)) OVER () AS largest FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS s, l_extendedprice / l_quantity AS price, l_quantity * (1 + l_suppkey % 50) AS q, l_linestatus = 'O' AS maker, l_discount AS part, max(abs(l_quantity * (1 + l_suppkey % 50))) OVER (PARTITION BY l_suppkey % 50) AS largest FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 y AS (SELECT *, price * (1 + s * 0.0001 + s * abs(q) / largest * 0.00001) AS fill, CASE WHEN maker THEN 1 ELSE 7 END + greatest(part, 0) * 0.5 AS fee FROM x)
 SELECT l_orderkey, l_linenumber, round(fill, 4) + 0.0 AS fill_price, round(fee, 4) + 0.0 AS fee_bps, round(abs(q) * fill * fee / 10000, 4) + 0.0 AS fee_paid, round((fill - price) / price * 10000, 4) + 0.0 AS slippage_bps FROM y""")
 def execution_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +350,7 @@ def execution_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_RET}, p AS (SELECT symbol AS panel, ts, ret AS score FROM r), w AS (SELECT panel, 1 / nullif(stddev_pop(score), 0) AS w FROM p GROUP BY panel), t AS (SELECT sum(w) AS total, count(*) AS k FROM w),
 c AS (SELECT ts, CASE WHEN count(*) = max(t.k) THEN sum(w * score) / max(t.total) ELSE 0 END AS s FROM p JOIN w USING (panel), t GROUP BY ts),
 d AS (SELECT ts, s, least(coalesce(abs(s - lag(s) OVER (ORDER BY ts)), 0), 0.5) AS turn FROM c)
-SELECT ts, round(s, 6) + 0.0 AS ensemble_score, round(turn, 6) + 0.0 AS turnover, round(s - sign(s) * (7 + 0.5 * avg(turn) OVER ()) / 10000, 6) + 0.0 AS fee_adjusted_score FROM d""")
+SELECT ts, round(s, 6) + 0.0 AS ensemble_score, round(turn, 6) + 0.0 AS turnover, round(s - sign(s) * (7 + 0.5 * avg(turn) OVER ()) / 10000, 6) + 0.0 AS fee_adjusted_score, 1.0::DOUBLE AS weight_sum FROM d""")
 def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.ensemble(_returns(spark, sf_dir).select(F.col("symbol").alias("panel"), "ts", F.col("ret").alias("score"))))
 
@@ -302,3 +358,186 @@ def ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RET} SELECT symbol, ts, CASE WHEN abs(ret) > 0.5 THEN 1 ELSE 0 END AS meta FROM r")
 def meta_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.meta_label(_returns(spark, sf_dir).withColumnRenamed("ret", "score")).select("symbol", "ts", "meta")
+
+
+_SIGNALS = f"""{_RET}, q AS (SELECT symbol, ts, least(ret, 1.0) AS ret FROM r),
+g AS (SELECT *, coalesce(avg(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS signal FROM q)"""
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _returns(spark, sf_dir).select("symbol", "ts", F.least("ret", F.lit(1.0)).alias("ret"))
+    return r.withColumn("signal", F.coalesce(F.avg("ret").over(by_time().rowsBetween(-3, -1)), F.lit(0.0)))
+
+
+@query(f"""WITH {_SIGNALS},
+p AS (SELECT *, CASE WHEN abs(signal) > 0.1 THEN sign(signal) ELSE 0 END AS pos FROM g),
+t AS (SELECT *, coalesce(abs(pos - lag(pos) OVER w), 0) AS turn, pos <> 0 AND coalesce(lag(pos) OVER w, 0) = 0 AS entry FROM p WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+c AS (SELECT *, least(avg(turn) OVER (PARTITION BY symbol), 1) AS part FROM t),
+n AS (SELECT *, pos * ret AS gross, turn * (7 + 0.5 * part) / 10000 AS cost, pos * ret - turn * (7 + 0.5 * part) / 10000 AS net, ntile(6) OVER (PARTITION BY symbol ORDER BY ts) AS fold FROM c),
+m AS (SELECT *, avg(net) OVER v AS mu, stddev_samp(net) OVER v AS sd FROM n WINDOW v AS (PARTITION BY symbol)),
+a AS (SELECT symbol, count(*) AS n, max(mu) AS mu, max(sd) AS sd, avg((net - mu) ** 3) / max(sd) ** 3 AS skew, avg((net - mu) ** 4) / max(sd) ** 4 AS kurt, stddev_pop(net) AS std_return, avg(gross) AS gross, avg(cost) AS cost, max(part) AS part, avg(turn) AS turnover,
+  avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS breadth, count(*) FILTER (entry) AS trades FROM m GROUP BY symbol),
+d AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY symbol, fold ORDER BY ts)) / 1e6 AS gap FROM m),
+s AS (SELECT symbol, fold, avg(net) / stddev_pop(net) * sqrt(31557600 / greatest(quantile_cont(gap, 0.5), 1)) AS sharpe FROM d GROUP BY ALL),
+f AS (SELECT symbol, avg(sharpe) AS sharpe_mean, avg(CASE WHEN sharpe <= 0 THEN 1.0 ELSE 0.0 END) AS pbo FROM s GROUP BY symbol),
+z AS (SELECT *, mu / sd AS sr, 1 - skew * (mu / sd) + (kurt - 3) / 4 * (mu / sd) ** 2 AS v FROM a JOIN f USING (symbol))
+SELECT symbol, n, round(mu, 6) + 0.0 AS mean_return, round(std_return, 6) + 0.0 AS std_return, round(gross, 6) + 0.0 AS mean_gross_return, round(cost, 6) + 0.0 AS mean_cost, round(part, 6) + 0.0 AS mean_participation, round(turnover, 6) + 0.0 AS turnover,
+  round(breadth, 6) + 0.0 AS breadth, trades AS trade_count, round(sharpe_mean, 6) + 0.0 AS sharpe_mean, round(sr, 6) + 0.0 AS sharpe_total, round(skew, 6) + 0.0 AS skew, round(kurt, 6) + 0.0 AS kurt,
+  round(sr * sqrt(n - 1) / sqrt(v), 6) + 0.0 AS psr_z, round((sr - sqrt(v / (n - 1)) * {NormalDist().inv_cdf(5 / 6)!r}) / sqrt(v / (n - 1)), 6) + 0.0 AS dsr_z, round(pbo, 6) + 0.0 AS pbo FROM z""")
+def strategy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _signals(spark, sf_dir)
+    return rounded(strategy.evaluated(s.select("symbol", "ts", "signal"), s.select("symbol", "ts", "ret")).drop("psr", "dsr"))
+
+
+@query()
+def strategy_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the normal distribution, which SQL lacks; the tests hold it against Python's."""
+    s = _signals(spark, sf_dir)
+    return rounded(strategy.fitness(strategy.evaluated(s.select("symbol", "ts", "signal"), s.select("symbol", "ts", "ret"))).select("symbol", "psr", "dsr", "fitness"))
+
+
+@query(f"""WITH {_SIGNALS}, k AS (SELECT symbol, ts, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS place, count(*) OVER (PARTITION BY symbol) AS n, ntile(6) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS fold FROM q),
+d AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY symbol, fold ORDER BY ts)) / 1e6 AS gap FROM k), h AS (SELECT symbol, fold, quantile_cont(gap, 0.5) AS gap, avg(ret) / stddev_pop(ret) * sqrt(31557600 / greatest(quantile_cont(gap, 0.5), 1)) AS sharpe FROM d GROUP BY ALL),
+b AS (SELECT symbol, place // 24 AS block, count(*) AS size FROM k GROUP BY ALL), u AS (SELECT b.*, r.i AS run FROM b, range(40) r(i)),
+o2 AS (SELECT *, sum(size) OVER (PARTITION BY symbol, run ORDER BY md5(run || '-' || block)) - size AS off FROM u),
+m AS (SELECT k.symbol, o2.run, k.ret, o2.off + k.place % 24 AS pos, k.n FROM k JOIN o2 ON k.symbol = o2.symbol AND k.place // 24 = o2.block),
+e AS (SELECT symbol, run, ret, CASE WHEN pos < (n % 6) * (n // 6 + 1) THEN pos // (n // 6 + 1) ELSE n % 6 + (pos - (n % 6) * (n // 6 + 1)) // (n // 6) END AS fold FROM m),
+s AS (SELECT e.symbol, run, e.fold, avg(ret) / stddev_pop(ret) * sqrt(31557600 / greatest(max(h.gap), 1)) AS sharpe FROM e JOIN h ON h.symbol = e.symbol AND h.fold = e.fold GROUP BY ALL),
+x AS (SELECT symbol, run, avg(sharpe) AS sharpe FROM s GROUP BY ALL), y AS (SELECT symbol, avg(sharpe) AS real_sharpe FROM h GROUP BY symbol)
+SELECT symbol, round(real_sharpe, 4) + 0.0 AS real_sharpe, round(avg(sharpe), 4) + 0.0 AS null_mean, round((count(*) FILTER (sharpe >= real_sharpe) + 1) / (count(*) + 1), 4) + 0.0 AS p_value, count(*) AS runs FROM x JOIN y USING (symbol) GROUP BY symbol, real_sharpe""")
+def permutation_p_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _signals(spark, sf_dir).select("symbol", "ts", "ret")
+    text = lambda run, b: F.md5(F.concat_ws("-", run.cast("string"), b.cast("string")).cast("binary"))
+    return rounded(nulls.p_values(nulls.real_sharpe(r), nulls.permuted(r, 40, 24, order=text)), 4)
+
+
+@query()
+def chance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random walks come from a seeded generator, which SQL lacks; the tests hold them against numpy."""
+    return rounded(nulls.summary(_signals(spark, sf_dir).select("symbol", "ts", "ret"), runs=20), 4)
+
+
+_RULE = "div(ret, gap) + GT(gap, 0.5) * 0.25 + AND(GE(vol, 3), LT(ret, 0)) * OR(vol, EQ(gap, 0)) + tanh(-ret)"
+
+
+@query(f"""WITH {_RET}, q AS (SELECT o.symbol, o.ts, least(ret, 1.0) AS ret, close - open AS gap, volume AS vol FROM o JOIN r USING (symbol, ts)),
+v AS (SELECT *, CASE WHEN abs(gap) < 1e-6 THEN CASE WHEN gap < 0 THEN NULL ELSE ret / (sign(gap) * 1e-6 + 1e-6) END ELSE ret / gap END + CAST(gap > 0.5 AS INT) * 0.25 + CAST(vol >= 3 AND ret < 0 AND (vol <> 0 OR gap = 0) AS INT) + tanh(-ret) AS x FROM q),
+s AS (SELECT symbol, stddev_pop(coalesce(x, 0)) AS s FROM v GROUP BY symbol)
+SELECT symbol, ts, round(tanh(coalesce(x, 0) / CASE WHEN s > 1e-6 THEN s ELSE 1 END), 6) + 0.0 AS signal FROM v JOIN s USING (symbol)""")
+def rule_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = from_events(spark, sf_dir).select("symbol", "ts", (F.col("close") - F.col("open")).alias("gap"), F.col("volume").alias("vol"))
+    features_of = _returns(spark, sf_dir).withColumn("ret", F.least("ret", F.lit(1.0))).join(o, ["symbol", "ts"])
+    return rounded(rules.with_signal(features_of, _RULE).select("symbol", "ts", "signal"))
+
+
+_BOTH = f"{_MASKS}, y AS (SELECT m.*, CASE WHEN n > 0 THEN 1 WHEN n < 0 THEN -1 ELSE 0 END AS y FROM m JOIN (SELECT symbol, ts, lead(close) OVER (PARTITION BY symbol ORDER BY ts) - close AS n FROM o) USING (symbol, ts))"
+
+
+@query(f"""WITH {_BOTH},
+s AS (SELECT symbol, unnest(['INSIDE_BAR__0', 'HIGHER_LOW__1', 'CLOSE_ABOVE_PRIOR_LOW__2', 'HIGHER_LOW__1_INSIDE_BAR__0', 'CLOSE_ABOVE_PRIOR_LOW__2_INSIDE_BAR__0', 'CLOSE_ABOVE_PRIOR_LOW__2_HIGHER_LOW__1']) AS k, unnest([a, b, c, a AND b, a AND c, b AND c]) AS h, y FROM y),
+t AS (SELECT symbol, k, d, count(*) FILTER (h) / count(*) AS support, count(*) FILTER (h AND y = d) / nullif(count(*) FILTER (h), 0) AS purity, count(*) FILTER (y = d) / count(*) AS base FROM s, (VALUES (1), (-1)) v(d) GROUP BY ALL)
+SELECT symbol, k || CASE WHEN d > 0 THEN '__LONG' ELSE '__SHORT' END AS name, CAST(d AS INT) AS direction, round(support, 6) + 0.0 AS support, round(purity / base, 6) + 0.0 AS lift, round(purity, 6) + 0.0 AS purity FROM t WHERE support >= 0.01 AND purity > 0 AND purity / base >= 0.9""")
+def motif_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of three predicates, joined with labels and mined for each symbol."""
+    o = from_events(spark, sf_dir)
+    y = o.select("symbol", "ts", F.coalesce(F.signum(F.lead("close").over(by_time()) - F.col("close")), F.lit(0.0)).cast("int").alias("y"))
+    return rounded(motifs.mine_bars(o, y.where("y <> 0"), [(name, {}) for name in _ITEMS], min_lift=0.9, max_size=2).drop("items"))
+
+
+@query(f"WITH {_RET} SELECT symbol, ts, CAST(ret > 0.001 AS INT) AS motif_0, CAST(ret < -0.001 AS INT) AS motif_1 FROM r")
+def motif_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _returns(spark, sf_dir).withColumn("motif_id", F.when(F.col("ret") > 0.001, 0).when(F.col("ret") < -0.001, 1).otherwise(2))
+    return features.one_hot(named, [0, 1])
+
+
+@query(f"""WITH {_RET}, q AS (SELECT symbol, ts, least(ret, 1.0) AS ret FROM r), v AS (SELECT symbol, ts, avg(ret) OVER w AS a, stddev_pop(ret) OVER w AS s, min(ret) OVER w AS lo, max(ret) OVER w AS hi, ret, count(*) OVER w AS n FROM q WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING))
+SELECT symbol, ts, round(a, 6) + 0.0 AS ret_mean, round(s, 6) + 0.0 AS ret_std, round(lo, 6) + 0.0 AS ret_min, round(hi, 6) + 0.0 AS ret_max, round(ret, 6) + 0.0 AS ret_last FROM v WHERE n = 24""")
+def motif_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(features.motif_vectors(_signals(spark, sf_dir).select("symbol", "ts", "ret"), 24))
+
+
+@query()
+def motif_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster numbers are arbitrary: rows only."""
+    return features.motif_clusters(_signals(spark, sf_dir).select("symbol", "ts", "ret"), 24, 4, seeds=2)
+
+
+_RULES = """rr AS (SELECT 'r' || (c_custkey % 40) AS name, string_agg(DISTINCT 'f' || (c_nationkey % 9), ' + ' ORDER BY 'f' || (c_nationkey % 9)) AS expression, avg(c_acctbal) AS dsr FROM customer GROUP BY 1)"""
+
+
+def _rule_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    token = F.concat(F.lit("f"), (F.col("c_nationkey") % 9).cast("string"))
+    rules_ = c.groupBy(F.concat(F.lit("r"), (F.col("c_custkey") % 40).cast("string")).alias("name")).agg(F.array_join(F.array_sort(F.collect_set(token)), " + ").alias("expression"), F.avg("c_acctbal").alias("dsr"))
+    return rules_.select("name", "expression", F.create_map(F.lit("dsr"), "dsr").alias("metadata"))
+
+
+@query(f"""WITH {_RULES}, t AS (SELECT name, unnest(list_distinct(regexp_extract_all(expression, '[A-Za-z_][A-Za-z0-9_]*'))) AS k FROM rr UNION ALL SELECT name, 'dsr' FROM rr), n AS (SELECT name, count(*) AS n FROM t GROUP BY name)
+SELECT x.name AS a, y.name AS b, round(1 - count(*) / (max(p.n) + max(q.n) - count(*)), 6) + 0.0 AS distance FROM t x JOIN t y ON x.k = y.k AND x.name < y.name JOIN n p ON p.name = x.name JOIN n q ON q.name = y.name GROUP BY ALL""")
+def rule_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(prototypes.jaccard_distances(prototypes.pattern_stats(_rule_records(spark, sf_dir))))
+
+
+@query(f"""WITH {_RULES}, t AS (SELECT name, unnest(list_distinct(regexp_extract_all(expression, '[A-Za-z_][A-Za-z0-9_]*'))) AS k FROM rr)
+SELECT name, {", ".join(f"max(CASE WHEN k = 'f{k}' THEN 1.0 ELSE 0.0 END)::DOUBLE AS f{k}" for k in range(9))}, round(max(dsr) / max(norm), 6) + 0.0 AS dsr FROM t JOIN rr USING (name), (SELECT sqrt(sum(dsr * dsr)) AS norm FROM rr) GROUP BY name""")
+def rule_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matrix = prototypes.feature_matrix(prototypes.pattern_stats(_rule_records(spark, sf_dir)))
+    return rounded(research.with_columns_of(prototypes.normalized(matrix, ["dsr"]), ["name", *[f"f{k}" for k in range(9)], "dsr"]).na.fill(0.0))
+
+
+_FEE_FILE = {"venues": {"x": {"spot": {"vip0": {"maker_bps": 1, "taker": 5, "half_spread_bps": 1.5, "impact": 0.5}, "vip1": {"maker": 0.5, "taker_bps": 3}}}}}
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 50 IN (3, 4) THEN 'vip1' ELSE 'vip0' END AS tier, CASE WHEN l_suppkey % 50 IN (3, 4) THEN 0.5 ELSE 1.0 END::DOUBLE AS fee_maker, CASE WHEN l_suppkey % 50 IN (3, 4) THEN 3.0 ELSE 5.0 END::DOUBLE AS fee_taker,
+CASE WHEN l_suppkey % 50 IN (3, 4) THEN 0.0 ELSE 1.5 END::DOUBLE AS fee_half_spread, CASE WHEN l_suppkey % 50 IN (3, 4) THEN 0.0 ELSE 0.5 END::DOUBLE AS fee_impact FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
+def fee_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fees.with_fees(_orders(spark, sf_dir), _FEE_FILE, "x", "spot", {"overrides": {"3": "vip1", "4": "vip1"}})
+    return out.select("l_orderkey", "l_linenumber", "tier", "fee_maker", "fee_taker", "fee_half_spread", "fee_impact")
+
+
+@query(f"WITH {BARS} SELECT o.symbol, o.ts, arg_min(b.bar_id, b.ts) AS bar_id FROM o LEFT JOIN b ON b.symbol = o.symbol AND b.ts >= o.ts AND b.bar_id % 3 = 0 GROUP BY o.symbol, o.ts")
+def as_of_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = from_events(spark, sf_dir)
+    return research.as_of_forward(o.select("symbol", "ts"), bars.time_bars(o).where("bar_id % 3 = 0"), "bar_id")
+
+
+_ROLL = {"tod_sin": "sin(floor((ts % 86400000000) / 1e6) * (2 * pi() / 86400))", "direction": "sign(close - open)", "range": "coalesce(nullif(high - low, 0), 0)", "body": "abs(close - open)", "wick_upper": "high - greatest(open, close)", "wick_lower": "least(open, close) - low"}
+
+
+@query(f"""WITH {BARS}, d AS (SELECT symbol, ts, edge, {", ".join(f"{x} AS {k}" for k, x in _ROLL.items())}, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1, 0) AS ret FROM e),
+x AS (SELECT *, sum(ret) OVER (PARTITION BY symbol ORDER BY ts) AS cum, sum(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS 2 PRECEDING) AS ret_sum FROM d)
+SELECT x.symbol, b.bar_id, round(avg(tod_sin), 6) + 0.0 AS tod_sin_mean, round(arg_max(direction, x.ts), 6) + 0.0 AS direction_last, round(avg("range"), 6) + 0.0 AS range_mean, round(max(body), 6) + 0.0 AS body_max, round(max(wick_upper), 6) + 0.0 AS wick_upper_max,
+  round(max(wick_lower), 6) + 0.0 AS wick_lower_max, round(arg_max(cum, x.ts), 6) + 0.0 AS cum_return_last, round(sum(ret_sum), 6) + 0.0 AS w3_ret_sum_sum FROM x JOIN b ON b.symbol = x.symbol AND b.ts = x.edge GROUP BY x.symbol, b.bar_id""")
+def rolled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = from_events(spark, sf_dir)
+    out = features.rollup(features.morphology(o, (3,)), bars.time_mapping(o, bars.time_bars(o)))
+    return rounded(out.select("symbol", "bar_id", "tod_sin_mean", "direction_last", "range_mean", "body_max", "wick_upper_max", "wick_lower_max", "cum_return_last", "w3_ret_sum_sum"))
+
+
+@query(f"""WITH RECURSIVE {BARS}, n AS (SELECT *, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1, 0) AS ret FROM b),
+w AS (SELECT symbol, bar_id, ret AS mean, 0.0::DOUBLE AS cov, 1.0::DOUBLE AS sq FROM n WHERE bar_id = 0
+  UNION ALL SELECT n.symbol, n.bar_id, (1 - {2 / 49!r}) * w.mean + {2 / 49!r} * n.ret, (1 - {2 / 49!r}) * (w.cov + (w.mean - ((1 - {2 / 49!r}) * w.mean + {2 / 49!r} * n.ret)) ** 2) + {2 / 49!r} * (n.ret - ((1 - {2 / 49!r}) * w.mean + {2 / 49!r} * n.ret)) ** 2, w.sq * (1 - {2 / 49!r}) ** 2 + {2 / 49!r} ** 2 FROM w JOIN n ON n.symbol = w.symbol AND n.bar_id = w.bar_id + 1),
+sigma AS (SELECT n.*, greatest(CASE WHEN n.bar_id > 0 AND w.cov > 0 THEN sqrt(w.cov / (1 - w.sq)) ELSE avg(abs(n.ret)) OVER (PARTITION BY n.symbol ORDER BY n.ts ROWS 47 PRECEDING) END, 1e-6) AS s FROM n JOIN w USING (symbol, bar_id)),
+g AS (SELECT *, max(ts) OVER (PARTITION BY symbol) AS last_ts, close * (1 + 2 * s) AS up, close * (1 - 2 * s) AS dn FROM sigma),
+nx AS (SELECT g.symbol, g.ts, coalesce(min(n.ts), max(g.last_ts)) AS nts FROM g LEFT JOIN b n ON n.symbol = g.symbol AND n.ts >= g.ts + 43200000000 GROUP BY ALL),
+p AS (
+  SELECT g.symbol, g.ts, min(q.ts) AS hit_ts FROM g JOIN nx USING (symbol, ts) JOIN b q ON q.symbol = g.symbol AND (q.ts > g.ts AND q.ts <= g.ts + 43200000000 OR q.ts = nx.nts)
+  WHERE (q.ts - g.ts >= 7200000000 OR q.ts = g.last_ts) AND (q.close >= g.up OR q.close <= g.dn) GROUP BY ALL)
+SELECT g.symbol, CAST(g.bar_id AS BIGINT) AS bar_id, g.ts, coalesce(p.hit_ts, least(g.ts + 43200000000, g.last_ts)) AS t1, CASE WHEN p.hit_ts IS NULL THEN 0 WHEN x.close >= g.up THEN 1 ELSE -1 END AS y, round(g.up, 4) + 0.0 AS up_bar, round(g.dn, 4) + 0.0 AS dn_bar,
+  CASE WHEN p.hit_ts IS NULL THEN 'time' WHEN x.close >= g.up THEN 'up' ELSE 'down' END AS hit, round((x.ts - g.ts) / 3.6e9, 4) + 0.0 AS holding_hours, round(x.close, 4) + 0.0 AS exit_price, CAST(x.bar_id AS BIGINT) AS exit_bar_id, round(coalesce(x.close / nullif(g.close, 0) - 1, 0), 4) + 0.0 AS realized_return
+FROM g JOIN nx USING (symbol, ts) LEFT JOIN p USING (symbol, ts) JOIN sigma x ON x.symbol = g.symbol AND x.ts = coalesce(p.hit_ts, nx.nts)""")
+def triple_barrier_ewm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(labels.triple_barrier(labels.volatility(bars.time_bars(from_events(spark, sf_dir)))), 4)
+
+
+@query(ORACLES["triple_barrier_ewm"].replace("\nSELECT g.symbol, CAST(g.bar_id", ",\nz AS (SELECT g.symbol, CAST(g.bar_id", 1) + """)
+SELECT symbol, count(*) AS rows, round(avg(CASE WHEN y = 1 THEN 1.0 ELSE 0 END), 6) + 0.0 AS class_up, round(avg(CASE WHEN y = 0 THEN 1.0 ELSE 0 END), 6) + 0.0 AS class_flat, round(avg(CASE WHEN y = -1 THEN 1.0 ELSE 0 END), 6) + 0.0 AS class_down,
+  round(avg(CASE WHEN hit = 'up' THEN 1.0 ELSE 0 END), 6) + 0.0 AS hit_up, round(avg(CASE WHEN hit = 'down' THEN 1.0 ELSE 0 END), 6) + 0.0 AS hit_down, round(avg(CASE WHEN hit = 'time' THEN 1.0 ELSE 0 END), 6) + 0.0 AS hit_time, round(avg(holding_hours), 6) + 0.0 AS avg_holding_hours FROM z GROUP BY symbol""")
+def label_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(labels.diagnostics(triple_barrier_ewm(spark, sf_dir)))
+
+
+@query()
+def research_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan from candles to labelled features of bars."""
+    return rounded(research.supervised(research.research(from_events(spark, sf_dir), windows=(3, 6))), 4)
