@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,19 +45,16 @@ def jaccard_distances(stats: DataFrame) -> DataFrame:
 def fit_states(features: DataFrame, label: str = "state", trees: int = 100, depth: int = 6, seed: int = 42) -> PipelineModel:
     """A random forest from every numeric column but the times to the label."""
     inputs = [c for c, t in features.dtypes if c not in (label, "ts", "timestamp", "symbol") and t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    vectors = VectorAssembler(inputCols=inputs, outputCol="__v")
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(features)
     forest = RandomForestClassifier(featuresCol="__v", labelCol="__y", predictionCol="__p", numTrees=trees, maxDepth=depth, seed=seed)
     named = IndexToString(inputCol="__p", outputCol="predicted", labels=index.labels)
-    return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="__v"), index.setHandleInvalid("keep"), forest, named]).fit(features)
+    return PipelineModel([vectors, forest.fit(vectors.transform(index.transform(features))), named])
 
 
-def predicted(model: PipelineModel, features: DataFrame, label: str = "state") -> DataFrame:
+def predicted(model: PipelineModel, features: DataFrame) -> DataFrame:
     """features with predicted, the likeliest state, and probability, an array in the order of the states' names."""
-    from pyspark.ml.functions import vector_to_array
-
-    rows = features if label in features.columns else features.withColumn(label, F.lit(None).cast("string"))
-    out = model.transform(rows).withColumn("probability", vector_to_array("probability"))
-    return out.select(*features.columns, "predicted", "probability")
+    return model.transform(features).select(*features.columns, "predicted", vector_to_array("probability").alias("probability"))
 
 
 def to_signal(states: DataFrame, column: str = "predicted", mapping: dict[str, float] | None = None) -> DataFrame:
