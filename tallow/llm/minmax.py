@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, written
+from .common import broadcast_if_small, fresh, table, written
 
 
 @dataclass(frozen=True)
@@ -52,7 +52,9 @@ class NearRules:
     #: Bins of the parity sketch, in words of 64.
     sketch: int = 8
     #: Rows of a block, of those that pivots leave over in a bucket.
-    block: int = 512
+    block: int = 8192
+    #: Up to so many rows' numbers are broadcast to find their texts; more are joined by a shuffle.
+    broadcast_rows: int = 1_000_000
 
 
 _CHUNK = 200_000
@@ -160,7 +162,7 @@ def _confirmer(percent: int):
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, rules: NearRules) -> DataFrame:
     """The pairs (a, b) of rows whose full sets reach the threshold. texts: (row, text)."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    wanted = broadcast_if_small(written(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()), rules.broadcast_rows)
     sets = written(texts.join(wanted, "row", "left_semi").mapInArrow(_sets(rules), "row long, set binary"))
     near = pairs.join(sets.select(F.col("row").alias("b"), F.col("set").alias("y")), "b")
     near = near.join(sets.select(F.col("row").alias("a"), F.col("set").alias("x")), "a")
@@ -215,7 +217,8 @@ def _grouped(texts: DataFrame, rules: NearRules) -> DataFrame:
     member = sized.join(written(several), ["k1", "k2", "n"], "left")
     member = written(member.select("row", "id", "n", F.coalesce("rep", "row").alias("rep"), F.when(F.col("rep").isNull(), F.col("id")).otherwise(F.col("low")).alias("low"), F.coalesce("lead", "row").alias("lead")))
     classes = member.where("n > 0 and row = rep").select("row", "low", "lead")
-    signed = signed.join(classes.select("row"), "row", "left_semi").select(F.col("row").alias("id"), "n", "bands", "sketch")
+    copies = broadcast_if_small(member.where("row <> rep").select("row"), rules.broadcast_rows)
+    signed = signed.join(copies, "row", "left_anti").where("n > 0").select(F.col("row").alias("id"), "n", "bands", "sketch")
 
     buckets = signed.select("id", "n", F.posexplode("bands").alias("band", "h"))
     crowded = buckets.groupBy("band", "h").count().where("count > 1").select("band", "h")
@@ -265,7 +268,8 @@ def drop_near(docs: DataFrame, rules: NearRules = NearRules(shingle=5), key: str
     (row,) = fresh(docs, "row")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
     groups = _grouped(rows.select(F.col(row).alias("row"), F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").cast("binary").alias("text")), rules)
-    return rows.join(groups.where("row <> lead").select(F.col("row").alias(row)), row, "left_anti").drop(row)
+    gone = written(groups.where("row <> lead").select(F.col("row").alias(row)))
+    return rows.join(broadcast_if_small(gone, rules.broadcast_rows), row, "left_anti").drop(row)
 
 
 def op10_minmax_near(spark: SparkSession, sf_dir: str) -> DataFrame:
