@@ -47,10 +47,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes the tables that written() has made so far. Only for when no frame that reads them is needed any more."""
+def tables_made() -> int:
+    """How many tables written() has made and clear() has not removed: a mark for clear()."""
+    return len(_KEPT)
+
+
+def clear(spark: SparkSession, since: int = 0) -> None:
+    """Removes the tables that written() has made since a mark. Only for when no frame that reads them is needed any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _KEPT:
+    while len(_KEPT) > since:
         path = jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
         path.getFileSystem(conf).delete(path, True)
 

@@ -3,9 +3,10 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
-from tallow.llm import mixing
+from tallow.llm import common, mixing
 from tests.llm.test_operators import brute_overlaps, mix_targets, near_components
 
 
@@ -69,6 +70,16 @@ def test_run_is_that_of_plain_python(spark, tmp_path):
     assert set(sizes) <= set(range(24)) and max(sizes.values()) <= sum(sizes.values()) / 24 + 2 * max(len(d[1]) + 8 for d in want)
 
 
+def test_tables_are_removed_from_a_mark_on(spark):
+    first = common.written(spark.range(3))
+    mark = common.tables_made()
+    second = common.written(spark.range(3))
+    common.clear(spark, mark)
+    assert first.count() == 3 and common.tables_made() == mark
+    with pytest.raises(Exception, match="(?i)path|exist|found"):
+        second.count()
+
+
 def test_an_empty_table(spark, tmp_path):
     for name, schema in (("documents", "doc_id long, text string, lang string, source string"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
