@@ -13,7 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallow.llm.common import shared_dir, table
+from tallow.llm.common import clear, shared_dir, table, tables_made
 from tallow.llm.decontaminate import drop_contaminated
 from tallow.llm.minmax import drop_near
 from tallow.llm.mixing import take_mix
@@ -50,9 +50,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        mark = tables_made()
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{shared_dir(spark)}/stage{k}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            clear(spark, mark)  # the stage's own tables; its result is written
     return docs
