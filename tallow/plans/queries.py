@@ -105,7 +105,13 @@ def bar_method_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.chosen_bars(from_events(spark, sf_dir)))
 
 
-def _morph_sql(n: int) -> str:
+@query(ORACLES["bar_method_choice"].replace("'hour'", "'minute'").replace(str(STEP), "60000000").replace("14400", "60").replace("0.25 *", "15.0 *").replace("* 240,", "* 1,"))
+def bar_method_choice_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Minutes with gaps: bars of one minute are far from their target, and event bars win."""
+    return rounded(bars.chosen_bars(from_events(spark, sf_dir, "minute"), 60, 15.0))
+
+
+def _morph_sql(n: int, rounds: bool = True) -> str:
     w = f"(PARTITION BY symbol ORDER BY ts ROWS {n - 1} PRECEDING)"
     cols = {
         "tod_sin": "sin(floor((ts % 86400000000) / 1e6) * (2 * pi() / 86400))", "tod_cos": "cos(floor((ts % 86400000000) / 1e6) * (2 * pi() / 86400))", "direction": "sign(close - open)", "range": "tr", "body": "body",
@@ -118,7 +124,7 @@ def _morph_sql(n: int) -> str:
     return f"""WITH {OHLCV},
 d AS (SELECT *, abs(close - open) AS body, high - greatest(open, close) AS wu, least(open, close) - low AS wl, nullif(high - low, 0) AS tr,
   coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1, 0) AS ret FROM o)
-SELECT symbol, ts, {", ".join(f"round(coalesce({x}, 0), 7) + 0.0 AS {k}" for k, x in cols.items())}, {flag} FROM d"""
+SELECT symbol, ts, {", ".join(f"round(coalesce({x}, 0), 7) + 0.0 AS {k}" if rounds else f"coalesce({x}, 0)::DOUBLE AS {k}" for k, x in cols.items())}, {flag} FROM d"""
 
 
 def _morph(n: int):
@@ -133,7 +139,17 @@ for _n in (3, 6, 12):
     _morph(_n)
 
 
-@query()
+def _rollup_sql(windows: tuple[int, int]) -> str:
+    base = ["tod_sin", "tod_cos", "direction", "range", "body", "wick_upper", "wick_lower", "cum_return"]
+    own = [f"w{n}_{x}" for n in windows for x in ("body_atr", "upper_body", "lower_body", "range_var", "ret_sum", "ret_z", "vol_z", "drawup", "drawdown", "nr_flag")]
+    make = {"sum": 'sum("{0}")', "max": 'max("{0}")', "mean": 'avg("{0}")', "last": 'arg_max("{0}", m.ts)'}
+    cols = [f"CAST({make[r].format(c)} AS BIGINT) AS {c}_{r}" if c.endswith("nr_flag") else f"round({make[r].format(c)}, 6) + 0.0 AS {c}_{r}" for c in base + own for r in features.reducers(c)]
+    second = f"SELECT symbol, ts, {', '.join(own[10:])} FROM ({_morph_sql(windows[1], False)})"
+    return f"""WITH {BARS}, m AS (SELECT * FROM ({_morph_sql(windows[0], False)}) JOIN ({second}) USING (symbol, ts))
+SELECT m.symbol, b.bar_id, {", ".join(cols)} FROM m JOIN b ON b.symbol = m.symbol AND b.ts = CAST((m.ts + {STEP} - 1) // {STEP} * {STEP} AS BIGINT) GROUP BY m.symbol, b.bar_id"""
+
+
+@query(_rollup_sql((3, 6)))
 def feature_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     candles = from_events(spark, sf_dir)
     return rounded(features.rollup(features.morphology(candles, (3, 6)), bars.time_mapping(candles, bars.time_bars(candles))))
@@ -501,19 +517,6 @@ def as_of_bar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return research.as_of_forward(o.select("symbol", "ts"), bars.time_bars(o).where("bar_id % 3 = 0"), "bar_id")
 
 
-_ROLL = {"tod_sin": "sin(floor((ts % 86400000000) / 1e6) * (2 * pi() / 86400))", "direction": "sign(close - open)", "range": "coalesce(nullif(high - low, 0), 0)", "body": "abs(close - open)", "wick_upper": "high - greatest(open, close)", "wick_lower": "least(open, close) - low"}
-
-
-@query(f"""WITH {BARS}, d AS (SELECT symbol, ts, edge, {", ".join(f"{x} AS {k}" for k, x in _ROLL.items())}, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1, 0) AS ret FROM e),
-x AS (SELECT *, sum(ret) OVER (PARTITION BY symbol ORDER BY ts) AS cum, sum(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS 2 PRECEDING) AS ret_sum FROM d)
-SELECT x.symbol, b.bar_id, round(avg(tod_sin), 6) + 0.0 AS tod_sin_mean, round(arg_max(direction, x.ts), 6) + 0.0 AS direction_last, round(avg("range"), 6) + 0.0 AS range_mean, round(max(body), 6) + 0.0 AS body_max, round(max(wick_upper), 6) + 0.0 AS wick_upper_max,
-  round(max(wick_lower), 6) + 0.0 AS wick_lower_max, round(arg_max(cum, x.ts), 6) + 0.0 AS cum_return_last, round(sum(ret_sum), 6) + 0.0 AS w3_ret_sum_sum FROM x JOIN b ON b.symbol = x.symbol AND b.ts = x.edge GROUP BY x.symbol, b.bar_id""")
-def rolled_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = from_events(spark, sf_dir)
-    out = features.rollup(features.morphology(o, (3,)), bars.time_mapping(o, bars.time_bars(o)))
-    return rounded(out.select("symbol", "bar_id", "tod_sin_mean", "direction_last", "range_mean", "body_max", "wick_upper_max", "wick_lower_max", "cum_return_last", "w3_ret_sum_sum"))
-
-
 @query(f"""WITH RECURSIVE {BARS}, n AS (SELECT *, coalesce(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1, 0) AS ret FROM b),
 w AS (SELECT symbol, bar_id, ret AS mean, 0.0::DOUBLE AS cov, 1.0::DOUBLE AS sq FROM n WHERE bar_id = 0
   UNION ALL SELECT n.symbol, n.bar_id, (1 - {2 / 49!r}) * w.mean + {2 / 49!r} * n.ret, (1 - {2 / 49!r}) * (w.cov + (w.mean - ((1 - {2 / 49!r}) * w.mean + {2 / 49!r} * n.ret)) ** 2) + {2 / 49!r} * (n.ret - ((1 - {2 / 49!r}) * w.mean + {2 / 49!r} * n.ret)) ** 2, w.sq * (1 - {2 / 49!r}) ** 2 + {2 / 49!r} ** 2 FROM w JOIN n ON n.symbol = w.symbol AND n.bar_id = w.bar_id + 1),
