@@ -267,8 +267,7 @@ def _scored(model):
             steps = np.where(known, step[c[:-1], c[1:]], 0.0)
             ends = np.concatenate(([0], np.cumsum(sizes + 1)))  # a text's steps: from the end before it to the end after it
             sums = [np.bincount(text, x[codes], n) for x in (base, emit)]
-            total = np.concatenate(([0.0], np.cumsum(steps)))
-            score = sums[1] + np.array([steps[a:b].sum() for a, b in zip(ends, ends[1:])]) if n else total[:0]
+            score = sums[1] + (np.add.reduceat(steps, ends[:-1]) if n else 0.0)
             yield pa.record_batch([batch.column(0), pa.array(sizes + 1, pa.int64()), pa.array(np.bincount(text, codes >= 0, n).astype(np.int64)), pa.array(sums[0] + end_base), pa.array(score)], names=["row", "n_tokens", "n_head", "base", "score"])
 
     return run

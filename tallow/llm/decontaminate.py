@@ -56,12 +56,18 @@ def short_masks(length: int, percent: int) -> list[tuple[int, ...]]:
     return [tuple(x for p in some for x in range(cuts[p], cuts[p + 1])) for some in combinations(range(parts), max(parts - allowed, 1))]
 
 
-def _seeds(df: DataFrame, w: str, masks: list[tuple[int, tuple[int, ...]]], keep: list[str]) -> DataFrame:
-    """A row (keep..., at, seed) for every mask (its number, its care positions) and every position where it fits."""
+def _seeds(df: DataFrame, w: str, masks: list[tuple[int, tuple[int, ...]]], keep: list[str], fit: bool = False) -> DataFrame:
+    """A row (keep..., at, seed) for every mask (its number, its care positions) and every position; with fit, only where the mask fits.
+
+    A mask that sticks out of a text has a hash of fewer tokens there, which no
+    fitting mask's hash equals: it is enough that one side of a join fits.
+    """
     size = F.size(w)
-    place = lambda i, n, m: F.when(i + m[-1] < size, F.xxhash64(F.lit(n), *[F.get(F.col(w), i + k) for k in m]))
-    df = df.where(size > 0).select(*keep, w, F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
-    return df.select(*keep, "at", F.explode(F.array_compact(F.array(*[place(F.col("at"), n, m) for n, m in masks]))).alias("seed"))
+    hashed = lambda i, n, m: F.xxhash64(F.lit(n), *[F.get(F.col(w), i + k) for k in m])
+    place = (lambda i, n, m: F.when(i + m[-1] < size, hashed(i, n, m))) if fit else hashed
+    df = df.where(size > 0).select(*dict.fromkeys([*keep, w]), F.explode(F.sequence(F.lit(0), size - 1)).alias("at"))
+    df = df.select(*keep, "at", F.explode(F.array(*[place(F.col("at"), n, m) for n, m in masks])).alias("seed"))
+    return df.where("seed is not null") if fit else df
 
 
 def _placed(df: DataFrame) -> DataFrame:
@@ -81,7 +87,7 @@ def overlaps(docs: DataFrame, items: DataFrame, rules: SeedRules = SeedRules(),
     seeds = None
     for part, own in [(whole, masks), *((bench.where(F.size("t") == k), by_length[k]) for k in lengths)]:
         if own:
-            part = _seeds(part.withColumn("len", F.size("t")), "t", own, ["item", "len"]).select("item", "len", F.col("at").alias("j"), "seed")
+            part = _seeds(part.withColumn("len", F.size("t")), "t", own, ["item", "len"], fit=True).select("item", "len", F.col("at").alias("j"), "seed")
             seeds = part if seeds is None else seeds.union(part)
     d = docs.select(column(key).alias("id"), tokens(column(text)).alias("d"))
     if seeds is None:
@@ -91,7 +97,7 @@ def overlaps(docs: DataFrame, items: DataFrame, rules: SeedRules = SeedRules(),
     at = [F.col("item"), (F.col("at") - F.col("j")).alias("shift"), F.col("j"), F.col("len")]
     found = [F.count("*").alias("hits"), F.min("j").alias("lo"), F.max("j").alias("hi")]  # a hit for each mask and position
     if small:  # texts stay where they are; only what lies beside an item goes on
-        met = _placed(_seeds(d.withColumn("text", F.col("d")), "d", every, ["id", "text"]).withColumnRenamed("text", "d").join(F.broadcast(seeds), "seed").select("id", *at, "d"))
+        met = _placed(_seeds(d, "d", every, ["id", "d"]).join(F.broadcast(seeds), "seed").select("id", *at, "d"))
         met = met.groupBy("id", "item", "shift", "beside").agg(*found)
     else:  # rows have keys of their own: ids may be null or repeated
         d = written(d.withColumn("row", F.monotonically_increasing_id()))
