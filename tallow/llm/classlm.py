@@ -44,7 +44,7 @@ class ClassRules:
     passes: int = 8
     #: Every word that training texts hold so often gets a class of its own choice.
     least: int = 5
-    sweeps: int = 2
+    sweeps: int = 1
     #: Added to counts.
     add: float = 0.1
     #: Weight of the class bigram against the class alone.
@@ -108,7 +108,7 @@ def _pairs(classes, words_too: int):
                 at = np.flatnonzero((line >= words_too) & (line < len(cls) - 2))
                 keys += [line[at] * (2 * k) + c[at - 1], line[at] * (2 * k) + k + c[at + 1]]
                 held += 2 * len(at)
-                if held > 4_000_000:
+                if held > 8_000_000:
                     yield summed()
                     keys, held = [], 0
         if keys:
@@ -319,11 +319,12 @@ def lm_scores(docs: DataFrame, rules: ClassRules = ClassRules(), key: str = "doc
     rest = counts.where(F.col("c") < floor)
     g = _matrix(taught.select("codes").mapInArrow(_pairs(classes, -1), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), k)
     if floor > rules.least and k > 2:
-        near = lambda x: F.when(F.col(x) < 0, rare).otherwise(F.col(x))
-        beside = tails.where("not held_out").join(rest.where(F.col("c") >= rules.least).select("term"), "term", "left_semi")
-        beside = beside.select("term", F.explode(F.array(near("before").cast("long"), (k + near("after")).cast("long"))).alias("code")).groupBy("term", "code").count()
-        beside = beside.groupBy(F.col("term").alias("word")).agg(F.collect_list(F.struct("code", F.col("count").alias("c"))).alias("beside"))  # 2 k at most
-        found = beside.select("word", F.lit(rare).cast("long").alias("old"), "beside").mapInArrow(_mover(sc.broadcast(g), k - 2), "word binary, class long")
+        near = lambda x: F.when(F.col(x) < 0, rare).otherwise(F.col(x)).cast("long")
+        sides = tails.where("not held_out").groupBy("term", near("before").alias("a"), (k + near("after")).alias("b")).agg(F.count("*").alias("c"))
+        sides = sides.groupBy(F.col("term").alias("word")).agg(F.sum("c").alias("n"), F.collect_list(F.struct("a", "b", "c")).alias("x"))  # k * k at most
+        code = lambda x, side: F.struct(x[side].alias("code"), x["c"].alias("c"))
+        beside = sides.where(F.col("n") >= rules.least).select("word", F.lit(rare).cast("long").alias("old"), F.flatten(F.transform("x", lambda x: F.array(code(x, "a"), code(x, "b")))).alias("beside"))
+        found = beside.mapInArrow(_mover(sc.broadcast(g), k - 2), "word binary, class long")
         rest = rest.join(found.withColumnsRenamed({"word": "term"}), "term", "left")
     else:
         rest = rest.withColumn("class", F.lit(None).cast("long"))
