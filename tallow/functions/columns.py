@@ -31,3 +31,13 @@ def last_rows(n: int) -> WindowSpec:
 def full(x: Column, value: Column, n: int, window: WindowSpec | None = None) -> Column:
     """value where the window of n rows holds n values of x, else null."""
     return F.when(F.count(x).over(window if window is not None else last_rows(n)) >= n, value)
+
+
+def keyed(df: DataFrame, *names: str) -> DataFrame:
+    """df with the named columns packed into symbol: every operator that works by symbol then works by all of them."""
+    return df.withColumn("symbol", F.struct(*names)).drop(*[c for c in names if c != "symbol"])
+
+
+def unkeyed(df: DataFrame) -> DataFrame:
+    """What keyed has packed, as columns again, first."""
+    return df.select("symbol.*", *[c for c in df.columns if c != "symbol"])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, last_rows, require_columns
+from ..functions.columns import by_time, require_columns
+from ..functions.rolling import with_quantiles
 
 MINUTE_US = 60_000_000
 
@@ -40,41 +40,103 @@ def _measured(candles: DataFrame, method: str, target_seconds: int, window: int)
     df = candles.withColumn("tick", F.coalesce(tick, F.lit(1.0)))
     size = F.abs(F.col("close") * F.col("volume")) if method == "dollar" else F.abs(F.col("tick") * F.col("volume"))
     df = df.withColumn("size", size).withColumn("x", F.col("size") if method == "dollar" else F.col("tick") * F.col("volume"))
-    median = F.percentile("size", 0.5).over(last_rows(max(window, 1)))
-    return df.withColumn("threshold", F.greatest(median * max(target_seconds // 60, 1), F.lit(1e-6))).drop("size", "tick")
+    df = with_quantiles(df, {"median": ("size", max(window, 1), 0.5)})
+    return df.withColumn("threshold", F.greatest(F.col("median") * max(target_seconds // 60, 1), F.lit(1e-6))).drop("size", "tick", "median")
 
 
 def _folded(absolute: bool):
-    """For mapInPandas over rows sorted by symbol and time: the running sum and bar of each row. Only the last row's state is carried from batch to batch."""
+    """For mapInArrow over rows sorted by symbol and time: the running sum and bar of each row. Only the last row's state is carried from batch to batch."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        symbol, bar, total = None, 0, 0.0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bar, total = 0, 0.0
         for rows in batches:
-            x, limit, own = rows["x"].to_numpy(), rows["threshold"].to_numpy(), rows["symbol"].to_numpy()
-            ids, sums = np.empty(len(rows), np.int64), np.empty(len(rows))
-            for k in range(len(rows)):
-                if own[k] != symbol:
-                    symbol, bar, total = own[k], 0, 0.0
-                ids[k] = bar
-                total += x[k]
-                sums[k] = size = abs(total) if absolute else total
-                if size >= limit[k] > 0:
+            ids, sums = [], []
+            for x, limit, first in zip(*[rows.column(c).to_pylist() for c in ("x", "threshold", "first")], strict=True):
+                if first:
+                    bar, total = 0, 0.0
+                ids.append(bar)
+                total += x
+                size = abs(total) if absolute else total
+                sums.append(size)
+                if size >= limit > 0:
                     bar, total = bar + 1, 0.0
-            yield pd.DataFrame({"symbol": own, "timestamp": rows["ts"], "bar_id": ids, "total": sums, "threshold": limit})
+            yield pa.record_batch([rows.column("symbol"), rows.column("ts"), pa.array(ids, pa.int64()), pa.array(sums, pa.float64()), rows.column("threshold")], names=["symbol", "timestamp", "bar_id", "total", "threshold"])
 
     return run
 
 
-def event_mapping(candles: DataFrame, method: str = "dollar", target_seconds: int = 14_400, window: int = 60, keep_partial: bool = False, least: float = 0.5) -> DataFrame:
+def _carried(absolute: bool, last: bool):
+    """For a chunk of a symbol's rows: its fold from the total that the chunk begins with; with last, only the bars closed and the total it ends with."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("ts")
+        total, bar = rows["entry"][0].as_py(), 0
+        ids, sums = [], []
+        for x, limit in zip(rows["x"].to_pylist(), rows["threshold"].to_pylist(), strict=True):
+            ids.append(bar)
+            total += x
+            size = abs(total) if absolute else total
+            sums.append(size)
+            if size >= limit > 0:
+                bar, total = bar + 1, 0.0
+        if last:
+            return rows.slice(0, 1).select(["symbol", "chunk", "entry"]).append_column("closed", pa.array([bar], pa.int64())).append_column("left", pa.array([total]))
+        return rows.append_column("own", pa.array(ids, pa.int64())).append_column("total", pa.array(sums, pa.float64()))
+
+    return run
+
+
+def _chunked(rows: DataFrame, absolute: bool, chunk: int, path: str) -> DataFrame:
+    """The fold of rows (symbol, ts, x, threshold) in chunks of so many rows, all at once.
+
+    Every chunk is folded from no total; then each that began with another total
+    than the one before it ended with is folded anew, until none is left. Bars
+    start anew at each threshold, so a chunk's end seldom depends on its begin,
+    and few chunks are folded more than twice. A symbol's chunks, not its rows,
+    come together. Tables are written under path.
+    """
+    spark = rows.sparkSession
+    rows = rows.withColumn("chunk", F.floor((F.row_number().over(by_time()) - 1) / chunk))
+    rows.write.mode("overwrite").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows")
+    symbol = dict(rows.dtypes)["symbol"]
+    fold = lambda df: df.groupBy("symbol", "chunk").applyInArrow(_carried(absolute, True), f"symbol {symbol}, chunk long, entry double, closed long, left double")
+    todo, states, turn = rows.withColumn("entry", F.lit(0.0)), None, 0
+    while True:
+        new = fold(todo)
+        states = new if states is None else states.join(new.select("symbol", "chunk"), ["symbol", "chunk"], "left_anti").unionByName(new)
+        states.write.mode("overwrite").parquet(f"{path}/states{turn}")
+        states = spark.read.parquet(f"{path}/states{turn}")
+        by_chunk = Window.partitionBy("symbol").orderBy("chunk")  # a row for each chunk
+        before = states.withColumn("begin", F.coalesce(F.lag("left").over(by_chunk), F.lit(0.0)))
+        wrong = before.where("begin <> entry").select("symbol", "chunk", F.col("begin").alias("entry"))
+        if wrong.isEmpty():
+            break
+        todo, turn = rows.join(wrong, ["symbol", "chunk"]), turn + 1
+    first = F.sum("closed").over(by_chunk) - F.col("closed")
+    parts = rows.join(states.select("symbol", "chunk", "entry", first.alias("first")), ["symbol", "chunk"])
+    schema = ", ".join(f"{c} {t}" for c, t in parts.dtypes) + ", own long, total double"
+    parts = parts.groupBy("symbol", "chunk").applyInArrow(_carried(absolute, False), schema)
+    return parts.select("symbol", F.col("ts").alias("timestamp"), (F.col("first") + F.col("own")).alias("bar_id"), "total", "threshold")
+
+
+def event_mapping(candles: DataFrame, method: str = "dollar", target_seconds: int = 14_400, window: int = 60, keep_partial: bool = False, least: float = 0.5, chunk: int | None = None, path: str | None = None) -> DataFrame:
     """(symbol, timestamp, bar_id) of dollar or imbalance bars: a running sum that starts anew when it reaches the threshold.
 
     The fold is sequential in time: a symbol's rows are sorted in one task and
-    stream through it in batches. Sums, medians and the bars stay native.
+    stream through it in batches. With chunk and path a symbol's rows are folded
+    in chunks of so many, each a task's work, with the same result. Sums, medians
+    and the bars stay native.
     """
     if method not in ("dollar", "imbalance"):
         raise ValueError(f"unsupported method {method}")
     rows = _measured(candles, method, target_seconds, window).select("symbol", "ts", "x", "threshold")
-    folded = rows.repartition("symbol").sortWithinPartitions("symbol", "ts").mapInPandas(_folded(method == "imbalance"), "symbol string, timestamp long, bar_id long, total double, threshold double")
+    if chunk:
+        folded = _chunked(rows, method == "imbalance", chunk, path)
+    else:
+        symbol = dict(rows.dtypes)["symbol"]
+        numbered = rows.withColumn("first", F.row_number().over(by_time()) == 1).sortWithinPartitions("symbol", "ts")
+        folded = numbered.mapInArrow(_folded(method == "imbalance"), f"symbol {symbol}, timestamp long, bar_id long, total double, threshold double")
     if not keep_partial:  # the last bar goes if it is not full and has not come far enough
         last = F.max_by(F.struct("bar_id", "total", "threshold"), "timestamp").over(Window.partitionBy("symbol"))
         done = F.coalesce(F.try_divide("last.total", "last.threshold"), F.lit(0.0))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_US, by_time, full, last_rows, ratio, require_columns
+from ..functions.rolling import with_quantiles
 
 
 def morphology(candles: DataFrame, windows: tuple[int, ...] = (60, 120, 240, 360)) -> DataFrame:
@@ -21,6 +22,7 @@ def morphology(candles: DataFrame, windows: tuple[int, ...] = (60, 120, 240, 360
     })
     angle = F.floor(F.pmod("ts", F.lit(DAY_US)) / 1_000_000) * (2 * math.pi / 86_400)
     out = {"tod_sin": F.sin(angle), "tod_cos": F.cos(angle), "direction": c("direction"), "range": c("tr"), "body": c("body"), "wick_upper": c("wick_upper"), "wick_lower": c("wick_lower"), "cum_return": F.sum("ret").over(by_time())}
+    df = with_quantiles(df, {f"__p20_{n}": ("tr", n, 0.2) for n in windows})
     body = F.nullif(c("body"), zero)
     for n in windows:
         w, p = last_rows(n), f"w{n}_"
@@ -30,7 +32,7 @@ def morphology(candles: DataFrame, windows: tuple[int, ...] = (60, 120, 240, 360
             p + "range_var": F.var_samp("tr").over(w), p + "ret_sum": F.sum("ret").over(w),
             p + "ret_z": ratio(c("ret") - F.avg("ret").over(w), F.stddev_pop("ret").over(w)), p + "vol_z": ratio(c("volume") - F.avg("volume").over(w), F.stddev_pop("volume").over(w)),
             p + "drawup": ratio(c("close") - low, low), p + "drawdown": ratio(high - c("close"), high),
-            p + "nr_flag": F.when(c("tr") <= F.percentile("tr", 0.2).over(w), 1).otherwise(0),
+            p + "nr_flag": F.when(c("tr") <= c(f"__p20_{n}"), 1).otherwise(0),
         }
     return df.select("symbol", "ts", *[F.coalesce(x, F.lit(0 if k.endswith("nr_flag") else 0.0)).alias(k) for k, x in out.items()])
 

@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tallow.functions import patterns, predicates, rules
+from tallow.functions import patterns, predicates, rolling, rules
+from tallow.functions.columns import keyed, last_rows
 from tallow.operators import bars, evaluation, features, fees, labels, motifs, nulls, prototypes, strategy
 from tallow.plans import research
 from tallow.sources import files
@@ -328,3 +329,72 @@ def test_stores_and_sinks(spark, tmp_path):
     keys = spark.createDataFrame([("A", "2024-01"), ("B", "2024-01")], "symbol string, month string")
     assert [x.symbol for x in files.undone(spark, keys, f"{tmp_path}/done").collect()] == ["B"] and files.undone(spark, keys, f"{tmp_path}/done", force=True).count() == 2
     assert files.merged([done, keys]).count() == 3
+
+
+def test_wide_quantiles_are_those_of_percentile(spark, tmp_path):
+    """Random and tied values, nulls, several symbols; the key may be several columns."""
+    df = random_walk(spark, 3, 700).withColumn("x", F.when(F.rand(1) > 0.1, F.round(F.rand(2) * 9))).withColumn("run", F.lit(1))
+    df.write.parquet(f"{tmp_path}/d")
+    df = keyed(spark.read.parquet(f"{tmp_path}/d"), "symbol", "run")
+    for q in (0.2, 0.5, 0.77):
+        got = rolling.with_quantiles(df, {"a": ("x", 60, q), "b": ("close", 360, q), "c": ("x", 5, q)})
+        want = got.withColumn("a1", F.percentile("x", q).over(last_rows(60))).withColumn("b1", F.percentile("close", q).over(last_rows(360))).withColumn("c1", F.percentile("x", q).over(last_rows(5)))
+        assert want.where("not (a <=> a1) or not (b <=> b1) or not (c <=> c1)").isEmpty() and want.count() == 2100
+
+
+def test_first_places_are_those_of_a_scan():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 64, 200):
+        x = np.round(rng.normal(0, 1, n), 1)
+        x[rng.random(n) < 0.1] = np.nan
+        low, high = -np.abs(np.round(rng.normal(0, 1.5, n), 1)), np.abs(np.round(rng.normal(0, 1.5, n), 1))
+        begin = np.minimum(np.arange(n) + rng.integers(0, 5, n), n)
+        end = np.minimum(begin + rng.integers(0, n + 1, n), n)
+        want = [next((j for j in range(b, e) if x[j] >= h or x[j] <= lo), e) for b, e, lo, h in zip(begin, end, low, high)]
+        assert labels.first_at(low, high, x, begin, end).tolist() == want
+
+
+@pytest.mark.parametrize("spans", [1, 3, 1000])
+def test_barriers_are_those_of_a_scan(spark, spans):
+    rng = np.random.default_rng(6)
+    rows = []
+    for s in "AB":
+        ts = np.cumsum(rng.choice([1, 1, 2, 9], 150)) * 60_000_000
+        rows += [(s, int(t), k, float(c)) for k, (t, c) in enumerate(zip(ts, np.round(100 + np.cumsum(rng.normal(0, 1, 150)), 2)))]
+    df = spark.createDataFrame(rows, "symbol string, ts long, bar_id long, close double").withColumn("sigma", F.lit(0.01))
+    least, most = 3 * 60_000_000, 30 * 60_000_000
+    want = {}
+    for s in "AB":
+        own = [r for r in rows if r[0] == s]
+        for k, (_, t, i, c) in enumerate(own):
+            expiry, hit = min(t + most, own[-1][1]), None
+            later = [r for r in own[k + 1 :] if r[1] <= t + most]
+            after = next((r for r in own if r[1] >= t + most), own[-1])
+            for r in [*later, after]:
+                if (r[1] - t >= least or r[2] == own[-1][2]) and (r[3] >= c * 1.02 or r[3] <= c * 0.98):
+                    hit = r
+                    break
+            want[s, i] = (hit[1] if hit else expiry, (hit or after)[2], "time" if not hit else "up" if hit[3] >= c * 1.02 else "down")
+    got = labels.triple_barrier(df, min_hours=0.05, max_hours=0.5, spans=spans).collect()
+    assert {(r.symbol, r.bar_id): (r.t1, r.exit_bar_id, r.hit) for r in got} == want and {w[2] for w in want.values()} == {"up", "down", "time"}
+
+
+@pytest.mark.parametrize("chunk", [18, 50, 10_000])
+def test_volatility_in_chunks(spark, chunk):
+    walk = random_walk(spark, 2, 180, seed=4)
+    got = labels.volatility(walk, 10, chunk).toPandas().sort_values(["symbol", "ts"])
+    assert len(got) == 360
+    for _, rows in got.groupby("symbol"):
+        want = rows.close.pct_change().fillna(0.0).ewm(span=10, adjust=False).std(bias=False)
+        assert np.allclose(rows.sigma.iloc[1:], want.iloc[1:], rtol=1e-12)
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1000])
+@pytest.mark.parametrize("method", ["dollar", "imbalance"])
+def test_event_bars_in_chunks(spark, tmp_path, method, chunk):
+    walk = random_walk(spark, 2, 300, seed=2)
+    walk.write.parquet(f"{tmp_path}/walk")
+    walk = keyed(spark.read.parquet(f"{tmp_path}/walk").withColumn("run", F.lit(2)), "symbol", "run")
+    whole = bars.event_mapping(walk, method, target_seconds=300)
+    parts = bars.event_mapping(walk, method, target_seconds=300, chunk=chunk, path=f"{tmp_path}/work")
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.select(F.max("bar_id")).first()[0] > 5
