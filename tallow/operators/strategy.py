@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.columns import by_time, ratio
 from .evaluation import Fees, fold_sharpe, folds, overfit_share
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    """Spark has no error function; this runs over a row for each strategy."""
-    return z.map(NormalDist().cdf, na_action="ignore")
+#: 1 / (1 * 3 * 5 ..), the largest first: coefficients of the normal distribution's series, for sizes up to _FAR.
+_FAR = 8.3
+_SERIES = np.cumprod(1.0 / np.arange(1, 2 * 140, 2))[::-1]
+
+
+def normal_cdf(z: Column | str) -> Column:
+    """The normal distribution by its series of positive terms; beyond 8.3 deviations it is 0 or 1 to a double's last digits."""
+    z = (F.col(z) if isinstance(z, str) else z).cast("double")
+    series = F.aggregate(F.lit(_SERIES), F.lit(0.0), lambda s, c: s * z * z + c)
+    return F.when(z > _FAR, 1.0).when(z < -_FAR, 0.0).otherwise(0.5 + z * F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series)
 
 
 def _variability(sharpe: Column, skew: Column, kurt: Column) -> Column:
@@ -29,10 +35,14 @@ def psr_z(sharpe: Column, n: Column, skew: Column, kurt: Column, reference: floa
     return F.when(n > 1, (sharpe - reference) * F.sqrt(n - 1) / F.sqrt(_variability(sharpe, skew, kurt)))
 
 
-def dsr_z(sharpe: Column, n: Column, trials: Column, skew: Column, kurt: Column, most: int, reference: float = 0.0) -> Column:
-    """The deflated Sharpe ratio before the normal distribution. trials from 1 to most; the best of many is expected at a normal quantile."""
-    quantiles = [0.0] + [NormalDist().inv_cdf(min(max(1 - 1 / t, 1e-12), 1 - 1e-12)) for t in range(2, most + 1)]
-    best = F.get(F.lit(quantiles), F.greatest(trials, F.lit(1)) - 1)
+def best_of(trials: int) -> float:
+    """The normal quantile at which the best of so many trials is expected."""
+    return NormalDist().inv_cdf(min(max(1 - 1 / trials, 1e-12), 1 - 1e-12)) if trials > 1 else 0.0
+
+
+def dsr_z(sharpe: Column, n: Column, trials: Column | int, skew: Column, kurt: Column, most: int = 1, reference: float = 0.0) -> Column:
+    """The deflated Sharpe ratio before the normal distribution. trials: a number, or a column of numbers from 1 to most."""
+    best = F.lit(best_of(trials)) if isinstance(trials, int) else F.get(F.lit(np.array([best_of(t) for t in range(1, most + 1)])), F.greatest(trials, F.lit(1)) - 1)
     sigma = F.sqrt(_variability(sharpe, skew, kurt) / (n - 1))
     return F.when((n > 1) & (sigma > 0), (sharpe - (reference + sigma * best)) / sigma)
 
@@ -91,8 +101,8 @@ def evaluated(signals: DataFrame, returns: DataFrame, splits: int = 6, threshold
     )
     m = moments(rows).join(means, "symbol").join(by_fold, "symbol")
     sharpe, n, skew, kurt, traded = F.col("sharpe_total"), F.col("n"), F.col("skew"), F.col("kurt"), F.col("trade_count") >= min_trades
-    count = F.col("folds") if trials is None else F.lit(max(trials, 1))
-    m = m.withColumn("psr_z", psr_z(sharpe, n, skew, kurt)).withColumn("dsr_z", F.when(traded, dsr_z(sharpe, n, count.cast("int"), skew, kurt, max(trials or 0, 1000))))
+    count = F.col("folds").cast("int") if trials is None else max(trials, 1)
+    m = m.withColumn("psr_z", psr_z(sharpe, n, skew, kurt)).withColumn("dsr_z", F.when(traded, dsr_z(sharpe, n, count, skew, kurt, math.comb(splits, test_blocks))))
     m = m.withColumn("psr", normal_cdf("psr_z")).withColumn("dsr", normal_cdf("dsr_z")).withColumn("pbo", F.when(traded, F.col("pbo")))
     return m.select("symbol", "n", F.col("mean").alias("mean_return"), "std_return", "mean_gross_return", "mean_cost", "mean_participation", "turnover", "breadth", "trade_count", "sharpe_mean", "sharpe_total", "skew", "kurt", "psr_z", "psr", "dsr_z", "dsr", "pbo")
 
