@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DAY_US = 86_400_000_000
 
@@ -41,3 +42,9 @@ def keyed(df: DataFrame, *names: str) -> DataFrame:
 def unkeyed(df: DataFrame) -> DataFrame:
     """What keyed has packed, as columns again, first."""
     return df.select("symbol.*", *[c for c in df.columns if c != "symbol"])
+
+
+def schema_of(df: DataFrame, *columns: str, **more: T.DataType | str) -> T.StructType:
+    """The schema of df's named columns (all, if none is named) and of more: what a task function that passes df's columns on returns."""
+    fields = [f for f in df.schema.fields if not columns or f.name in columns]
+    return T.StructType([*fields, *[T.StructField(k, T.DataType.fromDDL(t) if isinstance(t, str) else t) for k, t in more.items()]])

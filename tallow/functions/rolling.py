@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .columns import by_time, last_rows
+from .columns import by_time, last_rows, schema_of
 
 #: Up to this many rows, sorting a window for each row is as fast.
 NARROW = 24
@@ -87,6 +87,5 @@ def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, int, float]]) ->
     wide = {k: x for k, x in wanted.items() if x[1] > NARROW}
     if wide:
         rows = df.withColumn("__first", F.row_number().over(by_time()) == 1).sortWithinPartitions("symbol", "ts")
-        schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + "".join(f", `{k}` double" for k in wide)
-        df = rows.mapInArrow(_run(list(wide.values()), len(df.columns)), schema)
+        df = rows.mapInArrow(_run(list(wide.values()), len(df.columns)), schema_of(df, **dict.fromkeys(wide, "double")))
     return df.withColumns({k: F.percentile(c, q).over(last_rows(n)) for k, (c, n, q) in narrow.items()}) if narrow else df

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, require_columns
+from ..functions.columns import by_time, require_columns, schema_of
 from ..functions.rolling import with_quantiles
 
 MINUTE_US = 60_000_000
@@ -99,8 +99,7 @@ def _chunked(rows: DataFrame, absolute: bool, chunk: int, path: str) -> DataFram
     rows = rows.withColumn("chunk", F.floor((F.row_number().over(by_time()) - 1) / chunk))
     rows.write.mode("overwrite").parquet(f"{path}/rows")
     rows = spark.read.parquet(f"{path}/rows")
-    symbol = dict(rows.dtypes)["symbol"]
-    fold = lambda df: df.groupBy("symbol", "chunk").applyInArrow(_carried(absolute, True), f"symbol {symbol}, chunk long, entry double, closed long, left double")
+    fold = lambda df: df.groupBy("symbol", "chunk").applyInArrow(_carried(absolute, True), schema_of(df, "symbol", "chunk", "entry", closed="long", left="double"))
     todo, states, turn = rows.withColumn("entry", F.lit(0.0)), None, 0
     while True:
         new = fold(todo)
@@ -115,8 +114,7 @@ def _chunked(rows: DataFrame, absolute: bool, chunk: int, path: str) -> DataFram
         todo, turn = rows.join(wrong, ["symbol", "chunk"]), turn + 1
     first = F.sum("closed").over(by_chunk) - F.col("closed")
     parts = rows.join(states.select("symbol", "chunk", "entry", first.alias("first")), ["symbol", "chunk"])
-    schema = ", ".join(f"{c} {t}" for c, t in parts.dtypes) + ", own long, total double"
-    parts = parts.groupBy("symbol", "chunk").applyInArrow(_carried(absolute, False), schema)
+    parts = parts.groupBy("symbol", "chunk").applyInArrow(_carried(absolute, False), schema_of(parts, own="long", total="double"))
     return parts.select("symbol", F.col("ts").alias("timestamp"), (F.col("first") + F.col("own")).alias("bar_id"), "total", "threshold")
 
 
@@ -134,9 +132,8 @@ def event_mapping(candles: DataFrame, method: str = "dollar", target_seconds: in
     if chunk:
         folded = _chunked(rows, method == "imbalance", chunk, path)
     else:
-        symbol = dict(rows.dtypes)["symbol"]
         numbered = rows.withColumn("first", F.row_number().over(by_time()) == 1).sortWithinPartitions("symbol", "ts")
-        folded = numbered.mapInArrow(_folded(method == "imbalance"), f"symbol {symbol}, timestamp long, bar_id long, total double, threshold double")
+        folded = numbered.mapInArrow(_folded(method == "imbalance"), schema_of(rows, "symbol", timestamp="long", bar_id="long", total="double", threshold="double"))
     if not keep_partial:  # the last bar goes if it is not full and has not come far enough
         last = F.max_by(F.struct("bar_id", "total", "threshold"), "timestamp").over(Window.partitionBy("symbol"))
         done = F.coalesce(F.try_divide("last.total", "last.threshold"), F.lit(0.0))

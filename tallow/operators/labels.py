@@ -8,7 +8,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import by_time, last_rows, ratio
+from ..functions.columns import by_time, last_rows, ratio, schema_of
 
 HOUR_US = 3_600_000_000
 
@@ -51,8 +51,7 @@ def volatility(bars: DataFrame, lookback: int = 48, chunk: int = 50_000) -> Data
     own = F.floor(F.col("__n") / chunk)
     parts = F.sequence(own, F.floor((F.col("__n") + halo) / chunk))  # its own, and those that it is shortly before
     df = df.withColumn("__chunk", F.explode(parts)).withColumn("__own", F.col("__chunk") == own)
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", __vol double"
-    df = df.groupBy("symbol", "__chunk").applyInArrow(_ewm(lookback), schema)
+    df = df.groupBy("symbol", "__chunk").applyInArrow(_ewm(lookback), schema_of(df, __vol="double"))
     known = (F.col("__vol") > 0) & ~F.isnan("__vol")
     return df.withColumn("sigma", F.when(known, F.col("__vol")).otherwise(F.col("__mean"))).drop("__vol", "__mean", "__ret", "__n", "__chunk", "__own")
 
@@ -114,8 +113,7 @@ def triple_barrier(bars: DataFrame, sigma: str = "sigma", up: float = 2.0, down:
     span = max(spans * most, 1)
     own = F.floor(c("ts") / span)
     df = df.withColumn("__span", F.explode(F.sequence(F.floor((c("ts") - most) / span), own))).withColumn("__own", c("__span") == own)
-    bar_id = dict(df.dtypes)["bar_id"]
-    schema = ", ".join(f"`{k}` {t}" for k, t in df.dtypes) + f", __hit_ts long, __hit_close double, __hit_bar_id {bar_id}"
+    schema = schema_of(df, __hit_ts="long", __hit_close="double", __hit_bar_id=df.schema["bar_id"].dataType)
     df = df.groupBy("symbol", "__span").applyInArrow(_passages(least, most), schema).drop("__span", "__own")
     df = df.withColumn("within", F.when(c("__hit_ts").isNotNull(), F.struct(*[c(f"__hit_{k}").alias(k) for k in ("ts", "close", "bar_id")]))).drop("__hit_ts", "__hit_close", "__hit_bar_id")
     ends = df.select("*", (c("ts") + most).alias("at"), F.lit(0).alias("is_bar"), F.lit(None).cast(df.select(point.alias("p")).schema["p"].dataType).alias("point"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, ratio
 from ..functions.rules import compiled
+from ..sources.tables import settled
 from . import strategy
 from .evaluation import YEAR_S, Fees, blocks, folds
 
@@ -25,13 +26,18 @@ def _by_rule(rows: DataFrame, value: str, result: Column) -> DataFrame:
     return each.groupBy("symbol").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule", "r"))), lambda s: s["r"]).alias("of"))  # an element for each rule
 
 
-def signals(features: DataFrame, expressions: list[str], names: Iterable[str] | None = None) -> DataFrame:
-    """(symbol, ts, signals): an array with each rule's bounded value, in the order of the rules, as rules.with_signal gives it."""
+def values(features: DataFrame, expressions: list[str], names: Iterable[str] | None = None) -> DataFrame:
+    """features' symbol and ts with raw, an array with each rule's value, in the order of the rules."""
     names = [c for c in features.columns if c not in ("symbol", "ts")] if names is None else list(names)
-    raw = features.select("symbol", "ts", F.array(*[compiled(e, names) for e in expressions]).alias("raw"))
+    return features.select("symbol", "ts", F.array(*[compiled(e, names) for e in expressions]).alias("raw"))
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows of values with signals in place of raw: bounded as rules.with_signal does, by each rule's deviation within the symbol."""
     usable = lambda s: s.isNotNull() & ~F.isnan(s) & (s < float("inf")) & (s > 1e-6)
-    spread = _by_rule(raw, "raw", F.stddev_pop("x"))
-    return raw.join(spread, "symbol").select("symbol", "ts", F.zip_with("raw", "of", lambda x, s: F.tanh(x / F.when(usable(s), s).otherwise(1.0))).alias("signals"))
+    spread = _by_rule(rows, "raw", F.stddev_pop("x"))
+    signal = F.zip_with("raw", "of", lambda x, s: F.tanh(x / F.when(usable(s), s).otherwise(1.0)))
+    return rows.join(spread, "symbol").withColumn("signals", signal).drop("raw", "of")
 
 
 def traded(rows: DataFrame, threshold: float = 0.1, fees: Fees = Fees()) -> DataFrame:
@@ -53,9 +59,9 @@ def traded(rows: DataFrame, threshold: float = 0.1, fees: Fees = Fees()) -> Data
     return df.select("symbol", "ts", F.zip_with(F.arrays_zip("now", "turn", "entry"), "of", trade).alias("trades"))
 
 
-def evaluated(rule_signals: DataFrame, returns: DataFrame, expressions: list[str], splits: int = 6, threshold: float = 0.1, min_trades: int = 10, trials: int | None = None, fees: Fees = Fees(), test_blocks: int = 1) -> DataFrame:
-    """(symbol, rule, expression, metrics ..): for each rule of rule_signals (symbol, ts, signals) the row that strategy.evaluated gives for it alone."""
-    rows = traded(rule_signals.join(returns.select("symbol", "ts", "ret"), ["symbol", "ts"]), threshold, fees)
+def evaluated(rows: DataFrame, expressions: list[str], splits: int = 6, threshold: float = 0.1, min_trades: int = 10, trials: int | None = None, fees: Fees = Fees(), test_blocks: int = 1) -> DataFrame:
+    """(symbol, rule, expression, metrics ..): for each rule of rows (symbol, ts, signals, ret) what strategy.evaluated gives for it alone."""
+    rows = traded(rows, threshold, fees)
     rows = blocks(rows, splits)
     each = rows.select("symbol", F.posexplode("trades").alias("rule", "x")).select("symbol", "rule", "x.*")
     share = ((F.col("n") - 1) / F.col("n")).cast("double")  # moments are over n, deviations over n - 1
@@ -89,9 +95,9 @@ def _fold_sharpes(rows: DataFrame, splits: int, test_blocks: int) -> DataFrame:
 
 
 def assessed(features: DataFrame, returns: DataFrame, expressions: list[str], turnover_weight: float = 1.0, breadth_weight: float = 1.0, names: Iterable[str] | None = None, **options) -> DataFrame:
-    """evaluated for the rules' signals over features, with fitness; rows where features and returns (symbol, ts, ret) meet count."""
-    scored = evaluated(signals(features, expressions, names), returns, expressions, **options)
-    return strategy.fitness(scored, turnover_weight, breadth_weight)
+    """evaluated for the rules over features, with fitness, where features and returns (symbol, ts, ret) meet. The rules' values are computed once and kept."""
+    rows = settled(values(features, expressions, names).join(returns.select("symbol", "ts", "ret"), ["symbol", "ts"]))
+    return strategy.fitness(evaluated(bounded(rows), expressions, **options), turnover_weight, breadth_weight)
 
 
 def ranked(scored: DataFrame) -> DataFrame:

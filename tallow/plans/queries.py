@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns, predicates, rules
 from ..functions.columns import by_time, ratio
-from ..operators import bars, evaluation, features, fees, labels, motifs, nulls, prototypes, strategy
+from ..operators import bars, evaluation, features, fees, labels, motifs, nulls, population, prototypes, strategy
 from ..sources.candles import from_events
-from . import research
+from . import guardrail, research
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -544,3 +544,96 @@ def label_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def research_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan from candles to labelled features of bars."""
     return rounded(research.supervised(research.research(from_events(spark, sf_dir), windows=(3, 6))), 4)
+
+
+def _evaluated_sql(source: str, splits: int, trades: int, trials: int | None, turnover: float, breadth: float) -> str:
+    """CTEs from source (symbol, ts, signal, ret), where symbol may stand for a symbol, a run and a rule, to scored: the metrics of strategy.evaluated and the fitness."""
+    series = ", ".join(repr(float(c)) for c in strategy._SERIES)
+    best = f"{strategy.best_of(trials or splits)!r}"
+    phi = f"CASE WHEN dsr_z > 8.3 THEN 1 WHEN dsr_z < -8.3 THEN 0 ELSE 0.5 + dsr_z * exp(-dsr_z * dsr_z / 2) / {math.sqrt(2 * math.pi)!r} * list_reduce([{series}], lambda s, c: s * dsr_z * dsr_z + c) END"
+    return f"""ep AS (SELECT *, CASE WHEN abs(signal) > 0.1 THEN sign(signal) ELSE 0 END AS pos FROM {source}),
+et AS (SELECT *, coalesce(abs(pos - lag(pos) OVER w), 0) AS turn, pos <> 0 AND coalesce(lag(pos) OVER w, 0) = 0 AS entry FROM ep WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+ec AS (SELECT *, least(avg(turn) OVER (PARTITION BY symbol), 1) AS part FROM et),
+en AS (SELECT *, pos * ret AS gross, turn * (7 + 0.5 * part) / 10000 AS cost, pos * ret - turn * (7 + 0.5 * part) / 10000 AS net, ntile({splits}) OVER (PARTITION BY symbol ORDER BY ts) AS fold FROM ec),
+em AS (SELECT *, avg(net) OVER v AS mu, stddev_samp(net) OVER v AS sd FROM en WINDOW v AS (PARTITION BY symbol)),
+ea AS (SELECT symbol, count(*) AS n, max(mu) AS mu, CASE WHEN max(sd) > 0 THEN max(sd) END AS sd, coalesce(avg((net - mu) ** 3) / nullif(max(sd), 0) ** 3, 0) AS skew, coalesce(avg((net - mu) ** 4) / nullif(max(sd), 0) ** 4, 3) AS kurt, avg(turn) AS turnover,
+  avg(CASE WHEN net > 0 THEN 1.0 ELSE 0.0 END) AS breadth, count(*) FILTER (entry) AS trades FROM em GROUP BY symbol),
+ed AS (SELECT *, (ts - lag(ts) OVER (PARTITION BY symbol, fold ORDER BY ts)) / 1e6 AS gap FROM em),
+es AS (SELECT symbol, fold, CASE WHEN stddev_pop(net) <= 1e-12 * greatest(abs(avg(net)), 1e-12) OR quantile_cont(gap, 0.5) IS NULL THEN 0 ELSE avg(net) / stddev_pop(net) * sqrt(31557600 / greatest(quantile_cont(gap, 0.5), 1)) END AS sharpe FROM ed GROUP BY ALL),
+ef AS (SELECT symbol, avg(sharpe) AS sharpe_mean, avg(CASE WHEN sharpe <= 0 THEN 1.0 ELSE 0.0 END) AS pbo FROM es GROUP BY symbol),
+ez AS (SELECT *, mu / sd AS sr, 1 - skew * (mu / sd) + (kurt - 3) / 4 * (mu / sd) ** 2 AS v FROM ea JOIN ef USING (symbol)),
+ey AS (SELECT *, CASE WHEN trades >= {trades} AND v > 0 THEN (sr - sqrt(v / (n - 1)) * {best}) / sqrt(v / (n - 1)) END AS dsr_z, CASE WHEN v > 0 THEN sr * sqrt(n - 1) / sqrt(v) END AS psr_z FROM ez),
+ex AS (SELECT *, {phi} AS dsr FROM ey),
+scored AS (SELECT *, coalesce(dsr - {turnover} * turnover + {breadth} * breadth - pbo, '-inf'::DOUBLE) AS fitness FROM ex)"""
+
+
+#: Rules of the population and their SQL.
+_POPULATION = {
+    "-ret": "-ret", "GT(gap, 0) * 2 + -1": "CAST(gap > 0 AS INT) * 2 - 1", "div(ret, vol) + tanh(gap) * -1": "ret / vol - tanh(gap)", "AND(GE(vol, 3), LT(ret, 0))": "CAST(vol >= 3 AND ret < 0 AS INT)", "OR(GT(vol, 8), GT(ret, 0.9)) * -1": "-CAST(vol > 8 OR ret > 0.9 AS INT)", "0 * ret": "0 * ret",
+}
+_POP_SQL = " UNION ALL ".join(f"SELECT symbol, {k} AS rule, ts, CAST({x} AS DOUBLE) AS x, ahead FROM v" for k, x in enumerate(_POPULATION.values()))
+
+
+@query(f"""WITH {_RET}, q AS (SELECT o.symbol, o.ts, least(ret, 1.0) AS ret, close - open AS gap, volume AS vol FROM o JOIN r USING (symbol, ts)),
+v AS (SELECT *, coalesce(lead(ret) OVER (PARTITION BY symbol ORDER BY ts), 0) AS ahead FROM q), u AS ({_POP_SQL}),
+s AS (SELECT symbol, rule, stddev_pop(x) AS s FROM u GROUP BY ALL), g AS (SELECT symbol || '|' || rule AS symbol, ts, tanh(x / CASE WHEN s > 1e-6 THEN s ELSE 1 END) AS signal, ahead AS ret FROM u JOIN s USING (symbol, rule)),
+{_evaluated_sql("g", 6, 10, None, 0.5, 1.0)}
+SELECT split_part(symbol, '|', 1) AS symbol, CAST(split_part(symbol, '|', 2) AS INT) AS rule, n, round(mu, 6) + 0.0 AS mean_return, round(turnover, 6) + 0.0 AS turnover, round(breadth, 6) + 0.0 AS breadth, trades AS trade_count, round(sharpe_mean, 6) + 0.0 AS sharpe_mean, round(sr, 6) + 0.0 AS sharpe_total,
+  round(skew, 6) + 0.0 AS skew, round(kurt, 6) + 0.0 AS kurt, round(psr_z, 6) + 0.0 AS psr_z, round(dsr_z, 6) + 0.0 AS dsr_z, round(dsr, 6) + 0.0 AS dsr, CASE WHEN trades >= 10 THEN round(pbo, 6) + 0.0 END AS pbo, round(fitness, 6) + 0.0 AS fitness,
+  row_number() OVER (PARTITION BY split_part(symbol, '|', 1) ORDER BY fitness DESC, CAST(split_part(symbol, '|', 2) AS INT)) AS place FROM scored""")
+def rule_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six rules in one plan, each held against the next return and ranked within its symbol; some win and some lose."""
+    o = from_events(spark, sf_dir).select("symbol", "ts", (F.col("close") - F.col("open")).alias("gap"), F.col("volume").alias("vol"))
+    rows = _returns(spark, sf_dir).withColumn("ret", F.least("ret", F.lit(1.0))).join(o, ["symbol", "ts"])
+    rows = rows.withColumn("ahead", F.coalesce(F.lead("ret").over(by_time()), F.lit(0.0)))
+    scored = population.assessed(rows, rows.select("symbol", "ts", F.col("ahead").alias("ret")), list(_POPULATION), 0.5, 1.0, ["ret", "gap", "vol"])
+    kept = ["symbol", "rule", "n", "mean_return", "turnover", "breadth", "trade_count", "sharpe_mean", "sharpe_total", "skew", "kurt", "psr_z", "dsr_z", "dsr", "pbo", "fitness", "place"]
+    return rounded(population.ranked(scored).select(*kept))
+
+
+_GUARD = guardrail.GuardRules(runs=4, min_trades=20, threshold=-0.5, ratio=0.4, least_fit=0.2, trials=None)
+_GUARD_RULES = {"direction * -1": "-direction", "direction": "direction", "GT(w3_vol_z, 0) * 2 + -1": "CAST(w3_vol_z > 0 AS INT) * 2 - 1", "w3_ret_z * -1": "-w3_ret_z", "OR(GT(body, 20), LT(w3_ret_sum, 0))": "CAST(body > 20 OR w3_ret_sum < 0 AS INT)"}
+
+
+def _uniform(*parts: str) -> str:
+    return f"((('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT + 0.5) / {2.0**52!r})"
+
+
+def _normal(*parts: str) -> str:
+    return f"(sqrt(-2 * ln({_uniform(*parts, repr('a'))})) * cos({2 * math.pi!r} * {_uniform(*parts, repr('b'))}))"
+
+
+def _guard_sql() -> str:
+    real = BARS.replace("o AS (", "o0 AS (", 1).split("\ne AS (", 1)
+    own = ("symbol", "run", "k")
+    walk = f"""wj AS (SELECT symbol, run, unnest(range(greatest(n, 10))) AS k FROM (SELECT symbol, count(*) AS n FROM o0 GROUP BY symbol), range(1, {_GUARD.runs + 1}) t(run)),
+wc AS (SELECT *, 100 * exp(sum({_normal("'r'", *own)} * 0.01) OVER (PARTITION BY symbol, run ORDER BY k)) AS close FROM wj),
+wo AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol, run ORDER BY k), 100.0) AS open FROM wc),
+o AS (SELECT symbol || '#0' AS symbol, * EXCLUDE (symbol) FROM o0 UNION ALL BY NAME SELECT symbol || '#' || run AS symbol, CAST({guardrail.START_US} + k * 3600000000 AS BIGINT) AS ts, open, greatest(open, close) * (1 + 0.005 * {_uniform("'h'", *own)}) AS high, least(open, close) * (1 - 0.005 * {_uniform("'l'", *own)}) AS low, close, exp({_normal("'v'", *own)} * 0.1) AS volume FROM wo)"""
+    series = f"{real[0]}\n{walk},\ne AS ({real[1]}"
+    morph = _morph_sql(3, False).split("\nd AS (", 1)[1].replace("FROM o)\nSELECT", "FROM b),\nmf AS (SELECT", 1).replace("FROM d", "FROM md")
+    labelled = ORACLES["triple_barrier_ewm"].split(f"{BARS}, ", 1)[1].split("\nSELECT g.symbol", 1)[0].replace("n AS (", "n AS MATERIALIZED (", 1)
+    rules_sql = " UNION ALL ".join(f"SELECT symbol || '|{k}' AS symbol, ts, CAST({x} AS DOUBLE) AS x, ret FROM fr" for k, x in enumerate(_GUARD_RULES.values()))
+    hit = f"isfinite(s.fitness) AND s.trades >= {_GUARD.min_trades} AND s.fitness >= {_GUARD.threshold} AND r.fitness > 0 AND s.fitness / r.fitness >= {_GUARD.ratio} AND s.trades / greatest(r.trades, 1) <= {_GUARD.trade_ratio}"
+    return f"""WITH RECURSIVE {series},
+md AS ({morph}),
+{labelled},
+lab AS (SELECT g.symbol, g.ts, coalesce(x.close / nullif(g.close, 0) - 1, 0) AS ret FROM g JOIN nx USING (symbol, ts) LEFT JOIN p USING (symbol, ts) JOIN sigma x ON x.symbol = g.symbol AND x.ts = coalesce(p.hit_ts, nx.nts)),
+fr AS (SELECT * FROM mf JOIN lab USING (symbol, ts)), u AS ({rules_sql}), us AS (SELECT symbol, stddev_pop(coalesce(x, 0)) AS s FROM u GROUP BY symbol),
+src AS (SELECT symbol, ts, tanh(coalesce(x, 0) / CASE WHEN s > 1e-6 THEN s ELSE 1 END) AS signal, ret FROM u JOIN us USING (symbol)),
+{_evaluated_sql("src", _GUARD.splits, _GUARD.min_trades, _GUARD.trials, _GUARD.turnover_weight, _GUARD.breadth_weight)},
+k AS (SELECT split_part(symbol, '#', 1) AS sym, CAST(split_part(split_part(symbol, '#', 2), '|', 1) AS INT) AS run, CAST(split_part(symbol, '|', 2) AS INT) AS rule, fitness, trades FROM scored),
+a AS (SELECT r.sym, r.rule, any_value(r.fitness) AS fit, any_value(r.trades) AS trades, max(s.fitness) FILTER (isfinite(s.fitness)) AS top, count(*) FILTER ({hit}) AS hits, count(*) FILTER (isfinite(s.fitness)) AS runs, avg(s.fitness) FILTER (isfinite(s.fitness)) AS mean FROM k r JOIN k s ON s.sym = r.sym AND s.rule = r.rule AND s.run > 0 WHERE r.run = 0 GROUP BY ALL),
+j AS (SELECT *, isfinite(fit) AND fit > 0 AND trades >= {_GUARD.min_trades} AS judged, isfinite(fit) AND fit > 0 AND trades >= {_GUARD.min_trades} AND hits >= {_GUARD.hits} AND fit >= {_GUARD.least_fit} AS leak FROM a),
+fl AS (SELECT *, min(rule) FILTER (leak) OVER (PARTITION BY sym) AS first FROM j)
+SELECT sym AS symbol, round(max(fit) FILTER (isfinite(fit)), 5) + 0.0 AS real_best_fitness, round(max(top) FILTER (judged AND rule <= coalesce(first, rule)), 5) + 0.0 AS synthetic_max_positive_fitness, round(max(top), 5) + 0.0 AS synthetic_max_overall_fitness, {_GUARD.runs} AS synthetic_runs,
+  coalesce(bool_or(leak), false) AS flagged, CAST(max(first) AS INT) AS leak_rule, max(hits) FILTER (rule = first) AS leak_hits, max(runs) FILTER (rule = first) AS leak_runs, round(max(mean) FILTER (rule = first), 5) + 0.0 AS leak_mean FROM fl GROUP BY sym"""
+
+
+@query(_guard_sql())
+def guardrail_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five rules over the hourly candles' bars and over four random walks for each symbol: which symbols are flagged."""
+    scored = guardrail.assessed(from_events(spark, sf_dir), list(_GUARD_RULES), _GUARD, 3_600_000_000, windows=(3,))
+    out = guardrail.checks(guardrail.held_against(scored, _GUARD), _GUARD)
+    leak = [F.col(f"leak_rule.{a}").alias(b) for a, b in (("rule", "leak_rule"), ("hits_above_threshold", "leak_hits"), ("runs", "leak_runs"), ("synthetic_mean", "leak_mean"))]
+    return rounded(out.select("symbol", "real_best_fitness", "synthetic_max_positive_fitness", "synthetic_max_overall_fitness", "synthetic_runs", "flagged", *leak), 5)
