@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import by_time, require_columns, schema_of
 from ..functions.rolling import with_quantiles
+from ..sources.tables import settled
 
 MINUTE_US = 60_000_000
 
@@ -86,51 +87,45 @@ def _carried(absolute: bool, last: bool):
     return run
 
 
-def _chunked(rows: DataFrame, absolute: bool, chunk: int, path: str) -> DataFrame:
+def _chunked(rows: DataFrame, absolute: bool, chunk: int) -> DataFrame:
     """The fold of rows (symbol, ts, x, threshold) in chunks of so many rows, all at once.
 
     Every chunk is folded from no total; then each that began with another total
     than the one before it ended with is folded anew, until none is left. Bars
     start anew at each threshold, so a chunk's end seldom depends on its begin,
     and few chunks are folded more than twice. A symbol's chunks, not its rows,
-    come together. Tables are written under path.
+    come together.
     """
-    spark = rows.sparkSession
-    rows = rows.withColumn("chunk", F.floor((F.row_number().over(by_time()) - 1) / chunk))
-    rows.write.mode("overwrite").parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
+    rows = settled(rows.withColumn("chunk", F.floor((F.row_number().over(by_time()) - 1) / chunk)))
     fold = lambda df: df.groupBy("symbol", "chunk").applyInArrow(_carried(absolute, True), schema_of(df, "symbol", "chunk", "entry", closed="long", left="double"))
-    todo, states, turn = rows.withColumn("entry", F.lit(0.0)), None, 0
-    while True:
-        new = fold(todo)
-        states = new if states is None else states.join(new.select("symbol", "chunk"), ["symbol", "chunk"], "left_anti").unionByName(new)
-        states.write.mode("overwrite").parquet(f"{path}/states{turn}")
-        states = spark.read.parquet(f"{path}/states{turn}")
-        by_chunk = Window.partitionBy("symbol").orderBy("chunk")  # a row for each chunk
-        before = states.withColumn("begin", F.coalesce(F.lag("left").over(by_chunk), F.lit(0.0)))
-        wrong = before.where("begin <> entry").select("symbol", "chunk", F.col("begin").alias("entry"))
-        if wrong.isEmpty():
-            break
-        todo, turn = rows.join(wrong, ["symbol", "chunk"]), turn + 1
+    by_chunk = Window.partitionBy("symbol").orderBy("chunk")  # a row for each chunk
+    states, wrong = None, rows.select("symbol", "chunk").distinct().withColumn("entry", F.lit(0.0))
+    while not wrong.isEmpty():
+        new = fold(rows.join(wrong, ["symbol", "chunk"]))
+        states = settled(new if states is None else states.join(wrong, ["symbol", "chunk"], "left_anti").unionByName(new))
+        begin = F.coalesce(F.lag("left").over(by_chunk), F.lit(0.0))
+        wrong = states.withColumn("begin", begin).where("begin <> entry").select("symbol", "chunk", F.col("begin").alias("entry"))
+    if states is None:
+        states = fold(rows.withColumn("entry", F.lit(0.0)))
     first = F.sum("closed").over(by_chunk) - F.col("closed")
     parts = rows.join(states.select("symbol", "chunk", "entry", first.alias("first")), ["symbol", "chunk"])
     parts = parts.groupBy("symbol", "chunk").applyInArrow(_carried(absolute, False), schema_of(parts, own="long", total="double"))
     return parts.select("symbol", F.col("ts").alias("timestamp"), (F.col("first") + F.col("own")).alias("bar_id"), "total", "threshold")
 
 
-def event_mapping(candles: DataFrame, method: str = "dollar", target_seconds: int = 14_400, window: int = 60, keep_partial: bool = False, least: float = 0.5, chunk: int | None = None, path: str | None = None) -> DataFrame:
+def event_mapping(candles: DataFrame, method: str = "dollar", target_seconds: int = 14_400, window: int = 60, keep_partial: bool = False, least: float = 0.5, chunk: int | None = None) -> DataFrame:
     """(symbol, timestamp, bar_id) of dollar or imbalance bars: a running sum that starts anew when it reaches the threshold.
 
     The fold is sequential in time: a symbol's rows are sorted in one task and
-    stream through it in batches. With chunk and path a symbol's rows are folded
-    in chunks of so many, each a task's work, with the same result. Sums, medians
-    and the bars stay native.
+    stream through it in batches. With chunk a symbol's rows are folded in chunks
+    of so many, each a task's work, with the same result. Sums, medians and the
+    bars stay native.
     """
     if method not in ("dollar", "imbalance"):
         raise ValueError(f"unsupported method {method}")
     rows = _measured(candles, method, target_seconds, window).select("symbol", "ts", "x", "threshold")
     if chunk:
-        folded = _chunked(rows, method == "imbalance", chunk, path)
+        folded = _chunked(rows, method == "imbalance", chunk)
     else:
         numbered = rows.withColumn("first", F.row_number().over(by_time()) == 1).sortWithinPartitions("symbol", "ts")
         folded = numbered.mapInArrow(_folded(method == "imbalance"), schema_of(rows, "symbol", timestamp="long", bar_id="long", total="double", threshold="double"))

@@ -2,46 +2,43 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import predicates
 
 
+def _grown(sets: Column, items: Column) -> Column:
+    """The sets of one item more: each with every later item."""
+    return F.flatten(F.transform(sets, lambda s: F.transform(F.filter(items, lambda x: x > F.element_at(s, -1)), lambda x: F.concat(s, F.array(x)))))
+
+
 def mine(rows: DataFrame, items: list[str], label: str = "y", min_support: float = 0.01, min_lift: float = 1.1, max_size: int = 3, by: str | None = None) -> DataFrame:
     """(by.., name, items, direction, support, lift, purity) of the sets of boolean columns items that hold in min_support of the rows, of each key of column by if given.
 
-    Level after level: a larger set is counted only if all its parts are
-    frequent for some key. A level is one pass with a sum for each candidate,
-    batched so that a plan stays small; no row is copied for each combination.
-    The counts that come to the driver are a row for each key and batch.
+    Rows are first counted by what holds in them, so that sets are made once for
+    each combination of a key, not for each row, and only of items that are
+    frequent for the key. All of it is one plan.
     """
-    key = F.col(f"`{by}`") if by else F.lit("")
-    bits = rows.select(key.alias("key"), F.col(label).alias("y"), *[F.coalesce(F.col(x).cast("boolean"), F.lit(False)).alias(x) for x in items])
-    total = {r["key"]: r for r in bits.groupBy("key").agg(F.count("*").alias("n"), F.avg((F.col("y") == 1).cast("double")).alias("up"), F.avg((F.col("y") == -1).cast("double")).alias("down")).collect()}
-    found, frequent = [], dict.fromkeys(total)
-    for size in range(1, max_size + 1 if total else 1):
-        able = lambda s: [k for k, f in frequent.items() if f is None or all(p in f for p in combinations(s, size - 1))]
-        sets = {s: keys for s in combinations(sorted(items), size) if (keys := set(able(s)))}
-        new = {k: set() for k in total}
-        for b in range(0, len(sets), 200):
-            part = list(sets)[b : b + 200]
-            held = [reduce(lambda a, b: a & b, [F.col(x) for x in s]) for s in part]
-            for row in bits.groupBy("key").agg(*[F.count_if(h & c).alias(f"c{j}_{k}") for j, h in enumerate(held) for k, c in enumerate((F.lit(True), F.col("y") == 1, F.col("y") == -1))]).collect():
-                base = total[row["key"]]
-                for j, s in enumerate(part):
-                    hits, up, down = row[1 + 3 * j : 4 + 3 * j]
-                    if row["key"] not in sets[s] or not hits or hits / base["n"] < min_support:
-                        continue
-                    new[row["key"]].add(s)
-                    for direction, good, share in ((1, up, base["up"] or 1e-6), (-1, down, base["down"] or 1e-6)):
-                        if good and good / hits / share >= min_lift:
-                            found.append((row["key"], "_".join(s) + ("__LONG" if direction > 0 else "__SHORT"), list(s), direction, hits / base["n"], good / hits / share, good / hits))
-        frequent = new
-    out = rows.sparkSession.createDataFrame(found, "key string, name string, items array<string>, direction int, support double, lift double, purity double")
+    names, c = sorted(items), F.col
+    held = F.array_compact(F.array(*[F.when(F.coalesce(c(f"`{x}`").cast("boolean"), F.lit(False)), k) for k, x in enumerate(names)]))
+    counts = [F.sum(x).alias(x) for x in ("n", "up", "down")]
+    kinds = rows.groupBy((c(f"`{by}`") if by else F.lit("")).alias("key"), held.alias("held")).agg(F.count("*").alias("n"), F.count_if(c(label) == 1).alias("up"), F.count_if(c(label) == -1).alias("down"))
+    total = kinds.groupBy("key").agg(F.sum("n").alias("all_n"), F.sum("up").alias("all_up"), F.sum("down").alias("all_down"))  # a row for each key
+    single = kinds.select("key", F.explode("held").alias("item"), "n").groupBy("key", "item").agg(F.sum("n").alias("n"))
+    able = single.join(total, "key").where(c("n") / c("all_n") >= min_support).groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("able"))  # as many as items
+    kinds = kinds.join(able, "key").withColumn("held", F.array_intersect("held", "able"))
+    sets = [F.transform("held", lambda x: F.array(x))]
+    for _ in range(1, max_size):
+        sets.append(_grown(sets[-1], c("held")))
+    found = kinds.select("key", F.explode(F.concat(*sets)).alias("set"), "n", "up", "down").groupBy("key", "set").agg(*counts).join(total, "key")
+    found = found.withColumn("support", c("n") / c("all_n")).where(c("support") >= min_support)
+    sides = F.array(*[F.struct(F.lit(d).alias("direction"), c(good).alias("good"), F.when(c(f"all_{good}") > 0, c(f"all_{good}") / c("all_n")).otherwise(1e-6).alias("base")) for d, good in ((1, "up"), (-1, "down"))])
+    found = found.select("key", "set", "support", "n", F.explode(sides).alias("x")).select("key", "set", "support", (c("x.good") / c("n")).alias("purity"), "x.direction", "x.base")
+    found = found.withColumn("lift", c("purity") / c("base")).where((c("purity") > 0) & (c("lift") >= min_lift))
+    named = F.transform("set", lambda k: F.get(F.array(*map(F.lit, names)), k))
+    out = found.select("key", named.alias("items"), "direction", "support", "lift", "purity")
+    out = out.select("key", F.concat(F.array_join("items", "_"), F.when(c("direction") > 0, "__LONG").otherwise("__SHORT")).alias("name"), "items", "direction", "support", "lift", "purity")
     return out.withColumnRenamed("key", by) if by else out.drop("key")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import by_time
+from ..sources.tables import settled
 from .evaluation import YEAR_S, fold_sharpe, folds
 
 
@@ -21,28 +22,39 @@ def real_sharpe(returns: DataFrame, splits: int = 6) -> DataFrame:
 def permuted(returns: DataFrame, runs: int = 100, block: int = 24, splits: int = 6, order: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """(symbol, run, sharpe): mean fold Sharpe of returns whose blocks of so many rows are shuffled; times stay where they are.
 
-    order: a column by which (run, block) are sorted. Blocks, not rows, are
-    sorted; a row's new fold follows from its new place.
+    order: a column by which (run, block) are sorted. A run moves blocks' sums,
+    not rows: a block within one fold adds its sums to it, one across an edge is
+    looked up at the edge in its running sums. So work grows with runs times
+    blocks and folds. Sums are of differences from the symbol's mean.
     """
     order = order or (lambda run, b: F.xxhash64(run, b))
-    n = F.count("*").over(Window.partitionBy("symbol"))
-    rows = returns.withColumn("place", (F.row_number().over(by_time()) - 1).cast("long")).withColumn("n", n)
-    size = max(block, 1)
-    rows = rows.select("symbol", "ts", "ret", "n", F.floor(F.col("place") / size).alias("block"), (F.col("place") % size).alias("inside"))
-    blocks = rows.groupBy("symbol", "block").agg(F.count("*").alias("size"))
+    size, c = max(block, 1), F.col
+    whole = returns.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))  # a row for each symbol
+    rows = returns.withColumn("place", (F.row_number().over(by_time()) - 1).cast("long")).join(whole, "symbol")
+    rows = rows.select("symbol", F.floor(c("place") / size).alias("block"), (c("place") % size).alias("inside"), (c("ret") - c("mean")).alias("d"))
+    w = Window.partitionBy("symbol", "block").orderBy("inside").rowsBetween(Window.unboundedPreceding, 0)
+    rows = settled(rows.select("symbol", "block", (c("inside") + 1).alias("upto"), F.sum("d").over(w).alias("s1"), F.sum(c("d") * c("d")).over(w).alias("s2")))
+    blocks = rows.groupBy("symbol", "block").agg(F.max("upto").alias("size"), F.max_by("s1", "upto").alias("s1"), F.max_by("s2", "upto").alias("s2"))
     blocks = blocks.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
-    w = Window.partitionBy("symbol", "run").orderBy(order(F.col("run"), F.col("block")), "block").rowsBetween(Window.unboundedPreceding, 0)
-    blocks = blocks.select("symbol", "run", "block", (F.sum("size").over(w) - F.col("size")).alias("offset"))
-    moved = rows.join(blocks, ["symbol", "block"]).withColumn("at", F.col("offset") + F.col("inside"))
-    base, extra = F.floor(F.col("n") / splits), F.col("n") % splits  # the first folds have a row more
-    edge = extra * (base + 1)
-    fold = F.when(F.col("at") < edge, F.floor(F.col("at") / (base + 1))).otherwise(extra + F.floor((F.col("at") - edge) / F.greatest(base, F.lit(1)))).cast("int")
-    stats = moved.groupBy("symbol", "run", fold.alias("fold")).agg(F.avg("ret").alias("m"), F.stddev_pop("ret").alias("s"))
-    timed = folds(returns, splits).withColumn("gap", (F.col("ts") - F.lag("ts").over(Window.partitionBy("symbol", "fold").orderBy("ts"))) / 1e6)
+    before = Window.partitionBy("symbol", "run").orderBy(order(c("run"), c("block")), "block").rowsBetween(Window.unboundedPreceding, 0)
+    blocks = blocks.withColumn("offset", F.sum("size").over(before) - c("size")).join(whole, "symbol")
+    base, extra = F.floor(c("n") / splits), c("n") % splits  # the first folds have a row more
+    edge = lambda f: f * base + F.least(f, extra)
+    fold = lambda at: F.when(at < extra * (base + 1), F.floor(at / (base + 1))).otherwise(extra + F.floor((at - extra * (base + 1)) / F.greatest(base, F.lit(1))))
+    blocks = blocks.withColumns({"low": fold(c("offset")), "high": fold(c("offset") + c("size") - 1)})
+    inside = blocks.where("low = high").select("symbol", "run", c("low").alias("fold"), c("size").alias("k"), "s1", "s2")
+    cut = blocks.where("low < high").withColumn("fold", F.explode(F.sequence("low", "high")))
+    ends = F.array(F.struct(F.lit(-1.0).alias("sign"), (edge(c("fold")) - c("offset")).alias("upto")), F.struct(F.lit(1.0).alias("sign"), F.least(edge(c("fold") + 1) - c("offset"), c("size")).alias("upto")))
+    cut = cut.select("symbol", "run", "block", "fold", F.explode(ends).alias("e")).select("symbol", "run", "block", "fold", "e.*").where("upto > 0")
+    cut = cut.join(rows, ["symbol", "block", "upto"]).select("symbol", "run", "fold", (c("sign").cast("long") * c("upto")).alias("k"), (c("sign") * c("s1")).alias("s1"), (c("sign") * c("s2")).alias("s2"))
+    stats = inside.unionByName(cut).groupBy("symbol", "run", "fold").agg(F.sum("k").alias("k"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).join(whole, "symbol")
+    mean = c("s1") / c("k")
+    stats = stats.select("symbol", "run", c("fold").cast("int").alias("fold"), (c("mean") + mean).alias("m"), F.sqrt(F.greatest(c("s2") / c("k") - mean * mean, F.lit(0.0))).alias("s"))
+    timed = folds(returns, splits).withColumn("gap", (c("ts") - F.lag("ts").over(Window.partitionBy("symbol", "fold").orderBy("ts"))) / 1e6)
     gaps = timed.groupBy("symbol", "fold").agg(F.percentile("gap", 0.5).alias("gap"))  # a row for each symbol and fold
-    flat = (F.col("s") <= 1e-12 * F.greatest(F.abs("m"), F.lit(1e-12))) | F.col("gap").isNull()
+    flat = (c("s") <= 1e-12 * F.greatest(F.abs("m"), F.lit(1e-12))) | c("gap").isNull()
     sharpe = F.when(flat, 0.0).otherwise(F.try_divide("m", "s") * F.sqrt(YEAR_S / F.greatest("gap", F.lit(1.0))))
-    return stats.join(F.broadcast(gaps), ["symbol", "fold"]).groupBy("symbol", "run").agg(F.avg(sharpe).alias("sharpe"))
+    return stats.join(gaps, ["symbol", "fold"]).groupBy("symbol", "run").agg(F.avg(sharpe).alias("sharpe"))
 
 
 def walk_returns(n: int, rng: np.random.Generator) -> np.ndarray:

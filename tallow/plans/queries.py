@@ -105,12 +105,53 @@ def bar_method_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bars.chosen_bars(from_events(spark, sf_dir)))
 
 
-@query(ORACLES["bar_method_choice"].replace("'hour'", "'minute'").replace(str(STEP), "60000000").replace("14400", "60").replace("0.25 *", "15.0 *").replace("* 240,", "* 1,"))
+def _folded_sql(method: str, trigger: str) -> str:
+    """The event bars' fold of a symbol's rows as one list, where recursion row by row would take too long."""
+    met = f"{trigger.replace('f.total', 'a.t')} >= a.lim"
+    t, bar = f"CASE WHEN {met} THEN 0 ELSE a.t END + e.t", f"a.bar + CASE WHEN {met} THEN 1 ELSE 0 END"
+    step = f"lambda a, e: {{'t': {t}, 'lim': e.lim, 'bar': {bar}, 'ts': list_append(a.ts, {t}), 'bars': list_append(a.bars, {bar})}}"
+    empty = "'bar': 0::BIGINT, 'ts': []::DOUBLE[], 'bars': []::BIGINT[]"
+    return f"""l_{method} AS (SELECT symbol, list_reduce(list({{'t': x::DOUBLE, 'lim': lim::DOUBLE, {empty}}} ORDER BY n), {step}, {{'t': 0::DOUBLE, 'lim': 1e-6::DOUBLE, {empty}}}) AS r FROM x_{method} GROUP BY symbol),
+f_{method} AS (SELECT symbol, x.n, x.ts, x.lim, u.total, u.bar_id FROM (SELECT symbol, unnest(r.ts) AS total, unnest(r.bars) AS bar_id, generate_subscripts(r.ts, 1) AS n FROM l_{method}) u JOIN x_{method} AS x USING (symbol, n))"""
+
+
+def _minutes_sql(target: int, tolerance: float) -> str:
+    sql = ORACLES["bar_method_choice"].replace("'hour'", "'minute'").replace(str(STEP), str(target * 1_000_000)).replace("0.25 * 14400", f"{tolerance} * {target}").replace("14400", str(target)).replace("* 240,", f"* {target // 60},")
+    for method, trigger in (("dollar", "f.total"), ("imbalance", "abs(f.total)")):
+        begin = sql.index(f"f_{method} AS (")
+        sql = sql[:begin] + _folded_sql(method, trigger) + ",\n" + sql[sql.index(f"z_{method} AS (") :]
+    return sql
+
+
+@query(_minutes_sql(60, 15.0))
 def bar_method_choice_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Minutes with gaps: bars of one minute are far from their target, and event bars win."""
+    """Minutes with gaps: bars of one minute are far from their target, and imbalance bars win."""
     return rounded(bars.chosen_bars(from_events(spark, sf_dir, "minute"), 60, 15.0))
 
 
+@query(_minutes_sql(1200, 15.0))
+def bar_method_choice_twenty_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dollar bars win for most symbols, time bars where those are beyond the tolerance."""
+    return rounded(bars.chosen_bars(from_events(spark, sf_dir, "minute"), 1200, 15.0))
+
+
+@query(f"""WITH RECURSIVE {OHLCV}, {_event_bars_sql("dollar", "abs(close * volume)", "f.total", "abs(close * volume)", 240)}
+SELECT symbol, bar_id, ts, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, round(volume, 6) + 0.0 AS volume FROM dollar_bars""")
+def dollar_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bars.event_bars(from_events(spark, sf_dir), "dollar"))
+
+
+@query(ORACLES["dollar_bar_mapping"])
+def dollar_bar_mapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bars from chunks of 97 rows, each a task's work."""
+    return bars.event_mapping(from_events(spark, sf_dir), "dollar", chunk=97)
+
+
+@query(ORACLES["imbalance_bar_mapping"])
+def imbalance_bar_mapping_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bars.event_mapping(from_events(spark, sf_dir), "imbalance", target_seconds=240, chunk=97)
+
+
 def _morph_sql(n: int, rounds: bool = True) -> str:
     w = f"(PARTITION BY symbol ORDER BY ts ROWS {n - 1} PRECEDING)"
     cols = {

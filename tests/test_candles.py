@@ -396,5 +396,5 @@ def test_event_bars_in_chunks(spark, tmp_path, method, chunk):
     walk.write.parquet(f"{tmp_path}/walk")
     walk = keyed(spark.read.parquet(f"{tmp_path}/walk").withColumn("run", F.lit(2)), "symbol", "run")
     whole = bars.event_mapping(walk, method, target_seconds=300)
-    parts = bars.event_mapping(walk, method, target_seconds=300, chunk=chunk, path=f"{tmp_path}/work")
+    parts = bars.event_mapping(walk, method, target_seconds=300, chunk=chunk)
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, whole.collect())) and whole.select(F.max("bar_id")).first()[0] > 5
