@@ -273,6 +273,12 @@ SELECT symbol, ts, coalesce(list_position(a, true) > 0 AND list_contains(list_sl
         {"name": "SEQUENCE", "params": {"window": 5, "tolerance": 1}, "children": ["INSIDE_BAR", "HIGHER_LOW", "INSIDE_BAR"]},
         f"""WITH {_MASKS}, l AS (SELECT symbol, ts, list(a) OVER v AS a, list(b) OVER v AS b FROM m WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS 4 PRECEDING)),
 x AS (SELECT *, coalesce(list_position(a, true), 0) AS p FROM l), y AS (SELECT *, coalesce(list_position(b[p + 1:], true), 0) AS q FROM x), z AS (SELECT *, coalesce(list_position(a[p + q + 1:], true), 0) AS r FROM y)
+SELECT symbol, ts, CAST(p = 0 AS INT) + CAST(q = 0 AS INT) + CAST(r = 0 AS INT) <= 1 AS hit FROM z""",
+    ),
+    "dsl_sequence_wide": (
+        {"name": "SEQUENCE", "params": {"window": 70, "tolerance": 1}, "children": ["INSIDE_BAR", "HIGHER_LOW", "INSIDE_BAR"]},
+        f"""WITH {_MASKS}, l AS (SELECT symbol, ts, list(a) OVER v AS a, list(b) OVER v AS b FROM m WINDOW v AS (PARTITION BY symbol ORDER BY ts ROWS 69 PRECEDING)),
+x AS (SELECT *, coalesce(list_position(a, true), 0) AS p FROM l), y AS (SELECT *, coalesce(list_position(b[p + 1:], true), 0) AS q FROM x), z AS (SELECT *, coalesce(list_position(a[p + q + 1:], true), 0) AS r FROM y)
 SELECT symbol, ts, CAST(p = 0 AS INT) + CAST(q = 0 AS INT) + CAST(r = 0 AS INT) <= 1 AS hit FROM z""",
     ),
     "seed_trend_pullback": (patterns.SEEDS["trend_pullback"], f"WITH {FIELDS} SELECT symbol, ts, coalesce({_HIGHER}, false) AND coalesce({PREDICATES['RANGE_COMPRESSION'][1]}, false) AS hit FROM f"),
@@ -446,9 +452,9 @@ def strategy_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(strategy.evaluated(s.select("symbol", "ts", "signal"), s.select("symbol", "ts", "ret")).drop("psr", "dsr"))
 
 
-@query()
+@query()  # its SQL is set below, with the evaluation's
 def strategy_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With the normal distribution, which SQL lacks; the tests hold it against Python's."""
+    """With the normal distribution by its series."""
     s = _signals(spark, sf_dir)
     return rounded(strategy.fitness(strategy.evaluated(s.select("symbol", "ts", "signal"), s.select("symbol", "ts", "ret"))).select("symbol", "psr", "dsr", "fitness"))
 
@@ -501,6 +507,26 @@ def motif_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(motifs.mine_bars(o, y.where("y <> 0"), [(name, {}) for name in _ITEMS], min_lift=0.9, max_size=2).drop("items"))
 
 
+def _default_specs_sql() -> str:
+    other = {"LONG_LOWER_WICK": "coalesce(lw / nullif(tr, 0), 0) >= 0.3", "ROUND_LEVEL_PROXIMITY": _near("round_even(close / 0.01, 0) * 0.01", 0.25)}
+    masks = [f"CASE WHEN coalesce({other.get(name, PREDICATES[name][1])}, false) THEN '{name}__{k}' END AS m{k}" for k, (name, _) in enumerate(motifs.DEFAULT_SPECS)]
+    return f"""WITH {FIELDS}, m AS (SELECT symbol, ts, {", ".join(masks)} FROM f),
+h AS (SELECT m.symbol, list_sort(list_filter([{", ".join(f"m{k}" for k in range(len(motifs.DEFAULT_SPECS)))}], lambda x: x IS NOT NULL)) AS held, CASE WHEN n > 0 THEN 1 WHEN n < 0 THEN -1 ELSE 0 END AS y, row_number() OVER () AS row FROM m JOIN (SELECT symbol, ts, lead(close) OVER (PARTITION BY symbol ORDER BY ts) - close AS n FROM o) USING (symbol, ts)),
+i AS (SELECT symbol, row, y, unnest(held) AS x FROM h), t AS (SELECT symbol, count(*) AS n, count(*) FILTER (y = 1) / count(*) AS up, count(*) FILTER (y = -1) / count(*) AS down FROM h GROUP BY symbol),
+s AS (SELECT symbol, y, x AS k FROM i UNION ALL SELECT a.symbol, a.y, a.x || '_' || b.x FROM i a JOIN i b ON a.row = b.row AND a.x < b.x UNION ALL SELECT a.symbol, a.y, a.x || '_' || b.x || '_' || c.x FROM i a JOIN i b ON a.row = b.row AND a.x < b.x JOIN i c ON c.row = a.row AND b.x < c.x),
+g AS (SELECT symbol, k, count(*) AS n, count(*) FILTER (y = 1) AS up, count(*) FILTER (y = -1) AS down FROM s GROUP BY ALL),
+r AS (SELECT symbol, k, d, g.n / t.n AS support, CASE d WHEN 1 THEN g.up ELSE g.down END / g.n AS purity, CASE d WHEN 1 THEN t.up ELSE t.down END AS base FROM g JOIN t USING (symbol), (VALUES (1), (-1)) v(d))
+SELECT symbol, k || CASE WHEN d > 0 THEN '__LONG' ELSE '__SHORT' END AS name, CAST(d AS INT) AS direction, round(support, 6) + 0.0 AS support, round(purity / base, 6) + 0.0 AS lift, round(purity, 6) + 0.0 AS purity FROM r WHERE support >= 0.01 AND purity > 0 AND purity / base >= 1.1"""
+
+
+@query(_default_specs_sql())
+def motifs_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fourteen default predicates, sets of up to three, for each symbol."""
+    o = from_events(spark, sf_dir)
+    y = o.select("symbol", "ts", F.coalesce(F.signum(F.lead("close").over(by_time()) - F.col("close")), F.lit(0.0)).cast("int").alias("y"))
+    return rounded(motifs.mine_bars(o, y).drop("items"))
+
+
 @query(f"WITH {_RET} SELECT symbol, ts, CAST(ret > 0.001 AS INT) AS motif_0, CAST(ret < -0.001 AS INT) AS motif_1 FROM r")
 def motif_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _returns(spark, sf_dir).withColumn("motif_id", F.when(F.col("ret") > 0.001, 0).when(F.col("ret") < -0.001, 1).otherwise(2))
@@ -604,10 +630,13 @@ es AS (SELECT symbol, fold, CASE WHEN stddev_pop(net) <= 1e-12 * greatest(abs(av
 ef AS (SELECT symbol, avg(sharpe) AS sharpe_mean, avg(CASE WHEN sharpe <= 0 THEN 1.0 ELSE 0.0 END) AS pbo FROM es GROUP BY symbol),
 ez AS (SELECT *, mu / sd AS sr, 1 - skew * (mu / sd) + (kurt - 3) / 4 * (mu / sd) ** 2 AS v FROM ea JOIN ef USING (symbol)),
 ey AS (SELECT *, CASE WHEN trades >= {trades} AND v > 0 THEN (sr - sqrt(v / (n - 1)) * {best}) / sqrt(v / (n - 1)) END AS dsr_z, CASE WHEN v > 0 THEN sr * sqrt(n - 1) / sqrt(v) END AS psr_z FROM ez),
-ex AS (SELECT *, {phi} AS dsr FROM ey),
+ex AS (SELECT *, {phi} AS dsr, {phi.replace("dsr_z", "psr_z")} AS psr FROM ey),
 scored AS (SELECT *, coalesce(dsr - {turnover} * turnover + {breadth} * breadth - pbo, '-inf'::DOUBLE) AS fitness FROM ex)"""
 
 
+ORACLES["strategy_fitness"] = f"""WITH {_SIGNALS}, {_evaluated_sql("g", 6, 10, None, 0.1, 0.1)}
+SELECT symbol, round(psr, 6) + 0.0 AS psr, round(dsr, 6) + 0.0 AS dsr, round(fitness, 6) + 0.0 AS fitness FROM scored"""
+
 #: Rules of the population and their SQL.
 _POPULATION = {
     "-ret": "-ret", "GT(gap, 0) * 2 + -1": "CAST(gap > 0 AS INT) * 2 - 1", "div(ret, vol) + tanh(gap) * -1": "ret / vol - tanh(gap)", "AND(GE(vol, 3), LT(ret, 0))": "CAST(vol >= 3 AND ret < 0 AS INT)", "OR(GT(vol, 8), GT(ret, 0.9)) * -1": "-CAST(vol > 8 OR ret > 0.9 AS INT)", "0 * ret": "0 * ret",
