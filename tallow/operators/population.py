@@ -8,7 +8,7 @@ sums, made where the rows are and summed by symbol, rule and fold.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,10 +94,31 @@ def _fold_sharpes(rows: DataFrame, splits: int, test_blocks: int) -> DataFrame:
     return g.select("symbol", "rule", "fold", F.when(flat, 0.0).otherwise(F.try_divide("m", "s") * F.sqrt(YEAR_S / F.greatest("gap", F.lit(1.0)))).alias("sharpe"))
 
 
-def assessed(features: DataFrame, returns: DataFrame, expressions: list[str], turnover_weight: float = 1.0, breadth_weight: float = 1.0, names: Iterable[str] | None = None, **options) -> DataFrame:
-    """evaluated for the rules over features, with fitness, where features and returns (symbol, ts, ret) meet. The rules' values are computed once and kept."""
+def unpriced(rows: DataFrame, expressions: list[str]) -> DataFrame:
+    """(symbol, rule, expression, sharpe, mean_return, std_return, turnover, breadth, fitness) of rows (symbol, ts, signals, ret) without costs, positions or folds: signals times returns.
+
+    fitness is the Sharpe ratio, minus infinity where a rule's signal or its gains do not vary.
+    """
+    df = rows.withColumn("before", F.lag("signals").over(by_time()))
+    moves = F.zip_with("signals", F.coalesce("before", F.transform("signals", lambda _: F.lit(None).cast("double"))), lambda a, b: F.struct(a.alias("s"), F.abs(a - b).alias("turn")))
+    each = df.select("symbol", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.posexplode(moves).alias("rule", "x"))
+    gain = F.col("x.s") * F.col("ret")
+    m = each.groupBy("symbol", "rule").agg(F.avg(gain).alias("mean_return"), F.stddev_pop(gain).alias("std_return"), F.stddev_pop("x.s").alias("spread"), F.avg("x.turn").alias("turnover"), F.avg((gain > 0).cast("double")).alias("breadth"))
+    sharpe = F.when((F.col("spread") > 0) & (F.col("std_return") > 0), F.col("mean_return") / F.col("std_return"))
+    m = m.withColumns({"sharpe": sharpe, "fitness": F.coalesce(sharpe, F.lit(float("-inf"))), "expression": F.get(F.array(*map(F.lit, expressions)), F.col("rule"))})
+    return m.select("symbol", "rule", "expression", "sharpe", "mean_return", "std_return", "turnover", "breadth", "fitness")
+
+
+def assessed(features: DataFrame, returns: DataFrame, expressions: list[str], turnover_weight: float = 1.0, breadth_weight: float = 1.0, names: Iterable[str] | None = None, evaluator: Callable[..., DataFrame] = evaluated, **options) -> DataFrame:
+    """The evaluator's row for each symbol and rule over features, with fitness, where features and returns (symbol, ts, ret) meet.
+
+    evaluator: of (rows, expressions, options) with rows (symbol, ts, signals,
+    ret); its own fitness stands, else it is taken from its metrics. The rules'
+    values are computed once and kept.
+    """
     rows = settled(values(features, expressions, names).join(returns.select("symbol", "ts", "ret"), ["symbol", "ts"]))
-    return strategy.fitness(evaluated(bounded(rows), expressions, **options), turnover_weight, breadth_weight)
+    scored = evaluator(bounded(rows), expressions, **options)
+    return scored if "fitness" in scored.columns else strategy.fitness(scored, turnover_weight, breadth_weight)
 
 
 def ranked(scored: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -42,14 +42,15 @@ def jaccard_distances(stats: DataFrame) -> DataFrame:
     return sized.select("a", "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("distance"))
 
 
-def fit_states(features: DataFrame, label: str = "state", trees: int = 100, depth: int = 6, seed: int = 42) -> PipelineModel:
-    """A random forest from every numeric column but the times to the label."""
+def fit_states(features: DataFrame, label: str = "state", trees: int = 100, depth: int = 6, seed: int = 42, estimator: Estimator | None = None) -> PipelineModel:
+    """A classifier from every numeric column but the times to the label: a random forest, or any estimator of Spark's that gives probabilities."""
     inputs = [c for c, t in features.dtypes if c not in (label, "ts", "timestamp", "symbol") and t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
     vectors = VectorAssembler(inputCols=inputs, outputCol="__v")
     index = StringIndexer(inputCol=label, outputCol="__y", stringOrderType="alphabetAsc").fit(features)
-    forest = RandomForestClassifier(featuresCol="__v", labelCol="__y", predictionCol="__p", numTrees=trees, maxDepth=depth, seed=seed)
+    chosen = estimator.copy() if estimator is not None else RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+    chosen.setParams(featuresCol="__v", labelCol="__y", predictionCol="__p")
     named = IndexToString(inputCol="__p", outputCol="predicted", labels=index.labels)
-    return PipelineModel([vectors, forest.fit(vectors.transform(index.transform(features))), named])
+    return PipelineModel([vectors, chosen.fit(vectors.transform(index.transform(features))), named])
 
 
 def predicted(model: PipelineModel, features: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -70,21 +71,39 @@ class CandleStore:
         chosen = [s for s in self.specs if symbols is None or s.symbol in symbols]
         if not chosen:
             raise KeyError(f"no symbols {symbols}")
-        parts = [spark.read.parquet(s.location()).select(F.lit(s.symbol).alias("symbol"), "ts", *PRICES) for s in chosen]
+        roots: dict[str, list[CandleSpec]] = {}
+        own = []
+        for s in chosen:  # the usual layout is one scan of a root's folders; other paths are read one by one
+            usual = s.location() == f"{s.root}/symbol={s.symbol}"
+            roots.setdefault(s.root, []).append(s) if usual else own.append(s)
+        parts = [spark.read.option("basePath", r).parquet(*[s.location() for s in some]).select(F.col("symbol").cast("string").alias("symbol"), "ts", *PRICES) for r, some in roots.items()]
+        parts += [spark.read.parquet(s.location()).select(F.lit(s.symbol).alias("symbol"), "ts", *PRICES) for s in own]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return between(out, start, end)
 
 
-def month_files(spark: SparkSession, root: str, months: list[str], symbols: list[str] | None = None, pattern: str = "{root}/{symbol}/1m/{symbol}-1m-{month}.csv") -> list[str]:
-    """The files of these months that exist, by symbol and month; all symbols below root unless some are named."""
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    if symbols is None:
-        p = fs_path(f"{root}/*")
-        symbols = sorted(s.getPath().getName() for s in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [] if s.isDirectory())
-    paths = [pattern.format(root=root, symbol=s, month=m) for s in symbols for m in months]
-    return [p for p in paths if path_exists(spark, p)]
+def glob(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that match a pattern, sorted, in whichever store it names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(str(f.getPath()) for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or [])
+
+
+def month_files(spark: SparkSession, root: str, months: list[str], symbols: list[str] | None = None, pattern: str = "{root}/{symbol}/1m/{symbol}-1m-{month}.csv", limit: int | None = None) -> list[str]:
+    """The files of these months that exist, by symbol and month; all symbols below root unless some are named, the first so many of them with a limit.
+
+    A month's files are listed at once.
+    """
+    found = set()
+    for m in months:
+        named = re.escape(pattern.format(root="", symbol="\0", month=m)).split(re.escape("\0"))
+        shape = re.compile(named[0] + "([^/]+)" + "".join(part + r"\1" for part in named[1:-1]) + named[-1] + "$")
+        for path in glob(spark, pattern.format(root=root, symbol="*", month=m)):
+            if (hit := shape.search(path)) and (symbols is None or hit[1] in symbols):
+                found.add((hit[1], m))
+    chosen = sorted({s for s, _ in found})[:limit]
+    return [pattern.format(root=root, symbol=s, month=m) for s, m in sorted(found) if s in chosen]
 
 
 def month_range(first: str, last: str) -> list[str]:
@@ -98,10 +117,10 @@ def csv_to_parquet(spark: SparkSession, paths: list[str] | str, out: str, symbol
     write_candles(read_klines(spark, paths, symbol), out)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV or Parquet table, by the path's ending."""
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A CSV or Parquet table, by the path's ending. Without a schema a CSV table is read once more to find its types."""
     if path.endswith(".csv"):
-        return spark.read.csv(path, header=True, inferSchema=True)
+        return spark.read.csv(path, header=True, schema=schema, inferSchema=schema is None)
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
     raise ValueError(f"neither CSV nor Parquet: {path}")
@@ -119,17 +138,17 @@ def time_column(df: DataFrame) -> Column:
     raise TypeError("no time column")
 
 
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
+def read_orders(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """(ts, side, price, quantity, maker, participation ..): missing flags are false and 0."""
-    df = read_table(spark, path)
+    df = read_table(spark, path, schema)
     for name, default in (("maker", F.lit(False)), ("participation", F.lit(0.0))):
         df = df if name in df.columns else df.withColumn(name, default)
     return df.withColumn("ts", time_column(df))
 
 
-def read_labels(spark: SparkSession, path: str, value: str = "y") -> DataFrame:
+def read_labels(spark: SparkSession, path: str, value: str = "y", schema: str | None = None) -> DataFrame:
     """(ts, y)."""
-    df = read_table(spark, path)
+    df = read_table(spark, path, schema)
     return df.select(time_column(df).alias("ts"), F.col(value).cast("int").alias("y"))
 
 
@@ -186,11 +205,27 @@ def append_csv(df: DataFrame, path: str) -> None:
     write_csv(df, path, "append")
 
 
+def write_months(df: DataFrame, root: str, keys: DataFrame | None = None) -> None:
+    """df as Parquet by symbol and month, over whatever those partitions hold; other partitions stay.
+
+    Once all is committed the keys (symbol, month; those of df unless given, so
+    that a month without rows counts too) are marked as done below root/_done,
+    which readers of root do not see. A run that is lost before that leaves its
+    keys undone, and the next writes their partitions anew.
+    """
+    keys = df.select("symbol", "month").distinct() if keys is None else keys.select("symbol", "month")
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol", "month").parquet(root)
+    keys.select(F.col("symbol").cast("string").alias("symbol"), F.col("month").cast("string").alias("month")).write.mode("append").parquet(f"{root}/_done")
+
+
 def undone(spark: SparkSession, keys: DataFrame, root: str, force: bool = False) -> DataFrame:
-    """The keys (symbol, month) whose folder root/symbol=../month=.. holds nothing yet, or all if force."""
-    if force or not path_exists(spark, f"{root}/symbol=*/month=*"):
+    """The keys (symbol, month) that are not marked as done below root, or all if force: marked by write_months, or by a file _SUCCESS in their folder."""
+    if force:
         return keys
-    done = spark.read.parquet(root).select("symbol", F.col("month").cast("string").alias("month")).distinct()
+    marks = [re.search(r"/symbol=([^/]*)/month=([^/]*)/_SUCCESS$", p).groups() for p in glob(spark, f"{root}/symbol=*/month=*/_SUCCESS")]
+    done = spark.createDataFrame(marks, "symbol string, month string")
+    if path_exists(spark, f"{root}/_done/*.parquet"):
+        done = done.unionByName(spark.read.schema("symbol string, month string").parquet(f"{root}/_done"))
     return keys.join(done, ["symbol", "month"], "left_anti")
 
 

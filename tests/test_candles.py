@@ -1,10 +1,12 @@
 import json
 import math
+from collections import Counter
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from tallow.functions import patterns, predicates, rolling, rules
@@ -278,6 +280,8 @@ def test_states(spark):
     got = prototypes.to_signal(prototypes.predicted(model, df))
     assert got.where("predicted <> state or signal <> case state when 'upturn' then 1 else -1 end").isEmpty()
     assert len(prototypes.predicted(model, df.drop("state")).first().probability) == 2
+    other = prototypes.fit_states(df, estimator=LogisticRegression(maxIter=20))
+    assert prototypes.predicted(other, df).where("predicted <> state").isEmpty()
 
 
 def test_research_plan(spark):
@@ -298,11 +302,20 @@ def test_stores_and_sinks(spark, tmp_path):
     store = files.CandleStore.of(f"{tmp_path}/store", ["S0", "S1"])
     assert store.missing(spark) == [] and files.CandleStore.of(f"{tmp_path}/store", ["S9"]).missing(spark) == ["S9: no files"]
     assert store.load(spark, ["S0"], start=946_684_800_000_000 + MINUTE * 10).count() == 40 == files.CandleStore.in_memory(walk).load(spark, ["S0"], start=946_684_800_000_000 + MINUTE * 10).count()
+    moved = files.CandleStore((files.CandleSpec("S0", f"{tmp_path}/store"), files.CandleSpec("X", f"{tmp_path}/store", lambda root, _: f"{root}/symbol=S1")))
+    assert {r.symbol: r.n for r in moved.load(spark).groupBy("symbol").agg(F.count("*").alias("n")).collect()} == {"S0": 50, "X": 50}
+    assert len(store.load(spark).inputFiles()) >= 2 and store.load(spark)._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
     (tmp_path / "raw/ABC/1m").mkdir(parents=True)
+    (tmp_path / "raw/ABD/1m").mkdir(parents=True)
     (tmp_path / "raw/ABC/1m/ABC-1m-2024-02.csv").write_text("1000,1,2,0.5,1.5,10\n")
     assert files.month_range("2023-11", "2024-02") == ["2023-11", "2023-12", "2024-01", "2024-02"]
     found = files.month_files(spark, f"{tmp_path}/raw", files.month_range("2024-01", "2024-03"))
     assert [f.rsplit("/", 1)[1] for f in found] == ["ABC-1m-2024-02.csv"]
+    (tmp_path / "raw/ABD/1m/ABD-1m-2024-01.csv").touch()
+    (tmp_path / "raw/ABD/1m/OTHER-1m-2024-01.csv").touch()
+    every = files.month_range("2024-01", "2024-03")
+    assert [f.rsplit("/", 1)[1] for f in files.month_files(spark, f"{tmp_path}/raw", every)] == ["ABC-1m-2024-02.csv", "ABD-1m-2024-01.csv"]
+    assert files.month_files(spark, f"{tmp_path}/raw", every, limit=1) == found == files.month_files(spark, f"{tmp_path}/raw", every, ["ABC", "ZZ"])
     files.csv_to_parquet(spark, found, f"{tmp_path}/month")
     assert spark.read.parquet(f"{tmp_path}/month").first().symbol == "ABC"
     with pytest.raises(FileNotFoundError):
@@ -325,12 +338,38 @@ def test_stores_and_sinks(spark, tmp_path):
     for _ in range(2):
         files.append_csv(done, f"{tmp_path}/out.csv")
     assert [x["items"] for x in files.merged_csv(spark, f"{tmp_path}/out.csv", "symbol string, month string, items string").collect()] == ["x,y", "x,y"]
-    done.write.partitionBy("symbol", "month").parquet(f"{tmp_path}/done")
+    done.write.partitionBy("symbol", "month").parquet(f"{tmp_path}/done")  # files, but no mark
     keys = spark.createDataFrame([("A", "2024-01"), ("B", "2024-01")], "symbol string, month string")
+    assert files.undone(spark, keys, f"{tmp_path}/done").count() == 2
+    (tmp_path / "done/symbol=A/month=2024-01/_SUCCESS").touch()
     assert [x.symbol for x in files.undone(spark, keys, f"{tmp_path}/done").collect()] == ["B"] and files.undone(spark, keys, f"{tmp_path}/done", force=True).count() == 2
     assert files.merged([done, keys]).count() == 3
 
 
+def test_labels_are_read(spark, tmp_path):
+    pd.DataFrame({"ts": ["2024-01-01 00:00:00", "2024-01-01 00:01:00"], "y": [1, -1]}).to_csv(f"{tmp_path}/labels.csv", index=False)
+    want = [(1_704_067_200_000_000, 1), (1_704_067_260_000_000, -1)]
+    for schema in (None, "ts timestamp, y int"):
+        assert sorted(map(tuple, files.read_labels(spark, f"{tmp_path}/labels.csv", schema=schema).collect())) == want
+    spark.createDataFrame(want, "timestamp long, side long").toPandas().to_parquet(f"{tmp_path}/labels.parquet")
+    assert sorted(map(tuple, files.read_labels(spark, f"{tmp_path}/labels.parquet", "side").collect())) == want
+
+
+def test_a_lost_run_is_done_again(spark, tmp_path):
+    """A run that dies before its marks leaves its months undone; the next one's result is a clean run's."""
+    root, month = f"{tmp_path}/out", lambda s, m, n: [(s, m, k, float(n)) for k in range(n)]
+    frame = lambda rows: spark.createDataFrame(rows, "symbol string, month string, ts long, x double")
+    keys = spark.createDataFrame([("A", "2024-01"), ("A", "2024-02"), ("B", "2024-01"), ("C", "2024-01")], "symbol string, month string")
+    files.write_months(frame(month("A", "2024-01", 3)), root)
+    frame(month("A", "2024-02", 9)).write.mode("append").partitionBy("symbol", "month").parquet(root)  # what a lost run may leave
+    left = files.undone(spark, keys, root)
+    assert sorted(map(tuple, left.collect())) == [("A", "2024-02"), ("B", "2024-01"), ("C", "2024-01")]
+    files.write_months(frame(month("A", "2024-02", 2) + month("B", "2024-01", 4)), root, left)
+    got = spark.read.parquet(root)
+    assert Counter((r.symbol, str(r.month)) for r in got.collect()) == {("A", "2024-01"): 3, ("A", "2024-02"): 2, ("B", "2024-01"): 4}
+    assert files.undone(spark, keys, root).isEmpty() and files.undone(spark, keys, root, force=True).count() == 4
+
+
 def test_wide_quantiles_are_those_of_percentile(spark, tmp_path):
     """Random and tied values, nulls, several symbols; the key may be several columns."""
     df = random_walk(spark, 3, 700).withColumn("x", F.when(F.rand(1) > 0.1, F.round(F.rand(2) * 9))).withColumn("run", F.lit(1))

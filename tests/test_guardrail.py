@@ -51,6 +51,18 @@ def test_a_population_is_its_rules_one_by_one(rows, test_blocks):
             assert np.allclose(own[c].astype(float), want[c].astype(float), equal_nan=True, rtol=1e-8, atol=1e-10), (text, c)
 
 
+def test_a_population_without_costs(rows):
+    ret = rows.select("symbol", "ts", (F.col("a") / 100).alias("ret"))
+    got = population.assessed(rows, ret, RULES, evaluator=population.unpriced).toPandas()
+    for k, text in enumerate(RULES):
+        alone = rules.with_signal(rows, text).select("symbol", "ts", "signal").join(ret, ["symbol", "ts"]).toPandas().sort_values(["symbol", "ts"])
+        for symbol, x in alone.groupby("symbol"):
+            own = got[(got.rule == k) & (got.symbol == symbol)].iloc[0]
+            gain = x.signal * x.ret.fillna(0.0)
+            assert own.turnover == pytest.approx(x.signal.diff().abs().mean()) and own.breadth == pytest.approx((gain > 0).mean())
+            assert own.fitness == (pytest.approx(gain.mean() / gain.std(ddof=0)) if x.signal.std(ddof=0) else -math.inf)
+
+
 def test_ratios_of_more_than_a_thousand_folds(spark):
     """13 blocks by 6 are 1716 folds."""
     hour, rng = 3_600_000_000, np.random.default_rng(3)
