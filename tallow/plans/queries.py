@@ -607,10 +607,26 @@ def label_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(labels.diagnostics(triple_barrier_ewm(spark, sf_dir)))
 
 
-@query()
+def _research_sql() -> str:
+    rolled = _rollup_sql((3, 6)).replace(", 6) + 0.0 AS", ", 7) + 0.0 AS")
+    own = lambda n: _morph_sql(n).split(f"WITH {OHLCV},\n", 1)[1].replace("FROM o)", "FROM b)")
+    only = lambda n: ", ".join(f"w{n}_{x}" for x in ("body_atr", "upper_body", "lower_body", "range_var", "ret_sum", "ret_z", "vol_z", "drawup", "drawdown", "nr_flag"))
+    seeds = []
+    for name in ("stop_run_reclaim", "trend_pullback"):
+        body = ORACLES[f"seed_{name}"].split(f"WITH {FIELDS} ", 1)[1].replace("FROM f", "FROM sf").replace("AS hit", f"AS seed_{name}")
+        seeds.append(f"seed_{name} AS ({body})")
+    fields = FIELDS.split(",\nf AS (", 1)[1].replace("FROM o)", "FROM b)")
+    return f"""WITH {BARS}, rl AS ({rolled}), m3 AS (WITH {own(3)}), m6 AS (WITH {own(6)}), m12 AS (WITH {own(12)}), sf AS ({fields}, {", ".join(seeds)}, lb AS (SELECT symbol, ts, y, realized_return FROM ({ORACLES["triple_barrier_ewm"]}))
+SELECT rl.*, b.ts, m3.* EXCLUDE (symbol, ts), m6.* EXCLUDE (symbol, ts), m12.* EXCLUDE (symbol, ts), CAST(s1.seed_stop_run_reclaim AS DOUBLE) AS seed_stop_run_reclaim, CAST(s2.seed_trend_pullback AS DOUBLE) AS seed_trend_pullback, lb.y, lb.realized_return
+FROM rl JOIN b ON b.symbol = rl.symbol AND b.bar_id = rl.bar_id JOIN m3 ON m3.symbol = b.symbol AND m3.ts = b.ts JOIN (SELECT symbol, ts, {only(6)} FROM m6) m6 ON m6.symbol = b.symbol AND m6.ts = b.ts JOIN (SELECT symbol, ts, {only(12)} FROM m12) m12 ON m12.symbol = b.symbol AND m12.ts = b.ts
+  JOIN seed_stop_run_reclaim s1 ON s1.symbol = b.symbol AND s1.ts = b.ts JOIN seed_trend_pullback s2 ON s2.symbol = b.symbol AND s2.ts = b.ts JOIN lb ON lb.symbol = b.symbol AND lb.ts = b.ts"""
+
+
+@query(_research_sql())
 def research_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole plan from candles to labelled features of bars."""
-    return rounded(research.supervised(research.research(from_events(spark, sf_dir), windows=(3, 6))), 4)
+    out = research.supervised(research.research(from_events(spark, sf_dir), windows=(3, 6)))
+    return rounded(out.withColumn("realized_return", F.round("realized_return", 4)), 7)
 
 
 def _evaluated_sql(source: str, splits: int, trades: int, trials: int | None, turnover: float, breadth: float) -> str:
