@@ -51,6 +51,15 @@ class ClassRules:
     bigram: float = 0.95
 
 
+#: Texts that a task holds as numbers at a time: some hundred words each, with a dozen arrays of eight bytes a word beside them.
+_TEXTS = 1000
+
+
+def _few(run):
+    """run over slices of _TEXTS rows, so that a task's memory does not follow from the size of Arrow batches."""
+    return lambda batches: run(b.slice(a, _TEXTS) for b in batches for a in range(0, b.num_rows, _TEXTS))
+
+
 def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
@@ -108,7 +117,7 @@ def _pairs(classes, words_too: int):
                 at = np.flatnonzero((line >= words_too) & (line < len(cls) - 2))
                 keys += [line[at] * (2 * k) + c[at - 1], line[at] * (2 * k) + k + c[at + 1]]
                 held += 2 * len(at)
-                if held > 8_000_000:
+                if held > 2_000_000:
                     yield summed()
                     keys, held = [], 0
         if keys:
@@ -210,7 +219,7 @@ def _mover(state, open_classes: int):
 def _swept(coded: DataFrame, at: np.ndarray, k: int, first: int, last: int) -> np.ndarray:
     """at, the classes of frequent words, with those of words first to last moved once against the classes' bigrams."""
     sc = coded.sparkSession.sparkContext
-    got = written(coded.select("codes").mapInArrow(_pairs(sc.broadcast((at, k)), first), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
+    got = written(coded.select("codes").mapInArrow(_few(_pairs(sc.broadcast((at, k)), first)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")))
     g = _matrix(got.where("key < 0"), k)
     beside = got.where((F.col("key") >= 0) & (F.col("key") < last * 2 * k)).groupBy(F.floor(F.col("key") / (2 * k)).alias("word")).agg(F.collect_list(F.struct((F.col("key") % (2 * k)).alias("code"), "c")).alias("beside"))  # 2 k at most
     old = F.get(F.lit(at[first:last].tolist()), (F.col("word") - first).cast("int")) if last - first <= 10_000 else None
@@ -296,14 +305,14 @@ def lm_scores(docs: DataFrame, rules: ClassRules = ClassRules(), key: str = "doc
     order = np.lexsort((words.astype("S") if len(words) else words, -c))
     words, c = words[order], c[order]
     kind = texts.schema["id"].dataType.simpleString()
-    coded = texts.mapInArrow(_coder(sc.broadcast(words.tolist())), f"id {kind}, held_out boolean, codes array<int>, tail array<binary>")
+    coded = texts.mapInArrow(_few(_coder(sc.broadcast(words.tolist()))), f"id {kind}, held_out boolean, codes array<int>, tail array<binary>")
     coded = written(coded.withColumn("row", F.monotonically_increasing_id()))
     taught = coded.where(~F.col("held_out"))
 
     # The seeded words' classes, then those of all frequent words. The last two classes are of rare words and of the end of text.
     n = min(rules.seeded, len(words))
     places = np.append(np.minimum(np.arange(len(words)), n), [n + 1, n])  # of the end of text, of words without numbers
-    pairs = taught.select("codes").mapInArrow(_pairs(sc.broadcast((places, n + 2)), -1), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    pairs = taught.select("codes").mapInArrow(_few(_pairs(sc.broadcast((places, n + 2)), -1)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
     at = exchange(_matrix(pairs, n + 2), rules.classes, rules.passes)
     k = int(at[-1]) + 1
     rare, end = k - 2, k - 1
@@ -315,9 +324,9 @@ def lm_scores(docs: DataFrame, rules: ClassRules = ClassRules(), key: str = "doc
     classes = sc.broadcast((cls, k))
 
     # The classes of words without numbers that are frequent enough, against the same bigrams.
-    tails = written(coded.select("row", "held_out", "codes", "tail").mapInArrow(_tails(classes), "row long, held_out boolean, term binary, before int, after int, next binary"))
+    tails = written(coded.select("row", "held_out", "codes", "tail").mapInArrow(_few(_tails(classes)), "row long, held_out boolean, term binary, before int, after int, next binary"))
     rest = counts.where(F.col("c") < floor)
-    g = _matrix(taught.select("codes").mapInArrow(_pairs(classes, -1), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), k)
+    g = _matrix(taught.select("codes").mapInArrow(_few(_pairs(classes, -1)), "key long, c long").groupBy("key").agg(F.sum("c").alias("c")), k)
     if floor > rules.least and k > 2:
         near = lambda x: F.when(F.col(x) < 0, rare).otherwise(F.col(x)).cast("long")
         sides = tails.where("not held_out").groupBy("term", near("before").alias("a"), (k + near("after")).alias("b")).agg(F.count("*").alias("c"))
@@ -359,7 +368,7 @@ def lm_scores(docs: DataFrame, rules: ClassRules = ClassRules(), key: str = "doc
     base = np.log10((c + add) / denominator)
     model = sc.broadcast((cls, base, emit, step, float(np.log10((n_docs + add) / denominator))))
 
-    rows = coded.select("row", "codes").mapInArrow(_scored(model), "row long, n_tokens long, n_head long, base double, score double")
+    rows = coded.select("row", "codes").mapInArrow(_few(_scored(model)), "row long, n_tokens long, n_head long, base double, score double")
     at_step = lambda a, b: F.coalesce(F.get(F.lit(step.reshape(-1).tolist()), a * k + b), F.lit(0.0))
     tail_score = F.log10(F.col("c") + F.when(own_class == rare, add).otherwise(0.0)) - F.get(F.lit(class_log.tolist()), own_class)
     tail_score = tail_score + F.when(before >= 0, at_step(before, own_class)).otherwise(0.0) + F.when(after >= 0, at_step(own_class, after)).otherwise(0.0) + F.when(F.col("second").isNotNull(), at_step(own_class, F.col("second"))).otherwise(0.0)
