@@ -1,9 +1,8 @@
-"""Exact rolling quantiles over wide windows.
+"""Exact statistics of the last n rows of a series, for windows of any width.
 
-Spark's percentile sorts a window anew for each row. Here a window's values are
-kept sorted and each row takes one out and puts one in, so a row's work hardly
-depends on the window. Rows stream through in Arrow batches; a series keeps its
-last n values from batch to batch.
+Spark makes a frame's aggregates anew for each row, row by row. For wide windows
+they are made here from whole blocks of windows at once: rows stream through in
+Arrow batches, and a series keeps its last n - 1 rows from batch to batch.
 """
 
 from __future__ import annotations
@@ -12,24 +11,25 @@ from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .columns import by_time, last_rows, schema_of
 
-#: Up to this many rows, sorting a window for each row is as fast.
+#: Windows of at most so many rows stay Spark's.
 NARROW = 24
+#: Numbers of windows that are held at a time.
+_HELD = 1 << 20
 
 
 class Window:
-    """The values of the last n rows, sorted. Nulls and nans take a row's place but are no values."""
+    """The values of the last n rows, sorted, for rows that come one by one. Nulls and nans take a row's place but are no values."""
 
     def __init__(self, n: int, q: float):
         self.n, self.q = n, q
-        self.clear()
-
-    def clear(self) -> None:
         self.rows: deque = deque()
         self.held: list[float] = []
 
@@ -55,37 +55,94 @@ class Window:
         return a if a == b else (low + 1 - place) * a + (place - low) * b
 
 
-def _run(wanted: list[tuple[str, int, float]], columns: int):
+def _quantile(w: np.ndarray, count: np.ndarray, q: float) -> np.ndarray:
+    w = np.sort(w, axis=1)  # nans last
+    place = np.maximum(count - 1, 0) * q
+    low = place.astype(np.int64)
+    every = np.arange(len(w))
+    a, b = w[every, low], w[every, np.minimum(low + 1, w.shape[1] - 1)]
+    return np.where((low == place) | (a == b), a, (low + 1 - place) * a + (place - low) * b)
+
+
+def _of(w: np.ndarray, kind: str, q: float) -> np.ndarray:
+    """A statistic of each row of w, nans left out; nan where it cannot be told."""
+    good = ~np.isnan(w)
+    count = good.sum(axis=1)
+    if kind == "quantile":
+        return np.where(count > 0, _quantile(w, count, q), np.nan)
+    if kind in ("min", "max"):
+        x = np.where(good, w, np.inf if kind == "min" else -np.inf)
+        return np.where(count > 0, x.min(axis=1) if kind == "min" else x.max(axis=1), np.nan)
+    some = np.maximum(count, 1)
+    total = np.where(good, w, 0.0).sum(axis=1)
+    if kind == "sum":
+        return np.where(count > 0, total, np.nan)
+    mean = total / some
+    if kind == "avg":
+        return np.where(count > 0, mean, np.nan)
+    squares = (np.where(good, w - mean[:, None], 0.0) ** 2).sum(axis=1)
+    if kind == "var_samp":
+        return np.where(count > 1, squares / np.maximum(count - 1, 1), np.nan)
+    return np.where(count > 0, np.sqrt(squares / some), np.nan)
+
+
+_SPARK = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "var_samp": F.var_samp, "stddev_pop": F.stddev_pop}
+
+
+def rolled(x: np.ndarray, n: int, kind: str, q: float = 0.5) -> np.ndarray:
+    """The statistic of each n consecutive numbers of x, in the order of the last of them."""
+    if len(x) < n:
+        return np.empty(0)
+    windows, step = sliding_window_view(x, n), max(_HELD // n, 1)
+    return np.concatenate([_of(windows[a : a + step], kind, q) for a in range(0, len(windows), step)])
+
+
+def _run(wanted: list[tuple], columns: int):
+    widest = max(n for _, n, *_ in wanted)
+    names = list(dict.fromkeys(c for c, *_ in wanted))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, begun = [Window(n, q) for _, n, q in wanted], False
+        tail: dict[str, np.ndarray] | None = None
         for batch in batches:
-            first = batch.column(columns).to_pylist()
-            out = []
-            for w, (name, *_) in zip(windows, wanted, strict=True):
-                got, values = [], batch.column(name).to_pylist()
-                own = w
-                for x, new in zip(values, first, strict=True):
-                    if new:
-                        own.clear()
-                    got.append(own.push(x))
-                out.append(pa.array(got, pa.float64()))
-            if first and not begun and not first[0]:
+            if not batch.num_rows:
+                continue
+            starts = np.flatnonzero(batch.column(columns).to_numpy(zero_copy_only=False))
+            if tail is None and (not len(starts) or starts[0]):
                 raise ValueError("a series is cut between tasks")
-            begun = begun or bool(first)
+            edges = np.unique(np.concatenate(([0], starts, [batch.num_rows])))
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in names}
+            parts: list[list] = [[] for _ in wanted]
+            fresh = {c: np.full(widest - 1, np.nan) for c in names}
+            new = set(starts.tolist())
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                before = fresh if a in new else tail
+                own = {c: np.concatenate((before[c], values[c][a:b])) for c in names}
+                for out, (c, n, kind, q) in zip(parts, wanted, strict=True):
+                    out.append(rolled(own[c][widest - n :], n, kind, q))
+                tail = {c: own[c][len(own[c]) - widest + 1 :] for c in names}
+            out = [pa.array(np.concatenate(p), from_pandas=True) for p in parts]
             yield pa.record_batch([*batch.columns[:columns], *out], names=[*batch.schema.names[:columns], *[f"q{k}" for k in range(len(out))]])
 
     return run
 
 
-def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, int, float]]) -> DataFrame:
-    """df with, for each name, the quantile q of a double column's last n rows of the symbol, given as (column, n, q).
+def with_rolling(df: DataFrame, wanted: dict[str, tuple]) -> DataFrame:
+    """df with, for each name, a statistic of a double column's last n rows of the symbol: (column, n, kind), or (column, n, 'quantile', q).
 
-    Windows of at most NARROW rows stay Spark's. Wide ones share one pass, which
-    takes the rows as the sort by symbol and time for their numbers leaves them.
+    Kinds are avg, sum, min, max, var_samp, stddev_pop and quantile, each of the
+    values that are not null (wide windows leave nans out too). Wide windows share
+    one pass, which takes the rows as the sort by symbol and time leaves them.
     """
-    narrow = {k: x for k, x in wanted.items() if x[1] <= NARROW}
+    wanted = {k: (*x, 0.5)[:4] for k, x in wanted.items()}
     wide = {k: x for k, x in wanted.items() if x[1] > NARROW}
+    narrow = {k: (F.percentile(c, q) if kind == "quantile" else _SPARK[kind](c)).over(last_rows(n)) for k, (c, n, kind, q) in wanted.items() if n <= NARROW}
+    df = df.withColumns(narrow) if narrow else df
     if wide:
         rows = df.withColumn("__first", F.row_number().over(by_time()) == 1).sortWithinPartitions("symbol", "ts")
         df = rows.mapInArrow(_run(list(wide.values()), len(df.columns)), schema_of(df, **dict.fromkeys(wide, "double")))
-    return df.withColumns({k: F.percentile(c, q).over(last_rows(n)) for k, (c, n, q) in narrow.items()}) if narrow else df
+    return df
+
+
+def with_quantiles(df: DataFrame, wanted: dict[str, tuple[str, int, float]]) -> DataFrame:
+    """df with, for each name, the quantile q of a double column's last n rows of the symbol, given as (column, n, q)."""
+    return with_rolling(df, {k: (c, n, "quantile", q) for k, (c, n, q) in wanted.items()})

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_US, by_time, full, last_rows, ratio, require_columns
-from ..functions.rolling import with_quantiles
+from ..functions.rolling import with_rolling
 
 
 def morphology(candles: DataFrame, windows: tuple[int, ...] = (60, 120, 240, 360)) -> DataFrame:
@@ -21,16 +21,19 @@ def morphology(candles: DataFrame, windows: tuple[int, ...] = (60, 120, 240, 360
         "ret": F.coalesce(ratio(c("close"), F.lag("close").over(by_time())) - 1, zero),
     })
     angle = F.floor(F.pmod("ts", F.lit(DAY_US)) / 1_000_000) * (2 * math.pi / 86_400)
-    out = {"tod_sin": F.sin(angle), "tod_cos": F.cos(angle), "direction": c("direction"), "range": c("tr"), "body": c("body"), "wick_upper": c("wick_upper"), "wick_lower": c("wick_lower"), "cum_return": F.sum("ret").over(by_time())}
-    df = with_quantiles(df, {f"__p20_{n}": ("tr", n, 0.2) for n in windows})
-    body = F.nullif(c("body"), zero)
+    out = {"tod_sin": F.sin(angle), "tod_cos": F.cos(angle), "direction": c("direction"), "range": c("tr"), "body": c("body"), "wick_upper": c("wick_upper"), "wick_lower": c("wick_lower")}
+    df = df.withColumn("cum_return", F.sum("ret").over(by_time()))
+    stats = {"tr": ("avg", "var_samp"), "ret": ("sum", "avg", "stddev_pop"), "volume": ("avg", "stddev_pop"), "close": ("min", "max")}
+    wanted = {f"__{kind}_{x}_{n}": (x, n, kind) for n in windows for x, kinds in stats.items() for kind in kinds}
+    df = with_rolling(df, wanted | {f"__p20_{n}": ("tr", n, "quantile", 0.2) for n in windows})
+    out["cum_return"], body = c("cum_return"), F.nullif(c("body"), zero)
     for n in windows:
-        w, p = last_rows(n), f"w{n}_"
-        low, high = F.min("close").over(w), F.max("close").over(w)
+        p, of = f"w{n}_", lambda kind, x, n=n: c(f"__{kind}_{x}_{n}")
+        low, high = of("min", "close"), of("max", "close")
         out |= {
-            p + "body_atr": ratio(c("body"), F.avg("tr").over(w)), p + "upper_body": ratio(c("wick_upper"), body), p + "lower_body": ratio(c("wick_lower"), body),
-            p + "range_var": F.var_samp("tr").over(w), p + "ret_sum": F.sum("ret").over(w),
-            p + "ret_z": ratio(c("ret") - F.avg("ret").over(w), F.stddev_pop("ret").over(w)), p + "vol_z": ratio(c("volume") - F.avg("volume").over(w), F.stddev_pop("volume").over(w)),
+            p + "body_atr": ratio(c("body"), of("avg", "tr")), p + "upper_body": ratio(c("wick_upper"), body), p + "lower_body": ratio(c("wick_lower"), body),
+            p + "range_var": of("var_samp", "tr"), p + "ret_sum": of("sum", "ret"),
+            p + "ret_z": ratio(c("ret") - of("avg", "ret"), of("stddev_pop", "ret")), p + "vol_z": ratio(c("volume") - of("avg", "volume"), of("stddev_pop", "volume")),
             p + "drawup": ratio(c("close") - low, low), p + "drawdown": ratio(high - c("close"), high),
             p + "nr_flag": F.when(c("tr") <= c(f"__p20_{n}"), 1).otherwise(0),
         }

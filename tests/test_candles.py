@@ -381,6 +381,24 @@ def test_wide_quantiles_are_those_of_percentile(spark, tmp_path):
         assert want.where("not (a <=> a1) or not (b <=> b1) or not (c <=> c1)").isEmpty() and want.count() == 2100
 
 
+def test_wide_statistics_are_those_of_frames(spark, tmp_path):
+    """Values, nulls and ties in windows wider than batches, for several series."""
+    df = random_walk(spark, 3, 500).withColumn("x", F.when(F.rand(1) > 0.3, F.round(F.rand(2) * 9))).withColumn("y", F.when(F.col("ts") % 7 == 0, F.lit(None)).otherwise(F.col("close")))
+    df.write.parquet(f"{tmp_path}/d")
+    df = spark.read.parquet(f"{tmp_path}/d")
+    kinds = ("avg", "sum", "min", "max", "var_samp", "stddev_pop")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        got = rolling.with_rolling(df, {f"{x}_{k}_{n}": (x, n, k) for x in "xy" for k in kinds for n in (25, 90)} | {"one_var": ("x", 30, "var_samp")})
+        want = got.withColumns({f"{x}_{k}_{n}_w": getattr(F, k)(x).over(last_rows(n)) for x in "xy" for k in kinds for n in (25, 90)}).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for c in want.columns:
+        if c.endswith("_w"):
+            assert np.allclose(want[c[:-2]], want[c], equal_nan=True, rtol=1e-9, atol=1e-9), c
+    assert len(want) == 1500
+
+
 def test_first_places_are_those_of_a_scan():
     rng = np.random.default_rng(3)
     for n in (1, 2, 7, 64, 200):
