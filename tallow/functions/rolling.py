@@ -22,7 +22,7 @@ from .columns import by_time, last_rows, schema_of
 #: Windows of at most so many rows stay Spark's.
 NARROW = 24
 #: Numbers of windows that are held at a time.
-_HELD = 1 << 20
+_HELD = 1 << 17
 
 
 class Window:
@@ -64,8 +64,16 @@ def _quantile(w: np.ndarray, count: np.ndarray, q: float) -> np.ndarray:
     return np.where((low == place) | (a == b), a, (low + 1 - place) * a + (place - low) * b)
 
 
-def _of(w: np.ndarray, kind: str, q: float) -> np.ndarray:
-    """A statistic of each row of w, nans left out; nan where it cannot be told."""
+def _of(w: np.ndarray, kind: str, q: float, whole: bool = False) -> np.ndarray:
+    """A statistic of each row of w, nans left out; nan where it cannot be told. whole: there are no nans, and more than one column."""
+    if whole:
+        if kind == "quantile":
+            return _quantile(w, np.full(len(w), w.shape[1]), q)
+        if kind in ("var_samp", "stddev_pop"):
+            d = w - w.mean(axis=1)[:, None]
+            squares = np.einsum("ij,ij->i", d, d)
+            return squares / (w.shape[1] - 1) if kind == "var_samp" else np.sqrt(squares / w.shape[1])
+        return {"min": np.min, "max": np.max, "sum": np.sum, "avg": np.mean}[kind](w, axis=1)
     good = ~np.isnan(w)
     count = good.sum(axis=1)
     if kind == "quantile":
@@ -94,7 +102,10 @@ def rolled(x: np.ndarray, n: int, kind: str, q: float = 0.5) -> np.ndarray:
     if len(x) < n:
         return np.empty(0)
     windows, step = sliding_window_view(x, n), max(_HELD // n, 1)
-    return np.concatenate([_of(windows[a : a + step], kind, q) for a in range(0, len(windows), step)])
+    lacks = np.flatnonzero(np.isnan(x))
+    begin = int(lacks[-1]) + 1 if len(lacks) else 0  # windows from here on are whole
+    cuts = sorted({min(begin, len(windows)), *range(0, len(windows), step), len(windows)})
+    return np.concatenate([_of(windows[a:b], kind, q, a >= begin and n > 1) for a, b in zip([0, *cuts[1:-1]], cuts[1:], strict=True)])
 
 
 def _run(wanted: list[tuple], columns: int):
