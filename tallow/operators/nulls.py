@@ -25,15 +25,18 @@ def permuted(returns: DataFrame, runs: int = 100, block: int = 24, splits: int =
     order: a column by which (run, block) are sorted. A run moves blocks' sums,
     not rows: a block within one fold adds its sums to it, one across an edge is
     looked up at the edge in its running sums. So work grows with runs times
-    blocks and folds. Sums are of differences from the symbol's mean.
+    blocks and folds. Sums are of whole numbers, 2**40 for the largest difference
+    from the symbol's first return, so that their order does not matter.
     """
     order = order or (lambda run, b: F.xxhash64(run, b))
     size, c = max(block, 1), F.col
-    whole = returns.groupBy("symbol").agg(F.count("*").alias("n"), F.avg("ret").alias("mean"))  # a row for each symbol
+    whole = returns.groupBy("symbol").agg(F.count("*").alias("n"), F.min_by("ret", "ts").alias("first"), F.min("ret").alias("least"), F.max("ret").alias("most"))  # a row for each symbol
+    far = F.greatest(c("most") - c("first"), c("first") - c("least"))
+    whole = whole.select("symbol", "n", "first", F.when(far > 0, F.pow(F.lit(2.0), 40 - F.ceil(F.log2(far)))).otherwise(1.0).alias("scale"))
     rows = returns.withColumn("place", (F.row_number().over(by_time()) - 1).cast("long")).join(whole, "symbol")
-    rows = rows.select("symbol", F.floor(c("place") / size).alias("block"), (c("place") % size).alias("inside"), (c("ret") - c("mean")).alias("d"))
+    rows = rows.select("symbol", F.floor(c("place") / size).alias("block"), (c("place") % size).alias("inside"), F.rint((c("ret") - c("first")) * c("scale")).cast("decimal(20,0)").alias("d"))
     w = Window.partitionBy("symbol", "block").orderBy("inside").rowsBetween(Window.unboundedPreceding, 0)
-    rows = settled(rows.select("symbol", "block", (c("inside") + 1).alias("upto"), F.sum("d").over(w).alias("s1"), F.sum(c("d") * c("d")).over(w).alias("s2")))
+    rows = settled(rows.select("symbol", "block", (c("inside") + 1).alias("upto"), F.sum("d").over(w).cast("decimal(38,0)").alias("s1"), F.sum((c("d") * c("d")).cast("decimal(38,0)")).over(w).alias("s2")))
     blocks = rows.groupBy("symbol", "block").agg(F.max("upto").alias("size"), F.max_by("s1", "upto").alias("s1"), F.max_by("s2", "upto").alias("s2"))
     blocks = blocks.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
     before = Window.partitionBy("symbol", "run").orderBy(order(c("run"), c("block")), "block").rowsBetween(Window.unboundedPreceding, 0)
@@ -44,17 +47,18 @@ def permuted(returns: DataFrame, runs: int = 100, block: int = 24, splits: int =
     blocks = blocks.withColumns({"low": fold(c("offset")), "high": fold(c("offset") + c("size") - 1)})
     inside = blocks.where("low = high").select("symbol", "run", c("low").alias("fold"), c("size").alias("k"), "s1", "s2")
     cut = blocks.where("low < high").withColumn("fold", F.explode(F.sequence("low", "high")))
-    ends = F.array(F.struct(F.lit(-1.0).alias("sign"), (edge(c("fold")) - c("offset")).alias("upto")), F.struct(F.lit(1.0).alias("sign"), F.least(edge(c("fold") + 1) - c("offset"), c("size")).alias("upto")))
+    ends = F.array(F.struct(F.lit(-1).alias("sign"), (edge(c("fold")) - c("offset")).alias("upto")), F.struct(F.lit(1).alias("sign"), F.least(edge(c("fold") + 1) - c("offset"), c("size")).alias("upto")))
     cut = cut.select("symbol", "run", "block", "fold", F.explode(ends).alias("e")).select("symbol", "run", "block", "fold", "e.*").where("upto > 0")
-    cut = cut.join(rows, ["symbol", "block", "upto"]).select("symbol", "run", "fold", (c("sign").cast("long") * c("upto")).alias("k"), (c("sign") * c("s1")).alias("s1"), (c("sign") * c("s2")).alias("s2"))
+    cut = cut.join(rows, ["symbol", "block", "upto"]).select("symbol", "run", "fold", (c("sign") * c("upto")).alias("k"), *[F.when(c("sign") > 0, c(x)).otherwise(-c(x)).alias(x) for x in ("s1", "s2")])
     stats = inside.unionByName(cut).groupBy("symbol", "run", "fold").agg(F.sum("k").alias("k"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2")).join(whole, "symbol")
-    mean = c("s1") / c("k")
-    stats = stats.select("symbol", "run", c("fold").cast("int").alias("fold"), (c("mean") + mean).alias("m"), F.sqrt(F.greatest(c("s2") / c("k") - mean * mean, F.lit(0.0))).alias("s"))
+    mean, square = c("s1").cast("double") / c("k"), c("s2").cast("double") / c("k")
+    stats = stats.select("symbol", "run", c("fold").cast("int").alias("fold"), (c("first") + mean / c("scale")).alias("m"), (F.sqrt(F.greatest(square - mean * mean, F.lit(0.0))) / c("scale")).alias("s"))
     timed = folds(returns, splits).withColumn("gap", (c("ts") - F.lag("ts").over(Window.partitionBy("symbol", "fold").orderBy("ts"))) / 1e6)
     gaps = timed.groupBy("symbol", "fold").agg(F.percentile("gap", 0.5).alias("gap"))  # a row for each symbol and fold
     flat = (c("s") <= 1e-12 * F.greatest(F.abs("m"), F.lit(1e-12))) | c("gap").isNull()
     sharpe = F.when(flat, 0.0).otherwise(F.try_divide("m", "s") * F.sqrt(YEAR_S / F.greatest("gap", F.lit(1.0))))
-    return stats.join(gaps, ["symbol", "fold"]).groupBy("symbol", "run").agg(F.avg(sharpe).alias("sharpe"))
+    each = stats.join(gaps, ["symbol", "fold"]).groupBy("symbol", "run").agg(F.array_sort(F.collect_list(sharpe)).alias("x"))  # as many as folds
+    return each.select("symbol", "run", (F.aggregate("x", F.lit(0.0), lambda a, b: a + b) / F.size("x")).alias("sharpe"))
 
 
 def walk_returns(n: int, rng: np.random.Generator) -> np.ndarray:
