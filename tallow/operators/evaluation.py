@@ -96,7 +96,7 @@ def changes(series: DataFrame, value: str, step: int = DAY_US) -> DataFrame:
     last = rows.groupBy("span").agg(F.max_by(value, "ts").alias("last"))
     last = last.select("span", F.lag("last").over(Window.orderBy("span")).alias("handed"))  # a row for each span of time
     inside = F.lag(value).over(Window.partitionBy("span").orderBy("ts"))
-    return rows.withColumn("inside", inside).join(F.broadcast(last), "span").withColumn("before", F.coalesce("inside", "handed")).drop("span", "inside", "handed")
+    return rows.withColumn("inside", inside).join(last, "span").withColumn("before", F.coalesce("inside", "handed")).drop("span", "inside", "handed")
 
 
 def ensemble(signals: DataFrame, cap: float = 0.5, fees: Fees = Fees()) -> DataFrame:
@@ -105,7 +105,8 @@ def ensemble(signals: DataFrame, cap: float = 0.5, fees: Fees = Fees()) -> DataF
     s = weights.agg(F.sum("w").alias("total"), F.count("*").alias("k")).first()  # panels are few
     if not s["k"]:
         raise ValueError("no signal panels")
-    both = signals.join(F.broadcast(weights), "panel").groupBy("ts").agg(F.sum(F.col("w") * F.col("score")).alias("x"), F.count("score").alias("k"))
+    weights = F.broadcast(weights) if s["k"] <= 100_000 else weights
+    both = signals.join(weights, "panel").groupBy("ts").agg(F.sum(F.col("w") * F.col("score")).alias("x"), F.count("score").alias("k"))
     df = both.select("ts", F.when(F.col("k") == s["k"], F.col("x") / (s["total"] or 1.0)).otherwise(0.0).alias("ensemble_score"))
     df = changes(df, "ensemble_score")
     df = df.withColumn("turnover", F.least(F.coalesce(F.abs(F.col("ensemble_score") - F.col("before")), F.lit(0.0)), F.lit(cap))).drop("before")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import DAY_US, by_time, full, last_rows, ratio, require_columns
 from ..functions.rolling import with_rolling
+from ..sources.tables import settled
 
 
 def morphology(candles: DataFrame, windows: tuple[int, ...] = (60, 120, 240, 360)) -> DataFrame:
@@ -68,7 +69,7 @@ def motif_vectors(features: DataFrame, window: int, columns: list[str] | None =
 
 
 def motif_clusters(features: DataFrame, window: int, clusters: int, columns: list[str] | None = None, seeds: int = 10, path: str | None = None) -> DataFrame:
-    """(symbol, ts, motif_id): k-means over motif_vectors, the best of several seeds by its cost. With path the vectors are written there once."""
+    """(symbol, ts, motif_id): k-means over motif_vectors, the best of several seeds by its cost. The vectors are made once and kept, with path as a table there."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
 
@@ -76,6 +77,8 @@ def motif_clusters(features: DataFrame, window: int, clusters: int, columns: lis
     if path:
         rows.write.mode("overwrite").parquet(path)
         rows = rows.sparkSession.read.parquet(path)
+    else:
+        rows = settled(rows)
     if rows.isEmpty():
         raise ValueError("no full window of observations")
     points = VectorAssembler(inputCols=[c for c in rows.columns if c not in ("symbol", "ts")], outputCol="__v").transform(rows)
