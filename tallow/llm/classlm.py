@@ -64,21 +64,29 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+class _Numbers(dict):
+    """Words' numbers; a word without one has -1."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 def _coder(words):
     """For mapInArrow over (id, held_out, text): (id, held_out, codes, tail): a frequent word's number, or -1 and the word in tail."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {w: k for k, w in enumerate(words.value)}
+        known = _Numbers((w, k) for k, w in enumerate(words.value))
         for batch in batches:
-            codes, tail, ends, tails = [], [], [0], [0]
+            codes, tail, ends, tails = [np.empty(0, np.int32)], [], [0], [0]
             for text in batch.column(2):
                 w = tokens(text.as_py() or b"")
-                own = [known.get(x, -1) for x in w]
-                codes += own
-                tail += [x for x, c in zip(w, own, strict=True) if c < 0]
-                ends.append(len(codes))
+                own = np.fromiter(map(known.__getitem__, w), np.int32, len(w))
+                codes.append(own)
+                tail += [w[k] for k in np.flatnonzero(own < 0)]
+                ends.append(ends[-1] + len(w))
                 tails.append(len(tail))
-            parts = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, pa.array(codes, pa.int32())), (tails, pa.array(tail, pa.binary())))]
+            codes = np.concatenate(codes)
+            parts = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), v) for e, v in ((ends, pa.array(codes)), (tails, pa.array(tail, pa.binary())))]
             yield pa.record_batch([*batch.columns[:2], *parts], names=["id", "held_out", "codes", "tail"])
 
     return run
@@ -192,7 +200,8 @@ def gains(g: np.ndarray, left: np.ndarray, right: np.ndarray, old: int) -> np.nd
     g[:, old] -= left
     g = np.maximum(g, 0.0)  # a word beside itself is taken away twice
     n, out, into = left.sum(), g.sum(axis=1), g.sum(axis=0)
-    rows, columns = (_f(g + right) - _f(g)).sum(axis=1), (_f(g + left[:, None]) - _f(g)).sum(axis=0)
+    r, l = np.flatnonzero(right), np.flatnonzero(left)  # the others gain nothing
+    rows, columns = (_f(g[:, r] + right[r]) - _f(g[:, r])).sum(axis=1), (_f(g[l] + left[l, None]) - _f(g[l])).sum(axis=0)
     return rows + columns - (_f(out + n) - _f(out)) - (_f(into + n) - _f(into))
 
 
