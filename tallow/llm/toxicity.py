@@ -1,17 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and word beginnings. Document frequencies are counted over all
-texts. Every term of a bounded sample of labelled examples is a dimension, but
-for those that one text alone holds and those that more than a share of all
-texts hold; labels play no part in that. A term weighs log(texts / holders) times
+texts. Every term of a bounded sample of labelled examples is a dimension; one
+that all texts hold weighs nothing. A term weighs log(texts / holders) times
 1 + log(frequency); the cosine is of a whole text with a whole example.
 
 Examples are laid out so that like ones lie in one block. The index keeps, for
-each term and block, the term's postings and their largest weight. The blocks'
-bounds for a text are sums of these; the best blocks are summed exactly, then
-all others whose bound reaches the k-th best sum, so the nearest are exact. They
-vote with their cosines as weights; a monotone map fitted on the examples, each
-without itself, turns votes into probabilities.
+each term and block, the term's postings and their largest weight. Terms that a
+large share of the examples hold have a posting for every example instead, rows
+of a matrix, and many texts take their sums at once. The blocks' bounds for a
+text are the largest of these sums and, for the other terms, sums of the largest
+weights; the best blocks are summed exactly, then all others whose bound reaches
+the k-th best sum, so the nearest are exact. They vote with their cosines as
+weights; a monotone map fitted on the examples, each without itself, turns votes
+into probabilities.
+
+Examples are whole texts; labelled ones of more than a stated number of bytes
+teach nothing, which with their number bounds what the driver holds.
 
 Defined results: texts without a term of the examples, null and empty ones too,
 get the rate of labelled examples of that kind, drawn to the rate of all; without
@@ -28,7 +33,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +52,10 @@ class VoteRules:
     examples: int = 2_500
     #: Bytes of the word beginnings that are terms.
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
-    #: Terms of more than this share of all texts have no dimension.
-    most: float = 0.06
+    #: Labelled texts of more bytes are not learned from.
+    longest: int = 1 << 17
+    #: Terms of at least this share of the examples are rows of a matrix.
+    dense: float = 0.06
     neighbours: int = 100
     block: int = 512
     threshold: float = 0.3
@@ -79,61 +85,85 @@ def _example_terms(prefixes):
     return run
 
 
-def _reader(vocabulary, prefixes):
-    """Two functions of a text: its sorted vocabulary terms and their frequencies; its terms alone."""
-    word: dict[bytes, int] = {}
-    begin: dict[int, dict[bytes, int]] = {k: {} for k in sorted(prefixes)}
-    for k, t in enumerate(vocabulary.value.to_pylist()):
-        if t[:1] == b"^":
-            begin[len(t) - 1][t[1:]] = k
-        else:
-            word[t] = k
-    lookups = [(k, known.get) for k, known in begin.items()]
-
-    class Kept(dict):
-        """The terms of a word, looked up once."""
-
-        def __missing__(self, w: bytes) -> tuple[int, ...]:
-            found = [word.get(w)]
-            for k, get in lookups:
-                if len(w) <= k:
-                    break
-                found.append(get(w[:k]))
-            self[w] = out = tuple(x for x in found if x is not None)
-            return out
-
-    kept = Kept()
-
-    def held(text: bytes | None) -> np.ndarray:
-        """The terms of a text in no order, some of them repeated."""
-        if len(kept) > 200_000:
-            kept.clear()
-        return np.fromiter(chain.from_iterable(map(kept.__getitem__, set((text or b"").lower().translate(_BLANK).split()))), np.int64)
-
-    def read(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        if len(kept) > 200_000:
-            kept.clear()
+#: Words that a task remembers the terms of.
+_REMEMBERED = 200_000
+
+
+class _Rows(dict):
+    """The row of each word, given out as words are met."""
+
+    def __init__(self, fill):
+        super().__init__()
+        self.fill = fill
+
+    def __missing__(self, word: bytes) -> int:
+        at = self[word] = len(self)
+        self.fill(at, word)
+        return at
+
+
+class _Reader:
+    """Texts as terms of a vocabulary (a broadcast sorted array). dims: the number of each term, len(dims) or more for none."""
+
+    def __init__(self, vocabulary, prefixes: tuple[int, ...], dims: np.ndarray | None = None):
+        self.words: dict[bytes, int] = {}
+        begin: dict[int, dict[bytes, int]] = {k: {} for k in sorted(prefixes)}
+        self.none = len(vocabulary.value)
+        numbers = range(self.none) if dims is None else dims.tolist()
+        for k, t in zip(numbers, vocabulary.value.to_pylist(), strict=True):
+            if t[:1] == b"^":
+                begin[len(t) - 1][t[1:]] = k
+            else:
+                self.words[t] = k
+        self.begin = list(begin.items())
+        self.terms = np.full((_REMEMBERED + 1, 1 + len(self.begin)), self.none)  # a row for each word remembered
+        self.rows = _Rows(self._row)
+
+    def _row(self, at: int, word: bytes) -> None:
+        """Puts a word's terms in a row. A beginning that no example holds has no longer one."""
+        row = [self.words.get(word, self.none)]
+        for k, known in self.begin:
+            found = known.get(word[:k]) if len(word) > k else None
+            if found is None:
+                break
+            row.append(found)
+        self.terms[at] = self.none
+        self.terms[at, : len(row)] = row
+
+    def _rows(self, words) -> np.ndarray:
+        if len(self.rows) + len(words) > _REMEMBERED:
+            self.rows.clear()
+            if len(words) > len(self.terms):  # a text of more words than are remembered
+                self.terms = np.full((len(words), self.terms.shape[1]), self.none)
+        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
+
+    def held(self, text: bytes | None) -> np.ndarray:
+        """The terms of a text in no order, some of them repeated, and none for what is no term."""
+        rows = self._rows(set((text or b"").lower().translate(_BLANK).split()))  # may make room, so before the terms are named
+        return self.terms[rows].ravel()
+
+    def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of a text, sorted, and their frequencies."""
         words = Counter((text or b"").lower().translate(_BLANK).split())
-        terms = list(map(kept.__getitem__, words))
-        ids = np.fromiter(chain.from_iterable(terms), np.int64)
-        times = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.fromiter(map(len, terms), np.int64, len(terms)))
-        own, at = np.unique(ids, return_inverse=True)
+        rows = self._rows(words)
+        ids = self.terms[rows]
+        some = ids < self.none
+        times = np.broadcast_to(np.fromiter(words.values(), np.int64, len(words))[:, None], ids.shape)[some]
+        own, at = np.unique(ids[some], return_inverse=True)
         return own, np.bincount(at, times, len(own)).astype(np.int64)
 
-    return read, held
-
 
 def _frequencies(vocabulary, prefixes):
     """For mapInArrow over (text): (t, n), numbers of a task's texts that hold term t; all its texts under t = -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (_, held), total = _reader(vocabulary, prefixes), 0
-        df = np.zeros(len(vocabulary.value), np.int64)
+        reader, total = _Reader(vocabulary, prefixes), 0
+        df = np.zeros(reader.none + 1, np.int64)
         for batch in batches:
             for text in batch.column(0):
-                df[held(text.as_py())] += 1  # once, however often a term is repeated
+                df[reader.held(text.as_py())] += 1  # once, however often a term is repeated
             total += batch.num_rows
-        some = np.flatnonzero(df)
+        some = np.flatnonzero(df[:-1])
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["t", "n"])
 
     return run
@@ -148,11 +178,11 @@ def _unpacked(vector: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(both[: len(both) // 2], dtype=np.int32), both[len(both) // 2 :]
 
 
-def _vectors(vocabulary, prefixes):
+def _vectors(vocabulary, prefixes, dims):
     """For mapInArrow over (row, id, y, text): (row, id, y, vector) of each example, the vector packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, _ = _reader(vocabulary, prefixes)
+        read = _Reader(vocabulary, prefixes, dims.value).read
         for batch in batches:
             yield pa.record_batch([*batch.columns[:3], pa.array([_packed(*read(x.as_py())) for x in batch.column(3)], pa.binary())], names=["row", "id", "y", "vector"])
 
@@ -161,7 +191,7 @@ def _vectors(vocabulary, prefixes):
 
 def _unit(ids: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     w = (1 + np.log(tf)) * idf[ids]
-    return w / np.sqrt((w * w).sum())
+    return w / max(np.sqrt((w * w).sum()), 1e-300)
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -188,9 +218,11 @@ class BlockMaxIndex:
 
     idf: np.ndarray
     block: int
-    names: np.ndarray
+    names: list
     toxic: np.ndarray
     place: np.ndarray  # the given place of the example at a place of the layout
+    row: np.ndarray  # a term's row of the matrix, or -1
+    matrix: np.ndarray  # weights of the terms that many examples hold, by row and place
     first: np.ndarray  # entries of a term: first[t] to first[t + 1]
     entry_block: np.ndarray
     entry_max: np.ndarray
@@ -199,8 +231,8 @@ class BlockMaxIndex:
     weight: np.ndarray
 
     @classmethod
-    def build(cls, vectors: list[tuple], idf: np.ndarray, block: int) -> BlockMaxIndex:
-        """vectors: (id, toxic, ids, tf), sorted by id, none empty."""
+    def build(cls, vectors: list[tuple], idf: np.ndarray, block: int, dense: float = 0.06) -> BlockMaxIndex:
+        """vectors: (id, toxic, ids, tf), sorted by id, none empty. dense: terms of at least this share of the examples are rows of the matrix."""
         n, none = len(vectors), np.empty(0, np.int64)
         term = np.concatenate([v[2] for v in vectors]).astype(np.int64) if n else none
         value = np.concatenate([_unit(v[2], v[3], idf) for v in vectors]) if n else np.empty(0)
@@ -209,47 +241,65 @@ class BlockMaxIndex:
         at = np.empty(n, np.int64)
         at[place] = np.arange(n)
         example = at[given]
+        often = np.flatnonzero(np.bincount(term, minlength=len(idf)) >= max(dense * n, 1))
+        row = np.full(len(idf), -1)
+        row[often] = np.arange(len(often))
+        matrix, held = np.zeros((len(often), n)), row[term] >= 0
+        matrix[row[term[held]], example[held]] = value[held]
+        term, example, value = term[~held], example[~held], value[~held]
         order = np.lexsort((example, term))
-        term, example, value = term[order], example[order].astype(np.int32), value[order]
+        term, example, value = term[order], example[order], value[order]
         key = term * (n // block + 1) + example // block
         starts = np.flatnonzero(np.diff(key, prepend=-1))
         first = np.searchsorted(term[starts], np.arange(len(idf) + 1))
-        largest = np.maximum.reduceat(value, starts) if n else np.empty(0)
-        names, toxic = np.array([v[0] for v in vectors]), np.array([v[1] for v in vectors], float)
-        return cls(idf, block, names, toxic, place, first, example[starts] // block, largest, np.append(starts, len(term)), example, value)
-
-    def nearest(self, ids: np.ndarray, tf: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine (fewer if others share no term), ties by given place: (given places, cosines). without: a given place to leave out."""
+        largest = np.maximum.reduceat(value, starts) if len(starts) else np.empty(0)
+        names, toxic = [v[0] for v in vectors], np.array([v[1] for v in vectors], float)
+        return cls(idf, block, names, toxic, place, row, matrix, first, example[starts] // block, largest, np.append(starts, len(term)), example, value)
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each text (ids, tf) the k examples of largest cosine (fewer if others share no term), ties by given place: (given places, cosines). without: for each text a given place to leave out, or -1."""
+        units, q = [_unit(ids, tf, self.idf) for ids, tf in texts], np.zeros((len(texts), len(self.matrix)))
+        rows = [self.row[ids] for ids, _ in texts]
+        for j, (unit, row) in enumerate(zip(units, rows, strict=True)):
+            q[j, row[row >= 0]] = unit[row >= 0]
+        sums, out = q @ self.matrix, []
+        for j, ((ids, _), unit, row) in enumerate(zip(texts, units, rows, strict=True)):
+            out.append(self._nearest(ids[row < 0], unit[row < 0], sums[j], k, without[j] if without else -1))
+        return out
+
+    def _nearest(self, ids: np.ndarray, unit: np.ndarray, sums: np.ndarray, k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """sums: those of the matrix; ids and unit: the other terms."""
         n = len(self.names)
-        unit = _unit(ids, tf, self.idf)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0)
+        out = self.place == without if without >= 0 else slice(0, 0)
+        sums[out] = 0.0
         lengths = self.first[ids + 1] - self.first[ids]
         entries, q = _ranges(self.first[ids], lengths), np.repeat(unit, lengths)
         blocks = self.entry_block[entries]
-        bound = np.bincount(blocks, q * self.entry_max[entries], n // self.block + 1)
-        sums, done = np.zeros(n), np.zeros(len(bound), bool)
+        bound = np.maximum.reduceat(sums, np.arange(0, n, self.block))
+        bound = bound + np.bincount(blocks, q * self.entry_max[entries], len(bound))
+        done = np.zeros(len(bound), bool)
 
-        def add(some: np.ndarray) -> None:
+        def add(some: np.ndarray) -> float:
+            """Sums the blocks' other postings; the k-th best sum, from which blocks not summed are left to their matrix part."""
             nonlocal sums
             here = some[blocks]
             e = entries[here]
             sizes = self.postings[e + 1] - self.postings[e]
             p = _ranges(self.postings[e], sizes)
-            sums += np.bincount(self.example[p], np.repeat(q[here], sizes) * self.weight[p], n)
+            sums = sums + np.bincount(self.example[p], np.repeat(q[here], sizes) * self.weight[p], n)
+            sums[out] = 0.0
+            return np.partition(sums, n - k)[n - k] - 1e-9 if n > k else 0.0
 
         done[np.argsort(-bound, kind="stable")[: -(-2 * k // self.block)]] = True
-        add(done)
-        if without >= 0:
-            sums[self.place == without] = 0.0
-        least = np.partition(sums, n - k)[n - k] - 1e-9 if n > k else 0.0
+        least = add(done)
         rest = ~done & (bound >= least) & (bound > 0)
         if rest.any():
-            add(rest)
-            if without >= 0:
-                sums[self.place == without] = 0.0
-            least = np.partition(sums, n - k)[n - k] - 1e-9 if n > k else 0.0
+            least = add(rest)
         near = np.flatnonzero((sums > 0) & (sums >= least))
-        score, given = np.minimum(sums[near], 1.0), self.place[near]
-        order = np.lexsort((given, -np.round(score, 12)))[:k]
+        score, given = np.round(np.minimum(sums[near], 1.0), 12), self.place[near]
+        order = np.lexsort((given, -score))[:k]
         return given[order], score[order]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
@@ -274,53 +324,63 @@ _BUILT: dict[str, BlockMaxIndex] = {}
 
 def _index(taught) -> BlockMaxIndex:
     """The index of the broadcast examples, built once in each Python worker; the driver holds only packed vectors."""
-    token, names, toxic, vectors, idf, block = taught.value
+    token, names, toxic, vectors, idf, block, dense = taught.value
     if token not in _BUILT:
         _BUILT.clear()
-        _BUILT[token] = BlockMaxIndex.build([(i, y, *_unpacked(v)) for i, y, v in zip(names, toxic, vectors, strict=True)], idf, block)
+        _BUILT[token] = BlockMaxIndex.build([(i, y, *_unpacked(v)) for i, y, v in zip(names, toxic, vectors, strict=True)], idf, block, dense)
     return _BUILT[token]
 
 
+#: Texts whose sums over the matrix are taken at once.
+_AT_ONCE = 64
+
+
 def _voter(taught, place, k: int):
     """For mapInArrow over (row, vector) of examples: (row, vote), each without itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _index(taught)
         for batch in batches:
-            votes = [index.vote(*index.nearest(*_unpacked(v), k, place.get(row, -1))) for row, v in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
-            yield pa.record_batch([batch.column(0), pa.array(votes, pa.float64())], names=["row", "vote"])
+            for some in (batch.slice(j, _AT_ONCE) for j in range(0, batch.num_rows, _AT_ONCE)):
+                rows, vectors = (c.to_pylist() for c in some.columns)
+                near = index.nearest([_unpacked(v) for v in vectors], k, [place.get(r, -1) for r in rows])
+                yield pa.record_batch([some.column(0), pa.array([index.vote(*x) for x in near], pa.float64())], names=["row", "vote"])
 
     return run
 
 
-def _scorer(taught, vocabulary, at, rate, none, prefixes, k: int, threshold: float):
+def _scorer(taught, vocabulary, dims, at, rate, none, prefixes, k: int, threshold: float):
+    """For mapInArrow over (id, held_out, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, (read, _) = _index(taught), _reader(vocabulary, prefixes)
+        index, reader = _index(taught), _Reader(vocabulary, prefixes, dims.value)
         for batch in batches:
-            p, near, cosines = np.full(batch.num_rows, none), [], []
-            for j, text in enumerate(batch.column(2)):
-                ids, tf = read(text.as_py())
-                e, c = index.nearest(ids, tf, k) if len(ids) and len(index.names) else (np.empty(0, int), np.empty(0))
+            p, near = np.full(batch.num_rows, none), []
+            for j in range(0, batch.num_rows, _AT_ONCE):
+                near += index.nearest([reader.read(x.as_py()) for x in batch.column(2).slice(j, _AT_ONCE)], k)
+            for j, (e, c) in enumerate(near):
                 if len(e):
                     p[j] = np.interp(index.vote(e, c), at, rate)
-                near.append([int(x) for x in index.names[e[:3]]])
-                cosines.append([float(x) for x in c[:3]])
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), pa.array(near, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["id", "held_out", "score", "predicted", "nearest", "cosines"])
+            names = pa.array([[index.names[x] for x in e[:3]] for e, _ in near], pa.list_(batch.column(0).type))
+            cosines = pa.array([c[:3].tolist() for _, c in near], pa.list_(pa.float64()))
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32)), names, cosines], names=["id", "held_out", "score", "predicted", "nearest", "cosines"])
 
     return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rules: VoteRules = VoteRules(), key: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 4, held: int = 2) -> DataFrame:
-    """(id, held_out, score, predicted, nearest, cosines) of each row of docs, integer ids; labels of fold held of folds (by crc32 of the id) teach nothing."""
+    """(id, held_out, score, predicted, nearest, cosines) of each row of docs, ids of any ordered type; labels of fold held of folds (by crc32 of the id) teach nothing."""
     spark = docs.sparkSession
-    known = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
+    sort = docs.select(f"`{key}`").schema[0].dataType.simpleString()
+    known = labels.select(F.col(f"`{key}`").cast(sort).alias("id"), F.col(f"`{label}`").cast("int").alias("y")).where("id is not null and y is not null")
     known = known.where(~in_fold(F.col("id"), folds, held)).groupBy("id").agg(F.max("y").alias("y"))
     n = known.count()
     share = int(min(1.0, rules.examples / max(n, 1)) * (1 << 30))
     sample = F.broadcast(written(known.where(F.pmod(F.xxhash64(F.lit(rules.seed), "id"), F.lit(1 << 30)) < share)))  # about rules.examples rows
-    texts = docs.select(F.col(key).cast("long").alias("id"), in_fold(F.col(key), folds, held).alias("held_out"), F.col(text).cast("binary").alias("text"))
-    taught = texts.join(sample, "id").select(F.monotonically_increasing_id().alias("row"), "id", (F.col("y") > 0).cast("int").alias("y"), "text")
-    taught = written(taught.repartition(24))  # about rules.examples rows
+    texts = docs.select(F.col(f"`{key}`").alias("id"), in_fold(F.col(f"`{key}`"), folds, held).alias("held_out"), F.col(f"`{text}`").cast("binary").alias("text"))
+    short = F.coalesce(F.octet_length("text"), F.lit(0)) <= rules.longest
+    taught = texts.where(short).join(sample, "id").select(F.monotonically_increasing_id().alias("row"), "id", (F.col("y") > 0).cast("int").alias("y"), "text")
+    taught = written(taught.repartition(24))  # about rules.examples rows of rules.longest bytes at most
     names = taught.select("text").mapInArrow(_example_terms(rules.prefixes), "term binary").distinct().toArrow()["term"].combine_chunks()  # the sample's terms
     names = names.take(pc.sort_indices(names))
     vocabulary = spark.sparkContext.broadcast(names)
@@ -328,12 +388,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, rules: VoteRules = VoteRules(),
     df = np.zeros(len(names) + 1)  # the last for t = -1
     counts = texts.select("text").mapInArrow(_frequencies(vocabulary, rules.prefixes), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()  # a row for each term of the sample
     df[counts["t"].to_numpy()] = counts["n"].to_numpy()
-    kept = (df[:-1] >= 2) & (df[:-1] <= rules.most * df[-1]) & (df[:-1] < df[-1])
-    vocabulary.unpersist()
-    vocabulary = spark.sparkContext.broadcast(names.filter(pa.array(kept)))
-    idf = np.log(df[-1] / df[:-1][kept])
+    weighs = df[:-1] < df[-1]
+    dims = spark.sparkContext.broadcast(np.where(weighs, np.cumsum(weighs) - 1, len(names)))
+    idf = np.log(df[-1] / df[:-1][weighs])
 
-    examples = written(taught.mapInArrow(_vectors(vocabulary, rules.prefixes), "row long, id long, y int, vector binary"))
+    examples = written(taught.mapInArrow(_vectors(vocabulary, rules.prefixes, dims), f"row long, id {sort}, y int, vector binary"))
     got = examples.toArrow().sort_by([("id", "ascending"), ("row", "ascending")])  # about rules.examples rows
     row, y, vectors = got["row"].to_pylist(), got["y"].to_numpy(), got["vector"].to_pylist()
     bare = np.array([not v for v in vectors], bool)
@@ -343,7 +402,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, rules: VoteRules = VoteRules(),
             kept.append(j)
             twins[v] += 1
     none = float((y[bare].sum() + (y.sum() + 0.5) / (len(y) + 1)) / (bare.sum() + 1)) if n else 0.0
-    index = spark.sparkContext.broadcast((uuid.uuid4().hex, got["id"].to_numpy()[kept], y[kept], [vectors[j] for j in kept], idf, rules.block))
+    ids = got["id"].to_pylist()
+    index = spark.sparkContext.broadcast((uuid.uuid4().hex, [ids[j] for j in kept], y[kept], [vectors[j] for j in kept], idf, rules.block, rules.dense))
     votes = np.full(len(y), -1.0)
     if kept:
         place = {row[j]: k for k, j in enumerate(kept)}
@@ -352,7 +412,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, rules: VoteRules = VoteRules(),
         votes[[where[r] for r in voted["row"].to_pylist()]] = voted["vote"].to_numpy()
     able = votes >= 0
     at, rate = monotone(votes[able], y[able]) if able.any() else (np.array([0.0]), np.array([none]))
-    return texts.mapInArrow(_scorer(index, vocabulary, at, rate, none, rules.prefixes, rules.neighbours, rules.threshold), "id long, held_out boolean, score double, predicted int, nearest array<long>, cosines array<double>")
+    return texts.mapInArrow(_scorer(index, vocabulary, dims, at, rate, none, rules.prefixes, rules.neighbours, rules.threshold), f"id {sort}, held_out boolean, score double, predicted int, nearest array<{sort}>, cosines array<double>")
 
 
 def op2_nearest_toxic(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -405,47 +406,62 @@ def test_languages(spark, odd, none):
     assert langid.languages(none).isEmpty()
 
 
-def test_nearest_examples_are_exact():
+@pytest.mark.parametrize("share", [0.0, 0.08, 2.0])
+def test_nearest_examples_are_exact(share):
     rng = np.random.default_rng(3)
     vectors = []
     for k in range(300):
         ids = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         vectors.append((k, int(k % 3 == 0), ids, rng.integers(1, 4, len(ids))))
     idf = rng.uniform(1, 5, 40)
-    index = toxicity.BlockMaxIndex.build(vectors, idf, 16)
+    index = toxicity.BlockMaxIndex.build(vectors, idf, 16, share)
+    assert {0.0: 40, 2.0: 0}.get(share, len(index.matrix)) == len(index.matrix)
     dense = np.zeros((300, 40))
     for k, v in enumerate(vectors):
         w = (1 + np.log(v[3])) * idf[v[2]]
         dense[k, v[2]] = w / np.sqrt((w * w).sum())
-    for k, v in enumerate(vectors[:60]):
-        for without in (-1, k):
+    asked = [v[2:] for v in vectors[:60]]
+    for without in ([-1] * 60, list(range(60))):
+        for k, (near, score) in enumerate(index.nearest(asked, 25, without)):
             cos = dense @ dense[k]
-            want = sorted((x for x in range(300) if cos[x] > 0 and x != without), key=lambda x: (-round(min(cos[x], 1.0), 12), x))[:25]
-            near, score = index.nearest(v[2], v[3], 25, without)
+            want = sorted((x for x in range(300) if cos[x] > 0 and x != without[k]), key=lambda x: (-round(min(cos[x], 1.0), 12), x))[:25]
             assert list(near) == want and np.allclose(score, np.minimum(cos[want], 1.0))
 
 
 def test_toxicity(spark, none):
     docs = spark.createDataFrame([(k, f"word{k % 13} and word{k % 7} " + ("scum here" if k % 4 == 0 else "fine here")) for k in range(400)] + [(900, None), (901, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(300)] + [(None, 1), (5, None)], "doc_id long, toxic int")
-    every = toxicity.VoteRules(most=1.0)  # a word of this small table is in many of its texts
-    got = {r["id"]: r for r in rows(toxicity.toxicity(docs, labels, every))}
+    got = {r["id"]: r for r in rows(toxicity.toxicity(docs, labels))}
     assert len(got) == 402 and all(got[k]["predicted"] == int(k % 4 == 0) for k in range(400)) and got[900]["predicted"] == got[901]["predicted"] == 0
-    assert toxicity.toxicity(none, labels, every).isEmpty()
+    assert toxicity.toxicity(none, labels).isEmpty()
     assert {r["score"] for r in rows(toxicity.toxicity(docs, labels.limit(0)))} == {0.0}
+    named = toxicity.toxicity(docs.selectExpr("'d' || doc_id AS `a.id`", "text AS `the text`", "1 AS score"), labels.selectExpr("'d' || doc_id AS `a.id`", "toxic AS `is.toxic`"), key="a.id", text="the text", label="is.toxic")
+    named = {r["id"]: r for r in rows(named)}
+    assert len(named) == 402 and named["d8"]["predicted"] == 1 and named["d9"]["predicted"] == 0 and named["d8"]["nearest"][0].startswith("d")
 
 
-@pytest.mark.parametrize("most", [1.0, 0.1])
-def test_toxicity_is_that_of_brute_force(spark, most):
+def test_long_labelled_texts_teach_nothing(spark):
+    long = "scum " + " ".join(f"w{k}x" for k in range(300_000))  # over 2 MB, and more words than a task remembers
+    docs = spark.createDataFrame([(k, f"plain word{k % 9}" + (" scum" if k % 3 == 0 else "")) for k in range(60)] + [(100, long), (101, long)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(60)] + [(100, 0), (101, 0)], "doc_id long, toxic int")
+    got = {r["id"]: r for r in rows(toxicity.toxicity(docs, labels))}
+    assert not {100, 101} & {e for r in got.values() for e in r["nearest"]}
+    assert got[100]["nearest"] == got[101]["nearest"] and all(got[100]["cosines"]) and got[100]["score"] == got[101]["score"]
+    reader = toxicity._Reader(type("Broadcast", (), {"value": pa.array([b"^w299", b"scum"], pa.binary())}), (4,))
+    assert reader.read(long.encode())[0].tolist() == [0, 1] and reader.read(b"scum Scum")[1].tolist() == [2]
+
+
+@pytest.mark.parametrize("share", [0.06, 2.0])
+def test_toxicity_is_that_of_brute_force(spark, share):
     rng = np.random.default_rng(5)
     texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, 12) % 400) + (" scum" if k % 5 == 0 else "") for k in range(200)] + ["", None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rules = toxicity.VoteRules(most=most, neighbours=10, block=8)
+    rules = toxicity.VoteRules(dense=share, neighbours=10, block=8)
     got = {r["id"]: r for r in rows(toxicity.toxicity(docs, spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(150)], "doc_id long, toxic int"), rules))}
     tf = [toxicity.terms((t or "").encode(), rules.prefixes) for t in texts]
     df = Counter(t for c in tf for t in c)
     examples = [k for k in range(150) if not got[k]["held_out"]]
-    known = {t for k in examples for t in tf[k] if 2 <= df[t] <= most * len(texts) and df[t] < len(texts)}
+    known = {t for k in examples for t in tf[k] if df[t] < len(texts)}
     units = []
     for c in tf:
         v = {t: (1 + math.log(n)) * math.log(len(texts) / df[t]) for t, n in c.items() if t in known}
