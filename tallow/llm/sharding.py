@@ -21,7 +21,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, table, written
+from .common import fresh, let, table, written
 
 
 @dataclass(frozen=True)
@@ -117,19 +117,45 @@ class Node:
         half = self.shards // 2
         return Node(self.shard, self.shards, *cuts[self.shard], Node(self.shard, half), Node(self.shard + half, self.shards - half))
 
-    def of(self, keys: list[Column]) -> Column:
-        """The shard of a point with these keys, one for each dimension; every node is named once."""
+    def nodes(self) -> list[tuple[Node, int]]:
+        """All nodes, level by level, with the place of the lower child; the higher one follows it, and a leaf has -1."""
+        out, at = [self], 0
+        low = []
+        while at < len(out):
+            node = out[at]
+            low.append(len(out) if node.dim is not None else -1)
+            out += [node.low, node.high] if node.dim is not None else []
+            at += 1
+        return list(zip(out, low, strict=True))
+
+    def depth(self) -> int:
+        return 0 if self.dim is None else 1 + max(self.low.depth(), self.high.depth())
+
+    def of(self, keys: Column) -> Column:
+        """The shard of a point with these keys, an array: steps down the tree, whose cuts are looked up, so that the expression does not grow with the tree."""
         if self.dim is None:
             return F.lit(self.shard)
-        return F.when(keys[self.dim] < self.cut, self.low.of(keys)).otherwise(self.high.of(keys))
+        nodes = self.nodes()
+        low, shard = _values([x for _, x in nodes]), _values([n.shard for n, _ in nodes])
+        dim, cut = _values([n.dim or 0 for n, _ in nodes]), _values([n.cut for n, _ in nodes])
 
+        def step(at: Column, _: Column) -> Column:
+            high = (F.get(keys, F.get(dim, at).cast("int")) >= F.get(cut, at)).cast("int")
+            return F.when(F.get(low, at) < 0, at).otherwise((F.get(low, at) + high).cast("int"))
 
-def _chosen(by_node: dict[int, object], default: Column) -> Column:
+        steps = F.sequence(F.lit(1), F.lit(self.depth()))
+        return F.get(shard, F.aggregate(steps, F.lit(0), step)).cast("int")
+
+
+def _values(numbers: list[int]) -> Column:
+    """The numbers as one literal array."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast("array<bigint>")
+
+
+def _chosen(by_node: dict[int, int], default: int) -> Column:
     """The value of each node, of at most as many nodes as shards."""
-    out = None
-    for node, x in by_node.items():
-        out = F.when(F.col("node") == node, F.lit(x)) if out is None else out.when(F.col("node") == node, F.lit(x))
-    return default if out is None else out.otherwise(default)
+    values = [by_node.get(k, default) for k in range(max(by_node, default=0) + 1)]
+    return F.coalesce(F.get(_values(values), F.col("node")), F.lit(default).cast("bigint"))
 
 
 def _cuts(rows: DataFrame, aims: dict[int, float], slack: float, whole: float, bits: int) -> dict[int, int]:
@@ -140,7 +166,7 @@ def _cuts(rows: DataFrame, aims: dict[int, float], slack: float, whole: float, b
         width = max(width - bits, _ID if width > _ID else 0)
         slack = whole if width == _ID else slack
         todo = [n for n in aims if n not in cuts]
-        bins = rows.where(F.col("node").isin(todo)).withColumn("bin", F.shiftright(F.col("key"), width) - _chosen({n: low[n] >> width for n in todo}, F.lit(0)))
+        bins = rows.where(_chosen(dict.fromkeys(todo, 1), 0) == 1).withColumn("bin", F.shiftright(F.col("key"), width) - _chosen({n: low[n] >> width for n in todo}, 0))
         bins = bins.where(f"bin >= 0 and bin < {1 << bits}").groupBy("node", "bin").agg(F.sum("size").alias("z")).orderBy("node", "bin").collect()  # shards x bins at most
         for n in todo:
             own, upto = [r for r in bins if r["node"] == n], 0
@@ -170,13 +196,12 @@ def tree(pts: DataFrame, rules: TreeRules = TreeRules()) -> Node:
     if not total:
         return root
     dims = [F.get("dims", F.lit(d)) for d in range(len(pts.select("dims").head()["dims"]))]
-    keys = [F.get("keys", F.lit(d)) for d in range(len(dims))]
     slack, whole = rules.slack * total / root.shards, rules.whole * total / root.shards
     while todo := {leaf.shard: leaf.shards for leaf in root.leaves() if leaf.shards > 1}:
-        at = pts.withColumn("node", root.of(keys)).where(F.col("node").isin(list(todo)))
+        at = pts.withColumn("node", root.of(F.col("keys"))).where(_chosen(dict.fromkeys(todo, 1), 0) == 1)
         wide = at.groupBy("node").agg(F.sum("size").alias("z"), *[f(x).alias(f"{f.__name__}{d}") for d, x in enumerate(dims) for f in (F.min, F.max)]).collect()
         widest = {r["node"]: max(range(len(dims)), key=lambda d: (r[f"max{d}"] - r[f"min{d}"], -d)) for r in wide}
-        key = F.get("keys", _chosen(widest, F.lit(0)))
+        key = F.get("keys", _chosen(widest, 0).cast("int"))
         cuts = _cuts(at.select("node", key.alias("key"), "size"), {r["node"]: r["z"] * (todo[r["node"]] // 2) / todo[r["node"]] for r in wide}, slack, whole, rules.bits)
         root = root.grown({n: (widest.get(n, 0), cuts.get(n, 0)) for n in todo})
     return root
@@ -197,16 +222,16 @@ def with_slots(rows: DataFrame) -> DataFrame:
 def sharded(docs: DataFrame, rules: TreeRules = TreeRules(), key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
     """(id, size, text_crc32, law, shard, slot, grown_shard) of each row of docs."""
     pts = written(keyed(points(docs, key, text, metadata), len(metadata)))
-    out = with_slots(pts.withColumn("shard", tree(pts, rules).of([F.get("keys", F.lit(d)) for d in range(1 + len(metadata))]).cast("int")))
+    out = with_slots(pts.withColumn("shard", tree(pts, rules).of(F.col("keys"))))
     return out.select("id", "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def with_shards(docs: DataFrame, rules: TreeRules = TreeRules(), key: str = "doc_id", text: str = "text", metadata: tuple[str, ...] = ("source", "lang")) -> DataFrame:
-    """docs' columns and shard (under another name if docs has one). The tree is applied as an expression; texts are not shuffled."""
+    """docs' columns and shard (under another name if docs has one). The tree is applied row by row; texts are not shuffled."""
     root = tree(written(keyed(points(docs, key, text, metadata), len(metadata))), rules)
     name = "shard" if "shard" not in map(str.lower, docs.columns) else fresh(docs, "shard")[0]
-    shard = root.of(_keys(len(metadata))).cast("int")
-    return points(docs, key, text, metadata, keep=True).select("doc.*", shard.alias(name))
+    rows = points(docs, key, text, metadata, keep=True)
+    return rows.select("doc", let(F.array(*_keys(len(metadata))), root.of).alias("node")).select("doc.*", F.col("node").alias(name))
 
 
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
