@@ -71,7 +71,7 @@ def _filter(keys: DataFrame, n: int, rate: float, level: int, most: int = MAX_BI
     """A filter of the n keys (key) with about that rate of false positives. Only its bytes come to the driver, one part at a time."""
     rate = min(max(rate, 1e-6), 0.5)
     bits = max(63, math.ceil(-n * math.log(rate) / math.log(2) ** 2))
-    parts = -(-bits // most)
+    parts = -(-bits // (most - most % 7))  # whole bytes of seven bits
     size = -(-bits // (7 * parts))
     hashes = min(max(1, round(7 * size * parts / max(n, 1) * math.log(2))) if n else 1, 20)
     place = keys.select(_part(F.col("key"), level, parts).alias("part"), F.explode(F.array(*_places(F.col("key"), hashes, level, 7 * size))).alias("p"))
