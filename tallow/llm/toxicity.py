@@ -22,8 +22,8 @@ Defined results: texts without a term of the examples, null and empty ones too,
 get the rate of labelled examples of that kind, drawn to the rate of all; without
 labels every score is 0; repeated rows are scored alike; several labels of one id
 count as toxic if one of them is; ties go to the smaller id; empty tables give no
-rows; other columns play no part. A text is held whole in one task, with its
-distinct words.
+rows; other columns play no part. Texts are read some megabytes at a time, each
+of their distinct words once; a longer text is held whole in one task.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -85,72 +86,80 @@ def _example_terms(prefixes):
     return run
 
 
-#: Words that a task remembers the terms of.
-_REMEMBERED = 200_000
+#: As _BLANK, with A-Z lower-cased.
+_LETTERS = _BLANK.lower()
+#: Bytes of texts that are read at once (a longer text alone).
+_READ = 1 << 22
 
 
-class _Rows(dict):
-    """The row of each word, given out as words are met."""
-
-    def __init__(self, fill):
-        super().__init__()
-        self.fill = fill
-
-    def __missing__(self, word: bytes) -> int:
-        at = self[word] = len(self)
-        self.fill(at, word)
-        return at
+def _words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and the number of words of each text."""
+    data = np.frombuffer(b" ".join([b"", *texts, b""]).translate(_LETTERS), np.uint8)
+    inside = data != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # where words begin and end, by turns
+    begins = edges[::2]
+    offsets = np.append(0, np.cumsum(edges[1::2] - begins)).astype(np.int32)
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    return words, np.diff(np.searchsorted(begins, ends), prepend=0)
 
 
 class _Reader:
     """Texts as terms of a vocabulary (a broadcast sorted array). dims: the number of each term, len(dims) or more for none."""
 
     def __init__(self, vocabulary, prefixes: tuple[int, ...], dims: np.ndarray | None = None):
-        self.words: dict[bytes, int] = {}
-        begin: dict[int, dict[bytes, int]] = {k: {} for k in sorted(prefixes)}
-        self.none = len(vocabulary.value)
-        numbers = range(self.none) if dims is None else dims.tolist()
-        for k, t in zip(numbers, vocabulary.value.to_pylist(), strict=True):
-            if t[:1] == b"^":
-                begin[len(t) - 1][t[1:]] = k
-            else:
-                self.words[t] = k
-        self.begin = list(begin.items())
-        self.terms = np.full((_REMEMBERED + 1, 1 + len(self.begin)), self.none)  # a row for each word remembered
-        self.rows = _Rows(self._row)
-
-    def _row(self, at: int, word: bytes) -> None:
-        """Puts a word's terms in a row. A beginning that no example holds has no longer one."""
-        row = [self.words.get(word, self.none)]
-        for k, known in self.begin:
-            found = known.get(word[:k]) if len(word) > k else None
-            if found is None:
-                break
-            row.append(found)
-        self.terms[at] = self.none
-        self.terms[at, : len(row)] = row
-
-    def _rows(self, words) -> np.ndarray:
-        if len(self.rows) + len(words) > _REMEMBERED:
-            self.rows.clear()
-            if len(words) > len(self.terms):  # a text of more words than are remembered
-                self.terms = np.full((len(words), self.terms.shape[1]), self.none)
-        return np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))
-
-    def held(self, text: bytes | None) -> np.ndarray:
-        """The terms of a text in no order, some of them repeated, and none for what is no term."""
-        rows = self._rows(set((text or b"").lower().translate(_BLANK).split()))  # may make room, so before the terms are named
-        return self.terms[rows].ravel()
+        names = vocabulary.value
+        self.none = len(names)
+        numbers = np.append(np.arange(self.none) if dims is None else dims, self.none)
+        begins = np.asarray(pc.starts_with(names, b"^"))
+        length = np.where(begins, np.asarray(pc.binary_length(names)) - 1, 0)  # of a beginning, else 0
+        self.known = []  # (bytes of a beginning, the known ones, their numbers and none); first the words, with 0 bytes
+        for k in (0, *sorted(prefixes)):
+            some = np.flatnonzero(begins & (length == k) if k else ~begins)
+            terms = names.take(pa.array(some))
+            self.known.append((k, pc.binary_slice(terms, 1, k + 1) if k else terms, numbers[np.append(some, self.none)]))
+
+    def _keys(self, texts: list[bytes]) -> np.ndarray:
+        """text * none + term for each place of a term, sorted. Each distinct word is looked up once, all of them together."""
+        words, sizes = _words(texts)
+        coded = words.dictionary_encode()
+        place, distinct = coded.indices.to_numpy(), coded.dictionary
+        length, first = np.asarray(pc.binary_length(distinct)), np.repeat(np.arange(len(texts)) * self.none, sizes)
+        keys = []
+        for k, known, numbers in self.known:
+            some = np.flatnonzero(length > k)
+            asked = distinct.take(pa.array(some))
+            found = pc.index_in(pc.binary_slice(asked, 0, k) if k else asked, value_set=known)
+            term = np.full(len(distinct), self.none, np.int32)
+            term[some] = numbers[pc.fill_null(found, len(known)).to_numpy()]
+            held = np.flatnonzero((term < self.none)[place])
+            keys.append(first[held] + term[place[held]])
+        out = np.concatenate(keys)
+        out.sort()
+        return out
+
+    def read_all(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(bounds, ids, tf) of some of the texts after others: text j holds the terms ids[bounds[j] : bounds[j + 1]], sorted, with their frequencies."""
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+        at = 0
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + _READ, "right")))
+            keys = self._keys([x or b"" for x in texts.slice(at, end - at).to_pylist()])
+            starts = np.flatnonzero(np.diff(keys, prepend=-1))
+            own = keys[starts]
+            bounds = np.searchsorted(own, np.arange(end - at + 1) * self.none)
+            yield bounds, own - np.repeat(np.arange(end - at) * self.none, np.diff(bounds)), np.diff(starts, append=len(keys))
+            at = end
+
+    def each(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text its terms, sorted, and their frequencies."""
+        for bounds, ids, tf in self.read_all(texts):
+            for a, b in pairwise(bounds.tolist()):
+                yield ids[a:b], tf[a:b]
 
     def read(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
-        """The terms of a text, sorted, and their frequencies."""
-        words = Counter((text or b"").lower().translate(_BLANK).split())
-        rows = self._rows(words)
-        ids = self.terms[rows]
-        some = ids < self.none
-        times = np.broadcast_to(np.fromiter(words.values(), np.int64, len(words))[:, None], ids.shape)[some]
-        own, at = np.unique(ids[some], return_inverse=True)
-        return own, np.bincount(at, times, len(own)).astype(np.int64)
+        """each for one text."""
+        return next(self.each(pa.array([text], pa.binary())))
 
 
 def _frequencies(vocabulary, prefixes):
@@ -158,12 +167,12 @@ def _frequencies(vocabulary, prefixes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, total = _Reader(vocabulary, prefixes), 0
-        df = np.zeros(reader.none + 1, np.int64)
+        df = np.zeros(reader.none, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                df[reader.held(text.as_py())] += 1  # once, however often a term is repeated
+            for _, ids, _ in reader.read_all(batch.column(0)):
+                df += np.bincount(ids, minlength=len(df))
             total += batch.num_rows
-        some = np.flatnonzero(df[:-1])
+        some = np.flatnonzero(df)
         yield pa.record_batch([pa.array(np.append(some, -1)), pa.array(np.append(df[some], total))], names=["t", "n"])
 
     return run
@@ -182,9 +191,9 @@ def _vectors(vocabulary, prefixes, dims):
     """For mapInArrow over (row, id, y, text): (row, id, y, vector) of each example, the vector packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read = _Reader(vocabulary, prefixes, dims.value).read
+        reader = _Reader(vocabulary, prefixes, dims.value)
         for batch in batches:
-            yield pa.record_batch([*batch.columns[:3], pa.array([_packed(*read(x.as_py())) for x in batch.column(3)], pa.binary())], names=["row", "id", "y", "vector"])
+            yield pa.record_batch([*batch.columns[:3], pa.array([_packed(*x) for x in reader.each(batch.column(3))], pa.binary())], names=["row", "id", "y", "vector"])
 
     return run
 
@@ -356,8 +365,9 @@ def _scorer(taught, vocabulary, dims, at, rate, none, prefixes, k: int, threshol
         index, reader = _index(taught), _Reader(vocabulary, prefixes, dims.value)
         for batch in batches:
             p, near = np.full(batch.num_rows, none), []
-            for j in range(0, batch.num_rows, _AT_ONCE):
-                near += index.nearest([reader.read(x.as_py()) for x in batch.column(2).slice(j, _AT_ONCE)], k)
+            read = reader.each(batch.column(2))
+            while some := list(islice(read, _AT_ONCE)):
+                near += index.nearest(some, k)
             for j, (e, c) in enumerate(near):
                 if len(e):
                     p[j] = np.interp(index.vote(e, c), at, rate)
